@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, language_id, minhash_dedup, packing, quality_classifier, quality_rules, substring_dedup
+from . import embedding_dedup, language_id, minhash_dedup, packing, pii, quality_classifier, quality_rules, sentencepiece_ops, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_language_id": language_id.op1,
@@ -10,8 +10,11 @@ QUERIES = {
     "op3_substring_dedup": substring_dedup.op3,
     "op4_packing": packing.op4,
     "op5_quality_classifier": quality_classifier.op5,
+    "op6_pii": pii.op6,
     "op7_embedding_dedup": embedding_dedup.op7,
     "op8_minhash_dedup": minhash_dedup.op8,
+    "op9_suffix_dedup": suffix_dedup.op9,
+    "op10_sentencepiece": sentencepiece_ops.op10,
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.OP2_SQL,

@@ -59,16 +59,19 @@ class WordEncoder:
         self.start, self.len = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.len[0] = 1
 
-    def _learn(self, words: list[bytes]) -> None:
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         got = [e.ids for e in encode([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        total, n = int(sizes.sum()), len(self.number)
+        return np.fromiter((i for ids in got for i in ids), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+
+    def _learn(self, words: list[bytes]) -> None:
+        flat, sizes = self.encode(words)
+        total, n = len(flat), len(self.number)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + len(words) > len(self.start):
             self.start, self.len = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.len, np.zeros_like(self.len)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in got for i in ids), np.uint32, total)
+        self.flat[self.used : self.used + total] = flat
         self.start[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
         self.len[n : n + len(words)] = sizes
         self.used += total

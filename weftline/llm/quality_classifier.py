@@ -165,8 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_fit: int
     return Model(vectors, seen, train(np.stack(rows["x"].to_numpy()), y), 0.0)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score (0 to 1) of every whole text."""
+def score(docs: DataFrame, model: Model, carry=()) -> DataFrame:
+    """doc_id, score (0 to 1) of every whole text, and the columns named in ``carry``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batch):
@@ -178,9 +178,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 p = np.full(hi - lo, m.constant)
             else:
                 p = 1 / (1 + np.exp(-np.clip(logits(features(*token_buckets(data, off, lo, hi, len(m.vectors)), m.vectors, m.seen), m.net), -60, 60)))
-            yield {"doc_id": t["doc_id"][lo:hi], "score": p}
+            yield {"doc_id": t["doc_id"][lo:hi], "score": p, **{c: t[c][lo:hi] for c in carry}}
 
-    return S.map_arrow(S.texts(docs), work, "doc_id long, score double")
+    return S.map_arrow(S.texts(docs, *(c for c in carry if c != "text")), work, "doc_id long, score double" + S.carried(docs, carry))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

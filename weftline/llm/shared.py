@@ -76,6 +76,11 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+def carried(docs: DataFrame, names) -> str:
+    """The named columns as the end of a schema text."""
+    return "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+
+
 def held_out(doc_id) -> F.Column:
     """True where crc32(doc_id as text) mod 4 is 2; such rows are never learned from."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
@@ -248,13 +253,14 @@ def sliding(h: np.ndarray, w: int, f) -> np.ndarray:
     return out
 
 
-def anchors(h: np.ndarray, row_first: np.ndarray, k: int, m: int) -> np.ndarray:
+def anchors(h: np.ndarray, row_first: np.ndarray, k: int, m: int, only: np.ndarray | None = None) -> np.ndarray:
     """Positions of the grams of k that are least in some window of m tokens.
 
     ``h`` has the hash of every gram of k tokens of the concatenated rows;
     ``row_first`` the first token of each row, with an end mark.  A gram is
     chosen by the content of windows alone, so two rows that share a window
-    share its anchors, and every window has at least one.
+    share its anchors, and every window has at least one.  ``only`` marks the
+    windows (by first token) that count.
     """
     w = m - k + 1
     n = len(h) + k - 1
@@ -273,6 +279,8 @@ def anchors(h: np.ndarray, row_first: np.ndarray, k: int, m: int) -> np.ndarray:
         bad = np.cumsum(cross[:-1]) > 0
     else:
         bad = np.zeros(len(least), bool)
+    if only is not None:
+        bad |= ~only[: len(bad)]
     least[bad] = 0
     padded = np.concatenate([np.zeros(w - 1, np.uint32), least, np.zeros(w - 1, np.uint32)])
     best = sliding(padded, w, np.maximum)  # best[i]: over the windows that hold gram i

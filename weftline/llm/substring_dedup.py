@@ -137,7 +137,7 @@ def _windows(window: int, gram: int):
     return work
 
 
-def _remove(window: int, layout: str):
+def _remove(window: int, layout: str, carry=()):
     def work(batch):
         t = pa.Table.from_batches([batch])
         data, off = S.text_bytes(t["text"])
@@ -199,6 +199,7 @@ def _remove(window: int, layout: str):
                 "n_removed": n_removed.astype(np.int64),
                 "removed_spans": S.list_array(spans, 2 * np.bincount(r, minlength=n), pa.int32()),
                 "kept_text": text.cast(pa.large_string()),
+                **{c: t[c][lo:hi] for c in carry},
             }
 
     return work
@@ -225,14 +226,15 @@ def removed_windows(docs: DataFrame, window: int = 13, gram: int | None = None)
     return S.materialize(decided.join(found, ["doc_id", "key"], "full"), "removed")
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, gram: int | None = None, layout: str = "original") -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 13, gram: int | None = None, layout: str = "original", carry=()) -> DataFrame:
     """doc_id, n_words, n_removed, removed_spans (word numbers: begin, end, ...), kept_text.
 
     ``layout``: "original" keeps the white space after each kept word, "words" joins the kept words by one space.
+    The columns of ``carry`` pass through.
     """
     removed = removed_windows(docs, window, gram)
-    t = S.texts(docs).withColumn("key", F.xxhash64("text")).join(removed, ["doc_id", "key"], "left")
-    return S.map_arrow(t.select("doc_id", "text", "decided", "pos"), _remove(window, layout), "doc_id long, n_words long, n_removed long, removed_spans array<int>, kept_text string")
+    t = S.texts(docs, *carry).withColumn("key", F.xxhash64("text")).join(removed, ["doc_id", "key"], "left")
+    return S.map_arrow(t.select("doc_id", "text", "decided", "pos", *carry), _remove(window, layout, carry), "doc_id long, n_words long, n_removed long, removed_spans array<int>, kept_text string" + S.carried(docs, carry))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
