@@ -339,7 +339,7 @@ def _(g):
 
 
 # --- windows, top-k, sets -------------------------------------------------------------
-@query("win_01_top_per_group", "SELECT l_suppkey, l_partkey, n, k AS rank FROM (SELECT l_suppkey, l_partkey, count(*) AS n, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, l_partkey) AS k FROM (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL)) WHERE k <= 4")
+@query("win_01_top_per_group", "SELECT l_suppkey, l_partkey, n, k AS rank FROM (SELECT l_suppkey, l_partkey, n, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, l_partkey) AS k FROM (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL)) WHERE k <= 4")
 def _(spark, d):
     n = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n"))
     return win.top_per_group(n, ["l_suppkey"], [F.desc("n"), F.col("l_partkey")], 4)
