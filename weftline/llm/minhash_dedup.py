@@ -130,30 +130,62 @@ def _confirm(size: int, percent: int):
     return work
 
 
-def _meet(perms: int, bits: int, least: float):
-    """Pairs of a bucket's members in different components whose signatures come near enough."""
+def _meet(size: int, percent: int, perms: int, bits: int, least: float):
+    """Links between a bucket's members in different components.
+
+    A pair is looked at in the first bucket that both have; those whose packed signatures come near enough are
+    confirmed on the full sets here, nearest first, unless links found before join them already.  So only links
+    that join components are written, never pairs.
+    """
 
     def run(batches):
         for t, edges in S.whole_groups(batches, ["key", "_i", "_j"]):
-            ids, comp, block = t["rep"].to_numpy(), t["comp"].to_numpy(), t["_b"].to_numpy()
+            ids, comp, block, band = (t[c].to_numpy() for c in ("rep", "comp", "_b", "band"))
             i_, j_ = t["_i"].to_numpy(), t["_j"].to_numpy()
             sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(ids), -1)
+            bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            data, off = S.text_bytes(t["text"])
             found = []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 at = np.arange(a, b)
                 same = i_[a] == j_[a]
                 left, right = (at, at) if same else (at[block[a:b] == i_[a]], at[block[a:b] == j_[a]])
+                pairs, shares = [], []
                 for x in left.tolist():
                     other = right[comp[right] != comp[x]]
                     if same:
                         other = other[other > x]
                     if len(other):
-                        share = equal_fields(sig[x][None, :], sig[other], perms, bits) / perms
-                        near = other[(share - 2.0**-bits) / (1 - 2.0**-bits) >= least]
-                        if len(near):
-                            found.append(np.stack([np.minimum(ids[x], ids[near]), np.maximum(ids[x], ids[near])], 1))
+                        share = (equal_fields(sig[x][None, :], sig[other], perms, bits) / perms - 2.0**-bits) / (1 - 2.0**-bits)
+                        near = share >= least
+                        near[near] = ~(bands[other[near], : band[a]] == bands[x, : band[a]]).any(1)
+                        pairs.append(np.stack([np.full(int(near.sum()), x), other[near]], 1))
+                        shares.append(share[near])
+                if not pairs:
+                    continue
+                pairs = np.concatenate(pairs)[np.argsort(-np.concatenate(shares), kind="stable")]
+                root: dict[int, int] = {}
+                sets: dict[int, np.ndarray] = {}
+
+                def top(c):
+                    while root.get(c, c) != c:
+                        c = root[c]
+                    return c
+
+                def own(x):
+                    if x not in sets:
+                        sets[x] = shingle_sets(data, off, x, x + 1, size)[0]
+                    return sets[x]
+
+                for x, y in pairs.tolist():
+                    p, q = top(int(comp[x])), top(int(comp[y]))
+                    if p != q:
+                        m = np.intersect1d(own(x), own(y), assume_unique=True).size
+                        if 100 * m >= percent * (len(own(x)) + len(own(y)) - m):
+                            root[max(p, q)] = min(p, q)
+                            found.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
             if found:
-                p = np.concatenate(found)
+                p = np.array(found, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
     return run
@@ -168,7 +200,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     real = signed.where("n > 0 and doc_id is not null")
     classes = S.materialize(real.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     reps = S.materialize(real.join(classes, ["s1", "s2", "n"]).where("doc_id = rep").select("rep", "sig", "bands"), "representatives")
-    flat = reps.select("rep", F.explode("bands").alias("key"))
+    flat = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     pivots = S.materialize(flat.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1"), "pivots")
     stars = S.materialize(flat.join(pivots, "key").where("rep > a").select("a", F.col("rep").alias("b")).distinct(), "stars")
     # only documents that share a bucket are looked at again
@@ -206,15 +238,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         links = links.unionAll(new)
         comps = S.components(links)
     # members of a bucket that are in different components still, and of which neither is the bucket's least
-    labelled = flat.join(comps, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+    labelled = flat.join(comps, F.col("rep") == F.col("id"), "left").select("key", "band", "rep", F.coalesce("comp", "rep").alias("comp"))
     mixed = S.materialize(labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 < c1 and n > 2").select("key", "n"), "mixed")
     if not mixed.isEmpty():
-        members = S.in_blocks(labelled, mixed, "key", "rep", block).join(reps.select("rep", "sig"), "rep")
+        members = S.in_blocks(labelled, mixed, "key", "rep", block).join(reps, "rep").join(own.select(F.col("doc_id").alias("rep"), "text"), "rep")
         S.ship(docs.sparkSession)
-        pairs = S.by_group(members.select("key", "_i", "_j", "_b", "rep", "comp", "sig"), ["key", "_i", "_j"]).mapInArrow(_meet(perms, bits, near), "a long, b long").distinct()
-        new = confirmed(pairs.join(stars, ["a", "b"], "left_anti"))
+        dealt = S.by_group(members.select("key", "_i", "_j", "_b", "band", "rep", "comp", "sig", "bands", "text"), ["key", "_i", "_j"])
+        new = S.materialize(dealt.mapInArrow(_meet(size, percent, perms, bits, near), "a long, b long"), "links")
         if not new.isEmpty():
             comps = S.components(links.unionAll(new))
+    S.drop_table(own)
     of_class = S.materialize(classes.join(comps, F.col("rep") == F.col("id"), "left").select("s1", "s2", "n", F.coalesce("comp", "rep").alias("component_id")), "of_class")
     out = signed.select("doc_id", "n", "s1", "s2").join(of_class, ["s1", "s2", "n"], "left")
     comp = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
