@@ -7,7 +7,8 @@ lie inside long repeats, so two rounds leave few to sort:
 * a round takes content-defined anchors (see :func:`shared.anchors`), first of 16 bytes, then of 32; a suffix
   whose own anchor occurs in one document alone is dropped;
 * the same round settles chunks between content-defined cuts, first far apart, then close: a chunk with the
-  ``window - 1`` bytes after it that also stands in a smaller document settles all suffixes that start in it.
+  ``window - 1`` bytes after it that also stands in a smaller document settles all suffixes that start in it, and
+  where its source has suffixes that nobody holds without the chunk, they are dropped.
 
 The suffixes that are left are range-partitioned by their leading tokens (eight bytes each, as numbers in byte order, then
 doc_id, so that no bucket holds more than its share of a frequent string) at sampled splitters.  Each bucket
@@ -91,18 +92,52 @@ class _Bytes:
         return {"g1": S.list_array(g1, counts, pa.int64()), "g2": S.list_array(g2, counts, pa.int64())}
 
     def apply(self, hit, row):
-        """What hits (numbers of anchors, then chunks, of their rows) leave alive, and the chunks that they settle."""
+        """What hits (number of an anchor or, after them, of a chunk of the row, and how often it occurs) leave alive, and the chunks that they settle.
+
+        Where a document is the source of a chunk, a window inside is alive only if its own anchor occurs more
+        often than the chunk: else nobody has that window without having, and being settled by, the chunk.
+        """
+        hit, times, row = hit[::2], hit[1::2], row[::2]
         na, nc = np.bincount(self.anchor_row, minlength=self.n), np.bincount(self.chunk_row, minlength=self.n)
         a0, c0 = np.concatenate([[0], np.cumsum(na)]), np.concatenate([[0], np.cumsum(nc)])
         is_anchor = hit < na[row]
         some = np.full(len(self.key), 0xFFFFFFFF, np.uint32)
-        at = self.anchor[a0[row[is_anchor]] + hit[is_anchor]]
-        some[at] = self.key[at]
+        number = a0[row[is_anchor]] + hit[is_anchor]
+        some[self.anchor[number]] = self.key[self.anchor[number]]
         own = np.zeros(self.total, bool)
         if len(self.key) >= self.width:
             got = S.sliding(some, self.width, np.minimum) == S.sliding(self.key, self.width, np.minimum)
             own[: len(got)] = got
-        chunk = np.unique(c0[row[~is_anchor]] + (hit - na[row])[~is_anchor])
+        of_chunk, n = c0[row[~is_anchor]] + (hit - na[row])[~is_anchor], times[~is_anchor]
+        chunk = np.unique(of_chunk[n > 0])
+        source = np.unique(of_chunk[n < 0])
+        if len(source):
+            inside = np.zeros(self.total, np.int64)  # how often the chunk around a place occurs
+            count_of = np.zeros(len(self.chunk_a), np.int64)
+            count_of[of_chunk] = np.abs(n)
+            size = self.chunk_b[source] - self.chunk_a[source]
+            at = np.repeat(self.chunk_a[source] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            inside[at] = np.repeat(count_of[source], size)
+            often = np.zeros(len(self.key), np.int64)
+            often[self.anchor[number]] = times[is_anchor]
+            # a window's own anchor: the place nearest to its start that has its least key
+            least = S.sliding(self.key, self.width, np.minimum)
+            chosen = np.zeros(len(self.key), bool)
+            chosen[self.anchor] = True
+            last = np.where(chosen, np.arange(len(self.key)), len(self.key))
+            follows = np.minimum.accumulate(last[::-1])[::-1]  # next anchor at or after a place
+            w = np.flatnonzero((inside[: len(least)] > 0) & own[: len(least)])
+            near = follows[w]
+            todo = np.ones(len(w), bool)
+            for _ in range(8):  # few anchors stand before a window's own one
+                wrong = todo & (near < len(self.key))
+                wrong[wrong] = self.key[near[wrong]] != least[w[wrong]]
+                if not wrong.any():
+                    break
+                near[wrong] = follows[np.minimum(near[wrong] + 1, len(self.key) - 1)]
+            ok = (near < np.minimum(w + self.width, len(self.key))) & (self.key[np.minimum(near, len(self.key) - 1)] == least[w])
+            ok[ok] = often[near[ok]] == inside[w[ok]]
+            own[w[ok]] = False
         return own, self.chunk_a[chunk], self.chunk_b[chunk], self.chunk_row[chunk]
 
     def settled(self, a, b) -> np.ndarray:
@@ -250,8 +285,11 @@ BUCKET_NAMES = [x.split()[0] for x in BUCKET.split(", ")]
 
 def _repeated(table: DataFrame) -> DataFrame:
     flat = table.select("doc_id", "key", F.posexplode(F.arrays_zip("g1", "g2")).alias("at", "g")).select("doc_id", "key", "at", F.col("g.g1").alias("h1"), F.col("g.g2").alias("h2"))
-    again = S.materialize(flat.groupBy("h1", "h2").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 < d1").select("h1", "h2", "d0"), "repeated")
-    hits = S.materialize(flat.join(again, ["h1", "h2"]).where("h2 = 0 or d0 < doc_id").groupBy("doc_id", "key").agg(F.collect_list("at").alias("hits")), "hits")
+    again = S.materialize(flat.groupBy("h1", "h2").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.count("*").alias("n")).where("d0 < d1").select("h1", "h2", "d0", "n"), "repeated")
+    # a chunk's number is negative in the document that is its source
+    n = F.when((F.col("h2") != 0) & (F.col("d0") == F.col("doc_id")), -F.col("n")).otherwise(F.col("n"))
+    found = flat.join(again, ["h1", "h2"]).select("doc_id", "key", F.col("at").cast("long"), n.alias("n"))
+    hits = S.materialize(found.groupBy("doc_id", "key").agg(F.flatten(F.collect_list(F.array("at", "n"))).alias("hits")), "hits")
     S.drop_table(again)
     return hits
 
