@@ -10,10 +10,11 @@ it, cost being ``linear * n + quadratic * n * n`` summed over the pieces of a
 sequence (attention does not cross documents).  If none of the cheapest
 ``look`` sequences has room for the whole, it is cut at the room of the cheapest.
 
-Tokenizing.  The tokenizer splits at white space before anything else, so the
-ids of a text are the ids of its white-space words one after the other.
-Each distinct word of a piece of a batch is looked up in a bounded cache and
-encoded on a miss.
+Tokenizing.  The tokenizer splits at white space, and most words further into runs of
+letters, single digits and runs of other signs, so the ids of a text are those of its units one
+after the other.  Each distinct unit of a piece of a batch is looked up in a bounded cache.  Units
+that are missing are encoded in joined chunks, which the marks at unit ends take apart again.  Words
+whose units this simple rule does not give (see ``_odd_words``) are encoded whole.
 
 Defined cases: a null or empty text is one token (``end_id``); a null doc_id is
 packed like any other; repeated rows are packed each; an empty table gives no
@@ -37,18 +38,44 @@ from . import shared as S
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 #: Bits of a sequence id that count within a task.
 TASK_BITS = 40
+#: Classes of bytes: digits, letters (also all bytes above ASCII) and others.
+CLASS = np.zeros(256, np.uint8)
+CLASS[48:58] = 1
+CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 2
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
-class WordEncoder:
-    """Ids of whole rows by way of a cache of words."""
+def _odd_words(w: S.Words) -> np.ndarray:
+    """Which words are not to be split by classes of bytes.
 
-    def __init__(self, path: str, end_id: int, most: int = 300_000):
+    They hold an apostrophe (contractions), ``<|`` (special tokens), or a character other than ASCII and the
+    letters U+00C0 to U+023F but U+0130, which is two characters in lower case.
+    """
+    d = w.data
+    after = np.zeros_like(d)
+    after[:-1] = d[1:]
+    bad = (d == 39) | ((d == 60) & (after == 124)) | (d >= 201) | ((d >= 192) & (d < 195))
+    bad |= ((d == 195) & ((after == 151) | (after == 183))) | ((d == 196) & (after == 176))
+    sums = np.zeros(len(d) + 1, np.int64)
+    np.cumsum(bad, out=sums[1:])
+    return sums[w.end] > sums[w.start]
+
+
+class UnitEncoder:
+    """Ids of whole rows by way of a cache of units."""
+
+    def __init__(self, path: str, end_id: int, most: int = 300_000, chunk: int = 512):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.end_id, self.most = Tokenizer.from_file(path), end_id, most
+        self.tok, self.end_id, self.most, self.chunk = Tokenizer.from_file(path), end_id, most, chunk
+        self.batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        vocabulary = self.tok.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.reset()
 
     def reset(self) -> None:
@@ -59,13 +86,20 @@ class WordEncoder:
         self.start, self.len = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.len[0] = 1
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-        got = [e.ids for e in encode([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+    def _each(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.batch([u.decode("utf-8", "replace") for u in units], add_special_tokens=False)]
         return np.fromiter((i for ids in got for i in ids), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
 
-    def _learn(self, words: list[bytes]) -> None:
-        flat, sizes = self.encode(words)
+    def _joined(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        chunks = [b" ".join(units[i : i + self.chunk]).decode("utf-8", "replace") for i in range(0, len(units), self.chunk)]
+        got = [np.array(e.ids, np.uint32) for e in self.batch(chunks, add_special_tokens=False)]
+        ids = np.concatenate(got) if got else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(units) or (len(ends) and ends[-1] != len(ids)):  # another kind of vocabulary
+            return self._each(units)
+        return ids, np.diff(ends, prepend=0)
+
+    def _learn(self, words: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
         total, n = len(flat), len(self.number)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -80,21 +114,42 @@ class WordEncoder:
     def rows(self, data: np.ndarray, off: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of rows lo..hi, each row closed by the end id, and how many each row has."""
         w = S.Words(data, off, lo, hi)
-        _, at, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        raw = w.data.tobytes()
-        words = [raw[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist())]
-        new = [x for x in words if x not in self.number]
-        if new:
-            if len(self.number) + len(new) > self.most:
-                self.reset()
-                new = words
-            self._learn(new)
-        number = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))[inverse]
-        number = np.insert(number, w.first[1:], 0)  # each row's end
+        odd = _odd_words(w)
+        inside = np.zeros(len(w.data) + 1, np.int8)  # bytes of words that are left whole
+        np.add.at(inside, w.start[odd], 1)
+        np.add.at(inside, w.end[odd], -1)
+        plain = np.cumsum(inside[:-1], dtype=np.int8) == 0
+        raw = np.where(plain, LOWER[w.data], w.data)
+        kind = CLASS[w.data]
+        cut = np.zeros(len(w.data) + 1, bool)
+        cut[1:-1] = ((kind[1:] != kind[:-1]) | (kind[1:] == 1)) & plain[1:]
+        cut[w.start] = True
+        solid = np.append(w._solid, False)
+        start = np.flatnonzero(cut & solid)
+        cut[w.end] = True
+        cut[-1] = True
+        edge = np.flatnonzero(cut)
+        end = edge[np.searchsorted(edge, start, side="right")]
+        h = S.Rolling(S._byte_values(1, False)[raw], 1).runs(start, end)
+        _, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+        text = raw.tobytes()
+        units = [text[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())]
+        missing = [i for i, u in enumerate(units) if u not in self.number]
+        if len(self.number) + len(missing) > self.most:
+            self.reset()
+            missing = list(range(len(units)))
+        whole = ~plain[start[at]]
+        for encode, mine in ((self._joined, False), (self._each, True)):
+            new = [units[i] for i in missing if whole[i] == mine]
+            if new:
+                self._learn(new, *encode(new))
+        number = np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))[inverse]
+        first = np.searchsorted(start, w.row_off)
+        number = np.insert(number, first[1:], 0)  # each row's end
         counts = self.len[number]
         begin = np.cumsum(counts) - counts
         ids = self.flat[np.repeat(self.start[number] - begin, counts) + np.arange(int(counts.sum()))]
-        ends = np.cumsum(counts)[w.first[1:] + np.arange(1, hi - lo + 1) - 1]
+        ends = np.cumsum(counts)[first[1:] + np.arange(1, hi - lo + 1) - 1]
         return ids, np.diff(np.concatenate([[0], ends]))
 
 
@@ -168,7 +223,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
         for batch in batches:
             if not batch.num_rows:
                 continue
-            encoder = encoder or WordEncoder(tokenizer_path, end_id)
+            encoder = encoder or UnitEncoder(tokenizer_path, end_id)
             data, off = S.text_bytes(batch.column(1))
             for lo, hi in S.pieces(off):
                 ids, sizes = encoder.rows(data, off, lo, hi)
