@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,7 +66,7 @@ def _odd_words(w: S.Words) -> np.ndarray:
 class UnitEncoder:
     """Ids of whole rows by way of a cache of units."""
 
-    def __init__(self, path: str, end_id: int, most: int = 300_000, chunk: int = 512):
+    def __init__(self, path: str, end_id: int, most: int = 600_000, chunk: int = 512):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -153,6 +154,12 @@ class UnitEncoder:
         return ids, np.diff(np.concatenate([[0], ends]))
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str, end_id: int) -> UnitEncoder:
+    """A Python worker keeps its encoder, and what it has cached, from task to task."""
+    return UnitEncoder(path, end_id)
+
+
 def pack(lengths: np.ndarray, capacity: int, linear: float, quadratic: float, look: int = 8) -> Iterator[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of one block; every sequence ends full."""
     sequence = 0
@@ -223,7 +230,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
         for batch in batches:
             if not batch.num_rows:
                 continue
-            encoder = encoder or UnitEncoder(tokenizer_path, end_id)
+            encoder = encoder or encoder_of(tokenizer_path, end_id)
             data, off = S.text_bytes(batch.column(1))
             for lo, hi in S.pieces(off):
                 ids, sizes = encoder.rows(data, off, lo, hi)
