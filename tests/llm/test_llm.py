@@ -89,6 +89,19 @@ def test_packing_is_exact(spark):
         assert sum((x for _, x in sorted(got[r.doc_id])), []) == tok.encode(r.text, add_special_tokens=False).ids + [1]
 
 
+def test_units_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    tok, encoder = Tokenizer.from_file(path), packing.UnitEncoder(path, 1, most=40)
+    texts = [t or "" for t in TEXTS] + ["don't 'S ''s it's<|endoftext|>x <|ENDOFTEXT|> <| |>", "İst ÉÀ × a×b ÷ ß ſ ǅ x\u00a0y", "12a34-- a—.b e\u0301a \u0301x №5 ²x", "\x1c\x85a b\u2028c ŉ ¿qué? ª º µ a\x00b"]
+    data, off = S.text_bytes(pa.array(texts))
+    for lo, hi in S.pieces(off, 200):
+        ids, sizes = encoder.rows(data, off, lo, hi)
+        ends = np.cumsum(sizes)
+        assert [ids[e - n : e].tolist() for e, n in zip(ends, sizes)] == [tok.encode(t, add_special_tokens=False).ids + [1] for t in texts[lo:hi]]
+
+
 def test_sentencepiece_equals_the_library():
     import sentencepiece
 
