@@ -631,3 +631,6 @@ def _(spark, d):
 @query("str_02_latest", "SELECT user_id, event_type AS state FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
 def _(spark, d):
     return stream.run_to_table(stream.latest_state(stream.read_events(spark, d)), "weftline_latest").select("user_id", "state")
+
+
+from . import catalog_code  # noqa: E402,F401  registers its queries
