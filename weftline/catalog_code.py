@@ -36,7 +36,7 @@ def on_files(name: str, sql: str | None = None, lines: bool = False):
 
 
 # --- source texts -------------------------------------------------------------------
-@on_files("ext_03_statements", r", s AS (SELECT path, unnest(regexp_split_to_array(text, ';\s*(?:\n|$)')) AS s, unnest(range(len(regexp_split_to_array(text, ';\s*(?:\n|$)')))) AS number FROM f), t AS (SELECT path, number, trim(regexp_replace(s, '\s+', ' ', 'g')) AS s FROM s) SELECT path, number, CASE WHEN regexp_matches(upper(s), '^(CREATE|ALTER|DROP|TRUNCATE)\b') THEN 'DDL' WHEN regexp_matches(upper(s), '^(INSERT|UPDATE|DELETE|MERGE)\b') THEN 'DML' ELSE 'QUERY' END AS kind, substr(s, 1, 200) AS preview FROM t WHERE s <> ''")
+@on_files("ext_03_file_statements", r", s AS (SELECT path, unnest(regexp_split_to_array(text, ';\s*(?:\n|$)')) AS s, unnest(range(len(regexp_split_to_array(text, ';\s*(?:\n|$)')))) AS number FROM f), t AS (SELECT path, number, trim(regexp_replace(s, '\s+', ' ', 'g')) AS s FROM s) SELECT path, number, CASE WHEN regexp_matches(upper(s), '^(CREATE|ALTER|DROP|TRUNCATE)\b') THEN 'DDL' WHEN regexp_matches(upper(s), '^(INSERT|UPDATE|DELETE|MERGE)\b') THEN 'DML' ELSE 'QUERY' END AS kind, substr(s, 1, 200) AS preview FROM t WHERE s <> ''")
 def _(f):
     return code.statements(f)
 
@@ -104,7 +104,7 @@ def _(f):
     return code.collection_uses(f)
 
 
-@on_files("fil_26_urls", r"SELECT DISTINCT path, unnest(regexp_extract_all(text, '''(/[\w/{}-]+)''', 1)) AS url FROM f")
+@on_files("fil_26_quoted_urls", r"SELECT DISTINCT path, unnest(regexp_extract_all(text, '''(/[\w/{}-]+)''', 1)) AS url FROM f")
 def _(f):
     return code.matches(f, r"'(/[\w/{}-]+)'", "url")
 
