@@ -562,6 +562,11 @@ def _(spark, d):
     return grf.cycles(trade(spark, d).where("a < 6 and b < 6"), 3).select("path")
 
 
+@query("grf_21_all_cycles", f"WITH t AS (SELECT a, b FROM ({TRADE}) WHERE a <> b) SELECT CAST(x.a AS VARCHAR) || '>' || x.b || '>' || y.b AS path FROM t x JOIN t y ON x.b = y.a JOIN t z ON y.b = z.a AND z.b = x.a WHERE x.a < x.b AND x.a < y.b UNION ALL SELECT CAST(x.a AS VARCHAR) || '>' || x.b FROM t x JOIN t y ON x.b = y.a AND y.b = x.a WHERE x.a < x.b")
+def _(spark, d):
+    return grf.cycles(trade(spark, d), 3).select("path")
+
+
 @query("grf_22_reverse_pairs", f"WITH t AS ({TRADE}) SELECT a, b FROM t WHERE a < b AND EXISTS (SELECT 1 FROM t u WHERE u.a = t.b AND u.b = t.a)")
 def _(spark, d):
     return rel.reverse_pairs(trade(spark, d))
