@@ -1,7 +1,11 @@
 """Queries that must cover their whole tables, against plain Python on the same rows."""
 
+from collections import Counter
+
+from tests.test_operators import graph
 from weftline import catalog
-from weftline.plans.graph import table
+from weftline.operators import graphs as grf
+from weftline.plans.graph import order_graph
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,3 +17,52 @@ def test_cycles_cover_all_nations(spark):
     want |= {f"{a}>{b}>{c}" for a, b in edges for c in ids if a < b and a < c and (b, c) in edges and (c, a) in edges}
     got = [r.path for r in catalog.QUERIES["grf_21_all_cycles"](spark, SF).collect()]
     assert sorted(got) == sorted(want) and max(int(x) for p in got for x in p.split(">")) > 5
+
+
+def test_fix_points_cover_the_whole_graph(spark):
+    g = order_graph(spark, SF)
+    ids = {r.id for r in g.nodes.select("id").collect()}
+    edges = [(r.from_id, r.to_id) for r in g.edges.select("from_id", "to_id").collect()]
+    assert sum(r.n for r in catalog.QUERIES["grf_04_communities"](spark, SF).collect()) == len(ids)
+    top = {x: x for x in ids}
+
+    def find(x):
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        top[y] = x
+    got = {r.component: r.n for r in catalog.QUERIES["grf_06_all_components"](spark, SF).collect()}
+    assert got == Counter(map(find, ids))
+    out = Counter(a for a, _ in edges)
+    rank = dict.fromkeys(ids, 1 / len(ids))
+    for _ in range(20):
+        lost = sum(r for i, r in rank.items() if not out[i])
+        new = dict.fromkeys(ids, 0.15 / len(ids) + 0.85 * lost / len(ids))
+        for a, b in edges:
+            new[b] += 0.85 * rank[a] / out[a]
+        rank = new
+    got, most = {r.id: r["rank"] for r in catalog.QUERIES["grf_05_pagerank"](spark, SF).collect()}, max(rank.values())
+    assert got.keys() == ids and all(abs(got[i] - rank[i] / most) < 2e-6 for i in ids)
+
+
+def test_labels_go_on_until_stable(spark):
+    # a label moves by one node a round along a chain of pairs
+    n = 12
+    pairs = [(f"{i:02}", f"{i + 1:02}") for i in range(n)] + [(f"{i:02}", f"{i + 1:02}x") for i in range(n)] + [(f"{i:02}x", f"{i + 1:02}x") for i in range(n)]
+    near, label = {}, {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    label, rounds = {x: x for x in near}, []
+    for _ in range(20):
+        new = {x: min(Counter(label[y] for y in near[x]).items(), key=lambda v: (-v[1], v[0]))[0] for x in near}
+        rounds.append(new != label)
+        label = new
+        if not rounds[-1]:
+            break
+    got = {r.id: r.community for r in grf.label_propagation(graph(spark, pairs)).collect()}
+    assert sum(rounds) > 5 and got == label

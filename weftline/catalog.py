@@ -519,7 +519,7 @@ def _(g):
 
 @on_graph("grf_04_communities")
 def _(g):
-    return grf.label_propagation(parties(g)).groupBy("community").agg(F.count("*").alias("n"))
+    return grf.label_propagation(g).groupBy("community").agg(F.count("*").alias("n"))
 
 
 PARTIES = "p_nodes AS (SELECT * FROM g_nodes WHERE node_type IN ('REGION', 'NATION', 'CUSTOMER', 'SUPPLIER')), p_edges AS (SELECT * FROM g_edges WHERE from_id IN (SELECT id FROM p_nodes) AND to_id IN (SELECT id FROM p_nodes))"
@@ -527,7 +527,7 @@ PARTIES = "p_nodes AS (SELECT * FROM g_nodes WHERE node_type IN ('REGION', 'NATI
 
 @on_graph("grf_05_pagerank")
 def _(g):
-    return grf.pagerank(parties(g))
+    return grf.pagerank(g)
 
 
 @on_graph("grf_06_components", "SELECT c AS component, count(*) AS n FROM (SELECT id, min(b) AS c FROM reach GROUP BY id) GROUP BY c", recursive=PARTIES + ", two_ways AS (SELECT from_id AS a, to_id AS b FROM p_edges UNION SELECT to_id, from_id FROM p_edges), reach(id, b) AS (SELECT id, id FROM p_nodes UNION SELECT reach.id, two_ways.b FROM reach JOIN two_ways ON two_ways.a = reach.b)")
@@ -540,6 +540,16 @@ def _(g):
     return grf.closure(parties(g).edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")))
 
 
+@on_graph("grf_06_all_components")
+def _(g):
+    return grf.components(g).groupBy("component").agg(F.count("*").alias("n"))
+
+
+@on_graph("grf_07_all_closure", "SELECT a, b FROM reach", recursive="reach(a, b) AS (SELECT from_id, to_id FROM g_edges UNION SELECT a, to_id FROM reach JOIN g_edges ON from_id = b)")
+def _(g):
+    return grf.closure(g.edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")))
+
+
 @on_graph(
     "grf_08_lineage",
     "SELECT source, sink, length, CASE WHEN length <= 5 THEN 'high' ELSE 'medium' END AS confidence FROM (SELECT source, sink, min(l) AS length, row_number() OVER (PARTITION BY source ORDER BY min(l), sink) AS k FROM (SELECT a.from_id AS source, b.to_id AS sink, 3 AS l FROM g_edges a JOIN g_edges b ON a.to_id = b.from_id WHERE a.relation = 'PLACES' AND b.relation = 'CONTAINS') GROUP BY source, sink) WHERE k <= 50",

@@ -72,14 +72,20 @@ def components(g: Graph) -> DataFrame:
     return label
 
 
-def label_propagation(g: Graph, rounds: int = 5) -> DataFrame:
-    """id, community: all nodes at once take the label most frequent among their neighbours (least label of equals)."""
+def label_propagation(g: Graph, rounds: int = 20) -> DataFrame:
+    """id, community: all nodes at once take the label most frequent among their neighbours (least label of equals).
+
+    Rounds go on until no label changes, or for ``rounds``, as in the reference.
+    """
     step = cut(neighbours(g).where("id <> neighbour"))
     label = g.nodes.select("id", F.col("id").alias("community"))
     for _ in range(rounds):
         votes = step.join(label.select(F.col("id").alias("neighbour"), "community"), "neighbour").groupBy("id", "community").agg(F.count("*").alias("n"))
         best = votes.groupBy("id").agg(F.min_by("community", F.struct(-F.col("n"), "community")).alias("new"))
-        label = cut(label.join(best, "id", "left").select("id", F.coalesce("new", "community").alias("community")))
+        moved = cut(label.join(best, "id", "left").select("id", F.coalesce("new", "community").alias("community"), (F.col("new") != F.col("community")).alias("moved")))
+        label = moved.select("id", "community")
+        if moved.where("moved").isEmpty():
+            break
     return label
 
 
