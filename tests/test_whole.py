@@ -5,7 +5,7 @@ from collections import Counter
 from tests.test_operators import graph
 from weftline import catalog
 from weftline.operators import graphs as grf
-from weftline.plans.graph import order_graph
+from weftline.plans.graph import order_graph, table
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,3 +66,9 @@ def test_labels_go_on_until_stable(spark):
             break
     got = {r.id: r.community for r in grf.label_propagation(graph(spark, pairs)).collect()}
     assert sum(rounds) > 5 and got == label
+
+
+def test_line_cursor_reads_every_document(spark):
+    want = {(r.doc_id, i, len("".join(x + "\n" for x in r.text.split("\n")[:i]))) for r in table(spark, SF, "documents").collect() if r.text is not None for i in range(r.text.count("\n") + 1)}
+    got = [tuple(r) for r in catalog.QUERIES["win_13_all_line_cursor"](spark, SF).select("doc_id", "line", "cursor").collect()]
+    assert len(got) == len(want) and set(got) == want

@@ -380,13 +380,23 @@ def _(spark, d):
     return win.islands(table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type").groupBy("user_id", "island", "event_type").agg(F.count("*").alias("n"))
 
 
-@query("win_13_line_cursor", "SELECT doc_id, i AS line, CAST(coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cursor FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE lang = 'es')")
-def _(spark, d):
-    x = table(spark, d, "documents").where("lang = 'es'").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l"))
+def line_cursor(docs: DataFrame) -> DataFrame:
+    """doc_id, line, cursor: the offset at which each line of a document begins."""
+    x = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l"))
     w = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     return x.select("doc_id", F.col("line").cast("long").alias("line"), F.coalesce(F.sum(F.length("l") + 1).over(w), F.lit(0)).alias("cursor"))
 
 
+@query("win_13_line_cursor", "SELECT doc_id, i AS line, CAST(coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cursor FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE lang = 'es')")
+def _(spark, d):
+    return line_cursor(table(spark, d, "documents").where("lang = 'es'"))
+
+
+@query("win_13_all_line_cursor", "SELECT doc_id, i AS line, CAST(coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cursor FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)")
+def _(spark, d):
+    return line_cursor(table(spark, d, "documents"))
+
+
 @on_graph("top_01_hubs", "SELECT n.id, name, node_type, service, i AS in_degree, o AS out_degree, i + o AS degree FROM g_nodes n JOIN deg ON n.id = deg.id ORDER BY degree DESC, n.id LIMIT 20", recursive=DEGREE)
 def _(g):
     return agg.hubs(g)
