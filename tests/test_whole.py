@@ -4,8 +4,10 @@ from collections import Counter
 
 from tests.test_operators import graph
 from weftline import catalog
+from weftline.operators import aggregates as agg
 from weftline.operators import graphs as grf
-from weftline.plans.graph import order_graph, table
+from weftline.plans.graph import Graph, order_graph, table
+from weftline.sources import files as src
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,3 +74,10 @@ def test_line_cursor_reads_every_document(spark):
     want = {(r.doc_id, i, len("".join(x + "\n" for x in r.text.split("\n")[:i]))) for r in table(spark, SF, "documents").collect() if r.text is not None for i in range(r.text.count("\n") + 1)}
     got = [tuple(r) for r in catalog.QUERIES["win_13_all_line_cursor"](spark, SF).select("doc_id", "line", "cursor").collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_oversize_partitions_are_split(spark):
+    rows = [(f"n{i:03}", "x", "N", "big" if i < 25 else "small" if i < 35 else None, None) for i in range(47)]
+    g = Graph(spark.createDataFrame(rows, src.NODE_SCHEMA), None)
+    got = Counter((r.partition, r["sub"]) for r in agg.split_partitions(g, 10).collect())
+    assert got == {("big", 0): 10, ("big", 1): 10, ("big", 2): 5, ("small", None): 10, ("__default__", 0): 10, ("__default__", 1): 2}

@@ -272,6 +272,11 @@ def _(g):
     return agg.chunks(rel.by_type(g, "CUSTOMER").select("id"), ["id"], 100).select("batch", "id")
 
 
+@on_graph("agg_09_split", "SELECT p AS partition, CASE WHEN n > 500 THEN CAST(floor((k - 1) / 500) AS BIGINT) END AS sub, id FROM (SELECT coalesce(service, '__default__') AS p, id, row_number() OVER (PARTITION BY coalesce(service, '__default__') ORDER BY id) AS k, count(*) OVER (PARTITION BY coalesce(service, '__default__')) AS n FROM g_nodes)")
+def _(g):
+    return agg.split_partitions(g, 500)
+
+
 HASHES = "man AS (SELECT p AS partition, n AS node_count, substr(sha256(p || '|' || n || '|' || s), 1, 16) AS content_hash FROM (SELECT coalesce(service, '__default__') AS p, count(*) AS n, sum(CAST('0x' || substr(sha256(id || '|' || node_type || '|' || name), 1, 12) AS BIGINT)) AS s FROM g_nodes GROUP BY 1))"
 
 

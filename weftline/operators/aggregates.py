@@ -89,6 +89,19 @@ def chunks(df: DataFrame, order: list[str], size: int) -> DataFrame:
     return global_row_number(df, order).withColumn("batch", F.floor((F.col("rn") - 1) / size))
 
 
+def split_partitions(g: Graph, size: int, column: str = "service", default: str = "__default__") -> DataFrame:
+    """partition, sub, id: partitions over ``size`` nodes in parts of ``size`` by id (sub from 0); sub is null in those that fit.
+
+    Rows are numbered by partition and id at once and shifted by the earlier partitions' counts, so no task sees a whole partition.
+    """
+    from .windows import global_row_number
+
+    p = global_row_number(g.nodes.select(F.coalesce(column, F.lit(default)).alias("partition"), "id"), ["partition", "id"])
+    n = p.groupBy("partition").agg(F.count("*").alias("_n"), F.min("rn").alias("_first"))
+    sub = F.when(F.col("_n") > size, F.floor((F.col("rn") - F.col("_first")) / size))
+    return p.join(F.broadcast(n), "partition").select("partition", sub.alias("sub"), "id")  # one row for each partition
+
+
 def complexity(g: Graph) -> DataFrame:
     """id, complexity: degree and name length against their maxima, and a share for leaving the service."""
     d = degrees(g).withColumn("degree", F.col("in_degree") + F.col("out_degree"))
