@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from weftline.llm import pii
+from weftline.llm import packing, pii
 
 SAME = np.where(np.eye(pii.LABELS) > 0, 3.0, -3.0)
 
@@ -29,3 +29,25 @@ def test_messages_settle():
         for k in range(size):
             assert np.abs(got[at + k] - want).max() < 1e-3
             want = want @ step
+
+
+def test_packing_cuts_only_what_fits_nowhere():
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        lengths, capacity = rng.integers(1, 150, 300), 64
+        pieces = list(packing.pack(lengths, capacity, 1.0, 1 / 64))
+        room, cost, done = {}, {}, dict.fromkeys(range(len(lengths)), 0)
+        for _, _, n, k, _ in pieces:
+            room[k], cost[k] = room.get(k, 0) + n, 0.0
+        last = capacity
+        for i, at, n, k, _ in pieces:
+            left = int(lengths[i]) - done[i]
+            assert at == done[i]
+            if left < capacity:
+                fits = [x for x in room if room[x] >= left] or [x for x in room if room[x]]
+                assert left <= last and k == min(fits, key=lambda x: (cost[x], x)) and n == min(left, room[k])
+                last = left
+            room[k] -= n
+            cost[k] += n + n * n / 64
+            done[i] += n
+        assert [done[i] for i in range(len(lengths))] == lengths.tolist() and not any(room.values())

@@ -7,8 +7,8 @@ the powers of two that add up to it: nothing is padded.  Documents longer
 than a sequence first fill sequences of their own.  What remains is taken in
 descending length; each goes to the sequence of lowest cost that has room for
 it, cost being ``linear * n + quadratic * n * n`` summed over the pieces of a
-sequence (attention does not cross documents).  If none of the cheapest
-``look`` sequences has room for the whole, it is cut at the room of the cheapest.
+sequence (attention does not cross documents).  Only if no sequence has room for
+the whole, it is cut at the room of the cheapest, and what is left takes its place by length.
 
 Tokenizing.  The tokenizer splits at white space, and most words further into runs of
 letters, single digits and runs of other signs, so the ids of a text are those of its units one
@@ -160,7 +160,7 @@ def encoder_of(path: str, end_id: int) -> UnitEncoder:
     return UnitEncoder(path, end_id)
 
 
-def pack(lengths: np.ndarray, capacity: int, linear: float, quadratic: float, look: int = 8) -> Iterator[tuple[int, int, int, int, int]]:
+def pack(lengths: np.ndarray, capacity: int, linear: float, quadratic: float) -> Iterator[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of one block; every sequence ends full."""
     sequence = 0
     rest: list[tuple[int, int, int]] = []
@@ -171,30 +171,47 @@ def pack(lengths: np.ndarray, capacity: int, linear: float, quadratic: float, lo
             sequence, at = sequence + 1, at + capacity
         if n > at:
             rest.append((at - n, i, at))
-    rest.sort()
+    heapq.heapify(rest)
     total = -sum(x[0] for x in rest)
     sizes = [capacity] * (total // capacity) + [1 << b for b in range(capacity.bit_length(), -1, -1) if total % capacity >> b & 1]
-    room, filled = list(sizes), [0] * len(sizes)
-    heap = [(0.0, k) for k in range(len(sizes))]
-    for minus, i, at in rest:
+    room, filled, cost = list(sizes), [0] * len(sizes), [0.0] * len(sizes)
+    # lengths only fall, so a sequence waits by its room until they have come down to it, and then is ready for all that follow
+    ready: list[tuple[float, int]] = []
+    waits = [True] * len(sizes)
+    waiting: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for k, r in enumerate(sizes):
+        waiting[r].append(k)
+    short = [(0.0, k, r) for k, r in enumerate(sizes)]  # those that wait, by cost, and some that no longer do
+    least = capacity + 1
+    while rest:
+        minus, i, at = heapq.heappop(rest)
         n = -minus
-        while n:
-            tried = []
-            while heap and len(tried) < look:
-                tried.append(heapq.heappop(heap))
-                if room[tried[-1][1]] >= n:
-                    break
-            best = len(tried) - 1 if room[tried[-1][1]] >= n else 0
-            cost, k = tried.pop(best)
-            for x in tried:
-                heapq.heappush(heap, x)
-            take = min(n, room[k])
-            yield i, at, take, sequence + k, filled[k]
-            room[k] -= take
-            filled[k] += take
-            at, n = at + take, n - take
-            if room[k]:
-                heapq.heappush(heap, (cost + linear * take + quadratic * take * take, k))
+        while least > n:
+            least -= 1
+            for k in waiting[least]:
+                if waits[k] and room[k] == least:
+                    waits[k] = False
+                    heapq.heappush(ready, (cost[k], k))
+        if ready:
+            k = heapq.heappop(ready)[1]
+        else:
+            k, r = -1, 0
+            while k < 0 or not waits[k] or room[k] != r:
+                _, k, r = heapq.heappop(short)
+            waits[k] = False
+        take = min(n, room[k])
+        yield i, at, take, sequence + k, filled[k]
+        room[k] -= take
+        filled[k] += take
+        cost[k] += linear * take + quadratic * take * take
+        if room[k] >= n:
+            heapq.heappush(ready, (cost[k], k))
+        elif room[k]:
+            waits[k] = True
+            waiting[room[k]].append(k)
+            heapq.heappush(short, (cost[k], k, room[k]))
+        if n > take:
+            heapq.heappush(rest, (take - n, i, at + take))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, linear: float = 1.0, quadratic: float = 1 / 2048, block_tokens: int = 1 << 22) -> DataFrame:
