@@ -81,3 +81,9 @@ def test_oversize_partitions_are_split(spark):
     g = Graph(spark.createDataFrame(rows, src.NODE_SCHEMA), None)
     got = Counter((r.partition, r["sub"]) for r in agg.split_partitions(g, 10).collect())
     assert got == {("big", 0): 10, ("big", 1): 10, ("big", 2): 5, ("small", None): 10, ("__default__", 0): 10, ("__default__", 1): 2}
+
+
+def test_enrichment_reads_every_edge(spark):
+    got = Counter(r.relation for r in catalog.QUERIES["rel_02_all_enriched"](spark, SF).select("relation").collect())
+    want = Counter(r.relation for r in order_graph(spark, SF).edges.select("relation").collect())
+    assert got == want and set(got) == {"BELONGS_TO", "PLACES", "CONTAINS", "SUPPLIES"}

@@ -132,6 +132,11 @@ def _(g):
     return rel.enriched(Graph(g.nodes, rel.by_relation(g, "BELONGS_TO"))).select("from_id", "to_id", "from_name", "to_name", "to_node_type")
 
 
+@on_graph("rel_02_all_enriched", "SELECT from_id, to_id, relation, a.name AS from_name, b.name AS to_name, b.node_type AS to_node_type FROM g_edges JOIN g_nodes a ON from_id = a.id JOIN g_nodes b ON to_id = b.id")
+def _(g):
+    return rel.enriched(g).select("from_id", "to_id", "relation", "from_name", "to_name", "to_node_type")
+
+
 @on_graph("rel_03_neighbours", "SELECT id, count(*) AS n FROM (SELECT from_id AS id FROM g_edges UNION ALL SELECT to_id FROM g_edges) GROUP BY id")
 def _(g):
     return rel.neighbours(g).groupBy("id").agg(F.count("*").alias("n"))
