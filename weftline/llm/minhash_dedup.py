@@ -2,20 +2,25 @@
 
 A document's set is its distinct word shingles.  Band keys are made of full minima; of
 each minimum the signature retains ``bits`` low bits, packed.  Candidates come from equal band
-keys; the share of equal signature fields, corrected for the 2**-bits of them that
+keys; the share of equal signature fields, found by counting bits and corrected for the 2**-bits of them that
 collide by chance, must come near the threshold; what is left is confirmed on the full sets.
 
 With 30 bands of 5 rows two documents at similarity 0.8 miss each other with
 probability 7e-6, and those of 0.85 with 3e-8.
 
 Groups of copies are never paired out.  Equal sets are one class.  In a bucket every class is
-first compared with the least one; links join components; then only
-classes of a bucket that are still in different components meet, in blocks of bounded size, by
-their packed signatures.  So all links between components are looked for, and a bucket of n near copies costs n comparisons.
+first compared with the least one, its representative; links join components.  While a bucket has
+classes of different components, it takes up to ``pivots`` more representatives, of the components
+that are not its largest; all its classes are compared with them, and they leave it.
+A round costs each bucket twice as many rows as it has classes, whatever its size, and the rounds end
+when every bucket is of one component or empty, so all links between components are looked for.
+
+Classes are named by 64 bits of their hashes; 1e9 different sets have two with one name at a chance of 3 %.
 
 Defined cases: null text, or one without a word, has an empty set and links with nothing; a
 text with fewer words than a shingle is one shingle; a null doc_id links with nothing and is
-kept; rows with an equal doc_id are one node; an empty table gives an empty
+kept; rows with an equal doc_id are one node that has the links of all their texts (a row with an empty set
+stays apart); repeated rows get the same result; a very long text is one row of a batch like any other; an empty table gives an empty
 table; columns other than doc_id and text are ignored.
 """
 
@@ -28,6 +33,11 @@ from pyspark.sql import functions as F
 
 from . import shared as S
 
+#: Bits of a parity sketch.
+SKETCH = 4096
+#: Members of a bucket that meet its pivots in one part.
+PART = 8192
+
 
 def shingle_sets(data, off, lo, hi, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of rows lo..hi, and where each row begins, with an end mark."""
@@ -65,23 +75,26 @@ def minima(h: np.ndarray, mark: np.ndarray, perms: int, seed: int = 41) -> np.nd
 
 
 def pack_bits(low: np.ndarray, bits: int) -> np.ndarray:
-    """Rows of fields of ``bits`` bits as bytes."""
-    if bits == 8:
-        return low.astype(np.uint8)
-    spread = (low[:, :, None] >> np.arange(bits)) & 1
-    return np.packbits(spread.reshape(len(low), -1).astype(np.uint8), axis=1, bitorder="little")
-
-
-_COUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+    """Rows of fields of ``bits`` (1, 2, 4 or 8) bits as bytes; the last byte is filled up with zeros."""
+    per = 8 // bits
+    low = np.pad(low, ((0, 0), (0, -low.shape[1] % per))).astype(np.uint8).reshape(len(low), -1, per)
+    return np.bitwise_or.reduce(low << (np.arange(per, dtype=np.uint8) * np.uint8(bits)), axis=2)
 
 
 def equal_fields(x: np.ndarray, y: np.ndarray, perms: int, bits: int) -> np.ndarray:
-    """How many fields of packed signatures agree, by counting bits."""
+    """How many fields of packed signatures agree: each field's differences fold into its low bit, and those are counted."""
     diff = np.bitwise_xor(x, y)
-    if bits == 8:
-        return (diff == 0).sum(-1)
-    fields = np.unpackbits(diff, axis=-1, bitorder="little")[..., : perms * bits].reshape(*diff.shape[:-1], perms, bits)
-    return perms - _COUNT[np.packbits(fields, axis=-1)].any(-1).sum(-1)
+    step = 1
+    while step < bits:
+        diff |= diff >> np.uint8(step)
+        step *= 2
+    low = np.uint8(sum(1 << b for b in range(0, 8, bits)))
+    return perms - np.bitwise_count(diff & low).sum(-1, dtype=np.int64)
+
+
+def similarity(x: np.ndarray, y: np.ndarray, perms: int, bits: int) -> np.ndarray:
+    """Estimate from packed signatures, corrected for fields that are equal by chance."""
+    return (equal_fields(x, y, perms, bits) / perms - 2.0**-bits) / (1 - 2.0**-bits)
 
 
 def _signatures(size: int, bands: int, rows: int, bits: int):
@@ -100,7 +113,7 @@ def _signatures(size: int, bands: int, rows: int, bits: int):
             s1, s2 = ((x[mark[1:]] - x[mark[:-1]]).view(np.int64) for x in sums)
             sig = pack_bits(m & np.uint32((1 << bits) - 1), bits)
             yield {
-                "doc_id": t["doc_id"][lo:hi], "n": n.astype(np.int64), "s1": s1, "s2": s2,
+                "doc_id": t["doc_id"][lo:hi], "tkey": t["tkey"][lo:hi], "n": n.astype(np.int64), "s1": s1, "s2": s2,
                 "sig": pa.array([x.tobytes() if f else None for x, f in zip(sig, full)], pa.binary()),
                 "bands": S.list_array(key[full].ravel().view(np.int64), full * bands, pa.int64()),
             }
@@ -130,86 +143,95 @@ def _confirm(size: int, percent: int):
     return work
 
 
-def _meet(size: int, percent: int, perms: int, bits: int, least: float):
-    """Links between a bucket's members in different components.
+def _sketches(size: int):
+    """The size of each set and its parity sketch: one bit for each hash value's low bits, set if an odd number of elements has it."""
 
-    A pair is looked at in the first bucket that both have; those whose packed signatures come near enough are
-    confirmed on the full sets here, nearest first, unless links found before join them already.  So only links
-    that join components are written, never pairs.
+    def work(batch):
+        t = pa.Table.from_batches([batch])
+        data, off = S.text_bytes(t["text"])
+        for lo, hi in S.pieces(off):
+            h, mark = shingle_sets(data, off, lo, hi, size)
+            n = np.diff(mark)
+            row = np.repeat(np.arange(hi - lo), n)
+            bit, odd = np.unique(row * SKETCH + (h & S.U64(SKETCH - 1)).astype(np.int64), return_counts=True)
+            bits = np.zeros((hi - lo) * SKETCH, np.uint8)
+            bits[bit[odd % 2 == 1]] = 1
+            packed = np.packbits(bits.reshape(hi - lo, SKETCH), axis=1)
+            yield {"v": t["v"][lo:hi], "n": n, "sketch": pa.array([x.tobytes() for x in packed], pa.binary())}
+
+    return work
+
+
+def _against_pivots(percent: int, perms: int, bits: int, least: float, best: bool):
+    """Pairs of different components of a bucket's part, one of them a pivot, that may be links; ``best``: for a pivot the nearest of each component only.
+
+    Their packed signatures must come near.  The sketches' odd bits are no more than the elements that only one
+    of the two sets has, so a pair with more of them than a link may have is none.
     """
 
     def run(batches):
-        for t, edges in S.whole_groups(batches, ["key", "_i", "_j"]):
-            ids, comp, block, band = (t[c].to_numpy() for c in ("rep", "comp", "_b", "band"))
-            i_, j_ = t["_i"].to_numpy(), t["_j"].to_numpy()
-            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(ids), -1)
-            bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-            data, off = S.text_bytes(t["text"])
+        for t, edges in S.whole_groups(batches, ["key", "part"]):
+            v, comp, n = (t[c].to_numpy() for c in ("v", "comp", "n"))
+            pivot = t["pivot"].to_numpy()
+            sig, sketch = (np.frombuffer(b"".join(t[c].to_pylist()), np.uint8).reshape(len(v), -1) for c in ("sig", "sketch"))
+            sketch = sketch.view(np.uint64)
             found = []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                at = np.arange(a, b)
-                same = i_[a] == j_[a]
-                left, right = (at, at) if same else (at[block[a:b] == i_[a]], at[block[a:b] == j_[a]])
-                pairs, shares = [], []
-                for x in left.tolist():
-                    other = right[comp[right] != comp[x]]
-                    if same:
-                        other = other[other > x]
+                members = a + np.flatnonzero(pivot[a:b] == 0)
+                for p in (a + np.flatnonzero(pivot[a:b] == 1)).tolist():
+                    other = members[comp[members] != comp[p]]
+                    share = similarity(sig[p], sig[other], perms, bits)
+                    other, share = other[share >= least], share[share >= least]
+                    odd = np.bitwise_count(sketch[p] ^ sketch[other]).sum(-1, dtype=np.int64)
+                    ok = (100 + percent) * odd <= (100 - percent) * (n[p] + n[other])
+                    other, share = other[ok], share[ok]
+                    if best:
+                        o = np.lexsort((share, comp[other]))
+                        c = comp[other[o]]
+                        other = other[o[np.append(c[1:] != c[:-1], True)]] if len(o) else other
                     if len(other):
-                        share = (equal_fields(sig[x][None, :], sig[other], perms, bits) / perms - 2.0**-bits) / (1 - 2.0**-bits)
-                        near = share >= least
-                        near[near] = ~(bands[other[near], : band[a]] == bands[x, : band[a]]).any(1)
-                        pairs.append(np.stack([np.full(int(near.sum()), x), other[near]], 1))
-                        shares.append(share[near])
-                if not pairs:
-                    continue
-                pairs = np.concatenate(pairs)[np.argsort(-np.concatenate(shares), kind="stable")]
-                root: dict[int, int] = {}
-                sets: dict[int, np.ndarray] = {}
-
-                def top(c):
-                    while root.get(c, c) != c:
-                        c = root[c]
-                    return c
-
-                def own(x):
-                    if x not in sets:
-                        sets[x] = shingle_sets(data, off, x, x + 1, size)[0]
-                    return sets[x]
-
-                for x, y in pairs.tolist():
-                    p, q = top(int(comp[x])), top(int(comp[y]))
-                    if p != q:
-                        m = np.intersect1d(own(x), own(y), assume_unique=True).size
-                        if 100 * m >= percent * (len(own(x)) + len(own(y)) - m):
-                            root[max(p, q)] = min(p, q)
-                            found.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                        found.append(np.stack([np.minimum(v[p], v[other]), np.maximum(v[p], v[other])], 1))
             if found:
-                p = np.array(found, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+                x = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1]))], names=["a", "b"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, bits: int = 8, block: int = 1024) -> DataFrame:
+def _relabel(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links; only the components that they join are worked on."""
+    a, b = (comps.select(F.col("id").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
+    between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = S.components(between)
+    moved = comps.join(joined.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+    return S.materialize(moved.unionAll(joined.join(comps.select("id"), "id", "left_anti").select("id", "comp")), "components")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, bits: int = 4, pivots: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
+    if bits not in (1, 2, 4, 8):
+        raise ValueError("bits must be 1, 2, 4 or 8")
     perms = bands * rows
-    near = percent / 100 - 4 * (percent / 100 * (1 - percent / 100) / perms) ** 0.5  # four standard errors below
-    t = S.texts(docs)
-    signed = S.materialize(S.map_arrow(t, _signatures(size, bands, rows, bits), "doc_id long, n long, s1 long, s2 long, sig binary, bands array<long>"), "signatures")
-    real = signed.where("n > 0 and doc_id is not null")
-    classes = S.materialize(real.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = S.materialize(real.join(classes, ["s1", "s2", "n"]).where("doc_id = rep").select("rep", "sig", "bands"), "representatives")
-    flat = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    pivots = S.materialize(flat.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1"), "pivots")
-    stars = S.materialize(flat.join(pivots, "key").where("rep > a").select("a", F.col("rep").alias("b")).distinct(), "stars")
+    chance = percent / 100 + (1 - percent / 100) * 2.0**-bits  # that a field is equal
+    near = percent / 100 - 4 * (chance * (1 - chance) / perms) ** 0.5 / (1 - 2.0**-bits)  # four standard errors below
+    t = S.texts(docs).withColumn("tkey", F.xxhash64("text"))
+    signed = S.materialize(S.map_arrow(t, _signatures(size, bands, rows, bits), "doc_id long, tkey long, n long, s1 long, s2 long, sig binary, bands array<long>"), "signatures")
+    real = signed.where("n > 0 and doc_id is not null").withColumn("v", F.xxhash64("s1", "s2", "n"))
+    one = F.min_by(F.struct("doc_id", "tkey", "sig", "bands"), F.struct("doc_id", "tkey"))
+    reps = S.materialize(real.groupBy("v").agg(one.alias("x")).select("v", F.col("x.doc_id").alias("rep"), "x.tkey", "x.sig", "x.bands"), "representatives")
+    flat = reps.select("v", F.explode("bands").alias("key"))
+    stars = S.materialize(flat.groupBy("key").agg(F.min("v").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"), "stars")
+    shared = S.materialize(flat.join(stars, "key").where("v > a").select("key", "a", F.col("v").alias("b")), "buckets")
+    pairs = S.materialize(shared.select("a", "b").distinct(), "pairs")
     # only documents that share a bucket are looked at again
-    wanted = stars.select(F.col("a").alias("doc_id")).unionAll(stars.select(F.col("b").alias("doc_id"))).distinct()
-    own = S.materialize(t.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
+    wanted = pairs.select(F.col("a").alias("v")).unionAll(pairs.select(F.col("b").alias("v"))).distinct()
+    wanted = reps.join(wanted, "v", "left_semi").select("v", F.col("rep").alias("doc_id"), "tkey")
+    own = S.materialize(t.join(wanted, ["doc_id", "tkey"]).select("v", "text").dropDuplicates(["v"]), "candidates")
+    sigs = reps.select("v", "sig")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        a = own.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-        b = own.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+        a = own.select(F.col("v").alias("a"), F.col("text").alias("ta"))
+        b = own.select(F.col("v").alias("b"), F.col("text").alias("tb"))
         return S.materialize(S.map_arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb"), _confirm(size, percent), "a long, b long"), "links")
 
     def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -222,35 +244,60 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
         def work(batch):
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-            share = equal_fields(x, y, perms, bits) / perms
-            ok = pa.array((share - 2.0**-bits) / (1 - 2.0**-bits) >= near)
+            ok = pa.array(similarity(x, y, perms, bits) >= near)
             yield {"a": batch.column(0).filter(ok), "b": batch.column(1).filter(ok)}
 
-        sa, sb = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
+        sa, sb = (sigs.select(F.col("v").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
         return S.map_arrow(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb"), work, "a long, b long")
 
-    tried = S.materialize(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
-    links = confirmed(likely(tried))
-    comps = S.components(links)
-    more = S.materialize(likely(apart(stars.join(tried, ["a", "b"], "left_anti"), comps)), "tried")
-    new = confirmed(more)
-    if not new.isEmpty():
-        links = links.unionAll(new)
-        comps = S.components(links)
-    # members of a bucket that are in different components still, and of which neither is the bucket's least
-    labelled = flat.join(comps, F.col("rep") == F.col("id"), "left").select("key", "band", "rep", F.coalesce("comp", "rep").alias("comp"))
-    mixed = S.materialize(labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 < c1 and n > 2").select("key", "n"), "mixed")
-    if not mixed.isEmpty():
-        members = S.in_blocks(labelled, mixed, "key", "rep", block).join(reps, "rep").join(own.select(F.col("doc_id").alias("rep"), "text"), "rep")
-        S.ship(docs.sparkSession)
-        dealt = S.by_group(members.select("key", "_i", "_j", "_b", "band", "rep", "comp", "sig", "bands", "text"), ["key", "_i", "_j"])
-        new = S.materialize(dealt.mapInArrow(_meet(size, percent, perms, bits, near), "a long, b long"), "links")
-        if not new.isEmpty():
-            comps = S.components(links.unionAll(new))
-    S.drop_table(own)
-    of_class = S.materialize(classes.join(comps, F.col("rep") == F.col("id"), "left").select("s1", "s2", "n", F.coalesce("comp", "rep").alias("component_id")), "of_class")
-    out = signed.select("doc_id", "n", "s1", "s2").join(of_class, ["s1", "s2", "n"], "left")
-    comp = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    first = S.materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
+    comps = S.components(confirmed(likely(first)))
+    more = S.materialize(likely(apart(pairs.join(first, ["a", "b"], "left_anti"), comps)), "tried")
+    comps = _relabel(comps, confirmed(more))
+    # classes that have met the representative of their bucket, but not each other
+    label = lambda members, comps, *more: members.join(comps, F.col("v") == F.col("id"), "left").select("key", "v", F.coalesce("comp", "v").alias("comp"), *more)
+    open_, tried, sketches = shared.select("key", F.col("b").alias("v")), None, None
+    while True:
+        labelled = label(open_, comps)
+        mixed = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 < c1")
+        open_ = S.materialize(labelled.join(mixed.select("key", F.ceil(F.col("n") / PART).cast("long").alias("parts")), "key"), "open")
+        if open_.isEmpty():
+            break
+        if sketches is None:
+            sketches = own.join(open_.select("v").distinct(), "v", "left_semi").select("v", "text")
+            sketches = S.materialize(S.map_arrow(sketches, _sketches(size), "v long, n long, sketch binary").join(sigs, "v"), "sketches")
+        # the largest component of a bucket has no pivots; of the others, one for each slot
+        largest = open_.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"))
+        slot = F.pmod(F.xxhash64("v", "key"), F.lit(pivots))
+        chosen = open_.join(largest, "key").where("comp <> most").groupBy("key", "parts", slot.alias("slot")).agg(F.min("v").alias("v"))
+        chosen = S.materialize(chosen.select("key", "v", "parts"), "pivots")
+        # first the nearest of each component, which joins most of them, then all that are still apart
+        for best in (True, False):
+            members = label(open_.drop("comp"), comps, F.pmod(F.xxhash64("v"), F.col("parts")).alias("part"), F.lit(0).alias("pivot"))
+            leading = label(chosen, comps, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).withColumn("pivot", F.lit(1))
+            dealt = S.by_group(members.unionAll(leading).join(sketches, "v"), ["key", "part"])
+            S.ship(docs.sparkSession)
+            found = dealt.mapInArrow(_against_pivots(percent, perms, bits, near, best), "a long, b long").distinct()
+            found = S.materialize(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), "tried")
+            if found.isEmpty():
+                continue
+            tried = found if tried is None else tried.unionAll(found)
+            comps = _relabel(comps, confirmed(found))
+        left = S.materialize(open_.select("key", "v").join(chosen.select("key", "v"), ["key", "v"], "left_anti"), "open")
+        S.drop_table(chosen)
+        S.drop_table(open_)
+        open_ = left
+    for table in (own, shared, pairs, stars):
+        S.drop_table(table)
+    # a document with several rows ties their classes
+    of_row = real.select("doc_id", "v")
+    several = of_row.groupBy("doc_id").agg(F.min("v").alias("a"), F.max("v").alias("z")).where("a < z").select("doc_id", "a")
+    comps = _relabel(comps, of_row.join(several, "doc_id").select("a", F.col("v").alias("b")))
+    of_class = reps.select("v", "rep").join(comps, F.col("v") == F.col("id"), "left").select("v", "rep", F.coalesce("comp", "v").alias("comp"))
+    least = of_class.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    of_class = S.materialize(of_class.join(least, "comp").select("v", "component_id"), "of_class")
+    out = signed.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.xxhash64("s1", "s2", "n")).alias("v")).join(of_class, "v", "left")
+    comp = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
 
