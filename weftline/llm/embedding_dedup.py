@@ -4,18 +4,23 @@ A vector is scaled to length 1, filled up to a power of two and turned by
 random signs and a fast Hadamard transform, three times over.  The hash of a turn
 is the place and sign of the largest component, that is the nearest corner of the cross-polytope; a bucket is
 two such corners.  Each table also probes the buckets of the next nearest corners.
-Pairs that meet in a bucket are verified by their cosine in double precision.
+
+Buckets hold no vectors, only their names and 256 signs of turned components.  Two signs of vectors at an
+angle differ with a chance of angle / pi, so pairs of a bucket that differ in more signs than five standard errors above
+what the threshold allows (a chance of 3e-7 for a link) are none.  The others' components are groups; each vector then goes once to its
+group, where all pairs are verified by their cosine in double precision, which gives the links and their components.
 
 Equal vectors of a label are one class with a multiplicity, so copies are never paired with
-each other.  A pair is counted in the first bucket that it shares, so no pair
-is ever written out: a bucket gives each vector its number of links and hangs
-linked ones on one of them.  Buckets with more than ``block`` classes are split into
-pairs of blocks.
+each other.  No pair is ever written out: a group gives each vector its number of links and hangs
+linked ones on one of them.  Buckets and groups with more than ``block`` classes are split into
+pairs of blocks; counting the links of n vectors that are all near takes all their pairs once.
+
+Classes are named by 64 bits of a hash; 1e9 different vectors have two with one name at a chance of 3 %.
 
 Defined cases: a vector with null label, or that is null, zero, or has null or non-finite
 components, links with nothing; vectors of different lengths don't link; repeated rows count
-as vectors; a null vec_id counts for the others' links but can't be a component's id;
-an empty table gives an empty table; other columns are ignored.
+as vectors; a null vec_id counts for the others' links and may join them but can't be a component's id, and is not kept;
+components of double precision stay so; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,20 +44,26 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(d)
 
 
-def bucket_codes(x: np.ndarray, tables: int, probes: int, seed: int) -> np.ndarray:
-    """n x (tables * probes) bucket numbers of unit vectors, the own bucket of each table first."""
+#: Signs of turned components that stand for a vector in a bucket.
+SIGNS = 256
+
+
+def bucket_codes(x: np.ndarray, tables: int, probes: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """n x (tables * probes) bucket numbers of unit vectors, the own bucket of each table first, and packed signs."""
     n, d = x.shape
     full = 1 << max(1, (d - 1).bit_length())
     x = np.concatenate([x, np.zeros((n, full - d))], axis=1)
     r = np.random.default_rng(seed)
     out = np.zeros((n, tables, probes), np.int64)
-    rows = np.arange(n)
+    rows, signs = np.arange(n), []
     for t in range(tables):
         corner, second, loss = [], [], []
         for _ in range(2):
             y = x
             for _ in range(3):
                 y = hadamard(y * r.choice([-1.0, 1.0], full))
+            if len(signs) * full < SIGNS:
+                signs.append(y < 0)
             a = np.abs(y)
             top = np.argpartition(-a, min(3, full - 1), axis=1)[:, : min(3, full)]
             top = np.take_along_axis(top, np.argsort(-np.take_along_axis(a, top, 1), axis=1, kind="stable"), 1)
@@ -70,7 +81,9 @@ def bucket_codes(x: np.ndarray, tables: int, probes: int, seed: int) -> np.ndarr
         for p in range(1, probes):
             out[:, t, p] = options[rows, order[:, min(p - 1, options.shape[1] - 1)]]
         out[:, t] += t * m * m
-    return out.reshape(n, tables * probes)
+    signs = np.concatenate(signs, axis=1)[:, :SIGNS]  # short vectors have fewer with few tables
+    signs = np.pad(signs, ((0, 0), (0, SIGNS - signs.shape[1])))
+    return out.reshape(n, tables * probes), np.packbits(signs, axis=1)
 
 
 def _matrix(col, dims: int) -> np.ndarray:
@@ -78,121 +91,153 @@ def _matrix(col, dims: int) -> np.ndarray:
     return c.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)  # keeps squares finite
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
 def _codes(tables: int, probes: int, seed: int):
     def work(batch):
         t = pa.Table.from_batches([batch])
         dims = t["embedding"].combine_chunks().value_lengths().to_numpy()
         for d in np.unique(dims):
             part = t.filter(pa.array(dims == d))
-            x = _matrix(part["embedding"], d).astype(np.float64)
-            x /= np.abs(x).max(1, keepdims=True)  # keeps squares finite
-            codes = bucket_codes(x / np.sqrt((x * x).sum(1, keepdims=True)), tables, probes, seed)
-            yield {"class_id": part["class_id"], "label": part["label"], "m": part["m"], "embedding": part["embedding"], "codes": S.list_array(codes.ravel(), np.full(len(x), codes.shape[1]), pa.int64())}
+            codes, signs = bucket_codes(_unit(_matrix(part["embedding"], d)), tables, probes, seed)
+            yield {"cid": part["cid"], "label": part["label"], "codes": S.list_array(codes.ravel(), np.full(len(codes), codes.shape[1]), pa.int64()), "signs": pa.array([r.tobytes() for r in signs], pa.binary())}
 
     return work
 
 
-def _shared_before(cp: np.ndarray, cq: np.ndarray, code: int, probes: int) -> np.ndarray:
-    """Which pairs share a bucket with a smaller code than this one; codes ascend from table to table."""
-    out = np.zeros(len(cp), bool)
-    for s in range(0, cp.shape[1], probes):
-        left = np.flatnonzero(~out)
-        if not len(left) or int(cp[:, s : s + probes].min()) >= code:
-            break
-        p, q = cp[left, s : s + probes], cq[left, s : s + probes]
-        for c in range(probes):
-            out[left] |= (p[:, c : c + 1] == q).any(1) & (p[:, c] < code)
-    return out
+#: Buckets up to this size are compared all at once, and give their pairs.
+SMALL = 32
+
 
+def _sides(t: pa.Table, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the two sides of the pair of blocks in rows a..b."""
+    i, j = t["_i"][a].as_py(), t["_j"][a].as_py()
+    if i == j:
+        at = np.arange(a, b)
+        return at, at
+    block = t["_b"][a:b].to_numpy()
+    return a + np.flatnonzero(block == i), a + np.flatnonzero(block == j)
 
-def _links(threshold: float, probes: int):
-    """Of one pair of blocks of a bucket: partners (with copies) of each class, and a link that joins it to the others."""
+
+def _near(most: int):
+    """Of the pairs of blocks of buckets: links to a root for each class that comes near another by its signs."""
 
     def run(batches):
         for t, edges in S.whole_groups(batches, ["key", "_i", "_j"]):
-            ids, m, label = t["class_id"].to_numpy(), t["m"].to_numpy(), t["label"].to_numpy()
-            here, block = t["code"].to_numpy(), t["_b"].to_numpy()
-            i_, j_ = t["_i"].to_numpy(), t["_j"].to_numpy()
-            dims = t["embedding"].combine_chunks().value_lengths().to_numpy()
-            lists, codes = t["embedding"].combine_chunks(), t["codes"].combine_chunks()
-            width = int(codes.value_lengths().to_numpy()[0])
-            codes = codes.flatten().to_numpy().reshape(-1, width)
-            out: dict[str, list] = {"id": [], "n": [], "root": []}
+            n, size = t.num_rows, np.diff(edges)
+            cid, small = t["cid"].to_numpy(), np.repeat((size <= SMALL) & (t["_i"].to_numpy()[edges[:-1]] == t["_j"].to_numpy()[edges[:-1]]), size)
+            group = np.repeat(np.arange(len(size)), size)
+            signs = np.frombuffer(b"".join(t["signs"].to_pylist()), np.uint8).reshape(n, -1).view(np.uint64)
+            out = []
+            for gap in range(1, SMALL):
+                r = np.flatnonzero((group[:-gap] == group[gap:]) & small[:-gap]) if gap < n else np.zeros(0, np.int64)
+                if not len(r):
+                    break
+                r = r[np.bitwise_count(signs[r] ^ signs[r + gap]).sum(1, dtype=np.int64) <= most]
+                out.append((cid[r], cid[r + gap]))
+            for k in np.flatnonzero(~small[edges[:-1]]).tolist():
+                left, right = _sides(t, int(edges[k]), int(edges[k + 1]))
+                ok = np.zeros((len(left), len(right)), bool)
+                for s in range(0, len(left), 256):
+                    l = left[s : s + 256]
+                    differ = np.zeros((len(l), len(right)), np.int64)
+                    for w in range(signs.shape[1]):
+                        differ += np.bitwise_count(signs[l, w][:, None] ^ signs[right, w][None, :])
+                    ok[s : s + 256] = differ <= most
+                if left is right:
+                    np.fill_diagonal(ok, False)
+                if ok.any():
+                    base = int(edges[k])
+                    ids = cid[base : int(edges[k + 1])]
+                    out.append((ids, _local(ids, left - base, right - base, ok, left is right)))
+            ids, root = (np.concatenate(x) for x in zip(*out)) if out else (cid[:0], cid[:0])
+            far = ids != root
+            yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(root[far])], names=["id", "root"])
+
+    return run
+
+
+def _links(threshold: float):
+    """Of one pair of blocks of a group: partners (with copies) of each class, and a root that it is linked with."""
+
+    def run(batches):
+        for t, edges in S.whole_groups(batches, ["key", "_i", "_j"]):
+            ids, m, label = t["cid"].to_numpy(), t["m"].to_numpy(), t["label"].to_numpy()
+            lists = t["embedding"].combine_chunks()
+            dims = lists.value_lengths().to_numpy()
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                left, right = _sides(t, a, b)
                 for d in np.unique(dims[a:b]):
-                    at = a + np.flatnonzero(dims[a:b] == d)
-                    if len(at) < 2:
+                    p, q = left[dims[left] == d], right[dims[right] == d]
+                    if not len(p) or not len(q):
                         continue
-                    x = _matrix(lists.take(pa.array(at)), d).astype(np.float64)
-                    x /= np.abs(x).max(1, keepdims=True)
-                    x /= np.sqrt((x * x).sum(1, keepdims=True))
-                    if i_[a] == j_[a]:
-                        left = right = np.arange(len(at))
-                    else:
-                        left, right = np.flatnonzero(block[at] == i_[a]), np.flatnonzero(block[at] == j_[a])
-                    ok_all = np.zeros((len(left), len(right)), bool)
-                    for s in range(0, len(left), 256):
-                        l = left[s : s + 256]
-                        ok = (x[l] @ x[right].T >= threshold) & (label[at[l]][:, None] == label[at[right]][None, :])
-                        if left is right:
-                            ok &= l[:, None] != right[None, :]
-                        # a pair counts in the first bucket that both have
-                        where = np.argwhere(ok)
-                        for w in range(0, len(where), 1 << 16):
-                            p, q = where[w : w + (1 << 16)].T
-                            cp, cq = codes[at[l[p]]], codes[at[right[q]]]
-                            earlier = _shared_before(cp, cq, int(here[a]), probes)
-                            ok[p[earlier], q[earlier]] = False
-                        ok_all[s : s + 256] = ok
-                    if not ok_all.any():
+                    x, y = _unit(_matrix(lists.take(pa.array(p)), d)), _unit(_matrix(lists.take(pa.array(q)), d))
+                    ok = np.zeros((len(p), len(q)), bool)
+                    for s in range(0, len(p), 256):
+                        ok[s : s + 256] = (x[s : s + 256] @ y.T >= threshold) & (label[p[s : s + 256]][:, None] == label[q][None, :])
+                    if left is right:
+                        np.fill_diagonal(ok, False)
+                    if not ok.any():
                         continue
-                    _emit(out, ids[at], m[at], left, right, ok_all, left is right)
-            if out["id"]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[k]), pa.int64()) for k in ("id", "n", "root")], names=["id", "n", "root"])
+                    n = np.zeros(b - a, np.int64)
+                    np.add.at(n, p - a, ok @ m[q])
+                    if left is not right:
+                        np.add.at(n, q - a, m[p] @ ok)
+                    has = n > 0
+                    root = _local(ids[a:b], p - a, q - a, ok, left is right)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][has]), pa.array(n[has]), pa.array(root[has])], names=["id", "n", "root"])
 
     return run
 
 
-def _emit(out, ids, m, left, right, ok, same) -> None:
-    n = np.zeros(len(ids), np.int64)
-    np.add.at(n, left, (ok * m[right][None, :]).sum(1))
-    if not same:
-        np.add.at(n, right, (ok * m[left][:, None]).sum(0))
-    # local components: everybody takes the least id it is linked with, until nothing changes
+def _local(ids, left, right, ok, same) -> np.ndarray:
+    """For each class the least id of its component: everybody takes the least id it is linked with, until nothing changes."""
     root = ids.copy()
     while True:
-        seen = np.where(ok, root[right][None, :], np.iinfo(np.int64).max).min(1)
         new = root.copy()
-        np.minimum.at(new, left, seen)
+        np.minimum.at(new, left, np.where(ok, root[right][None, :], np.iinfo(np.int64).max).min(1))
         if not same:
             np.minimum.at(new, right, np.where(ok, new[left][:, None], np.iinfo(np.int64).max).min(0))
         if (new == root).all():
-            break
+            return root
         root = new
-    has = n > 0
-    out["id"].append(ids[has])
-    out["n"].append(n[has])
-    out["root"].append(root[has])
 
 
-def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, tables: int = 12, probes: int = 3, block: int = 1024, seed: int = 23) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, tables: int = 12, probes: int = 3, block: int = 2048, seed: int = 23) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding, label)."""
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    kind = "double" if vectors.schema["embedding"].dataType.simpleString() == "array<double>" else "float"
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"), F.col("label").cast("long").alias("label"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    good = v.where(usable).withColumn("k", F.xxhash64("label", "embedding"))
-    classes = S.materialize(good.groupBy("k", "label", "embedding").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("m")), "classes")
-    coded = S.materialize(S.map_arrow(classes.where("class_id is not null").select("class_id", "label", "m", "embedding"), _codes(tables, probes, seed), "class_id long, label long, m long, embedding array<float>, codes array<long>"), "coded")
-    flat = coded.select("*", F.explode(F.array_distinct("codes")).alias("code")).withColumn("key", F.xxhash64("label", "code"))
-    sizes = S.materialize(flat.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    good = v.where(usable).withColumn("cid", F.xxhash64("label", "embedding"))
+    classes = S.materialize(good.groupBy("cid", "label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("m")), "classes")
+    coded = S.materialize(S.map_arrow(classes.select("cid", "label", "embedding"), _codes(tables, probes, seed), "cid long, label long, codes array<long>, signs binary"), "coded")
     S.ship(vectors.sparkSession)
-    split = S.by_group(S.in_blocks(flat, sizes, "key", "class_id", block), ["key", "_i", "_j"])
-    found = S.materialize(split.mapInArrow(_links(threshold, probes), "id long, n long, root long"), "found")
+
+    def meet(members: DataFrame, key: str, work, schema: str, what: str) -> DataFrame:
+        sizes = members.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+        return S.materialize(S.by_group(S.in_blocks(members, sizes, key, "cid", block), [key, "_i", "_j"]).mapInArrow(work, schema), what)
+
+    angle = np.arccos(threshold) / np.pi
+    most = int(SIGNS * angle + 5 * (SIGNS * angle * (1 - angle)) ** 0.5)
+    flat = coded.select("cid", "label", "signs", F.explode(F.array_distinct("codes")).alias("code")).select(F.xxhash64("label", "code").alias("key"), "cid", "signs")
+    near = meet(flat, "key", _near(most), "id long, root long", "near")
+    groups = S.components(near.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    grouped = classes.join(groups.select(F.col("id").alias("cid"), F.col("comp").alias("key")), "cid").select("key", "cid", "label", "m", "embedding")
+    found = meet(grouped, "key", _links(threshold), "id long, n long, root long", "found")
+    for table in (coded, near):
+        S.drop_table(table)
     n = found.groupBy("id").agg(F.sum("n").alias("n"))
     comp = S.components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    of_class = classes.select("k", "label", "embedding", "class_id", "m").join(n, F.col("class_id") == n["id"], "left").drop("id").join(comp, F.col("class_id") == comp["id"], "left")
-    of_class = S.materialize(of_class.select("k", "label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("comp", "class_id").alias("component_id")), "of_class")
-    linked = good.join(of_class, ["k", "label", "embedding"]).select("vec_id", "n_links", "component_id")
+    of_class = classes.join(n, F.col("cid") == n["id"], "left").drop("id").join(comp, F.col("cid") == comp["id"], "left")
+    of_class = of_class.select("cid", "label", "embedding", "first", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("comp", "cid").alias("comp"))
+    least = of_class.groupBy("comp").agg(F.min("first").alias("component_id"))
+    of_class = S.materialize(of_class.join(least, "comp").select("cid", "label", "embedding", "n_links", "component_id"), "of_class")
+    linked = good.join(of_class, ["cid", "label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = v.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionAll(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
