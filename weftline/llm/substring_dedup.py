@@ -3,24 +3,23 @@
 A window is ``window`` consecutive words of one document.  A word goes if a
 window that covers it also starts in a document with a smaller doc_id.
 
-Levels.  Windows of ``gram`` words (about half the length) are looked at first;
-only places whose short windows all repeat in another document are extended
-to twice that length, cut at ``window``, and only those that repeat there
-decide.  Two things keep the levels small without changing a result:
-
-* the first level takes content-defined anchors only (grams that are least in
-  some window, see :func:`shared.anchors`): every window has one, and equal
-  windows have the same ones, so a window whose own anchor occurs in one
-  document alone can't repeat;
+Levels.  Grams of ``first`` words come first; then, level by level, those of twice as many, and at last the
+windows themselves (4, 8, 13).  A window is a candidate as long as its gram of every level so far occurs in two documents;
+only the grams of candidates are extended, and the loop ends early when no candidate survives.  Two things keep
+the levels small without changing a result:
+
+* of all grams of a window its least by hash is written, and on the next level the least of those of twice the length
+  that hold it and lie in the window.  Equal windows choose the same grams, so a window whose own gram
+  occurs in one document alone can't repeat;
 * long repeats are settled in large steps: a chunk reaches from one
   content-defined cut to the next one, plus ``window - 1`` words; if the whole chunk
-  also stands in a smaller document, so do all windows that start in it.
+  also stands in a smaller document, so do all windows that start in it, and they are no candidates any more.
 
-Windows and chunks are compared by two independent 64-bit hashes.
+Grams are compared by a 64-bit hash (a filter), windows and chunks by two independent ones.
 
-Defined cases: null text has no words; a text shorter than a window stays; a
+Defined cases: null text has no words; a text shorter than a window stays; a very long text is a piece of its own; a
 null doc_id stays whole and is nobody's source; rows with an equal doc_id don't
-remove each other's words; an empty table gives an empty table; columns other
+remove each other's words; repeated rows get the same result each; an empty table gives an empty table; columns other
 than doc_id and text are ignored.
 """
 
@@ -37,45 +36,93 @@ from . import shared as S
 CUT = 32
 
 
+def levels(first: int, window: int) -> list[int]:
+    """Lengths of grams: ``first``, doubled until they reach ``window``."""
+    out = [max(1, first)]
+    while out[-1] * 2 < window:
+        out.append(out[-1] * 2)
+    return [k for k in out if k < window] or [max(1, window - 1)]
+
+
 class _Piece:
-    """Words, hashes, anchors and chunks of some rows of a batch."""
+    """Words, hashes, candidates and chunks of some rows of a batch."""
 
-    def __init__(self, data, off, lo, hi, window: int, gram: int):
-        self.words = w = S.Words(data, off, lo, hi)
+    def __init__(self, data, off, lo, hi, window: int, sizes: list[int]):
+        w = S.Words(data, off, lo, hi)
         h = w.hashes()
         self.one, self.two = S.Rolling(h, 11), S.Rolling(h, 12)
-        self.window, self.gram = window, gram
-        self.first = w.first
-        grams = self.one.fixed(gram)
-        self.anchor = S.anchors(grams, w.first, gram, window)
-        self.anchor_hash = grams[self.anchor]
-        self.key = (grams >> S.U64(32)).astype(np.uint32)
-        row = np.searchsorted(w.first, self.anchor, side="right") - 1
-        self.anchor_row = row
-        # cuts at anchors' places would tie chunks to windows; any gram may be a cut
+        self.window, self.sizes, self.first, self.n = window, sizes, w.first, hi - lo
+        self.row = w.row_of()
+
+    def windows(self) -> np.ndarray:
+        """All places where a window of one row starts."""
+        s = np.arange(max(0, len(self.row) - self.window + 1))
+        return s[s + self.window <= self.first[self.row[s] + 1]]
+
+    def grams(self, s: np.ndarray, level: int) -> np.ndarray:
+        """The place of each window's gram of a level."""
+        k = self.sizes[0]
+        key = self.one.fixed(k) >> S.U64(32)
+        places = (key << S.U64(32)) | np.arange(len(key), dtype=np.uint64)
+        p = (S.sliding(places, self.window - k + 1, np.minimum)[s] & S.U64(0xFFFFFFFF)).astype(np.int64) if len(s) else s
+        for size in self.sizes[1 : level + 1]:
+            key = self.one.fixed(size) >> S.U64(32)
+            low, high = np.maximum(s, p + k - size), np.minimum(p, s + self.window - size)
+            p, least = low, key[low]
+            for more in range(1, size - k + 1):
+                q = np.minimum(low + more, high)
+                better = key[q] < least
+                p, least = np.where(better, q, p), np.where(better, key[q], least)
+            k = size
+        return p
+
+    def chunks(self) -> None:
+        grams = self.one.fixed(self.sizes[-1])
         cut = np.flatnonzero((grams & S.U64(CUT - 1)) == 0)
-        cut_row = np.searchsorted(w.first, cut, side="right") - 1
-        cut_ok = cut + gram <= w.first[cut_row + 1]
-        cut, cut_row = cut[cut_ok], cut_row[cut_ok]
-        a, b, r = cut[:-1], cut[1:], cut_row[:-1]
-        ok = (cut_row[1:] == r) & (b + window - 1 <= w.first[r + 1])
+        row = self.row[cut]
+        ok = cut + self.sizes[-1] <= self.first[row + 1]
+        cut, row = cut[ok], row[ok]
+        a, b, r = cut[:-1], cut[1:], row[:-1]
+        ok = (row[1:] == r) & (b + self.window - 1 <= self.first[r + 1])
         self.chunk_a, self.chunk_b, self.chunk_row = a[ok], b[ok], r[ok]
 
+    def numbered(self, row: np.ndarray, number: np.ndarray, hit: np.ndarray, hit_row: np.ndarray) -> np.ndarray:
+        """Which of the things that are numbered ``number`` in their ``row`` are among the hits."""
+        most = int(max(number.max(initial=0), hit.max(initial=0))) + 1
+        return np.isin(row * most + number, hit_row * most + hit)
+
+
+def _numbers(row: np.ndarray, n: int) -> np.ndarray:
+    """Of things in the order of their rows: the number of each in its row."""
+    begin = np.searchsorted(row, np.arange(n))
+    return np.arange(len(row)) - begin[row]
+
+
+def _runs(s: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending places as (begin, end) pairs, and the row of each pair's place."""
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1] + 1) | (row[1:] != row[:-1])
+    at = np.flatnonzero(new)
+    return np.stack([s[at], s[np.append(at[1:], len(s)) - 1] + 1], 1) if len(at) else np.zeros((0, 2), np.int64), row[at]
+
+
+def _first_level(window: int, sizes: list[int]):
+    """Grams of the first level of all windows, and after them the chunks."""
 
-def _grams(window: int, gram: int):
     def work(batch):
         t = pa.Table.from_batches([batch])
         data, off = S.text_bytes(t["text"])
         for lo, hi in S.pieces(off):
-            p = _Piece(data, off, lo, hi, window, gram)
-            n = hi - lo
+            p = _Piece(data, off, lo, hi, window, sizes)
+            p.chunks()
+            gram = np.unique(p.grams(p.windows(), 0))
             ends = p.chunk_b + window - 1
             c1, c2 = p.one.runs(p.chunk_a, ends), p.two.runs(p.chunk_a, ends)
-            row = np.concatenate([p.anchor_row, p.chunk_row])
-            order = np.argsort(row, kind="stable")  # of each row first its anchors, then its chunks
-            g1 = np.concatenate([p.anchor_hash, c1])[order].view(np.int64)
-            g2 = np.concatenate([np.zeros(len(p.anchor), np.uint64), c2 | S.U64(1)])[order].view(np.int64)
-            counts = np.bincount(row, minlength=n)
+            row = np.concatenate([p.row[gram], p.chunk_row])
+            order = np.argsort(row, kind="stable")  # of each row first its grams, then its chunks
+            g1 = np.concatenate([p.one.runs(gram, gram + sizes[0]), c1])[order].view(np.int64)
+            g2 = np.concatenate([np.zeros(len(gram), np.uint64), c2 | S.U64(1)])[order].view(np.int64)
+            counts = np.bincount(row, minlength=p.n)
             yield {"doc_id": t["doc_id"][lo:hi], "key": t["key"][lo:hi], "g1": S.list_array(g1, counts, pa.int64()), "g2": S.list_array(g2, counts, pa.int64())}
 
     return work
@@ -89,50 +136,49 @@ def _flat(col, lo: int, hi: int, first: np.ndarray | None = None) -> tuple[np.nd
     return c.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(hi - lo), counts)
 
 
-def _windows(window: int, gram: int):
-    """Of rows with hits (numbers of their anchors and chunks): what is decided, and the windows to compare."""
+def _next_level(window: int, sizes: list[int], level: int):
+    """Of rows with their candidates and hits of a level: the candidates that survive, and their grams of the next level (or they themselves)."""
 
     def work(batch):
         t = pa.Table.from_batches([batch])
         data, off = S.text_bytes(t["text"])
         for lo, hi in S.pieces(off):
-            p = _Piece(data, off, lo, hi, window, gram)
-            n, first, total = hi - lo, p.first, int(p.first[-1])
-            hit, row = _flat(t["hits"], lo, hi)
-            n_anchor = np.bincount(p.anchor_row, minlength=n)
-            n_chunk = np.bincount(p.chunk_row, minlength=n)
-            a0, c0 = np.concatenate([[0], np.cumsum(n_anchor)]), np.concatenate([[0], np.cumsum(n_chunk)])
-            is_anchor = hit < n_anchor[row]
-            alive = np.zeros(len(p.anchor), bool)
-            alive[a0[row[is_anchor]] + hit[is_anchor]] = True
-            chunk = np.unique(c0[row[~is_anchor]] + (hit - n_anchor[row])[~is_anchor])
-            decided = np.zeros(total + 1, np.int32)
-            np.add.at(decided, p.chunk_a[chunk], 1)
-            np.add.at(decided, p.chunk_b[chunk], -1)
-            decided = np.cumsum(decided)[:total] > 0
-            # a window survives if the anchor that it chose itself does
-            key = p.key
-            some = np.full(len(key), 0xFFFFFFFF, np.uint32)
-            some[p.anchor[alive]] = key[p.anchor[alive]]
-            if total >= window:
-                s = np.arange(total - window + 1)
-                r = np.repeat(np.arange(n), np.diff(first))[s]
-                own = S.sliding(some, window - gram + 1, np.minimum) == S.sliding(key, window - gram + 1, np.minimum)
-                ok = own & (s + window <= first[r + 1]) & ~decided[s]
-                s, r = s[ok], r[ok]
+            p = _Piece(data, off, lo, hi, window, sizes)
+            hit, hit_row = _flat(t["hits"], lo, hi)
+            if level == 0:
+                s = p.windows()
             else:
-                s = r = np.zeros(0, np.int64)
-            counts = np.bincount(r, minlength=n)
-            ca, cb, cr = p.chunk_a[chunk], p.chunk_b[chunk], p.chunk_row[chunk]
-            pairs = np.stack([ca - first[cr], cb - first[cr]], 1).ravel()
-            yield {
-                "doc_id": t["doc_id"][lo:hi],
-                "key": t["key"][lo:hi],
-                "decided": S.list_array(pairs, 2 * np.bincount(cr, minlength=n), pa.int32()),
-                "pos": S.list_array(s - first[r], counts, pa.int32()),
-                "h1": S.list_array(p.one.runs(s, s + window).view(np.int64), counts, pa.int64()),
-                "h2": S.list_array(p.two.runs(s, s + window).view(np.int64), counts, pa.int64()),
-            }
+                d, row = _flat(t["alive"], lo, hi)
+                a, size, r = d[::2], d[1::2] - d[::2], row[::2]
+                s = np.repeat(p.first[r] + a - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            g = p.grams(s, level)
+            gram, which = np.unique(g, return_inverse=True)
+            number = _numbers(p.row[gram], p.n)
+            s = s[p.numbered(p.row[gram], number, hit, hit_row)[which]]
+            out = {"doc_id": t["doc_id"][lo:hi], "key": t["key"][lo:hi]}
+            if level == 0:  # chunks are numbered after the grams
+                p.chunks()
+                before = np.bincount(p.row[gram], minlength=p.n)
+                found = p.numbered(p.chunk_row, _numbers(p.chunk_row, p.n) + before[p.chunk_row], hit, hit_row)
+                a, b, r = p.chunk_a[found], p.chunk_b[found], p.chunk_row[found]
+                settled = np.zeros(len(p.row) + 1, np.int32)
+                np.add.at(settled, a, 1)
+                np.add.at(settled, b, -1)
+                s = s[np.cumsum(settled)[s] == 0]
+                out["decided"] = S.list_array(np.stack([a - p.first[r], b - p.first[r]], 1).ravel(), 2 * np.bincount(r, minlength=p.n), pa.int32())
+            else:
+                out["decided"] = pa.nulls(p.n, pa.list_(pa.int32()))
+            runs, r = _runs(s, p.row[s])
+            out["alive"] = S.list_array((runs - p.first[r][:, None]).ravel(), 2 * np.bincount(r, minlength=p.n), pa.int32())
+            if level + 1 < len(sizes):
+                at = np.unique(p.grams(s, level + 1))
+                g1, g2 = p.one.runs(at, at + sizes[level + 1]), np.zeros(len(at), np.uint64)
+            else:
+                at = s
+                g1, g2 = p.one.runs(at, at + window), p.two.runs(at, at + window)
+            counts = np.bincount(p.row[at], minlength=p.n)
+            out |= {"g1": S.list_array(g1.view(np.int64), counts, pa.int64()), "g2": S.list_array(g2.view(np.int64), counts, pa.int64())}
+            yield out
 
     return work
 
@@ -149,7 +195,14 @@ def _remove(window: int, layout: str, carry=()):
             a, b, r = d[::2], d[1::2], row[::2]
             np.add.at(mark, first[r] + a, 1)
             np.add.at(mark, first[r] + b + window - 1, -1)
-            s, r = _flat(t["pos"], lo, hi)
+            d, row = _flat(t["alive"], lo, hi)
+            size, r = d[1::2] - d[::2], row[::2]
+            s = np.repeat(d[::2] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))  # candidates, of which the hits repeat
+            r = np.repeat(r, size)
+            hit, hit_row = _flat(t["hits"], lo, hi)
+            begin = np.searchsorted(r, np.arange(n))
+            at = begin[hit_row] + hit
+            s, r = s[np.unique(at)], r[np.unique(at)]
             np.add.at(mark, first[r] + s, 1)
             np.add.at(mark, first[r] + s + window, -1)
             gone = np.cumsum(mark)[:total] > 0
@@ -205,36 +258,53 @@ def _remove(window: int, layout: str, carry=()):
     return work
 
 
-def removed_windows(docs: DataFrame, window: int = 13, gram: int | None = None) -> DataFrame:
-    """doc_id, key (hash of the text), decided (begin, end, ... of window starts that chunks settle) and pos (other window starts that repeat)."""
-    gram = gram or max(1, (window + 1) // 2)
-    t = S.texts(docs).withColumn("key", F.xxhash64("text"))
-    g = S.materialize(S.map_arrow(t.where("doc_id is not null and text is not null"), _grams(window, gram), "doc_id long, key long, g1 array<long>, g2 array<long>"), "grams")
-    flat = g.select("doc_id", "key", F.posexplode(F.arrays_zip("g1", "g2")).alias("at", "g")).select("doc_id", "key", "at", F.col("g.g1").alias("h1"), F.col("g.g2").alias("h2"))
+GRAMS = "doc_id long, key long, g1 array<long>, g2 array<long>"
+STATE = "doc_id long, key long, decided array<int>, alive array<int>, g1 array<long>, g2 array<long>"
+
+
+def _repeated(grams: DataFrame, source_too) -> DataFrame:
+    """doc_id, key, hits: numbers of the grams that occur in two documents; where not ``source_too``, only in those after the first."""
+    flat = grams.select("doc_id", "key", F.posexplode(F.arrays_zip("g1", "g2")).alias("at", "g")).select("doc_id", "key", "at", F.col("g.g1").alias("h1"), F.col("g.g2").alias("h2"))
     again = S.materialize(flat.groupBy("h1", "h2").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 < d1").select("h1", "h2", "d0"), "repeated")
-    hits = flat.join(again, ["h1", "h2"]).where("h2 = 0 or d0 < doc_id").groupBy("doc_id", "key").agg(F.collect_list("at").alias("hits"))
-    hits = S.materialize(hits, "hits")
-    S.drop_table(g)
+    found = flat.join(again, ["h1", "h2"]).where(source_too | (F.col("d0") < F.col("doc_id")))
+    hits = S.materialize(found.groupBy("doc_id", "key").agg(F.collect_list("at").alias("hits")), "hits")
     S.drop_table(again)
-    w = t.join(hits, ["doc_id", "key"])
-    w = S.materialize(S.map_arrow(w.select("doc_id", "key", "text", "hits"), _windows(window, gram), "doc_id long, key long, decided array<int>, pos array<int>, h1 array<long>, h2 array<long>"), "windows")
-    S.drop_table(hits)
-    flat = w.select("doc_id", "key", F.explode(F.arrays_zip("pos", "h1", "h2")).alias("w")).select("doc_id", "key", "w.pos", "w.h1", "w.h2")
-    again = S.materialize(flat.groupBy("h1", "h2").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 < d1").select("h1", "h2", "d0"), "repeated")
-    found = flat.join(again, ["h1", "h2"]).where("d0 < doc_id").groupBy("doc_id", "key").agg(F.collect_list("pos").alias("pos"))
-    decided = w.where(F.size("decided") > 0).select("doc_id", "key", "decided")
-    return S.materialize(decided.join(found, ["doc_id", "key"], "full"), "removed")
+    return hits
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, gram: int | None = None, layout: str = "original", carry=()) -> DataFrame:
+def removed_windows(docs: DataFrame, window: int = 13, first: int = 4) -> DataFrame:
+    """doc_id, key (hash of the text), decided (begin, end, ... of window starts that chunks settle) and pos (begin, end, ... of other window starts that repeat)."""
+    sizes = levels(first, window)
+    t = S.texts(docs).withColumn("key", F.xxhash64("text"))
+    state = S.materialize(S.map_arrow(t.where("doc_id is not null and text is not null"), _first_level(window, sizes), GRAMS), "grams")
+    hits, decided = _repeated(state, F.col("h2") == 0), None
+    for level in range(len(sizes)):
+        rows = t.join(hits, ["doc_id", "key"])
+        if level:
+            # repeated rows have equal states, so any of them will do
+            rows = rows.join(state.groupBy("doc_id", "key").agg(F.first("alive").alias("alive")), ["doc_id", "key"])
+        last = level + 1 == len(sizes)
+        state = S.materialize(S.map_arrow(rows.select("doc_id", "key", "text", "hits", *(["alive"] if level else [])), _next_level(window, sizes, level), STATE), "windows" if last else "grams")
+        decided = state if decided is None else decided
+        S.drop_table(hits)
+        hits = _repeated(state, F.lit(not last))
+        if hits.isEmpty():  # no candidate survives
+            break
+    alive = state.groupBy("doc_id", "key").agg(F.first("alive").alias("alive"))
+    settled = decided.where(F.size("decided") > 0).groupBy("doc_id", "key").agg(F.first("decided").alias("decided"))
+    found = hits.join(alive, ["doc_id", "key"])
+    return S.materialize(settled.join(found, ["doc_id", "key"], "full"), "removed")
+
+
+def substring_dedup(docs: DataFrame, window: int = 13, first: int = 4, layout: str = "original", carry=()) -> DataFrame:
     """doc_id, n_words, n_removed, removed_spans (word numbers: begin, end, ...), kept_text.
 
     ``layout``: "original" keeps the white space after each kept word, "words" joins the kept words by one space.
     The columns of ``carry`` pass through.
     """
-    removed = removed_windows(docs, window, gram)
+    removed = removed_windows(docs, window, first)
     t = S.texts(docs, *carry).withColumn("key", F.xxhash64("text")).join(removed, ["doc_id", "key"], "left")
-    return S.map_arrow(t.select("doc_id", "text", "decided", "pos", *carry), _remove(window, layout, carry), "doc_id long, n_words long, n_removed long, removed_spans array<int>, kept_text string" + S.carried(docs, carry))
+    return S.map_arrow(t.select("doc_id", "text", "decided", "alive", "hits", *carry), _remove(window, layout, carry), "doc_id long, n_words long, n_removed long, removed_spans array<int>, kept_text string" + S.carried(docs, carry))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
