@@ -37,6 +37,19 @@ ROUNDS = ((16, 128), (32, 8))
 BUCKET_ROWS = 250_000
 
 
+#: A hit is a number << 32, SOURCE in the document that is a chunk's source, and how often it occurs, up to MOST.
+SOURCE, MOST = 1 << 31, (1 << 31) - 1
+
+
+def _number(row: np.ndarray, n: int) -> np.ndarray:
+    """Of things in the order of their rows: the number of each in its row."""
+    return np.arange(len(row)) - np.searchsorted(row, np.arange(n))[row]
+
+
+def _take(t: pa.Table, name: str, lo: int, row: np.ndarray) -> pa.Array:
+    return t[name].combine_chunks().take(pa.array(row + lo))
+
+
 class _Bytes:
     """Rolling hashes of the texts of some rows of a batch."""
 
@@ -82,14 +95,15 @@ class _Bytes:
         ok &= sums[b] - sums[a] == b - a
         self.chunk_a, self.chunk_b, self.chunk_row = a[ok], b[ok], r0[ok]
 
-    def lists(self):
+    def flat(self):
+        """Row, number in the row and both hashes of the anchors, and of the chunks, which are numbered after them."""
         ends = self.chunk_b + self.window - 1
         row = np.concatenate([self.anchor_row, self.chunk_row])
-        o = np.argsort(row, kind="stable")
-        g1 = np.concatenate([self.anchor_hash, self.one.runs(self.chunk_a, ends)])[o].view(np.int64)
-        g2 = np.concatenate([np.zeros(len(self.anchor), np.uint64), self.two(self.chunk_a, ends) | S.U64(1)])[o].view(np.int64)
-        counts = np.bincount(row, minlength=self.n)
-        return {"g1": S.list_array(g1, counts, pa.int64()), "g2": S.list_array(g2, counts, pa.int64())}
+        before = np.bincount(self.anchor_row, minlength=self.n)
+        at = np.concatenate([_number(self.anchor_row, self.n), _number(self.chunk_row, self.n) + before[self.chunk_row]])
+        h1 = np.concatenate([self.anchor_hash, self.one.runs(self.chunk_a, ends)]).view(np.int64)
+        h2 = np.concatenate([np.zeros(len(self.anchor), np.uint64), self.two(self.chunk_a, ends) | S.U64(1)]).view(np.int64)
+        return row, at, h1, h2
 
     def apply(self, hit, row):
         """What hits (number of an anchor or, after them, of a chunk of the row, and how often it occurs) leave alive, and the chunks that they settle.
@@ -97,7 +111,8 @@ class _Bytes:
         Where a document is the source of a chunk, a window inside is alive only if its own anchor occurs more
         often than the chunk: else nobody has that window without having, and being settled by, the chunk.
         """
-        hit, times, row = hit[::2], hit[1::2], row[::2]
+        times = (hit & MOST) * np.where(hit & SOURCE, -1, 1)
+        hit = hit >> 32
         na, nc = np.bincount(self.anchor_row, minlength=self.n), np.bincount(self.chunk_row, minlength=self.n)
         a0, c0 = np.concatenate([[0], np.cumsum(na)]), np.concatenate([[0], np.cumsum(nc)])
         is_anchor = hit < na[row]
@@ -136,7 +151,7 @@ class _Bytes:
                     break
                 near[wrong] = follows[np.minimum(near[wrong] + 1, len(self.key) - 1)]
             ok = (near < np.minimum(w + self.width, len(self.key))) & (self.key[np.minimum(near, len(self.key) - 1)] == least[w])
-            ok[ok] = often[near[ok]] == inside[w[ok]]
+            ok[ok] = (often[near[ok]] == inside[w[ok]]) & (inside[w[ok]] < MOST)
             own[w[ok]] = False
         return own, self.chunk_a[chunk], self.chunk_b[chunk], self.chunk_row[chunk]
 
@@ -146,17 +161,6 @@ class _Bytes:
         np.add.at(out, b, -1)
         return np.cumsum(out)[: self.total] > 0
 
-    def pairs(self, a, b, r):
-        o = np.argsort(r, kind="stable")
-        a, b, r = a[o], b[o], r[o]
-        return S.list_array(np.stack([a - self.first[r], b - self.first[r]], 1).ravel(), 2 * np.bincount(r, minlength=self.n), pa.int32())
-
-
-def _absolute(b: _Bytes, col, lo, hi):
-    """Begins, ends and rows of (begin, end) lists."""
-    d, row = _flat(col, lo, hi)
-    return b.first[row[::2]] + d[::2], b.first[row[::2]] + d[1::2], row[::2]
-
 
 def _round_one(window: int):
     def work(batch):
@@ -165,7 +169,8 @@ def _round_one(window: int):
         for lo, hi in S.pieces(off):
             b = _Bytes(data, off, lo, hi, window)
             b.grams(0, b.whole())
-            yield {"doc_id": t["doc_id"][lo:hi], "key": t["key"][lo:hi], **b.lists()}
+            row, at, h1, h2 = b.flat()
+            yield {"doc_id": _take(t, "doc_id", lo, row), "key": _take(t, "key", lo, row), "at": at, "h1": h1, "h2": h2}
 
     return work
 
@@ -180,7 +185,8 @@ def _round_two(window: int):
             b.grams(0, whole)
             own, ca, cb, cr = b.apply(*_flat(t["hits"], lo, hi))
             b.grams(1, whole & own & ~b.settled(ca, cb))
-            yield {"doc_id": t["doc_id"][lo:hi], "key": t["key"][lo:hi], "settled": b.pairs(ca, cb, cr), **b.lists()}
+            row, at, h1, h2 = b.flat()
+            yield {"doc_id": _take(t, "doc_id", lo, row), "key": _take(t, "key", lo, row), "at": at, "h1": h1, "h2": h2}
 
     return work
 
@@ -207,24 +213,54 @@ def _round_three(window: int):
             raw = np.zeros((len(at), words * 8), np.uint8)
             raw[:, :window] = padded[at[:, None] + np.arange(window)] if len(at) else 0
             lead = (raw.view(">u8").astype(np.uint64) ^ S.U64(1 << 63)).view(np.int64)
-            counts = np.bincount(row, minlength=b.n)
+            one = _absolute_pairs(b, np.concatenate([ca, da]), np.concatenate([cb, db]), np.concatenate([cr, dr]))
+            row = np.concatenate([row, one[2]])
+            n = len(one[0])
             yield {
-                "doc_id": t["doc_id"][lo:hi], "key": t["key"][lo:hi],
-                "settled": b.pairs(np.concatenate([ca, da]), np.concatenate([cb, db]), np.concatenate([cr, dr])),
-                "pos": S.list_array(at - b.first[row], counts, pa.int32()),
-                **{f"w{i}": S.list_array(np.ascontiguousarray(lead[:, i]), counts, pa.int64()) for i in range(words)},
+                "doc_id": _take(t, "doc_id", lo, row), "key": _take(t, "key", lo, row),
+                "pos": np.concatenate([at - b.first[row[: len(at)]], one[0]]), "until": np.concatenate([np.zeros(len(at), np.int64), one[1]]),
+                **{f"w{i}": np.concatenate([lead[:, i], np.zeros(n, np.int64)]) for i in range(words)},
             }
 
     return work
 
 
-def multikey_sort(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _absolute_pairs(b: _Bytes, begin, end, row):
+    """Begin and end in their rows, and the rows, of settled places."""
+    return begin - b.first[row], end - b.first[row], row
+
+
+def multikey_quicksort(columns: list[np.ndarray], cutoff: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """Order of rows by all columns, and which differ from the row before.
 
-    Multikey quicksort with whole numbers for characters: rows are split by the first, and only runs
-    of equals go on to the next one.
+    Rows are split in three by a pivot of the first column: the lower and the higher ones are split again by that
+    column, the equal ones by the next.  What is left of up to ``cutoff`` rows is sorted at once.
     """
     n = len(columns[0])
+    order, new = np.arange(n), np.zeros(n, bool)
+    todo = [(0, n, 0)] if n else []
+    while todo:
+        lo, hi, depth = todo.pop()
+        new[lo] = True
+        part = order[lo:hi]
+        if hi - lo == 1 or depth == len(columns):
+            continue
+        if hi - lo <= cutoff:
+            o, fresh = _sorted_runs([c[part] for c in columns[depth:]])
+            order[lo:hi], new[lo:hi] = part[o], fresh
+            continue
+        v = columns[depth][part]
+        pivot = np.partition(v[:: max(1, len(v) // 64)], 32)[32]
+        low, high = v < pivot, v > pivot
+        a, z = lo + int(low.sum()), hi - int(high.sum())
+        order[lo:hi] = np.concatenate([part[low], part[~(low | high)], part[high]])
+        todo += [x for x in ((lo, a, depth), (a, z, depth + 1), (z, hi, depth)) if x[0] < x[1]]
+    return order, new
+
+
+def _sorted_runs(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for few rows: runs of equals go on to the next column."""
+    n = len(columns[0])
     order = np.argsort(columns[0], kind="stable")
     v = columns[0][order]
     new = np.ones(n, bool)
@@ -245,7 +281,7 @@ def multikey_sort(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sort_bucket(words: int):
-    """Of one bucket: the least document of each suffix's run; one more row, with at < 0, tells its first and last run."""
+    """Of one bucket: the least document of each suffix's run; one more row, with pos < 0, tells its first and last run."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -256,40 +292,39 @@ def _sort_bucket(words: int):
         t = pa.concat_tables(held).combine_chunks()
         doc = t["doc_id"].to_numpy()
         cols = [t[f"w{i}"].to_numpy() for i in range(words)]
-        order, new = multikey_sort(cols)
+        order, new = multikey_quicksort(cols)
         run_of = np.cumsum(new) - 1
         least = np.minimum.reduceat(doc[order], np.flatnonzero(new))
         first, last = (np.stack(cols, 1)[order[i]].astype("<i8").tobytes() for i in (0, -1))
-        n, bucket = t.num_rows, TaskContext.get().partitionId()
-        part = np.zeros(n, np.int8)  # 1: in the first run, which may begin in a bucket before
-        part[run_of == 0] = 1
+        bucket = TaskContext.get().partitionId()
+        in_first = run_of == 0  # may begin in a bucket before
         low = least[run_of]
-        keep = (low < doc[order]) | (part == 1)
+        keep = (low < doc[order]) | in_first
         o = order[keep]
         yield pa.RecordBatch.from_arrays(
             [
-                t["doc_id"].combine_chunks().take(pa.array(o)), t["key"].combine_chunks().take(pa.array(o)), t["pos"].combine_chunks().take(pa.array(o)),
-                pa.array(low[keep]), pa.array(part[keep].astype(np.int32)), pa.array(np.full(len(o), bucket, np.int32)),
-                pa.nulls(len(o), pa.binary()), pa.nulls(len(o), pa.binary()), pa.nulls(len(o), pa.int64()),
+                *(t[c].combine_chunks().take(pa.array(o)) for c in ("doc_id", "key", "pos")),
+                pa.array(low[keep]), pa.array(np.where(in_first[keep], bucket, -1).astype(np.int32)), pa.nulls(len(o), pa.binary()), pa.nulls(len(o), pa.binary()), pa.nulls(len(o), pa.int64()),
             ],
             names=BUCKET_NAMES,
         )
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([-1], pa.int32()), pa.array([int(least[0])], pa.int64()), pa.array([int(new.sum() == 1)], pa.int32()), pa.array([bucket], pa.int32()), pa.array([first], pa.binary()), pa.array([last], pa.binary()), pa.array([int(least[-1])], pa.int64())], names=BUCKET_NAMES)
+        edge = [0, 0, -1, int(least[0]), bucket, first, last, int(least[-1])]
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(edge, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64()))], names=BUCKET_NAMES)
 
     return run
 
 
-BUCKET = "doc_id long, key long, pos int, least long, part int, bucket int, first binary, last binary, last_least long"
+BUCKET = "doc_id long, key long, pos long, least long, bucket int, first binary, last binary, last_least long"
 BUCKET_NAMES = [x.split()[0] for x in BUCKET.split(", ")]
+FLAT = "doc_id long, key long, at long, h1 long, h2 long"
 
 
-def _repeated(table: DataFrame) -> DataFrame:
-    flat = table.select("doc_id", "key", F.posexplode(F.arrays_zip("g1", "g2")).alias("at", "g")).select("doc_id", "key", "at", F.col("g.g1").alias("h1"), F.col("g.g2").alias("h2"))
+def _repeated(flat: DataFrame) -> DataFrame:
     again = S.materialize(flat.groupBy("h1", "h2").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.count("*").alias("n")).where("d0 < d1").select("h1", "h2", "d0", "n"), "repeated")
-    # a chunk's number is negative in the document that is its source
-    n = F.when((F.col("h2") != 0) & (F.col("d0") == F.col("doc_id")), -F.col("n")).otherwise(F.col("n"))
-    found = flat.join(again, ["h1", "h2"]).select("doc_id", "key", F.col("at").cast("long"), n.alias("n"))
-    hits = S.materialize(found.groupBy("doc_id", "key").agg(F.flatten(F.collect_list(F.array("at", "n"))).alias("hits")), "hits")
+    source = F.when((F.col("h2") != 0) & (F.col("d0") == F.col("doc_id")), F.lit(SOURCE)).otherwise(F.lit(0))
+    hit = F.shiftleft("at", 32).bitwiseOR(source).bitwiseOR(F.least("n", F.lit(MOST)))
+    found = flat.join(again, ["h1", "h2"]).select("doc_id", "key", hit.alias("hit"))
+    hits = S.materialize(found.groupBy("doc_id", "key").agg(F.collect_list("hit").alias("hits")), "hits")
     S.drop_table(again)
     return hits
 
@@ -300,38 +335,31 @@ def repeated_suffixes(docs: DataFrame, window: int = 50) -> DataFrame:
     if window < max(k for k, _ in ROUNDS) + 2:
         raise ValueError("window is too short for the anchors")
     t = S.texts(docs).withColumn("key", F.xxhash64("text"))
-    one = S.materialize(S.map_arrow(t.where("doc_id is not null and text is not null"), _round_one(window), "doc_id long, key long, g1 array<long>, g2 array<long>"), "anchors")
+    one = S.materialize(S.map_arrow(t.where("doc_id is not null and text is not null"), _round_one(window), FLAT), "anchors")
     hits = _repeated(one)
     S.drop_table(one)
-    two = S.materialize(S.map_arrow(t.join(hits, ["doc_id", "key"]).select("doc_id", "key", "text", "hits"), _round_two(window), "doc_id long, key long, settled array<int>, g1 array<long>, g2 array<long>"), "anchors")
+    two = S.materialize(S.map_arrow(t.join(hits, ["doc_id", "key"]).select("doc_id", "key", "text", "hits"), _round_two(window), FLAT), "anchors")
     hits2 = _repeated(two).withColumnRenamed("hits", "hits2")
     S.drop_table(two)
-    both = hits.join(hits2, ["doc_id", "key"], "left")
-    lists = ", ".join(f"w{i} array<long>" for i in range(words))
-    three = S.materialize(S.map_arrow(t.join(both, ["doc_id", "key"]).select("doc_id", "key", "text", "hits", "hits2"), _round_three(window), f"doc_id long, key long, settled array<int>, pos array<int>, {lists}"), "suffixes")
+    tokens = [f"w{i}" for i in range(words)]
+    rows = t.join(hits, ["doc_id", "key"]).join(hits2, ["doc_id", "key"], "left").select("doc_id", "key", "text", "hits", "hits2")
+    three = S.materialize(S.map_arrow(rows, _round_three(window), "doc_id long, key long, pos long, until long, " + ", ".join(f"{w} long" for w in tokens)), "suffixes")
     S.drop_table(hits)
     S.drop_table(hits2)
-    names = ["pos", *(f"w{i}" for i in range(words))]
-    flat = three.select("doc_id", "key", F.explode(F.arrays_zip(*names)).alias("s")).select("doc_id", "key", *(f"s.{x}" for x in names))
-    n = three.agg(F.sum(F.size("pos"))).first()[0] or 0
-    S.ship(docs.sparkSession)
-    buckets = flat.repartitionByRange(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET_ROWS)), *(f"w{i}" for i in range(words)), "doc_id")
+    flat = three.where("until = 0").select("doc_id", "key", "pos", *tokens)
+    spark = docs.sparkSession
+    S.ship(spark)
+    buckets = flat.repartitionByRange(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-flat.count() // BUCKET_ROWS)), *tokens, "doc_id")
     sorted_ = S.materialize(buckets.mapInArrow(_sort_bucket(words), BUCKET), "buckets")
-    # across boundaries: a run that goes on takes its least document along; two strings and numbers of each bucket
-    carry, last, low = {}, None, None
-    for r in sorted_.where("pos < 0").select("bucket", "first", "last", "least", "last_least", "part").orderBy("bucket").toLocalIterator():
-        if last is not None and bytes(r.first) == last:
-            carry[r.bucket] = low
-        one_run = bool(r.part)
-        low = min(low, r.last_least) if one_run and r.bucket in carry else r.last_least
-        last = bytes(r.last)
-    rows = sorted_.where("pos >= 0")
-    if carry:
-        known = docs.sparkSession.createDataFrame(list(carry.items()), "bucket int, from_before long")
-        rows = rows.join(known, "bucket", "left").withColumn("least", F.when(F.col("part") == 1, F.least("least", "from_before")).otherwise(F.col("least")))
-    found = rows.where("least < doc_id").groupBy("doc_id", "key").agg(F.collect_list("pos").alias("pos"))
-    settled = three.where(F.size("settled") > 0).select("doc_id", "key", "settled")
-    return S.materialize(settled.join(found, ["doc_id", "key"], "full"), "removed")
+    # across boundaries: a bucket's first run goes on from those whose last run is of the same string
+    edges, rows = sorted_.where("pos < 0"), sorted_.where("pos >= 0")
+    ends = edges.groupBy(F.col("last").alias("first")).agg(F.min("last_least").alias("before"))
+    ends = edges.select("bucket", "first").join(ends, "first").select("bucket", "before")
+    first = rows.where("bucket >= 0").join(ends, "bucket", "left").where("least < doc_id or before < doc_id")
+    found = rows.where("bucket < 0 and least < doc_id").select("doc_id", "key", "pos").unionAll(first.select("doc_id", "key", "pos"))
+    places = found.select("*", F.lit(0).cast("long").alias("until")).unionAll(three.where("until > 0").select("doc_id", "key", "pos", "until"))
+    gathered = places.groupBy("doc_id", "key").agg(F.collect_list(F.when(F.col("until") == 0, F.col("pos"))).alias("pos"), F.collect_list(F.when(F.col("until") > 0, F.shiftleft("pos", 32).bitwiseOR(F.col("until")))).alias("settled"))
+    return S.materialize(gathered, "removed")
 
 
 def _cut(window: int):
@@ -343,8 +371,8 @@ def _cut(window: int):
             n, total = hi - lo, len(part)
             mark = np.zeros(total + 1, np.int32)
             d, row = _flat(t["settled"], lo, hi)
-            np.add.at(mark, first[row[::2]] + d[::2], 1)
-            np.add.at(mark, first[row[::2]] + d[1::2] + window - 1, -1)
+            np.add.at(mark, first[row] + (d >> 32), 1)
+            np.add.at(mark, first[row] + (d & 0xFFFFFFFF) + window - 1, -1)
             s, row = _flat(t["pos"], lo, hi)
             np.add.at(mark, first[row] + s, 1)
             np.add.at(mark, first[row] + s + window, -1)
