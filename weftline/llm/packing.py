@@ -13,17 +13,19 @@ the whole, it is cut at the room of the cheapest, and what is left takes its pla
 Tokenizing.  The tokenizer splits at white space, and most words further into runs of
 letters, single digits and runs of other signs, so the ids of a text are those of its units one
 after the other.  Each distinct unit of a piece of a batch is looked up in a bounded cache.  Units
-that are missing are encoded in joined chunks, which the marks at unit ends take apart again.  Words
+that are missing are encoded in joined chunks, which the marks at unit ends take apart again.  Tokenizers with
+other settings are refused.  Words
 whose units this simple rule does not give (see ``_odd_words``) are encoded whole.
 
 Defined cases: a null or empty text is one token (``end_id``); a null doc_id is
-packed like any other; repeated rows are packed each; an empty table gives no
+packed like any other; repeated rows are packed each; a very long text fills sequences of its own; an empty table gives no
 piece; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,6 +45,15 @@ TASK_BITS = 40
 CLASS = np.zeros(256, np.uint8)
 CLASS[48:58] = 1
 CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 2
+#: The settings of the tokenizers that the rules below were written for.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -73,6 +84,9 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tok, self.end_id, self.most, self.chunk = Tokenizer.from_file(path), end_id, most, chunk
+        parts = json.loads(self.tok.to_str())
+        if (parts["normalizer"], parts["pre_tokenizer"], parts["model"].get("end_of_word_suffix")) != (NORMALIZER, SPLITTER, "</w>"):
+            raise ValueError("only tokenizers that lower-case, split words as _odd_words and CLASS tell, and mark word ends")
         self.batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         vocabulary = self.tok.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)

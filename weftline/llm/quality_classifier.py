@@ -120,12 +120,12 @@ def logits(x: np.ndarray, net: dict) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_fit: int = 8000, buckets: int = 1 << 14, dims: int = 48, nonzero: int = 4, reach: int = 2, parts: int = 8) -> Model:
-    """Fit on documents whose doc_id has a label; ``max_fit`` bounds how many."""
+    """Fit on documents whose doc_id has a label; ``max_fit`` bounds how many, and of rows with an equal doc_id the least text serves."""
     from .language_id import bounded_sample
 
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     chosen = S.materialize(bounded_sample(known, max_fit).repartition(1), "chosen")  # max_fit rows at most
-    sample = S.materialize(S.texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").repartition(parts), "sample")
+    sample = S.materialize(S.texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y").repartition(parts), "sample")
     place, sign = index_vectors(buckets, dims, nonzero)
 
     def neighbours(batches):

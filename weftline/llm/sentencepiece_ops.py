@@ -11,7 +11,8 @@ A bounded cache of segments serves later batches.  Results equal the library's f
 it is (no normalization but the space mark, with a dummy prefix); others are refused.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; a literal space mark (U+2581) decodes
-to a space, as in the library; a null doc_id is kept; an empty table gives an empty table; other columns are ignored.
+to a space, as in the library; a null doc_id is kept; repeated rows get the same result each; a very long text is a block of its own,
+with any number of different characters; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -76,11 +77,13 @@ class Model:
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Order of all suffixes by their first ``depth`` or more characters, by doubling; ``text`` has numbers below 2**16."""
+    """Order of all suffixes by their first ``depth`` or more characters, by doubling; ``text`` has numbers from 1 below 2**32."""
     n = len(text)
     padded = np.concatenate([text.astype(np.uint64), np.zeros(4, np.uint64)])
-    key = padded[:n] << S.U64(48) | padded[1 : n + 1] << S.U64(32) | padded[2 : n + 2] << S.U64(16) | padded[3 : n + 3]
-    have = 4
+    have = 4 if n and text.max() < 1 << 16 else 2  # as many characters as a number of 64 bits holds
+    key = padded[:n]
+    for i in range(1, have):
+        key = key << S.U64(64 // have) | padded[i : n + i]
     while True:
         order = np.argsort(key)
         if have >= depth:
@@ -118,8 +121,6 @@ def occurrences(text: np.ndarray, order: np.ndarray, pieces: np.ndarray, length:
 def edge_table(text: np.ndarray, model: Model) -> np.ndarray:
     """len(text) x longest: number of the piece that begins at a place and has a length, or -1."""
     letters, dense = np.unique(text, return_inverse=True)
-    if len(letters) >= 1 << 16:
-        raise ValueError("too many different characters in a block")
     at = np.searchsorted(letters, model.chars)
     known = (at < len(letters)) & (letters[np.minimum(at, len(letters) - 1)] == model.chars)
     usable = np.flatnonzero((known | (np.arange(model.longest) >= model.length[:, None])).all(1))
