@@ -10,9 +10,9 @@ probability 7e-6, and those of 0.85 with 3e-8.
 
 Groups of copies are never paired out.  Equal sets are one class.  In a bucket every class is
 first compared with the least one, its representative; links join components.  While a bucket has
-classes of different components, it takes up to ``pivots`` more representatives, of the components
-that are not its largest; all its classes are compared with them, and they leave it.
-A round costs each bucket twice as many rows as it has classes, whatever its size, and the rounds end
+classes of different components, it takes more representatives, of the components
+that are not its largest (all if the bucket has up to ``PART`` classes, else up to ``pivots``); all its classes are compared with them, and they leave it.
+A round costs each bucket at most twice as many rows as it has classes, whatever its size, and the rounds end
 when every bucket is of one component or empty, so all links between components are looked for.
 
 Classes are named by 64 bits of their hashes; 1e9 different sets have two with one name at a chance of 3 %.
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,7 +164,9 @@ def _sketches(size: int):
 
 
 def _against_pivots(percent: int, perms: int, bits: int, least: float, best: bool):
-    """Pairs of different components of a bucket's part, one of them a pivot, that may be links; ``best``: for a pivot the nearest of each component only.
+    """Pairs of different components of a bucket's part, one of them a pivot, that may be links.
+
+    ``best``: of a pivot's candidates only the nearest of each component, with key and pivot where others were held back.
 
     Their packed signatures must come near.  The sketches' odd bits are no more than the elements that only one
     of the two sets has, so a pair with more of them than a link may have is none.
@@ -185,15 +188,19 @@ def _against_pivots(percent: int, perms: int, bits: int, least: float, best: boo
                     odd = np.bitwise_count(sketch[p] ^ sketch[other]).sum(-1, dtype=np.int64)
                     ok = (100 + percent) * odd <= (100 - percent) * (n[p] + n[other])
                     other, share = other[ok], share[ok]
-                    if best:
+                    all_ = len(other)
+                    if best and all_:
                         o = np.lexsort((share, comp[other]))
                         c = comp[other[o]]
-                        other = other[o[np.append(c[1:] != c[:-1], True)]] if len(o) else other
+                        other = other[o[np.append(c[1:] != c[:-1], True)]]
                     if len(other):
-                        found.append(np.stack([np.minimum(v[p], v[other]), np.maximum(v[p], v[other])], 1))
+                        low, high = np.minimum(v[p], v[other]), np.maximum(v[p], v[other])
+                        found.append(np.stack([low, high, *np.broadcast_arrays(t["key"][a].as_py(), v[p], int(all_ > len(other)), low)[:3]], 1))
             if found:
-                x = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1]))], names=["a", "b"])
+                x = np.concatenate(found)
+                none = pa.array(x[:, 4] == 0)
+                key, pivot_of = (pa.compute.if_else(none, None, pa.array(np.ascontiguousarray(x[:, i]))) for i in (2, 3))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1])), key, pivot_of], names=["a", "b", "key", "pivot"])
 
     return run
 
@@ -266,23 +273,29 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         if sketches is None:
             sketches = own.join(open_.select("v").distinct(), "v", "left_semi").select("v", "text")
             sketches = S.materialize(S.map_arrow(sketches, _sketches(size), "v long, n long, sketch binary").join(sigs, "v"), "sketches")
-        # the largest component of a bucket has no pivots; of the others, one for each slot
+        # the largest component of a bucket has no pivots; of the others, all in buckets of one part, else one for each slot
         largest = open_.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"))
-        slot = F.pmod(F.xxhash64("v", "key"), F.lit(pivots))
+        slot = F.when(F.col("parts") == 1, F.col("v")).otherwise(F.pmod(F.xxhash64("v", "key"), F.lit(pivots)))
         chosen = open_.join(largest, "key").where("comp <> most").groupBy("key", "parts", slot.alias("slot")).agg(F.min("v").alias("v"))
         chosen = S.materialize(chosen.select("key", "v", "parts"), "pivots")
-        # first the nearest of each component, which joins most of them, then all that are still apart
+        # first the nearest of each component, which joins most of them; then, of pivots that held others back, all that are still apart
+        members, leading = open_.drop("comp"), chosen
         for best in (True, False):
-            members = label(open_.drop("comp"), comps, F.pmod(F.xxhash64("v"), F.col("parts")).alias("part"), F.lit(0).alias("pivot"))
-            leading = label(chosen, comps, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).withColumn("pivot", F.lit(1))
-            dealt = S.by_group(members.unionAll(leading).join(sketches, "v"), ["key", "part"])
+            both = label(members, comps, F.pmod(F.xxhash64("v"), F.col("parts")).alias("part"), F.lit(0).alias("pivot"))
+            both = both.unionAll(label(leading, comps, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).withColumn("pivot", F.lit(1)))
             S.ship(docs.sparkSession)
-            found = dealt.mapInArrow(_against_pivots(percent, perms, bits, near, best), "a long, b long").distinct()
+            dealt = S.by_group(both.join(sketches, "v"), ["key", "part"])
+            near_ones = S.materialize(dealt.mapInArrow(_against_pivots(percent, perms, bits, near, best), "a long, b long, key long, pivot long"), "near")
+            found = near_ones.select("a", "b").distinct()
             found = S.materialize(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), "tried")
-            if found.isEmpty():
-                continue
-            tried = found if tried is None else tried.unionAll(found)
-            comps = _relabel(comps, confirmed(found))
+            if not found.isEmpty():
+                tried = found if tried is None else tried.unionAll(found)
+                comps = _relabel(comps, confirmed(found))
+            more = near_ones.where("key is not null").select("key", F.col("pivot").alias("v")).distinct()
+            if not best or more.isEmpty():
+                break
+            leading = chosen.join(more, ["key", "v"], "left_semi")
+            members = members.join(more.select("key").distinct(), "key", "left_semi")
         left = S.materialize(open_.select("key", "v").join(chosen.select("key", "v"), ["key", "v"], "left_anti"), "open")
         S.drop_table(chosen)
         S.drop_table(open_)
