@@ -92,7 +92,7 @@ def _(spark, d):
     return p.where(F.col("path").startswith("/") & (F.length("path") >= 2) & ~F.col("path").rlike("placeholder|example"))
 
 
-@query("fil_13_keywords", "SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM benchmark) WHERE w NOT IN ('the','and','for','with','that','this','from','are','was','not') GROUP BY w")
+@query("fil_13_keywords", "SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM benchmark) WHERE w NOT IN (" + ", ".join(f"'{w}'" for w in fn.STOP_WORDS) + ") GROUP BY w")
 def _(spark, d):
     w = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), 1)).alias("w"))
     return w.where(~F.col("w").isin(*fn.STOP_WORDS)).groupBy("w").agg(F.count("*").alias("n"))
@@ -469,9 +469,9 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", fn.first_lines(F.col("text"), 2).alias("head"))
 
 
-@query("fun_15_method", "SELECT event_id, CASE WHEN regexp_matches(event_type, 'purchase|signup') THEN 'POST' ELSE 'GET' END AS method FROM events")
+@query("fun_15_method", "SELECT event_id, CASE WHEN regexp_matches(x, 'create|register|add|post') THEN 'POST' WHEN regexp_matches(x, 'update|edit|put|modify') THEN 'PUT' WHEN regexp_matches(x, 'delete|remove') THEN 'DELETE' WHEN regexp_matches(x, 'patch') THEN 'PATCH' ELSE 'GET' END AS method FROM (SELECT event_id, ['create_', 'edit_', 'remove_', 'patch_', 'list_'][event_id % 5 + 1] || event_type AS x FROM events)")
 def _(spark, d):
-    return table(spark, d, "events").select("event_id", fn.http_method(F.col("event_type")).alias("method"))
+    return table(spark, d, "events").select("event_id", fn.http_method(F.concat(F.element_at(F.array(*map(F.lit, ("create_", "edit_", "remove_", "patch_", "list_"))), (F.col("event_id") % 5 + 1).cast("int")), "event_type")).alias("method"))
 
 
 @on_graph("fun_17_tier", "SELECT id, CASE WHEN node_type IN ('REGION', 'NATION') THEN 'Reference' WHEN node_type IN ('CUSTOMER', 'SUPPLIER') THEN 'Party' WHEN node_type = 'PART' THEN 'Catalogue' ELSE 'Transaction' END AS tier, CASE WHEN regexp_matches(lower(name), 'customer') THEN 'Confidential' WHEN regexp_matches(lower(name), 'order|supplier') THEN 'Internal' ELSE 'Public' END AS sensitivity FROM g_nodes")
@@ -479,12 +479,12 @@ def _(g):
     return g.nodes.select("id", fn.tier(F.col("node_type")).alias("tier"), fn.sensitivity(F.col("name")).alias("sensitivity"))
 
 
-@query("fun_26_signals", "SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda w: w NOT IN ('the','and','for','with','that','this','from','are','was','not')))), ' ') AS signals FROM benchmark")
+@query("fun_26_signals", "SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in fn.STOP_WORDS) + ")))), ' ') AS signals FROM benchmark")
 def _(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(fn.signals(F.col("text")), " ").alias("signals"))
 
 
-@query("fun_27_tokens", r"SELECT doc_id, CAST(floor(len(regexp_extract_all(text, '[^ \t\n\r\f\v]+')) * 1.3) + floor(len(regexp_extract_all(text, '[{}()\[\];:,.<>/\\|!@#$%^&*=+~-]')) * 0.3) AS BIGINT) AS tokens FROM documents")
+@query("fun_27_tokens", r"SELECT doc_id, CAST(floor(len(regexp_extract_all(text, '[^ \t\n\r\f\v]+')) * 1.3) + floor(len(regexp_extract_all(text, '[{}\[\]()=<>:;,./\\|@#$%^&*~`]')) * 0.3) AS BIGINT) AS tokens FROM documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", fn.estimate_tokens(F.col("text")).cast("long").alias("tokens"))
 

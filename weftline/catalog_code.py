@@ -41,7 +41,7 @@ def _(f):
     return code.statements(f)
 
 
-USES_SQL = ", u AS (SELECT DISTINCT path, relation, table_name FROM (" + " UNION ALL ".join(f"SELECT path, '{r}' AS relation, unnest(regexp_extract_all(lower(text), '{p}', 1)) AS table_name FROM f" for r, p in code.TABLE_USES.items()) + "))"
+USES_SQL = ", u AS (SELECT DISTINCT path, relation, table_name FROM (" + " UNION ALL ".join(f"SELECT path, '{r}' AS relation, unnest(regexp_extract_all(lower(text), '{p}', 1)) AS table_name FROM f" for r, p in code.TABLE_USES.items()) + ") WHERE table_name NOT IN (" + ", ".join(f"'{w}'" for w in code.NOT_TABLES) + "))"
 
 
 @on_files("rel_10_sql_lineage", USES_SQL + " SELECT * FROM u")
@@ -109,9 +109,9 @@ def _(f):
     return code.matches(f, r"'(/[\w/{}-]+)'", "url")
 
 
-@on_files("src_17_sniffed_sql", "SELECT path, regexp_matches(substr(text, 1, 4096), '(?i)\\b(create\\s+table|insert\\s+into|select\\s.+\\sfrom)\\b') AS is_sql FROM f")
+@on_files("src_17_sniffed_sql", "SELECT path, regexp_matches(substr(text, 1, 4096), '(?i)\\b(?:CREATE\\s+(?:DEFINER|OR\\s+REPLACE|PROCEDURE|FUNCTION)|BEGIN|DELIMITER|INSERT\\s+INTO)\\b') AS is_sql FROM f")
 def _(f):
-    return f.select("path", F.substring("text", 1, 4096).rlike(r"(?i)\b(create\s+table|insert\s+into|select\s.+\sfrom)\b").alias("is_sql"))
+    return f.select("path", F.substring("text", 1, 4096).rlike(r"(?i)\b(?:CREATE\s+(?:DEFINER|OR\s+REPLACE|PROCEDURE|FUNCTION)|BEGIN|DELIMITER|INSERT\s+INTO)\b").alias("is_sql"))
 
 
 @on_files("doc_08_injected", "SELECT path, string_agg(line, chr(10) ORDER BY line_no, kind) AS text FROM (SELECT path, line_no, 1 AS kind, line FROM l UNION ALL SELECT path, 1, 0, '# ' || path FROM f) GROUP BY path", lines=True)

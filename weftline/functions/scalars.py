@@ -6,9 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters that code counts as special in the token estimate.
-SPECIAL = r"[{}()\[\];:,.<>/\\|!@#$%^&*=+~-]"
-#: Words of three letters or more that carry no signal.
-STOP_WORDS = ["the", "and", "for", "with", "that", "this", "from", "are", "was", "not"]
+SPECIAL = r"[{}\[\]()=<>:;,./\\|@#$%^&*~`]"
+# Words of three letters or more that carry no signal.
+STOP_WORDS = (
+    "the and for with this that from are was were has have been not but all can had her his its may new now old see way who"
+    " did get let say she too use which each other into some than them then these such only also"
+).split()
 
 
 def slug(c: Column) -> Column:
@@ -63,7 +66,8 @@ def first_lines(c: Column, n: int) -> Column:
 
 def http_method(c: Column) -> Column:
     """By the first keyword that a name has."""
-    rules = [("POST", "create|add|insert|purchase|signup"), ("PUT", "update|edit|save"), ("DELETE", "delete|remove"), ("PATCH", "patch")]
+    # Keywords of each method, in order.
+    rules = [("POST", "create|register|add|post"), ("PUT", "update|edit|put|modify"), ("DELETE", "delete|remove"), ("PATCH", "patch")]
     c, out = F.lower(c), None
     for method, words in rules:
         out = F.when(c.rlike(words), method) if out is None else out.when(c.rlike(words), method)

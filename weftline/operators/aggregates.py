@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.graph import Graph
-from .relational import enriched, orphans, with_integrity
+from ..session import written
+from .relational import enriched, with_integrity
 
 
 def degrees(g: Graph) -> DataFrame:
     """id, in_degree, out_degree of every node."""
-    ends = g.edges.select(F.col("from_id").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionAll(g.edges.select(F.col("to_id"), F.lit(0), F.lit(1)))
+    out, in_ = (F.struct(F.col(c).alias("id"), F.lit(o).alias("o"), F.lit(1 - o).alias("i")) for c, o in (("from_id", 1), ("to_id", 0)))
+    ends = g.edges.select(F.explode(F.array(out, in_)).alias("e")).select("e.*")  # both ends in one pass
     d = ends.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
     return g.nodes.select("id").join(d, "id", "left").select("id", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.coalesce("out_degree", F.lit(0)).alias("out_degree"))
 
@@ -46,9 +48,9 @@ def degree_histogram(g: Graph) -> DataFrame:
 
 def optimised(g: Graph) -> Graph:
     """Without orphans, doubled edges and blank texts."""
-    e = with_integrity(g.nodes, g.edges)
-    lone = orphans(Graph(g.nodes, e))
-    n = g.nodes.join(lone.select("id"), "id", "left_anti").withColumn("name", F.nullif(F.trim(F.substring("name", 1, 200)), F.lit("")))
+    e = written(with_integrity(g.nodes, g.edges), "edges")
+    used = e.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+    n = g.nodes.join(used, "id", "left_semi").withColumn("name", F.nullif(F.trim(F.substring("name", 1, 200)), F.lit("")))
     return Graph(n, e)
 
 

@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.graph import Graph
+from ..session import written as cut
 from .relational import neighbours
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that a loop's plan doesn't grow and lost executors cost nothing."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{tempfile.gettempdir()}/weftline-shared"
-    path = f"{base.rstrip('/')}/loop-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def k_hop(g: Graph, seeds: DataFrame, hops: int, direction: str = "both") -> DataFrame:
     """seed, id, hop: nodes within ``hops`` of each seed (column id), without the seed, at their least hop."""
     step = cut(neighbours(g, direction).distinct())
@@ -38,15 +24,17 @@ def k_hop(g: Graph, seeds: DataFrame, hops: int, direction: str = "both") -> Dat
     return reached.where("hop > 0")
 
 
-def closure(edges: DataFrame, most: int = 30) -> DataFrame:
-    """a, b: all pairs with a path from a to b, by doubling of path lengths."""
-    paths = cut(edges.select("a", "b").distinct())
-    for _ in range(most):
-        n = paths.count()
-        more = paths.select("a", F.col("b").alias("m")).join(paths.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
-        paths = cut(paths.unionByName(more).distinct())
-        if paths.count() == n:
-            return paths
+def closure(edges: DataFrame) -> DataFrame:
+    """a, b: all pairs with a path from a to b, to the fix-point.
+
+    A round joins only the pairs found in the round before, first with the steps and then with all pairs so far, which doubles
+    the lengths that are known.
+    """
+    paths = new = cut(edges.select("a", "b").distinct())
+    while not new.isEmpty():
+        more = new.select("a", F.col("b").alias("m")).join(paths.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
+        new = cut(more.distinct().join(paths, ["a", "b"], "left_anti"))
+        paths = paths.unionAll(new)
     return paths
 
 

@@ -94,8 +94,9 @@ def as_of_next(left: DataFrame, right: DataFrame, key: str, at: str, ident: str)
         right.select(key, at, F.lit(None).cast("long").alias("left_id"), F.col(ident).alias("right_id"), F.col(at).alias("right_at"))
     )
     # at equal times a row of ``right`` counts as before, so that it is later only when strictly later
-    w = Window.partitionBy(key).orderBy(F.col(at), F.col("right_id").isNull(), "right_id", "left_id").rowsBetween(1, Window.unboundedFollowing)
-    found = marked.withColumn("next_id", F.first("right_id", ignorenulls=True).over(w)).withColumn("next_at", F.first("right_at", ignorenulls=True).over(w))
+    # latest first, so that the frame only grows and each row is looked at once
+    w = Window.partitionBy(key).orderBy(F.col(at).desc(), F.col("right_id").isNull().desc(), F.col("right_id").desc(), F.col("left_id").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    found = marked.withColumn("next_id", F.last("right_id", ignorenulls=True).over(w)).withColumn("next_at", F.last("right_at", ignorenulls=True).over(w))
     return found.where("left_id is not null").select("left_id", key, at, "next_id", "next_at")
 
 

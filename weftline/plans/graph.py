@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 @dataclass(frozen=True)
 class Graph:
@@ -24,7 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_WRITTEN: dict[tuple[str, str], Graph] = {}
+
+
 def order_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph of the order tables, written once per application, so that its joins and counts are not planned anew for each use."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        g = planned_graph(spark, sf_dir)
+        _WRITTEN[key] = Graph(written(g.nodes, "nodes"), written(g.edges, "edges"))
+    return _WRITTEN[key]
+
+
+def planned_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Regions, nations, customers, suppliers, parts and orders, with the links that their keys tell."""
     t = lambda name: table(spark, sf_dir, name)
     null = F.lit(None).cast("string")

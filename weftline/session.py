@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "weftline", **conf: str) -> SparkSession:
@@ -42,3 +43,17 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root.parent))
     sc.addPyFile(name)
     sc._weftline_shipped = True
+
+
+def written(df: DataFrame, what: str = "loop") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, so that a loop's plan doesn't grow and lost executors cost nothing."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/weftline-shared"
+    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

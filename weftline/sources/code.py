@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.scalars import statement_kind
 
 #: What a keyword before a table's name does with it.
-TABLE_USES = {"QUERIES_TABLE": r"(?i)\b(?:from|join)\s+([a-z_]\w*)", "WRITES_TABLE": r"(?i)\b(?:into|update)\s+([a-z_]\w*)", "CREATES_TABLE": r"(?i)\bcreate\s+(?:table|view)\s+([a-z_]\w*)"}
+TABLE_USES = {"QUERIES_TABLE": r"(?i)\b(?:from|join)\s+([a-z_]\w*)", "WRITES_TABLE": r"(?i)\b(?:into|update)\s+([a-z_]\w*)", "CREATES_TABLE": r"(?i)\bcreate\s+(?:table|view)\s+(?:if\s+not\s+exists\s+)?([a-z_]\w*)"}
+# Words after such a keyword that are no tables.
+NOT_TABLES = (
+    "select where and or not in on as set all distinct group order by having limit offset union except intersect case when then else end null exists count sum avg"
+    " max min coalesce current_date current_timestamp interval primary key unique index constraint default references if with values into true false is like between"
+).split()
 DEFINED = r"(?:class|def|function|interface)\s+([A-Za-z_]\w*)"
 
 
@@ -34,7 +39,7 @@ def statements(files: DataFrame, most: int = 200) -> DataFrame:
 def table_uses(files: DataFrame) -> DataFrame:
     """path, table_name (lower case) and relation; the files are read once."""
     found = [_found(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(p), 1)), "table_name", r) for r, p in TABLE_USES.items()]
-    return files.select("path", F.explode(F.concat(*found)).alias("u")).select("path", "u.table_name", "u.relation")
+    return files.select("path", F.explode(F.concat(*found)).alias("u")).select("path", "u.table_name", "u.relation").where(~F.col("table_name").isin(*NOT_TABLES))
 
 
 def table_index(uses: DataFrame) -> DataFrame:
