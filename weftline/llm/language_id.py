@@ -9,7 +9,7 @@ matrix by a gather and a segmented sum.
 
 Defined cases: ``und`` with score 0 for a null text, a text without a letter, or when no
 language was learned; equal scores go to the language first in the alphabet;
-an empty table gives an empty table; columns other than doc_id, text and lang are ignored.
+repeated rows get the same result each; a very long text is a piece of its own; an empty table gives an empty table; columns other than doc_id, text and lang are ignored.
 """
 
 from __future__ import annotations

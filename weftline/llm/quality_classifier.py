@@ -69,12 +69,14 @@ def features(b: np.ndarray, mark: np.ndarray, vectors: np.ndarray, seen: np.ndar
     out = np.zeros((n, d + 5))
     counts = np.diff(mark)
     full = np.flatnonzero(counts)
+    place = np.arange(len(b)) - np.repeat(mark[:-1], counts)
     if len(full):
         out[full, :d] = np.add.reduceat(vectors[b], mark[:-1][full], axis=0, dtype=np.float64) / counts[full, None]
         out[full, d + 1] = np.add.reduceat((~seen[b]).astype(np.float64), mark[:-1][full]) / counts[full]
         for k in (1, 2):  # tokens that repeat the one before, or the one before that
             same = np.zeros(len(b))
             same[k:] = b[k:] == b[:-k]
+            same[place < k] = 0.0  # not across the edge of a row
             out[full, d + 2 + k] = np.add.reduceat(same, mark[:-1][full]) / counts[full]
     out[:, d] = np.sqrt((out[:, :d] ** 2).sum(1))
     out[:, d + 2] = np.log1p(counts)

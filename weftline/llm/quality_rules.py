@@ -9,7 +9,8 @@ Everything of a document is worked out inside its row, so the texts are never
 shuffled; the one aggregate is of one row of sums per language.
 
 Defined cases: null text has no words; a null lang, or a language with fewer than
-``min_reference`` documents, is compared with the sum over all languages; an
+``min_reference`` documents, is compared with the sum over all languages; repeated rows get the same result each and count in the sums
+as often as they occur; a very long text stays in its row; an
 empty table gives an empty table; columns other than doc_id, text and lang are ignored.
 """
 

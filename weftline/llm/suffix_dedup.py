@@ -250,7 +250,8 @@ def multikey_quicksort(columns: list[np.ndarray], cutoff: int = 4096) -> tuple[n
             order[lo:hi], new[lo:hi] = part[o], fresh
             continue
         v = columns[depth][part]
-        pivot = np.partition(v[:: max(1, len(v) // 64)], 32)[32]
+        some = v[:: max(1, len(v) // 64)]
+        pivot = np.partition(some, len(some) // 2)[len(some) // 2]
         low, high = v < pivot, v > pivot
         a, z = lo + int(low.sum()), hi - int(high.sum())
         order[lo:hi] = np.concatenate([part[low], part[~(low | high)], part[high]])
