@@ -10,12 +10,16 @@ lie inside long repeats, so two rounds leave few to sort:
   ``window - 1`` bytes after it that also stands in a smaller document settles all suffixes that start in it, and
   where its source has suffixes that nobody holds without the chunk, they are dropped.
 
+The texts are written once in blocks of about ``BLOCK_BYTES``.  A block asks for each of its hashes once, with its least
+document and its count, so a hash that all documents have costs one entry a block.  The questions of a block to one part of
+the hashes, and the answers, are packed in one binary value; numpy sorts them.
+
 The suffixes that are left are range-partitioned by their leading tokens (eight bytes each, as numbers in byte order, then
 doc_id, so that no bucket holds more than its share of a frequent string) at sampled splitters.  Each bucket
 sorts its suffixes by multikey quicksort and compares neighbours; a run of equal suffixes that goes on from the bucket
-before takes its least document from there.
+before takes its least document from there.  The driver sees ``SAMPLES`` suffixes a bucket, to choose the splitters.
 
-Anchors are compared by 48 bits of a hash (a filter), chunks by two 64-bit hashes, suffixes by their bytes.
+Anchors are compared by a 64-bit hash (a filter), chunks by two, suffixes by their bytes.
 
 Defined cases: null text is empty; a text shorter than the window stays; a null doc_id stays whole and is nobody's
 source; rows with an equal doc_id don't remove each other's bytes; an empty table gives an empty table; columns
@@ -26,36 +30,76 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared as S
-from .substring_dedup import _flat
 
 #: Of each round: bytes of an anchor, and one place in so many is a cut.
 ROUNDS = ((16, 128), (32, 8))
-BUCKET_ROWS = 250_000
+BLOCK_BYTES, PART_BYTES = 1 << 23, 1 << 24
+BUCKET_ROWS, SAMPLES, SAMPLED = 250_000, 64, 1 / 256
+
+# columns of packed values
+ASKED = ("<u8", "<u8", "<i8", "<u4", "u1")  # both hashes, least document, how often, whether in several documents
+FOUND = ("<u8", "<u8", "<i8", "<i8")  # both hashes, least document and how often, over all blocks
+SETTLED = ("<i8", "<i8", "<i8")  # row of the block, begin, end
+PLACES = ("<u4", "<i8")  # row of the block, place
+NONE = np.zeros(0, np.int64)
+
+
+def _pack(*columns) -> bytes:
+    return b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
 
 
-#: A hit is a number << 32, SOURCE in the document that is a chunk's source, and how often it occurs, up to MOST.
-SOURCE, MOST = 1 << 31, (1 << 31) - 1
+def _unpack(values, kinds) -> list[np.ndarray]:
+    """The columns of all packed values, one after the other."""
+    width, out = sum(np.dtype(k).itemsize for k in kinds), [[np.zeros(0, k)] for k in kinds]
+    for v in values:
+        at, n = 0, len(v) // width
+        for k, to in zip(kinds, out):
+            to.append(np.frombuffer(v, k, n, at))
+            at += n * np.dtype(k).itemsize
+    return [np.concatenate(x) for x in out]
 
 
-def _number(row: np.ndarray, n: int) -> np.ndarray:
-    """Of things in the order of their rows: the number of each in its row."""
-    return np.arange(len(row)) - np.searchsorted(row, np.arange(n))[row]
+def _values(t: pa.Table, name: str) -> list:
+    return [x.as_buffer() for c in t[name].chunks for x in c]
 
 
-def _take(t: pa.Table, name: str, lo: int, row: np.ndarray) -> pa.Array:
-    return t[name].combine_chunks().take(pa.array(row + lo))
+def _runs(h1, h2) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal pairs of hashes together, and where each run of them begins."""
+    order = np.argsort(h1)
+    a, b = h1[order], h2[order]
+    same, other = a[1:] == a[:-1], b[1:] != b[:-1]
+    if (same & other).any():
+        order = np.lexsort((h2, h1))
+        a, b = h1[order], h2[order]
+        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    return order, np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), ~same]))
+
+
+def _lookup(found, h1, h2) -> np.ndarray:
+    """Where each pair of hashes stands in the sorted pairs of ``found``, or -1."""
+    at, out, left = np.searchsorted(found[0], h1), np.full(len(h1), -1), np.arange(len(h1))
+    while len(left):
+        left = left[at[left] < len(found[0])]
+        left = left[found[0][at[left]] == h1[left]]
+        hit = found[1][at[left]] == h2[left]
+        out[left[hit]] = at[left[hit]]
+        left = left[~hit]
+        at[left] += 1
+    return out
 
 
 class _Bytes:
     """Rolling hashes of the texts of some rows of a batch."""
 
-    def __init__(self, data, off, lo, hi, window: int):
+    def __init__(self, data, off, lo, hi, doc, window: int):
         self.data, self.first, self.window = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], window
-        self.n, self.total = hi - lo, int(off[hi] - off[lo])
+        self.total = int(off[hi] - off[lo])
+        self.doc, self.valid = doc[0][lo:hi], doc[1][lo:hi]
         self.one = S.Rolling(S._byte_values(3, False)[self.data], 3)
         self._two = None
 
@@ -67,9 +111,9 @@ class _Bytes:
         return np.searchsorted(self.first, at, side="right") - 1
 
     def whole(self) -> np.ndarray:
-        """Which places begin a window inside their row."""
+        """Which places begin a window inside their row; a row without doc_id has none."""
         out = np.zeros(self.total + 1, np.int32)
-        size = np.maximum(np.diff(self.first) - self.window + 1, 0)
+        size = np.maximum(np.diff(self.first) - self.window + 1, 0) * self.valid
         np.add.at(out, self.first[:-1], (size > 0).astype(np.int32))
         np.add.at(out, self.first[:-1] + size, -(size > 0).astype(np.int32))
         return np.cumsum(out)[: self.total] > 0
@@ -82,7 +126,7 @@ class _Bytes:
         self.key = (h >> S.U64(32)).astype(np.uint32)
         self.width = w
         self.anchor = S.anchors(h, self.first, k, self.window, alive[: max(0, len(h) - w + 1)])
-        self.anchor_hash = h[self.anchor] >> S.U64(16)
+        self.anchor_hash = (h[self.anchor] << S.U64(32)) | (h[self.anchor] >> S.U64(32))  # an anchor's high bits are small
         self.anchor_row = self.row(self.anchor)
         g = self.one.fixed(16)
         cut = np.flatnonzero((g & S.U64(cut_one - 1)) == 0)
@@ -94,47 +138,42 @@ class _Bytes:
         ok = (r[1:] == r0) & (b + self.window - 1 <= self.first[r0 + 1])
         ok &= sums[b] - sums[a] == b - a
         self.chunk_a, self.chunk_b, self.chunk_row = a[ok], b[ok], r0[ok]
-
-    def flat(self):
-        """Row, number in the row and both hashes of the anchors, and of the chunks, which are numbered after them."""
         ends = self.chunk_b + self.window - 1
-        row = np.concatenate([self.anchor_row, self.chunk_row])
-        before = np.bincount(self.anchor_row, minlength=self.n)
-        at = np.concatenate([_number(self.anchor_row, self.n), _number(self.chunk_row, self.n) + before[self.chunk_row]])
-        h1 = np.concatenate([self.anchor_hash, self.one.runs(self.chunk_a, ends)]).view(np.int64)
-        h2 = np.concatenate([np.zeros(len(self.anchor), np.uint64), self.two(self.chunk_a, ends) | S.U64(1)]).view(np.int64)
-        return row, at, h1, h2
+        self.chunk_one, self.chunk_two = self.one.runs(self.chunk_a, ends), self.two(self.chunk_a, ends) | S.U64(1)
 
-    def apply(self, hit, row):
-        """What hits (number of an anchor or, after them, of a chunk of the row, and how often it occurs) leave alive, and the chunks that they settle.
+    def asked(self):
+        """Both hashes and the document of the anchors and chunks."""
+        h1 = np.concatenate([self.anchor_hash, self.chunk_one])
+        h2 = np.concatenate([np.zeros(len(self.anchor), np.uint64), self.chunk_two])
+        return h1, h2, self.doc[np.concatenate([self.anchor_row, self.chunk_row])]
+
+    def apply(self, found):
+        """What the hashes that several documents have leave alive, and the chunks that they settle.
 
         Where a document is the source of a chunk, a window inside is alive only if its own anchor occurs more
         often than the chunk: else nobody has that window without having, and being settled by, the chunk.
         """
-        times = (hit & MOST) * np.where(hit & SOURCE, -1, 1)
-        hit = hit >> 32
-        na, nc = np.bincount(self.anchor_row, minlength=self.n), np.bincount(self.chunk_row, minlength=self.n)
-        a0, c0 = np.concatenate([[0], np.cumsum(na)]), np.concatenate([[0], np.cumsum(nc)])
-        is_anchor = hit < na[row]
+        a = _lookup(found, self.anchor_hash, np.zeros(len(self.anchor), np.uint64))
+        number = np.flatnonzero(a >= 0)
         some = np.full(len(self.key), 0xFFFFFFFF, np.uint32)
-        number = a0[row[is_anchor]] + hit[is_anchor]
         some[self.anchor[number]] = self.key[self.anchor[number]]
         own = np.zeros(self.total, bool)
         if len(self.key) >= self.width:
             got = S.sliding(some, self.width, np.minimum) == S.sliding(self.key, self.width, np.minimum)
             own[: len(got)] = got
-        of_chunk, n = c0[row[~is_anchor]] + (hit - na[row])[~is_anchor], times[~is_anchor]
-        chunk = np.unique(of_chunk[n > 0])
-        source = np.unique(of_chunk[n < 0])
+        c = _lookup(found, self.chunk_one, self.chunk_two)
+        held = np.flatnonzero(c >= 0)
+        first = found[2][c[held]] == self.doc[self.chunk_row[held]]
+        chunk, source = held[~first], held[first]
         if len(source):
             inside = np.zeros(self.total, np.int64)  # how often the chunk around a place occurs
             count_of = np.zeros(len(self.chunk_a), np.int64)
-            count_of[of_chunk] = np.abs(n)
+            count_of[held] = found[3][c[held]]
             size = self.chunk_b[source] - self.chunk_a[source]
             at = np.repeat(self.chunk_a[source] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
             inside[at] = np.repeat(count_of[source], size)
             often = np.zeros(len(self.key), np.int64)
-            often[self.anchor[number]] = times[is_anchor]
+            often[self.anchor[number]] = found[3][a[number]]
             # a window's own anchor: the place nearest to its start that has its least key
             least = S.sliding(self.key, self.width, np.minimum)
             chosen = np.zeros(len(self.key), bool)
@@ -151,7 +190,7 @@ class _Bytes:
                     break
                 near[wrong] = follows[np.minimum(near[wrong] + 1, len(self.key) - 1)]
             ok = (near < np.minimum(w + self.width, len(self.key))) & (self.key[np.minimum(near, len(self.key) - 1)] == least[w])
-            ok[ok] = (often[near[ok]] == inside[w[ok]]) & (inside[w[ok]] < MOST)
+            ok[ok] = often[near[ok]] == inside[w[ok]]
             own[w[ok]] = False
         return own, self.chunk_a[chunk], self.chunk_b[chunk], self.chunk_row[chunk]
 
@@ -162,72 +201,237 @@ class _Bytes:
         return np.cumsum(out)[: self.total] > 0
 
 
-def _round_one(window: int):
-    def work(batch):
-        t = pa.Table.from_batches([batch])
-        data, off = S.text_bytes(t["text"])
-        for lo, hi in S.pieces(off):
-            b = _Bytes(data, off, lo, hi, window)
-            b.grams(0, b.whole())
-            row, at, h1, h2 = b.flat()
-            yield {"doc_id": _take(t, "doc_id", lo, row), "key": _take(t, "key", lo, row), "at": at, "h1": h1, "h2": h2}
+def _in_blocks(batches):
+    """Rows get the number of their block, of about BLOCK_BYTES, and of themselves in the task."""
+    from pyspark import TaskContext
 
-    return work
+    task, bytes_, rows = TaskContext.get().partitionId(), 0, 0
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        before = bytes_ + np.cumsum(size + 64) - size - 64
+        block, i = (task << 33) + before // BLOCK_BYTES, np.arange(rows, rows + len(size))
+        bytes_, rows = bytes_ + int((size + 64).sum()), rows + len(size)
+        yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(i), batch["doc_id"], batch["text"], pa.array(size)], names=["block", "i", "doc_id", "text", "size"])
 
 
-def _round_two(window: int):
-    def work(batch):
-        t = pa.Table.from_batches([batch])
-        data, off = S.text_bytes(t["text"])
-        for lo, hi in S.pieces(off):
-            b = _Bytes(data, off, lo, hi, window)
-            whole = b.whole()
-            b.grams(0, whole)
-            own, ca, cb, cr = b.apply(*_flat(t["hits"], lo, hi))
-            b.grams(1, whole & own & ~b.settled(ca, cb))
-            row, at, h1, h2 = b.flat()
-            yield {"doc_id": _take(t, "doc_id", lo, row), "key": _take(t, "key", lo, row), "at": at, "h1": h1, "h2": h2}
+def _documents(t: pa.Table):
+    """Numbers of the rows' documents, and which have one."""
+    doc = t["doc_id"].combine_chunks()
+    return pc.fill_null(doc, 0).to_numpy(zero_copy_only=False), doc.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _questions(block: int, asked: list, parts: int):
+    """Rows of part, block and packed value: each hash of the block once."""
+    h1, h2, doc = (np.concatenate(x) for x in zip(*asked))
+    order, begin = _runs(h1, h2)
+    if not len(begin):
+        return
+    h1, h2, doc = h1[order][begin], h2[order][begin], doc[order]
+    least, most = np.minimum.reduceat(doc, begin), np.maximum.reduceat(doc, begin)
+    n = np.diff(np.append(begin, len(doc))).astype(np.uint32)
+    part = ((h1 >> S.U64(32)) * S.U64(parts)) >> S.U64(32)  # rises with h1
+    cut = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part))
+    for lo, hi in zip(cut[:-1], cut[1:]):
+        yield int(part[lo]), block, _pack(h1[lo:hi], h2[lo:hi], least[lo:hi], n[lo:hi], (least < most)[lo:hi])
+
+
+def _table(rows: list, names: list[str], kinds: list) -> pa.Table:
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+
+SENT, SENT_NAMES, SENT_KINDS = "part long, block long, blob binary, settled binary", ["part", "block", "blob", "settled"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+
+
+def _round_one(window: int, parts: int):
+    def run(batches):
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            block = t["block"].to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
+            for a, z in zip(edges[:-1], edges[1:]):
+                part = t[int(a) : int(z)]
+                if not part.num_rows:
+                    continue
+                (data, off), doc, asked = S.text_bytes(part["text"]), _documents(part), []
+                for lo, hi in S.pieces(off):
+                    b = _Bytes(data, off, lo, hi, doc, window)
+                    b.grams(0, b.whole())
+                    asked.append(b.asked())
+                rows = [(*q, None) for q in _questions(int(block[a]), asked, parts)]
+                yield from _table(rows, SENT_NAMES, SENT_KINDS).to_batches()
+
+    return run
+
+
+def _answers(batches):
+    """To each block that asked: its hashes that several documents have."""
+    for t, cut in S.whole_groups(batches, ["part"]):
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            values, block = _values(t[lo:hi], "blob"), t["block"][lo:hi].to_pylist()
+            width = sum(np.dtype(k).itemsize for k in ASKED)
+            by = np.repeat(np.arange(hi - lo), [len(v) // width for v in values])
+            h1, h2, doc, n, several = _unpack(values, ASKED)
+            order, begin = _runs(h1, h2)
+            if not len(begin):
+                continue
+            least, most = np.minimum.reduceat(doc[order], begin), np.maximum.reduceat(doc[order], begin)
+            total = np.add.reduceat(n[order].astype(np.int64), begin)
+            again = (least < most) | (np.maximum.reduceat(several[order], begin) > 0)
+            run = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
+            order, run = order[again[run]], run[again[run]]
+            back = np.argsort(by[order], kind="stable")
+            order, run = order[back], run[back]
+            edge = np.searchsorted(by[order], np.arange(hi - lo + 1))
+            rows = []
+            for i in np.flatnonzero(edge[1:] > edge[:-1]):
+                o, r = order[edge[i] : edge[i + 1]], run[edge[i] : edge[i + 1]]
+                rows.append((block[i], _pack(h1[o], h2[o], least[r], total[r])))
+            yield from _table(rows, ["block", "blob"], [pa.int64(), pa.binary()]).to_batches()
+
+
+def _found(values):
+    f = _unpack(values, FOUND)
+    order = np.lexsort((f[1], f[0]))
+    return [x[order] for x in f]
+
+
+def _rows(t: pa.Table):
+    """Texts and documents of a block in the order of its rows."""
+    t = t.select(["i", "doc_id", "text"]).combine_chunks()
+    t = t.take(pc.sort_indices(t["i"]))
+    return S.text_bytes(t["text"]), _documents(t), t
+
+
+def _round_two(window: int, parts: int):
+    """Questions of the second round, and under part -1 what is alive and settled after the first."""
+
+    def work(rows: pa.Table, hits: pa.Table) -> pa.Table:
+        out = []
+        if rows.num_rows and hits.num_rows:
+            block = rows["block"][0].as_py()
+            (data, off), doc, _ = _rows(rows)
+            found, asked, alive, settled = _found(_values(hits, "blob")), [], np.zeros(len(data), bool), []
+            for lo, hi in S.pieces(off):
+                b = _Bytes(data, off, lo, hi, doc, window)
+                whole = b.whole()
+                b.grams(0, whole)
+                own, *chunks = b.apply(found)
+                left = whole & own & ~b.settled(*chunks[:2])
+                alive[off[lo] : off[hi]] = left
+                settled.append(_absolute(b, lo, *chunks))
+                b.grams(1, left)
+                asked.append(b.asked())
+            out = [(*q, None) for q in _questions(block, asked, parts)]
+            out.append((-1, block, np.packbits(alive).tobytes(), _pack(*(np.concatenate(x) for x in zip(*settled)))))
+        return _table(out, SENT_NAMES, SENT_KINDS)
 
     return work
 
 
+def _absolute(b: _Bytes, lo: int, begin, end, row):
+    """Row of the block, begin and end in it, of settled places."""
+    return row + lo, begin - b.first[row], end - b.first[row]
+
+
+LEFT_NAMES, LEFT_KINDS = ["block", "n", "suffixes", "sample", "settled"], [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+LEFT = "block long, n long, suffixes binary, sample binary, settled binary"
+
+
+def _suffix_kinds(words: int):
+    """Of a suffix: its tokens, its document, its place and its row of the block."""
+    return ("<u8",) * words + ("<i8", "<i8", "<u4")
+
+
 def _round_three(window: int):
     """The suffixes to sort, each as numbers of eight bytes, and all that is settled."""
     words = -(-window // 8)
 
-    def work(batch):
-        t = pa.Table.from_batches([batch])
-        data, off = S.text_bytes(t["text"])
+    def work(rows: pa.Table, more: pa.Table) -> pa.Table:
+        state = more.filter(pc.equal(more["part"], -1))
+        if not rows.num_rows or not state.num_rows:
+            return _table([], LEFT_NAMES, LEFT_KINDS)
+        block = rows["block"][0].as_py()
+        (data, off), doc, _ = _rows(rows)
+        found = _found(_values(more.filter(pc.not_equal(more["part"], -1)), "blob"))
+        alive = np.unpackbits(np.frombuffer(_values(state, "blob")[0], np.uint8), count=len(data)).astype(bool)
+        settled, left = [tuple(_unpack(_values(state, "settled"), SETTLED))], []
         for lo, hi in S.pieces(off):
-            b = _Bytes(data, off, lo, hi, window)
-            whole = b.whole()
-            # round two's grams depend on what round one left, so it is replayed
-            b.grams(0, whole)
-            own, ca, cb, cr = b.apply(*_flat(t["hits"], lo, hi))
-            alive = whole & own & ~b.settled(ca, cb)
-            b.grams(1, alive)
-            own, da, db, dr = b.apply(*_flat(t["hits2"], lo, hi))
-            at = np.flatnonzero(alive & own & ~b.settled(da, db))
+            live = alive[off[lo] : off[hi]]
+            if not live.any():
+                continue
+            b = _Bytes(data, off, lo, hi, doc, window)
+            b.grams(1, live)
+            own, *chunks = b.apply(found)
+            settled.append(_absolute(b, lo, *chunks))
+            at = np.flatnonzero(live & own & ~b.settled(*chunks[:2]))
             row = b.row(at)
-            padded = np.concatenate([b.data, np.zeros(8, np.uint8)])
             raw = np.zeros((len(at), words * 8), np.uint8)
-            raw[:, :window] = padded[at[:, None] + np.arange(window)] if len(at) else 0
-            lead = (raw.view(">u8").astype(np.uint64) ^ S.U64(1 << 63)).view(np.int64)
-            one = _absolute_pairs(b, np.concatenate([ca, da]), np.concatenate([cb, db]), np.concatenate([cr, dr]))
-            row = np.concatenate([row, one[2]])
-            n = len(one[0])
-            yield {
-                "doc_id": _take(t, "doc_id", lo, row), "key": _take(t, "key", lo, row),
-                "pos": np.concatenate([at - b.first[row[: len(at)]], one[0]]), "until": np.concatenate([np.zeros(len(at), np.int64), one[1]]),
-                **{f"w{i}": np.concatenate([lead[:, i], np.zeros(n, np.int64)]) for i in range(words)},
-            }
+            raw[:, :window] = b.data[at[:, None] + np.arange(window)] if len(at) else 0
+            tokens = raw.view(">u8").astype(np.uint64)
+            left.append((*tokens.T, b.doc[row], at - b.first[row], (row + lo).astype(np.uint32)))
+        columns = [np.concatenate(x) for x in zip(*left)] if left else [np.zeros(0, k) for k in _suffix_kinds(words)]
+        some = np.random.default_rng(block).random(len(columns[0])) < SAMPLED
+        sample = _pack(*(c[some] for c in columns[: words + 1]))
+        row = (block, len(columns[0]), _pack(*columns), sample, _pack(*(np.concatenate(x) for x in zip(*settled))))
+        return _table([row], LEFT_NAMES, LEFT_KINDS)
 
     return work
 
 
-def _absolute_pairs(b: _Bytes, begin, end, row):
-    """Begin and end in their rows, and the rows, of settled places."""
-    return begin - b.first[row], end - b.first[row], row
+def _thinned(words: int, share: float):
+    kinds = ("<u8",) * words + ("<i8",)
+
+    def run(batches):
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            columns = _unpack(_values(t, "sample"), kinds)
+            some = np.random.default_rng(len(columns[0])).random(len(columns[0])) < share
+            yield from _table([(_pack(*(c[some] for c in columns)),)], ["sample"], [pa.binary()]).to_batches()
+
+    return run
+
+
+def splitters(sample: list[np.ndarray], buckets: int) -> list[np.ndarray]:
+    """Of sampled rows (their columns, the most important first): the rows at the edges of equal shares."""
+    order = np.lexsort(sample[::-1])
+    at = np.unique(np.arange(1, buckets) * len(order) // buckets)
+    return [c[order[at]] if len(order) else c[:0] for c in sample]
+
+
+def bucket_of(columns: list[np.ndarray], split: list[np.ndarray]) -> np.ndarray:
+    """How many splitters are not above each row."""
+    lo, hi = np.searchsorted(split[0], columns[0], "left"), np.searchsorted(split[0], columns[0], "right")
+    open_ = np.flatnonzero(lo < hi)  # the first columns are equal: halve by all of them
+    while len(open_):
+        mid = (lo[open_] + hi[open_]) // 2
+        above, tied = np.zeros(len(open_), bool), np.ones(len(open_), bool)
+        for c, s in zip(columns, split):
+            above |= tied & (s[mid] > c[open_])
+            tied &= s[mid] == c[open_]
+        hi[open_] = np.where(above, mid, hi[open_])
+        lo[open_] = np.where(above, lo[open_], mid + 1)
+        open_ = open_[lo[open_] < hi[open_]]
+    return lo
+
+
+def _dealt(words: int, split):
+    """Rows of bucket, block and packed suffixes."""
+    kinds = _suffix_kinds(words)
+
+    def run(batches):
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            for block, value in zip(t["block"].to_pylist(), _values(t, "suffixes")):
+                columns = _unpack([value], kinds)
+                bucket = bucket_of(columns[: words + 1], split)
+                order = np.argsort(bucket, kind="stable")
+                bucket = bucket[order]
+                cut = np.append(np.flatnonzero(np.concatenate([np.ones(min(1, len(bucket)), bool), bucket[1:] != bucket[:-1]])), len(bucket))
+                rows = [(int(bucket[a]), block, _pack(*(c[order[a:z]] for c in columns))) for a, z in zip(cut[:-1], cut[1:])]
+                yield from _table(rows, ["bucket", "block", "blob"], [pa.int64(), pa.int64(), pa.binary()]).to_batches()
+
+    return run
 
 
 def multikey_quicksort(columns: list[np.ndarray], cutoff: int = 4096) -> tuple[np.ndarray, np.ndarray]:
@@ -281,120 +485,124 @@ def _sorted_runs(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
+BUCKET = "block long, bucket long, places binary, least long, first binary, last binary, last_least long"
+BUCKET_NAMES = [x.split()[0] for x in BUCKET.split(", ")]
+BUCKET_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+
+
 def _sort_bucket(words: int):
-    """Of one bucket: the least document of each suffix's run; one more row, with pos < 0, tells its first and last run."""
+    """Of each bucket: the places of each block that go.
+
+    The first run may begin in a bucket before, so its least document's places come with ``bucket`` and ``least``; one
+    more row, without places, tells the bucket's first and last run.
+    """
+    kinds = _suffix_kinds(words)
+    width = sum(np.dtype(k).itemsize for k in kinds)
 
     def run(batches):
-        from pyspark import TaskContext
-
-        held = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.concat_tables(held).combine_chunks()
-        doc = t["doc_id"].to_numpy()
-        cols = [t[f"w{i}"].to_numpy() for i in range(words)]
-        order, new = multikey_quicksort(cols)
-        run_of = np.cumsum(new) - 1
-        least = np.minimum.reduceat(doc[order], np.flatnonzero(new))
-        first, last = (np.stack(cols, 1)[order[i]].astype("<i8").tobytes() for i in (0, -1))
-        bucket = TaskContext.get().partitionId()
-        in_first = run_of == 0  # may begin in a bucket before
-        low = least[run_of]
-        keep = (low < doc[order]) | in_first
-        o = order[keep]
-        yield pa.RecordBatch.from_arrays(
-            [
-                *(t[c].combine_chunks().take(pa.array(o)) for c in ("doc_id", "key", "pos")),
-                pa.array(low[keep]), pa.array(np.where(in_first[keep], bucket, -1).astype(np.int32)), pa.nulls(len(o), pa.binary()), pa.nulls(len(o), pa.binary()), pa.nulls(len(o), pa.int64()),
-            ],
-            names=BUCKET_NAMES,
-        )
-        edge = [0, 0, -1, int(least[0]), bucket, first, last, int(least[-1])]
-        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(edge, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64()))], names=BUCKET_NAMES)
+        for t, cut in S.whole_groups(batches, ["bucket"]):
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                values, block, bucket = _values(t[lo:hi], "blob"), t["block"][lo:hi].to_pylist(), t["bucket"][lo].as_py()
+                by = np.repeat(np.arange(hi - lo), [len(v) // width for v in values])
+                *tokens, doc, pos, row = _unpack(values, kinds)
+                order, new = multikey_quicksort(tokens)
+                run_of = np.cumsum(new) - 1
+                least = np.minimum.reduceat(doc[order], np.flatnonzero(new))
+                gone = least[run_of] < doc[order]
+                rows = []
+                for which, number in ((gone, None), (~gone & (run_of == 0), bucket)):
+                    o = order[which]
+                    o = o[np.argsort(by[o], kind="stable")]
+                    edge = np.searchsorted(by[o], np.arange(hi - lo + 1))
+                    for i in np.flatnonzero(edge[1:] > edge[:-1]):
+                        p = o[edge[i] : edge[i + 1]]
+                        rows.append((block[i], number, _pack(row[p], pos[p]), int(least[0]), None, None, None))
+                first, last = (_pack(*(c[order[i]] for c in tokens)) for i in (0, -1))
+                rows.append((None, bucket, None, int(least[0]), first, last, int(least[-1])))
+                yield from _table(rows, BUCKET_NAMES, BUCKET_KINDS).to_batches()
 
     return run
 
 
-BUCKET = "doc_id long, key long, pos long, least long, bucket int, first binary, last binary, last_least long"
-BUCKET_NAMES = [x.split()[0] for x in BUCKET.split(", ")]
-FLAT = "doc_id long, key long, at long, h1 long, h2 long"
+def _repeated(sent: DataFrame) -> DataFrame:
+    return S.materialize(S.by_group(sent, ["part"]).mapInArrow(_answers, "block long, blob binary"), "hits")
+
 
+def _parts(spark, least: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), least)
 
-def _repeated(flat: DataFrame) -> DataFrame:
-    again = S.materialize(flat.groupBy("h1", "h2").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.count("*").alias("n")).where("d0 < d1").select("h1", "h2", "d0", "n"), "repeated")
-    source = F.when((F.col("h2") != 0) & (F.col("d0") == F.col("doc_id")), F.lit(SOURCE)).otherwise(F.lit(0))
-    hit = F.shiftleft("at", 32).bitwiseOR(source).bitwiseOR(F.least("n", F.lit(MOST)))
-    found = flat.join(again, ["h1", "h2"]).select("doc_id", "key", hit.alias("hit"))
-    hits = S.materialize(found.groupBy("doc_id", "key").agg(F.collect_list("hit").alias("hits")), "hits")
-    S.drop_table(again)
-    return hits
 
+def text_blocks(docs: DataFrame) -> DataFrame:
+    """block, i, doc_id, text and size of all rows, written once."""
+    S.ship(docs.sparkSession)
+    return S.materialize(S.texts(docs).mapInArrow(_in_blocks, "block long, i long, doc_id long, text string, size long"), "blocks")
 
-def repeated_suffixes(docs: DataFrame, window: int = 50) -> DataFrame:
-    """doc_id, key (hash of the text), settled (begin, end, ... of places) and pos (other places) where repeated strings start."""
+
+def repeated_suffixes(blocks: DataFrame, window: int = 50) -> DataFrame:
+    """block, settled (runs of places, packed) and places (single ones, packed) where strings of a smaller document start."""
     words = -(-window // 8)
     if window < max(k for k, _ in ROUNDS) + 2:
         raise ValueError("window is too short for the anchors")
-    t = S.texts(docs).withColumn("key", F.xxhash64("text"))
-    one = S.materialize(S.map_arrow(t.where("doc_id is not null and text is not null"), _round_one(window), FLAT), "anchors")
-    hits = _repeated(one)
-    S.drop_table(one)
-    two = S.materialize(S.map_arrow(t.join(hits, ["doc_id", "key"]).select("doc_id", "key", "text", "hits"), _round_two(window), FLAT), "anchors")
-    hits2 = _repeated(two).withColumnRenamed("hits", "hits2")
-    S.drop_table(two)
-    tokens = [f"w{i}" for i in range(words)]
-    rows = t.join(hits, ["doc_id", "key"]).join(hits2, ["doc_id", "key"], "left").select("doc_id", "key", "text", "hits", "hits2")
-    three = S.materialize(S.map_arrow(rows, _round_three(window), "doc_id long, key long, pos long, until long, " + ", ".join(f"{w} long" for w in tokens)), "suffixes")
+    spark = blocks.sparkSession
+    parts = _parts(spark, -(-(blocks.agg(F.sum("size")).first()[0] or 0) // PART_BYTES))
+    texts = blocks.select("block", "i", "doc_id", "text")
+    hits = _repeated(texts.mapInArrow(_round_one(window, parts), SENT).select("part", "block", "blob"))
+    two = S.materialize(texts.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(_round_two(window, parts), SENT), "asked")
     S.drop_table(hits)
-    S.drop_table(hits2)
-    flat = three.where("until = 0").select("doc_id", "key", "pos", *tokens)
-    spark = docs.sparkSession
-    S.ship(spark)
-    buckets = flat.repartitionByRange(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-flat.count() // BUCKET_ROWS)), *tokens, "doc_id")
-    sorted_ = S.materialize(buckets.mapInArrow(_sort_bucket(words), BUCKET), "buckets")
+    hits = _repeated(two.where("part >= 0").select("part", "block", "blob"))
+    state = two.where("part < 0").select("part", "block", "blob", "settled")
+    more = state.unionAll(hits.select(F.lit(0).cast("long"), "block", "blob", F.lit(None).cast("binary")))
+    three = S.materialize(texts.groupBy("block").cogroup(more.groupBy("block")).applyInArrow(_round_three(window), LEFT), "suffixes")
+    S.drop_table(hits)
+    S.drop_table(two)
+    n = three.agg(F.sum("n")).first()[0] or 0
+    buckets = _parts(spark, -(-n // BUCKET_ROWS))
+    thin = three.select("sample").mapInArrow(_thinned(words, min(1.0, SAMPLES * buckets / max(1.0, n * SAMPLED))), "sample binary")
+    split = splitters(_unpack([bytes(r.sample) for r in thin.collect()], ("<u8",) * words + ("<i8",)), buckets)
+    dealt = three.where("n > 0").select("block", "suffixes").mapInArrow(_dealt(words, split), "bucket long, block long, blob binary")
+    ordered = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    sorted_ = S.materialize(ordered.mapInArrow(_sort_bucket(words), BUCKET), "buckets")
     # across boundaries: a bucket's first run goes on from those whose last run is of the same string
-    edges, rows = sorted_.where("pos < 0"), sorted_.where("pos >= 0")
+    edges = sorted_.where("block is null")
     ends = edges.groupBy(F.col("last").alias("first")).agg(F.min("last_least").alias("before"))
     ends = edges.select("bucket", "first").join(ends, "first").select("bucket", "before")
-    first = rows.where("bucket >= 0").join(ends, "bucket", "left").where("least < doc_id or before < doc_id")
-    found = rows.where("bucket < 0 and least < doc_id").select("doc_id", "key", "pos").unionAll(first.select("doc_id", "key", "pos"))
-    places = found.select("*", F.lit(0).cast("long").alias("until")).unionAll(three.where("until > 0").select("doc_id", "key", "pos", "until"))
-    gathered = places.groupBy("doc_id", "key").agg(F.collect_list(F.when(F.col("until") == 0, F.col("pos"))).alias("pos"), F.collect_list(F.when(F.col("until") > 0, F.shiftleft("pos", 32).bitwiseOR(F.col("until")))).alias("settled"))
-    return S.materialize(gathered, "removed")
+    rows = sorted_.where("block is not null")
+    first = rows.where("bucket is not null").join(ends, "bucket").where("before < least")
+    found = rows.where("bucket is null").select("block", "places").unionAll(first.select("block", "places"))
+    nothing = F.lit(None).cast("binary")
+    return found.select("block", nothing.alias("settled"), "places").unionAll(three.select("block", "settled", nothing))
 
 
 def _cut(window: int):
-    def work(batch):
-        t = pa.Table.from_batches([batch])
-        data, off = S.text_bytes(t["text"])
-        for lo, hi in S.pieces(off):
-            part, first = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-            n, total = hi - lo, len(part)
-            mark = np.zeros(total + 1, np.int32)
-            d, row = _flat(t["settled"], lo, hi)
-            np.add.at(mark, first[row] + (d >> 32), 1)
-            np.add.at(mark, first[row] + (d & 0xFFFFFFFF) + window - 1, -1)
-            s, row = _flat(t["pos"], lo, hi)
-            np.add.at(mark, first[row] + s, 1)
-            np.add.at(mark, first[row] + s + window, -1)
-            gone = np.cumsum(mark)[:total] > 0
-            before = np.zeros(total, bool)
-            before[1:] = gone[:-1]
-            before[first[:-1][first[:-1] < total]] = False
-            begin = gone & ~before
-            spans, away = (np.concatenate([[0], np.cumsum(x)]) for x in (begin, gone))
-            kept = np.concatenate([[0], np.cumsum(~gone)])[first]
-            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(kept.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(part[~gone]))])
-            yield {"doc_id": t["doc_id"][lo:hi], "n_bytes": np.diff(first), "n_removed": np.diff(away[first]), "n_spans": np.diff(spans[first]), "kept": raw}
+    def work(rows: pa.Table, removed: pa.Table) -> pa.Table:
+        (data, off), _, t = _rows(rows)
+        n, total = len(off) - 1, len(data)
+        mark = np.zeros(total + 1, np.int32)
+        row, begin, end = _unpack(_values(removed.filter(removed["settled"].is_valid()), "settled"), SETTLED)
+        np.add.at(mark, off[row] + begin, 1)
+        np.add.at(mark, off[row] + end + window - 1, -1)
+        row, pos = _unpack(_values(removed.filter(removed["places"].is_valid()), "places"), PLACES)
+        np.add.at(mark, off[row] + pos, 1)
+        np.add.at(mark, off[row] + pos + window, -1)
+        gone = np.cumsum(mark)[:total] > 0
+        before = np.zeros(total, bool)
+        before[1:] = gone[:-1]
+        before[off[:-1][off[:-1] < total]] = False
+        spans, away = (np.concatenate([[0], np.cumsum(x)]) for x in (gone & ~before, gone))
+        kept = np.concatenate([[0], np.cumsum(~gone)])[off]
+        raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(kept.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[~gone]))])
+        columns = [t["doc_id"].combine_chunks(), pa.array(np.diff(off)), pa.array(np.diff(away[off])), pa.array(np.diff(spans[off])), raw.cast(pa.binary())]
+        return pa.Table.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return work
 
 
 def suffix_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that stay) of every row."""
-    removed = repeated_suffixes(docs, window)
-    t = S.texts(docs).withColumn("key", F.xxhash64("text")).join(removed, ["doc_id", "key"], "left")
-    return S.map_arrow(t.select("doc_id", "text", "settled", "pos"), _cut(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    blocks = text_blocks(docs)
+    removed = repeated_suffixes(blocks, window)
+    texts = blocks.select("block", "i", "doc_id", "text")
+    return texts.groupBy("block").cogroup(removed.groupBy("block")).applyInArrow(_cut(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
