@@ -38,7 +38,9 @@ from . import shared as S
 
 #: Of each round: bytes of an anchor, and one place in so many is a cut.
 ROUNDS = ((16, 128), (32, 8))
-BLOCK_BYTES, PART_BYTES = 1 << 23, 1 << 24
+BLOCK_BYTES, PART_BYTES = 1 << 22, 1 << 24
+#: Bytes that numpy works on at once: the arrays of a piece fit in a core's cache.
+PIECE_BYTES = 1 << 17
 BUCKET_ROWS, SAMPLES, SAMPLED = 250_000, 64, 1 / 256
 
 # columns of packed values
@@ -101,12 +103,17 @@ class _Bytes:
         self.total = int(off[hi] - off[lo])
         self.doc, self.valid = doc[0][lo:hi], doc[1][lo:hi]
         self.one = S.Rolling(S._byte_values(3, False)[self.data], 3)
-        self._two = None
+        self._two, self._fixed = None, {}
 
     def two(self, a, b):
         self._two = self._two or S.Rolling(S._byte_values(4, False)[self.data], 4)
         return self._two.runs(a, b)
 
+    def fixed(self, k: int):
+        if k not in self._fixed:
+            self._fixed[k] = self.one.fixed(k)
+        return self._fixed[k]
+
     def row(self, at):
         return np.searchsorted(self.first, at, side="right") - 1
 
@@ -121,14 +128,14 @@ class _Bytes:
     def grams(self, level: int, alive: np.ndarray):
         """Anchors and chunks of a round for the windows that are alive."""
         k, cut_one = ROUNDS[level]
-        h = self.one.fixed(k)
+        h = self.fixed(k)
         w = self.window - k + 1
         self.key = (h >> S.U64(32)).astype(np.uint32)
         self.width = w
         self.anchor = S.anchors(h, self.first, k, self.window, alive[: max(0, len(h) - w + 1)])
         self.anchor_hash = (h[self.anchor] << S.U64(32)) | (h[self.anchor] >> S.U64(32))  # an anchor's high bits are small
         self.anchor_row = self.row(self.anchor)
-        g = self.one.fixed(16)
+        g = self.fixed(16)
         cut = np.flatnonzero((g & S.U64(cut_one - 1)) == 0)
         r = self.row(cut)
         ok = cut + 16 <= self.first[r + 1]
@@ -202,22 +209,39 @@ class _Bytes:
 
 
 def _in_blocks(batches):
-    """Rows get the number of their block, of about BLOCK_BYTES, and of themselves in the task."""
+    """Rows of a task to blocks of about BLOCK_BYTES, each one compressed value; a longer text may fill one alone."""
     from pyspark import TaskContext
 
-    task, bytes_, rows = TaskContext.get().partitionId(), 0, 0
-    for batch in batches:
-        size = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        before = bytes_ + np.cumsum(size + 64) - size - 64
-        block, i = (task << 33) + before // BLOCK_BYTES, np.arange(rows, rows + len(size))
-        bytes_, rows = bytes_ + int((size + 64).sum()), rows + len(size)
-        yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(i), batch["doc_id"], batch["text"], pa.array(size)], names=["block", "i", "doc_id", "text", "size"])
+    task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
 
+    def block():
+        doc, length, valid, data = (np.concatenate(x) for x in zip(*held))
+        raw = _pack(doc, length, valid, data)
+        value = _pack(np.array([len(raw), len(doc)])) + pa.compress(raw, "zstd", asbytes=True)
+        return _table([((task << 33) + number, size, value)], ["block", "size", "texts"], [pa.int64(), pa.int64(), pa.binary()]).to_batches()
 
-def _documents(t: pa.Table):
-    """Numbers of the rows' documents, and which have one."""
-    doc = t["doc_id"].combine_chunks()
-    return pc.fill_null(doc, 0).to_numpy(zero_copy_only=False), doc.is_valid().to_numpy(zero_copy_only=False)
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        data, off = S.text_bytes(t["text"])
+        doc = t["doc_id"].combine_chunks()
+        valid, doc = doc.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(doc, 0).to_numpy(zero_copy_only=False)
+        for lo, hi in S.pieces(off, BLOCK_BYTES // 8):
+            if held and size + off[hi] - off[lo] > BLOCK_BYTES:
+                yield from block()
+                number, held, size = number + 1, [], 0
+            held.append((doc[lo:hi], np.diff(off[lo : hi + 1]), valid[lo:hi].astype(np.uint8), data[off[lo] : off[hi]]))
+            size += int(off[hi] - off[lo])
+    if held:
+        yield from block()
+
+
+def _block_of(value):
+    """Bytes, offsets, documents and which rows have one, of a value of :func:`_in_blocks`."""
+    size, n = np.frombuffer(value, np.int64, 2).tolist()
+    raw = pa.decompress(memoryview(value)[16:], decompressed_size=size, codec="zstd")
+    doc, length = np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.int64, n, 8 * n)
+    valid = np.frombuffer(raw, np.uint8, n, 16 * n) > 0
+    return np.frombuffer(raw, np.uint8, offset=17 * n) if size > 17 * n else np.zeros(0, np.uint8), np.concatenate([[0], np.cumsum(length)]), (doc, valid)
 
 
 def _questions(block: int, asked: list, parts: int):
@@ -247,19 +271,13 @@ def _round_one(window: int, parts: int):
     def run(batches):
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            block = t["block"].to_numpy()
-            edges = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
-            for a, z in zip(edges[:-1], edges[1:]):
-                part = t[int(a) : int(z)]
-                if not part.num_rows:
-                    continue
-                (data, off), doc, asked = S.text_bytes(part["text"]), _documents(part), []
-                for lo, hi in S.pieces(off):
+            for block, value in zip(t["block"].to_pylist(), _values(t, "texts")):
+                (data, off, doc), asked = _block_of(value), []
+                for lo, hi in S.pieces(off, PIECE_BYTES):
                     b = _Bytes(data, off, lo, hi, doc, window)
                     b.grams(0, b.whole())
                     asked.append(b.asked())
-                rows = [(*q, None) for q in _questions(int(block[a]), asked, parts)]
-                yield from _table(rows, SENT_NAMES, SENT_KINDS).to_batches()
+                yield from _table([(*q, None) for q in _questions(block, asked, parts)], SENT_NAMES, SENT_KINDS).to_batches()
 
     return run
 
@@ -296,23 +314,60 @@ def _found(values):
     return [x[order] for x in f]
 
 
-def _rows(t: pa.Table):
-    """Texts and documents of a block in the order of its rows."""
-    t = t.select(["i", "doc_id", "text"]).combine_chunks()
-    t = t.take(pc.sort_indices(t["i"]))
-    return S.text_bytes(t["text"]), _documents(t), t
+def _tokens(b: _Bytes, at, window: int) -> list[np.ndarray]:
+    """Of the suffixes at some places: their first bytes, eight to a number, and their documents."""
+    raw = np.zeros((len(at), -(-window // 8) * 8), np.uint8)
+    raw[:, :window] = np.lib.stride_tricks.sliding_window_view(b.data, window)[at] if len(at) else 0
+    return [*raw.view(">u8").astype(np.uint64).T, b.doc[b.row(at)]]
+
+
+def _thinned(words: int, share: float):
+    kinds = ("<u8",) * words + ("<i8",)
+
+    def run(batches):
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            columns = _unpack(_values(t, "blob"), kinds)
+            some = np.random.default_rng(len(columns[0])).random(len(columns[0])) < share
+            yield from _table([(_pack(*(c[some] for c in columns)),)], ["blob"], [pa.binary()]).to_batches()
+
+    return run
+
+
+def splitters(sample: list[np.ndarray], buckets: int) -> list[np.ndarray]:
+    """Of sampled rows (their columns, the most important first): the rows at the edges of equal shares."""
+    order = np.lexsort(sample[::-1])
+    at = np.unique(np.arange(1, buckets) * len(order) // buckets)
+    return [c[order[at]] if len(order) else c[:0] for c in sample]
+
+
+def bucket_of(columns: list[np.ndarray], split: list[np.ndarray]) -> np.ndarray:
+    """How many splitters are not above each row, by all columns."""
+    lo, hi = np.searchsorted(split[0], columns[0], "left"), np.searchsorted(split[0], columns[0], "right")
+    open_ = np.flatnonzero(lo < hi)  # the first columns are equal: halve by all of them
+    while len(open_):
+        mid = (lo[open_] + hi[open_]) // 2
+        above, tied = np.zeros(len(open_), bool), np.ones(len(open_), bool)
+        for c, s in zip(columns, split):
+            above |= tied & (s[mid] > c[open_])
+            tied &= s[mid] == c[open_]
+        hi[open_] = np.where(above, mid, hi[open_])
+        lo[open_] = np.where(above, lo[open_], mid + 1)
+        open_ = open_[lo[open_] < hi[open_]]
+    return lo
 
 
 def _round_two(window: int, parts: int):
-    """Questions of the second round, and under part -1 what is alive and settled after the first."""
+    """Questions of the second round; under part -1 what is alive and settled after the first, under -2 a sample of what is alive."""
 
     def work(rows: pa.Table, hits: pa.Table) -> pa.Table:
         out = []
         if rows.num_rows and hits.num_rows:
             block = rows["block"][0].as_py()
-            (data, off), doc, _ = _rows(rows)
-            found, asked, alive, settled = _found(_values(hits, "blob")), [], np.zeros(len(data), bool), []
-            for lo, hi in S.pieces(off):
+            data, off, doc = _block_of(_values(rows, "texts")[0])
+            found, asked, alive, settled, sample = _found(_values(hits, "blob")), [], np.zeros(len(data), bool), [], []
+            chance = np.random.default_rng(block)
+            for lo, hi in S.pieces(off, PIECE_BYTES):
                 b = _Bytes(data, off, lo, hi, doc, window)
                 whole = b.whole()
                 b.grams(0, whole)
@@ -320,10 +375,13 @@ def _round_two(window: int, parts: int):
                 left = whole & own & ~b.settled(*chunks[:2])
                 alive[off[lo] : off[hi]] = left
                 settled.append(_absolute(b, lo, *chunks))
+                some = np.flatnonzero(left)
+                sample.append(_tokens(b, some[chance.random(len(some)) < SAMPLED], window))
                 b.grams(1, left)
                 asked.append(b.asked())
             out = [(*q, None) for q in _questions(block, asked, parts)]
             out.append((-1, block, np.packbits(alive).tobytes(), _pack(*(np.concatenate(x) for x in zip(*settled)))))
+            out.append((-2, block, _pack(*(np.concatenate(x) for x in zip(*sample))), None))
         return _table(out, SENT_NAMES, SENT_KINDS)
 
     return work
@@ -334,8 +392,8 @@ def _absolute(b: _Bytes, lo: int, begin, end, row):
     return row + lo, begin - b.first[row], end - b.first[row]
 
 
-LEFT_NAMES, LEFT_KINDS = ["block", "n", "suffixes", "sample", "settled"], [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-LEFT = "block long, n long, suffixes binary, sample binary, settled binary"
+LEFT_NAMES, LEFT_KINDS = ["bucket", *SENT_NAMES[1:]], SENT_KINDS
+LEFT = "bucket long, block long, blob binary, settled binary"
 
 
 def _suffix_kinds(words: int):
@@ -343,8 +401,8 @@ def _suffix_kinds(words: int):
     return ("<u8",) * words + ("<i8", "<i8", "<u4")
 
 
-def _round_three(window: int):
-    """The suffixes to sort, each as numbers of eight bytes, and all that is settled."""
+def _round_three(window: int, split: list[np.ndarray]):
+    """The suffixes to sort, by bucket, and in bucket -1 all that is settled."""
     words = -(-window // 8)
 
     def work(rows: pa.Table, more: pa.Table) -> pa.Table:
@@ -352,11 +410,11 @@ def _round_three(window: int):
         if not rows.num_rows or not state.num_rows:
             return _table([], LEFT_NAMES, LEFT_KINDS)
         block = rows["block"][0].as_py()
-        (data, off), doc, _ = _rows(rows)
+        data, off, doc = _block_of(_values(rows, "texts")[0])
         found = _found(_values(more.filter(pc.not_equal(more["part"], -1)), "blob"))
         alive = np.unpackbits(np.frombuffer(_values(state, "blob")[0], np.uint8), count=len(data)).astype(bool)
         settled, left = [tuple(_unpack(_values(state, "settled"), SETTLED))], []
-        for lo, hi in S.pieces(off):
+        for lo, hi in S.pieces(off, PIECE_BYTES):
             live = alive[off[lo] : off[hi]]
             if not live.any():
                 continue
@@ -366,74 +424,21 @@ def _round_three(window: int):
             settled.append(_absolute(b, lo, *chunks))
             at = np.flatnonzero(live & own & ~b.settled(*chunks[:2]))
             row = b.row(at)
-            raw = np.zeros((len(at), words * 8), np.uint8)
-            raw[:, :window] = b.data[at[:, None] + np.arange(window)] if len(at) else 0
-            tokens = raw.view(">u8").astype(np.uint64)
-            left.append((*tokens.T, b.doc[row], at - b.first[row], (row + lo).astype(np.uint32)))
-        columns = [np.concatenate(x) for x in zip(*left)] if left else [np.zeros(0, k) for k in _suffix_kinds(words)]
-        some = np.random.default_rng(block).random(len(columns[0])) < SAMPLED
-        sample = _pack(*(c[some] for c in columns[: words + 1]))
-        row = (block, len(columns[0]), _pack(*columns), sample, _pack(*(np.concatenate(x) for x in zip(*settled))))
-        return _table([row], LEFT_NAMES, LEFT_KINDS)
+            left.append((*_tokens(b, at, window), at - b.first[row], (row + lo).astype(np.uint32)))
+        out = [(-1, block, None, _pack(*(np.concatenate(x) for x in zip(*settled))))]
+        if left:
+            columns = [np.concatenate(x) for x in zip(*left)]
+            bucket = bucket_of(columns[: words + 1], split)
+            order = np.argsort(bucket, kind="stable")
+            edge = np.searchsorted(bucket[order], np.arange(len(split[0]) + 2))
+            for i in np.flatnonzero(edge[1:] > edge[:-1]):
+                o = order[edge[i] : edge[i + 1]]
+                out.append((int(i), block, _pack(*(c[o] for c in columns)), None))
+        return _table(out, LEFT_NAMES, LEFT_KINDS)
 
     return work
 
 
-def _thinned(words: int, share: float):
-    kinds = ("<u8",) * words + ("<i8",)
-
-    def run(batches):
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            columns = _unpack(_values(t, "sample"), kinds)
-            some = np.random.default_rng(len(columns[0])).random(len(columns[0])) < share
-            yield from _table([(_pack(*(c[some] for c in columns)),)], ["sample"], [pa.binary()]).to_batches()
-
-    return run
-
-
-def splitters(sample: list[np.ndarray], buckets: int) -> list[np.ndarray]:
-    """Of sampled rows (their columns, the most important first): the rows at the edges of equal shares."""
-    order = np.lexsort(sample[::-1])
-    at = np.unique(np.arange(1, buckets) * len(order) // buckets)
-    return [c[order[at]] if len(order) else c[:0] for c in sample]
-
-
-def bucket_of(columns: list[np.ndarray], split: list[np.ndarray]) -> np.ndarray:
-    """How many splitters are not above each row."""
-    lo, hi = np.searchsorted(split[0], columns[0], "left"), np.searchsorted(split[0], columns[0], "right")
-    open_ = np.flatnonzero(lo < hi)  # the first columns are equal: halve by all of them
-    while len(open_):
-        mid = (lo[open_] + hi[open_]) // 2
-        above, tied = np.zeros(len(open_), bool), np.ones(len(open_), bool)
-        for c, s in zip(columns, split):
-            above |= tied & (s[mid] > c[open_])
-            tied &= s[mid] == c[open_]
-        hi[open_] = np.where(above, mid, hi[open_])
-        lo[open_] = np.where(above, lo[open_], mid + 1)
-        open_ = open_[lo[open_] < hi[open_]]
-    return lo
-
-
-def _dealt(words: int, split):
-    """Rows of bucket, block and packed suffixes."""
-    kinds = _suffix_kinds(words)
-
-    def run(batches):
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            for block, value in zip(t["block"].to_pylist(), _values(t, "suffixes")):
-                columns = _unpack([value], kinds)
-                bucket = bucket_of(columns[: words + 1], split)
-                order = np.argsort(bucket, kind="stable")
-                bucket = bucket[order]
-                cut = np.append(np.flatnonzero(np.concatenate([np.ones(min(1, len(bucket)), bool), bucket[1:] != bucket[:-1]])), len(bucket))
-                rows = [(int(bucket[a]), block, _pack(*(c[order[a:z]] for c in columns))) for a, z in zip(cut[:-1], cut[1:])]
-                yield from _table(rows, ["bucket", "block", "blob"], [pa.int64(), pa.int64(), pa.binary()]).to_batches()
-
-    return run
-
-
 def multikey_quicksort(columns: list[np.ndarray], cutoff: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """Order of rows by all columns, and which differ from the row before.
 
@@ -524,8 +529,8 @@ def _sort_bucket(words: int):
     return run
 
 
-def _repeated(sent: DataFrame) -> DataFrame:
-    return S.materialize(S.by_group(sent, ["part"]).mapInArrow(_answers, "block long, blob binary"), "hits")
+def _repeated(sent: DataFrame, parts: int) -> DataFrame:
+    return S.materialize(sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_answers, "block long, blob binary"), "hits")
 
 
 def _parts(spark, least: int) -> int:
@@ -533,9 +538,9 @@ def _parts(spark, least: int) -> int:
 
 
 def text_blocks(docs: DataFrame) -> DataFrame:
-    """block, i, doc_id, text and size of all rows, written once."""
+    """block, size (bytes of text) and texts (compressed, with the documents) of all rows, written once."""
     S.ship(docs.sparkSession)
-    return S.materialize(S.texts(docs).mapInArrow(_in_blocks, "block long, i long, doc_id long, text string, size long"), "blocks")
+    return S.materialize(S.texts(docs).mapInArrow(_in_blocks, "block long, size long, texts binary"), "blocks")
 
 
 def repeated_suffixes(blocks: DataFrame, window: int = 50) -> DataFrame:
@@ -545,22 +550,25 @@ def repeated_suffixes(blocks: DataFrame, window: int = 50) -> DataFrame:
         raise ValueError("window is too short for the anchors")
     spark = blocks.sparkSession
     parts = _parts(spark, -(-(blocks.agg(F.sum("size")).first()[0] or 0) // PART_BYTES))
-    texts = blocks.select("block", "i", "doc_id", "text")
-    hits = _repeated(texts.mapInArrow(_round_one(window, parts), SENT).select("part", "block", "blob"))
+    texts = blocks.select("block", "texts")
+    hits = _repeated(texts.mapInArrow(_round_one(window, parts), SENT).select("part", "block", "blob"), parts)
     two = S.materialize(texts.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(_round_two(window, parts), SENT), "asked")
     S.drop_table(hits)
-    hits = _repeated(two.where("part >= 0").select("part", "block", "blob"))
-    state = two.where("part < 0").select("part", "block", "blob", "settled")
+    kinds = ("<u8",) * words + ("<i8",)
+    sample = two.where("part = -2").select("blob")
+    size = sum(np.dtype(k).itemsize for k in kinds)
+    n = (sample.agg(F.sum(F.octet_length("blob"))).first()[0] or 0) // size
+    buckets = _parts(spark, -(-int(n / SAMPLED) // BUCKET_ROWS))
+    thin = sample.mapInArrow(_thinned(words, min(1.0, SAMPLES * buckets / max(1, n))), "blob binary")
+    split = splitters(_unpack([bytes(r.blob) for r in thin.collect()], kinds), buckets)
+    hits = _repeated(two.where("part >= 0").select("part", "block", "blob"), parts)
+    state = S.materialize(two.where("part = -1"), "state")
+    S.drop_table(two)
     more = state.unionAll(hits.select(F.lit(0).cast("long"), "block", "blob", F.lit(None).cast("binary")))
-    three = S.materialize(texts.groupBy("block").cogroup(more.groupBy("block")).applyInArrow(_round_three(window), LEFT), "suffixes")
+    three = S.materialize(texts.groupBy("block").cogroup(more.groupBy("block")).applyInArrow(_round_three(window, split), LEFT), "suffixes")
     S.drop_table(hits)
-    S.drop_table(two)
-    n = three.agg(F.sum("n")).first()[0] or 0
-    buckets = _parts(spark, -(-n // BUCKET_ROWS))
-    thin = three.select("sample").mapInArrow(_thinned(words, min(1.0, SAMPLES * buckets / max(1.0, n * SAMPLED))), "sample binary")
-    split = splitters(_unpack([bytes(r.sample) for r in thin.collect()], ("<u8",) * words + ("<i8",)), buckets)
-    dealt = three.where("n > 0").select("block", "suffixes").mapInArrow(_dealt(words, split), "bucket long, block long, blob binary")
-    ordered = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    S.drop_table(state)
+    ordered = three.where("bucket >= 0").select("bucket", "block", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     sorted_ = S.materialize(ordered.mapInArrow(_sort_bucket(words), BUCKET), "buckets")
     # across boundaries: a bucket's first run goes on from those whose last run is of the same string
     edges = sorted_.where("block is null")
@@ -570,12 +578,12 @@ def repeated_suffixes(blocks: DataFrame, window: int = 50) -> DataFrame:
     first = rows.where("bucket is not null").join(ends, "bucket").where("before < least")
     found = rows.where("bucket is null").select("block", "places").unionAll(first.select("block", "places"))
     nothing = F.lit(None).cast("binary")
-    return found.select("block", nothing.alias("settled"), "places").unionAll(three.select("block", "settled", nothing))
+    return found.select("block", nothing.alias("settled"), "places").unionAll(three.where("bucket = -1").select("block", "settled", nothing))
 
 
 def _cut(window: int):
     def work(rows: pa.Table, removed: pa.Table) -> pa.Table:
-        (data, off), _, t = _rows(rows)
+        data, off, (doc, valid) = _block_of(_values(rows, "texts")[0])
         n, total = len(off) - 1, len(data)
         mark = np.zeros(total + 1, np.int32)
         row, begin, end = _unpack(_values(removed.filter(removed["settled"].is_valid()), "settled"), SETTLED)
@@ -591,7 +599,7 @@ def _cut(window: int):
         spans, away = (np.concatenate([[0], np.cumsum(x)]) for x in (gone & ~before, gone))
         kept = np.concatenate([[0], np.cumsum(~gone)])[off]
         raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(kept.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[~gone]))])
-        columns = [t["doc_id"].combine_chunks(), pa.array(np.diff(off)), pa.array(np.diff(away[off])), pa.array(np.diff(spans[off])), raw.cast(pa.binary())]
+        columns = [pa.array(doc, mask=~valid), pa.array(np.diff(off)), pa.array(np.diff(away[off])), pa.array(np.diff(spans[off])), raw.cast(pa.binary())]
         return pa.Table.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return work
@@ -601,7 +609,7 @@ def suffix_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that stay) of every row."""
     blocks = text_blocks(docs)
     removed = repeated_suffixes(blocks, window)
-    texts = blocks.select("block", "i", "doc_id", "text")
+    texts = blocks.select("block", "texts")
     return texts.groupBy("block").cogroup(removed.groupBy("block")).applyInArrow(_cut(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
