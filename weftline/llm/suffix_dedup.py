@@ -47,7 +47,7 @@ BUCKET_ROWS, SAMPLES, SAMPLED = 250_000, 64, 1 / 256
 ASKED = ("<u8", "<u8", "<i8", "<u4", "u1")  # both hashes, least document, how often, whether in several documents
 FOUND = ("<u8", "<u8", "<i8", "<i8")  # both hashes, least document and how often, over all blocks
 SETTLED = ("<i8", "<i8", "<i8")  # row of the block, begin, end
-PLACES = ("<u4", "<i8")  # row of the block, place
+PLACES = ("<u4", "<u4")  # row of the block, place
 NONE = np.zeros(0, np.int64)
 
 
@@ -304,8 +304,8 @@ def _answers(batches):
             rows = []
             for i in np.flatnonzero(edge[1:] > edge[:-1]):
                 o, r = order[edge[i] : edge[i + 1]], run[edge[i] : edge[i + 1]]
-                rows.append((block[i], _pack(h1[o], h2[o], least[r], total[r])))
-            yield from _table(rows, ["block", "blob"], [pa.int64(), pa.binary()]).to_batches()
+                rows.append((block[i], _pack(h1[o], h2[o], least[r], total[r]), int((h2[o] == 0).sum())))
+            yield from _table(rows, ["block", "blob", "anchors"], [pa.int64(), pa.binary(), pa.int64()]).to_batches()
 
 
 def _found(values):
@@ -314,11 +314,34 @@ def _found(values):
     return [x[order] for x in f]
 
 
-def _tokens(b: _Bytes, at, window: int) -> list[np.ndarray]:
-    """Of the suffixes at some places: their first bytes, eight to a number, and their documents."""
-    raw = np.zeros((len(at), -(-window // 8) * 8), np.uint8)
-    raw[:, :window] = np.lib.stride_tricks.sliding_window_view(b.data, window)[at] if len(at) else 0
-    return [*raw.view(">u8").astype(np.uint64).T, b.doc[b.row(at)]]
+def _strings(b: _Bytes, at, window: int) -> np.ndarray:
+    """The first bytes of the suffixes at some places."""
+    return np.lib.stride_tricks.sliding_window_view(b.data, window)[at] if len(at) else np.zeros((0, window), np.uint8)
+
+
+def _tokens(strings: np.ndarray) -> list[np.ndarray]:
+    """Strings as numbers of eight bytes each, in byte order."""
+    n, window = strings.shape
+    raw = np.zeros((n, -(-window // 8) * 8), np.uint8)
+    raw[:, :window] = strings
+    return list(raw.view(">u8").astype(np.uint64).T)
+
+
+def _pack_suffixes(strings, doc, row, pos) -> bytes:
+    return _pack(np.array([len(doc)])) + pa.compress(_pack(strings, doc, row, pos), "zstd", asbytes=True)
+
+
+def _unpack_suffixes(values, window: int):
+    """Tokens, documents, rows and places of all packed suffixes, and how many each value has."""
+    size, parts = [], []
+    for v in values:
+        n = int(np.frombuffer(v, np.int64, 1)[0])
+        raw = pa.decompress(memoryview(v)[8:], decompressed_size=n * (window + 16), codec="zstd")
+        at = n * window
+        parts.append((np.frombuffer(raw, np.uint8, at).reshape(n, window), np.frombuffer(raw, np.int64, n, at), np.frombuffer(raw, np.uint32, n, at + 8 * n), np.frombuffer(raw, np.uint32, n, at + 12 * n)))
+        size.append(n)
+    strings, doc, row, pos = (np.concatenate(x) for x in zip(*parts))
+    return _tokens(strings), doc, row, pos, size
 
 
 def _thinned(words: int, share: float):
@@ -376,7 +399,8 @@ def _round_two(window: int, parts: int):
                 alive[off[lo] : off[hi]] = left
                 settled.append(_absolute(b, lo, *chunks))
                 some = np.flatnonzero(left)
-                sample.append(_tokens(b, some[chance.random(len(some)) < SAMPLED], window))
+                some = some[chance.random(len(some)) < SAMPLED]
+                sample.append((*_tokens(_strings(b, some, window)), b.doc[b.row(some)]))
                 b.grams(1, left)
                 asked.append(b.asked())
             out = [(*q, None) for q in _questions(block, asked, parts)]
@@ -396,14 +420,8 @@ LEFT_NAMES, LEFT_KINDS = ["bucket", *SENT_NAMES[1:]], SENT_KINDS
 LEFT = "bucket long, block long, blob binary, settled binary"
 
 
-def _suffix_kinds(words: int):
-    """Of a suffix: its tokens, its document, its place and its row of the block."""
-    return ("<u8",) * words + ("<i8", "<i8", "<u4")
-
-
 def _round_three(window: int, split: list[np.ndarray]):
     """The suffixes to sort, by bucket, and in bucket -1 all that is settled."""
-    words = -(-window // 8)
 
     def work(rows: pa.Table, more: pa.Table) -> pa.Table:
         state = more.filter(pc.equal(more["part"], -1))
@@ -424,16 +442,16 @@ def _round_three(window: int, split: list[np.ndarray]):
             settled.append(_absolute(b, lo, *chunks))
             at = np.flatnonzero(live & own & ~b.settled(*chunks[:2]))
             row = b.row(at)
-            left.append((*_tokens(b, at, window), at - b.first[row], (row + lo).astype(np.uint32)))
+            left.append((_strings(b, at, window), b.doc[row], (row + lo).astype(np.uint32), (at - b.first[row]).astype(np.uint32)))
         out = [(-1, block, None, _pack(*(np.concatenate(x) for x in zip(*settled))))]
         if left:
             columns = [np.concatenate(x) for x in zip(*left)]
-            bucket = bucket_of(columns[: words + 1], split)
+            bucket = bucket_of([*_tokens(columns[0]), columns[1]], split)
             order = np.argsort(bucket, kind="stable")
             edge = np.searchsorted(bucket[order], np.arange(len(split[0]) + 2))
             for i in np.flatnonzero(edge[1:] > edge[:-1]):
                 o = order[edge[i] : edge[i + 1]]
-                out.append((int(i), block, _pack(*(c[o] for c in columns)), None))
+                out.append((int(i), block, _pack_suffixes(*(c[o] for c in columns)), None))
         return _table(out, LEFT_NAMES, LEFT_KINDS)
 
     return work
@@ -495,21 +513,19 @@ BUCKET_NAMES = [x.split()[0] for x in BUCKET.split(", ")]
 BUCKET_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
 
 
-def _sort_bucket(words: int):
+def _sort_bucket(window: int):
     """Of each bucket: the places of each block that go.
 
     The first run may begin in a bucket before, so its least document's places come with ``bucket`` and ``least``; one
     more row, without places, tells the bucket's first and last run.
     """
-    kinds = _suffix_kinds(words)
-    width = sum(np.dtype(k).itemsize for k in kinds)
 
     def run(batches):
         for t, cut in S.whole_groups(batches, ["bucket"]):
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
                 values, block, bucket = _values(t[lo:hi], "blob"), t["block"][lo:hi].to_pylist(), t["bucket"][lo].as_py()
-                by = np.repeat(np.arange(hi - lo), [len(v) // width for v in values])
-                *tokens, doc, pos, row = _unpack(values, kinds)
+                tokens, doc, row, pos, size = _unpack_suffixes(values, window)
+                by = np.repeat(np.arange(hi - lo), size)
                 order, new = multikey_quicksort(tokens)
                 run_of = np.cumsum(new) - 1
                 least = np.minimum.reduceat(doc[order], np.flatnonzero(new))
@@ -530,7 +546,7 @@ def _sort_bucket(words: int):
 
 
 def _repeated(sent: DataFrame, parts: int) -> DataFrame:
-    return S.materialize(sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_answers, "block long, blob binary"), "hits")
+    return S.materialize(sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_answers, "block long, blob binary, anchors long"), "hits")
 
 
 def _parts(spark, least: int) -> int:
@@ -558,10 +574,12 @@ def repeated_suffixes(blocks: DataFrame, window: int = 50) -> DataFrame:
     sample = two.where("part = -2").select("blob")
     size = sum(np.dtype(k).itemsize for k in kinds)
     n = (sample.agg(F.sum(F.octet_length("blob"))).first()[0] or 0) // size
-    buckets = _parts(spark, -(-int(n / SAMPLED) // BUCKET_ROWS))
+    hits = _repeated(two.where("part >= 0").select("part", "block", "blob"), parts)
+    # an anchor that repeats leaves about so many suffixes; the splitters are of all that the first round left
+    each = (window - ROUNDS[1][0] + 2) // 2
+    buckets = _parts(spark, -(-(hits.agg(F.sum("anchors")).first()[0] or 0) * each // BUCKET_ROWS))
     thin = sample.mapInArrow(_thinned(words, min(1.0, SAMPLES * buckets / max(1, n))), "blob binary")
     split = splitters(_unpack([bytes(r.blob) for r in thin.collect()], kinds), buckets)
-    hits = _repeated(two.where("part >= 0").select("part", "block", "blob"), parts)
     state = S.materialize(two.where("part = -1"), "state")
     S.drop_table(two)
     more = state.unionAll(hits.select(F.lit(0).cast("long"), "block", "blob", F.lit(None).cast("binary")))
@@ -569,7 +587,7 @@ def repeated_suffixes(blocks: DataFrame, window: int = 50) -> DataFrame:
     S.drop_table(hits)
     S.drop_table(state)
     ordered = three.where("bucket >= 0").select("bucket", "block", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    sorted_ = S.materialize(ordered.mapInArrow(_sort_bucket(words), BUCKET), "buckets")
+    sorted_ = S.materialize(ordered.mapInArrow(_sort_bucket(window), BUCKET), "buckets")
     # across boundaries: a bucket's first run goes on from those whose last run is of the same string
     edges = sorted_.where("block is null")
     ends = edges.groupBy(F.col("last").alias("first")).agg(F.min("last_least").alias("before"))
