@@ -164,3 +164,29 @@ def artifact_label(c: Column) -> Column:
 def transition(a: Column, b: Column) -> Column:
     a, b = F.lower(a), F.lower(b)
     return first_of([(b.rlike("order|request|booking"), "Creates"), (b.rlike("payment|transaction"), "Triggers"), (b.rlike("record|log|history"), "Recorded in"), (a.rlike("cart|basket"), "Submitted as")], "Flows to")
+
+
+#: Words of a component's name and symbols, in order, and the purpose that they tell.
+PURPOSES = [
+    ("extract|parser|reader|load", "Handles data extraction and parsing from raw inputs"),
+    ("engine|processor|compute", "Core processing engine for business logic execution"),
+    ("model|entity|schema|dto", "Defines domain models and data structures"),
+    ("repo|database|store|cache", "Manages data persistence and retrieval"),
+    ("api|controller|router|handler", "Provides public API endpoints and request routing"),
+    ("auth|security|token|login", "Manages authentication and security controls"),
+    ("config|settings|env", "Handles application configuration and environment settings"),
+    ("util|helper|common", "Provides shared utilities and helper functions"),
+    ("ui|view|render|template", "Manages presentation and user interface rendering"),
+    ("diagram|mermaid|visual", "Generates visual diagrams and architectural representations"),
+    ("document|docx|pdf|export", "Handles document generation and export"),
+    ("comment|docstring|annotate", "Manages code documentation and semantic comments"),
+    ("semantic|ir|knowledge|graph|translator", "Manages knowledge graph translation and semantic IR building"),
+]
+
+
+def purpose(name: Column, symbols: Column, has_endpoints: Column) -> Column:
+    """A sentence on what a component with these symbols (a text) is for."""
+    text, human = F.lower(F.concat_ws(" ", name, symbols)), title(F.replace(name, F.lit("_"), F.lit(" ")))
+    by_api = F.concat(F.lit("Exposes REST API endpoints for "), human, F.lit(" operations and external integration."))
+    otherwise = F.when(has_endpoints, by_api).otherwise(F.concat(F.lit("Manages "), human, F.lit(" operations and logic within the domain.")))
+    return first_of([(text.rlike(words), F.lit(says + ".")) for words, says in PURPOSES], otherwise)
