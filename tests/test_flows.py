@@ -80,3 +80,28 @@ def test_empty_tables(spark):
     assert rows(flw.trace(g, flw.seeds(g.nodes), ["R"], 3)) == rows(flw.trace(g, flw.seeds(g.nodes), ["R"], 3, most=2)) == []
     assert rows(flw.endpoint_flows(g, g.nodes, ["R"], ["R"])) == rows(flw.positions(g)) == rows(flw.relation_sections(g)) == rows(flw.virtual_edges(g)) == []
     assert rows(flw.longest_paths(g.edges.selectExpr("from_id a", "to_id b"))) == []
+
+
+def test_detectors(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.functions import rules
+
+    t = spark.createDataFrame([("a", "f", "amqp and KafkaProducer.send"), ("a", "g", "a celery task for spark"), ("a", "hu", "a huey task"), ("b", "h", "on_event handler"), ("b", "i", "kafkaesque redis"), ("b", "j", None), ("b", "k", ""), ("c", "l", "DAG dataflow nats")], "path string, name string, t string")
+    bus = rules.detected(F.col("t"), rules.BUSES, rules.BUS_NAMES, "EventBus")
+    flow = rules.detected(F.col("t"), rules.PIPELINES, rules.PIPELINE_NAMES, "ETL")
+    assert rows(t.select("name", F.coalesce(bus, F.lit("-")), F.coalesce(flow, F.lit("-")))) == [("f", "Kafka", "-"), ("g", "TaskQueue", "Spark"), ("h", "EventBus", "-"), ("hu", "EventBus", "-"), ("i", "-", "-"), ("j", "-", "-"), ("k", "-", "-"), ("l", "NATS", "Airflow")]
+    assert rows(flw.message_edges(t, F.col("t")).select("from_key", "relation")) == [("EVENT_BUS::EventBus::b", "SUBSCRIBES_FROM"), ("a::f", "PUBLISHES_TO"), ("a::g", "CALLS"), ("c::l", "CALLS")]
+
+
+def test_names(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.functions import rules
+
+    m = spark.createDataFrame([("get",), ("fetch_x",), ("checksum",), ("build_it",), ("Run_It",), ("_",), (None,)], "m string")
+    # the cut is of fixed length, as in the reference, so a longer verb leaves its end behind
+    got = {r[0]: r[1] for r in m.select("m", rules.described(F.col("m"))).collect()}
+    assert got == {"get": "Returns data.", "fetch_x": "Returns ch x.", "checksum": "Validates input.", "build_it": "Builds it.", "Run_It": "Run it.", "_": " .", None: None}
+    t = spark.createDataFrame([("user_id",), ("created_at",), ("flag",), ("x",), (None,)], "f string")
+    assert {r[0]: (r[1], r[2]) for r in t.select("f", rules.type_of_name(F.col("f"), rules.SQL_TYPES, "?"), rules.type_of_name(F.col("f"), rules.PYTHON_TYPES, "str")).collect()} == {"user_id": ("INTEGER", "int"), "created_at": ("TIMESTAMP", "datetime"), "flag": ("BOOLEAN", "str"), "x": ("?", "str"), None: ("?", "str")}

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import on_graph, query
-from .catalog_rules import TITLE, on_symbols
+from .catalog_rules import TITLE, cases, on_symbols
 from .functions import rules
 from .operators import aggregates as agg
 from .operators import flows as flw
 from .operators import relational as rel
 from .operators import renderers as out
 from .plans.graph import Graph, table
+from .plans.symbols import _list, _pick
 
 #: What a customer reaches over orders and parts, at its least depth.
 REACHED = "r AS (SELECT id AS seed, id, 0 AS depth FROM g_nodes WHERE node_type = 'CUSTOMER' UNION ALL SELECT DISTINCT from_id, to_id, 1 FROM g_edges WHERE relation = 'PLACES' UNION ALL SELECT DISTINCT a.from_id, b.to_id, 2 FROM g_edges a JOIN g_edges b ON a.to_id = b.from_id WHERE a.relation = 'PLACES' AND b.relation = 'CONTAINS')"
@@ -155,3 +156,49 @@ def _(spark, d):
 def _(spark, d):
     parts = table(spark, d, "part").select(F.element_at(F.split("p_name", " "), -1).alias("capability"))
     return parts.groupBy("capability").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "capability").limit(7)
+
+
+# --- detectors ---------------------------------------------------------------------------------
+#: Texts and names that the detectors are to find, dealt to symbols and parts by their key.
+USES = ["KafkaProducer.send(x)", "amqp consume", "huey task", "emit(order)", "bull queue handler", "nats on_message", "plain", "postgres://h/db", "import redis", "from pymongo import x", "mysql+pymysql://h", "sqlite:///x", "airflow dag"]
+FIELDS = ["customer_id", "created", "is_active", "price", "qty", "email", "notes", "tags", "item_map", "log_dir", "total", "status"]
+METHODS = ["get_order", "get", "update_stock", "build", "create_part", "parse_file", "validate_all", "Run_Fast", "check"]
+USED_SQL = f", u AS (SELECT *, body || ' ' || {_list(USES)}[id % {len(USES)} + 1] AS t FROM sym)"
+
+
+def used():
+    return F.concat("body", F.lit(" "), _pick(USES, F.col("id")))
+
+
+def token_sql(patterns) -> str:
+    return "lower(coalesce(" + ", ".join(f"nullif(regexp_extract(t, '{p}', 1), '')" for p in patterns) + "))"
+
+
+DETECTED_SQL = f"{USED_SQL}, k AS (SELECT *, {token_sql(rules.BUSES)} AS b, {token_sql(rules.PIPELINES)} AS p FROM u), d AS (SELECT *, CASE WHEN b IS NOT NULL THEN {cases('b', rules.BUS_NAMES, repr('EventBus'))} END AS bus, CASE WHEN p IS NOT NULL THEN {cases('p', rules.PIPELINE_NAMES, repr('ETL'))} END AS pipeline FROM k)"
+
+
+@on_symbols("fun_18_detected", DETECTED_SQL + " SELECT id, bus, pipeline FROM d")
+def _(s):
+    return s.select("id", rules.detected(used(), rules.BUSES, rules.BUS_NAMES, "EventBus").alias("bus"), rules.detected(used(), rules.PIPELINES, rules.PIPELINE_NAMES, "ETL").alias("pipeline"))
+
+
+@on_symbols("tag_04_message_edges", DETECTED_SQL + f" SELECT path || '::' || name AS from_key, 'EVENT_BUS::' || bus || '::' || path AS to_key, 'PUBLISHES_TO' AS relation FROM d WHERE bus IS NOT NULL AND regexp_matches(lower(t), '{rules.PUBLISHES}') UNION SELECT 'EVENT_BUS::' || bus || '::' || path, path || '::' || name, 'SUBSCRIBES_FROM' FROM d WHERE bus IS NOT NULL AND regexp_matches(lower(t), '{rules.SUBSCRIBES}') UNION SELECT path || '::' || name, 'DATA_PIPELINE::' || pipeline || '::' || name, 'CALLS' FROM d WHERE pipeline IS NOT NULL")
+def _(s):
+    return flw.message_edges(s, used())
+
+
+@on_symbols("ext_10_databases", USED_SQL + " SELECT path, string_agg(DISTINCT name, ',' ORDER BY name) AS databases FROM (" + " UNION ALL ".join(f"SELECT path, '{n}' AS name FROM u WHERE regexp_matches(t, '{p}')" for p, n in rules.DATABASES) + ") GROUP BY path")
+def _(s):
+    found = s.select("path", F.explode(rules.databases(used())).alias("name"))
+    return found.groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("databases"))
+
+
+@query("fun_20_types", f"SELECT p_partkey, {cases('lower(f)', rules.SQL_TYPES, repr('VARCHAR(255)'))} AS sql_type, {cases('lower(f)', rules.PYTHON_TYPES, repr('str'))} AS python_type FROM (SELECT p_partkey, {_list(FIELDS)}[p_partkey % {len(FIELDS)} + 1] AS f FROM part)")
+def _(spark, d):
+    f = _pick(FIELDS, F.col("p_partkey"))
+    return table(spark, d, "part").select("p_partkey", rules.type_of_name(f, rules.SQL_TYPES, "VARCHAR(255)").alias("sql_type"), rules.type_of_name(f, rules.PYTHON_TYPES, "str").alias("python_type"))
+
+
+@query("fun_21_descriptions", "SELECT p_partkey, CASE " + " ".join(f"WHEN regexp_matches(lower(m), '^({w})') THEN '{a}' || coalesce(nullif(trim(replace(substr(lower(m), {cut + 1}), '_', ' ')), ''), '{e}') || '{b}'" for w, cut, a, b, e in rules.METHOD_WORDS) + f" ELSE upper(substr(m, 1, 1)) || lower(substr(replace(m, '_', ' '), 2)) || '.' END AS says FROM (SELECT p_partkey, {_list(METHODS)}[p_partkey % {len(METHODS)} + 1] AS m FROM part)")
+def _(spark, d):
+    return table(spark, d, "part").select("p_partkey", rules.described(_pick(METHODS, F.col("p_partkey"))).alias("says"))

@@ -190,3 +190,45 @@ def purpose(name: Column, symbols: Column, has_endpoints: Column) -> Column:
     by_api = F.concat(F.lit("Exposes REST API endpoints for "), human, F.lit(" operations and external integration."))
     otherwise = F.when(has_endpoints, by_api).otherwise(F.concat(F.lit("Manages "), human, F.lit(" operations and logic within the domain.")))
     return first_of([(text.rlike(words), F.lit(says + ".")) for words, says in PURPOSES], otherwise)
+
+
+#: Patterns of message buses and data pipelines, in order, and the names of what they find.
+BUSES = [r"(?i)\b(kafka|KafkaProducer|KafkaConsumer)\b", r"(?i)\b(rabbit|RabbitMQ|amqp)\b", r"(?i)\b(celery|dramatiq|huey)\b", r"(?i)\b(EventBus|MessageBus|eventbus)\b", r"(?i)\b(pubsub|publish|subscribe|emit|on_event)\b", r"(?i)\b(redis_queue|bull|nats)\b"]
+BUS_NAMES = [("kafka", "Kafka"), ("rabbit|amqp", "RabbitMQ"), ("celery|dramatiq", "TaskQueue"), ("redis", "Redis"), ("nats", "NATS")]
+PIPELINES = [r"(?i)\b(spark|pyspark|SparkSession)\b", r"(?i)\b(airflow|dag|luigi)\b", r"(?i)\b(etl|extract_transform|data_pipeline)\b", r"(?i)\b(beam|flink|dataflow)\b"]
+PIPELINE_NAMES = [("spark", "Spark"), ("airflow|dag", "Airflow"), ("beam", "Beam"), ("flink", "Flink")]
+PUBLISHES, SUBSCRIBES = "produce|publish|send|emit|dispatch", "consume|subscribe|on_|listener|handler"
+#: Parts of a field's name, in order, and the type that they tell.
+SQL_TYPES = [("_id|id", "INTEGER"), ("_at|date|time|created|updated|deleted", "TIMESTAMP"), ("is_|has_|enabled|active|flag", "BOOLEAN"), ("price|amount|cost|balance|rate", "DECIMAL(10,2)"), ("count|qty|quantity|num|age|score", "INTEGER"), ("email|url|path|name|title|desc", "VARCHAR(255)"), ("body|content|text|description|notes", "TEXT")]
+PYTHON_TYPES = [("_id|count|num|qty|age", "int"), ("price|rate|amount|score", "float"), ("is_|has_|enabled|active", "bool"), ("_at|date|time|created|updated", "datetime"), ("items|tags|list|roles", "List")]
+#: Beginnings of a method's name, in order, how many characters are cut, what stands around the rest, and what if nothing is left.
+METHOD_WORDS = [("get|fetch|load", 3, "Returns ", ".", "data"), ("set|update|save", 3, "Updates ", ".", "data"), ("build|create|generate", 5, "Builds ", ".", "object"), ("extract|parse|analyze", 7, "Extracts ", " from input.", "data"), ("validate|check|verify", 8, "Validates ", ".", "input")]
+#: Connection strings and imports, and the database that they tell.
+DATABASES = [("sqlite:///|(import|from)\\s+sqlite3", "SQLite"), ("postgres(ql)?://|(import|from)\\s+psycopg2", "PostgreSQL"), ("mysql(\\+pymysql)?://|(import|from)\\s+pymysql", "MySQL"), ("mongodb(\\+srv)?://|(import|from)\\s+pymongo", "MongoDB"), ("redis://|(import|from)\\s+redis", "Redis")]
+
+
+def detected(text: Column, patterns: list[str], names: list[tuple[str, str]], otherwise: str) -> Column:
+    """The name of what the first pattern that matches has found; null without a match."""
+    token = F.lower(F.coalesce(*(F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns)))
+    return F.when(token.isNotNull(), first_of([(token.rlike(words), F.lit(n)) for words, n in names], F.lit(otherwise)))
+
+
+def type_of_name(name: Column, types: list[tuple[str, str]], otherwise: str) -> Column:
+    return first_of([(F.lower(name).rlike(words), F.lit(t)) for words, t in types], F.lit(otherwise))
+
+
+def described(name: Column) -> Column:
+    """A sentence on what a method does, from how its name begins."""
+    low = F.lower(name)
+
+    def noun(cut: int, empty: str) -> Column:
+        return F.coalesce(F.nullif(F.trim(F.replace(F.substring(low, cut + 1, 1 << 30), F.lit("_"), F.lit(" "))), F.lit("")), F.lit(empty))
+
+    human = F.replace(name, F.lit("_"), F.lit(" "))
+    own = F.concat(F.upper(F.substring(human, 1, 1)), F.lower(F.substring(human, 2, 1 << 30)), F.lit("."))
+    return first_of([(low.rlike(f"^({words})"), F.concat(F.lit(before), noun(cut, empty), F.lit(after))) for words, cut, before, after, empty in METHOD_WORDS], own)
+
+
+def databases(text: Column) -> Column:
+    """An array of the databases that a text connects to or imports."""
+    return F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(n)) for p, n in DATABASES)))

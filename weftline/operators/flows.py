@@ -167,3 +167,14 @@ def change_script(nodes: DataFrame, edges: DataFrame, gone: DataFrame, size: int
     linked = agg.chunks(out.edge_statements(edges).select("from_id", "to_id", "line"), ["from_id", "to_id"], size).select(F.lit("edge").alias("kind"), "batch", "line")
     drop = F.concat(F.lit("MATCH (n) WHERE n.partition_id = "), out.quoted(F.col("partition")), F.lit(" DETACH DELETE n;"))
     return added.unionByName(linked).unionByName(gone.select(F.lit("delete").alias("kind"), F.lit(0).cast("long").alias("batch"), drop.alias("line")))
+
+
+def message_edges(sym: DataFrame, text) -> DataFrame:
+    """from_key, to_key, relation: symbols that publish to a bus, buses that symbols hear, and the pipelines that symbols run."""
+    own = F.concat_ws("::", "path", "name")
+    found = sym.select(own.alias("own"), "path", "name", F.lower(text).alias("low"), rules.detected(text, rules.BUSES, rules.BUS_NAMES, "EventBus").alias("bus"), rules.detected(text, rules.PIPELINES, rules.PIPELINE_NAMES, "ETL").alias("pipeline"))
+    bus, flow = F.concat_ws("::", F.lit("EVENT_BUS"), "bus", "path"), F.concat_ws("::", F.lit("DATA_PIPELINE"), "pipeline", "name")
+    edge = lambda a, b, r: F.struct(a.alias("from_key"), b.alias("to_key"), F.lit(r).alias("relation"))
+    on = F.col("bus").isNotNull()
+    edges = [F.when(on & F.col("low").rlike(rules.PUBLISHES), edge(F.col("own"), bus, "PUBLISHES_TO")), F.when(on & F.col("low").rlike(rules.SUBSCRIBES), edge(bus, F.col("own"), "SUBSCRIBES_FROM")), F.when(F.col("pipeline").isNotNull(), edge(F.col("own"), flow, "CALLS"))]
+    return found.select(F.explode(F.array_compact(F.array(*edges))).alias("e")).select("e.*").distinct()
