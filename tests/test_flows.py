@@ -105,3 +105,17 @@ def test_names(spark):
     assert got == {"get": "Returns data.", "fetch_x": "Returns ch x.", "checksum": "Validates input.", "build_it": "Builds it.", "Run_It": "Run it.", "_": " .", None: None}
     t = spark.createDataFrame([("user_id",), ("created_at",), ("flag",), ("x",), (None,)], "f string")
     assert {r[0]: (r[1], r[2]) for r in t.select("f", rules.type_of_name(F.col("f"), rules.SQL_TYPES, "?"), rules.type_of_name(F.col("f"), rules.PYTHON_TYPES, "str")).collect()} == {"user_id": ("INTEGER", "int"), "created_at": ("TIMESTAMP", "datetime"), "flag": ("BOOLEAN", "str"), "x": ("?", "str"), None: ("?", "str")}
+
+
+def test_sequence_steps(spark):
+    g = graph(spark, [("a", "b", "C"), ("a", "c", "C"), ("b", "d", "C"), ("c", "d", "W"), ("d", "a", "C"), ("a", "x", "OTHER"), ("d", "e", "W")])
+    got = rows(flw.sequence_steps(g, flw.seeds(g.nodes.where("id = 'a'")), {"C": "calls", "W": "writes"}))
+    assert got == [("a", 1, "a", "calls", "b"), ("a", 2, "a", "calls", "c"), ("a", 3, "b", "calls", "d"), ("a", 4, "d", "writes", "e")]
+    assert rows(flw.sequence_steps(g, flw.seeds(g.nodes.where("id = 'a'")), {"C": "calls", "W": "writes"}, most=2)) == got[:2]
+
+
+def test_table_links(spark):
+    from weftline.catalog_flows import DEFINES, MENTIONS
+
+    s = spark.createDataFrame([("b", "create table T1 (x int)"), ("a", "CREATE TABLE IF NOT EXISTS t1 (x int); select 1 from t9"), ("c", "select * from T1 join t1"), ("a", "insert into t1"), ("d", None)], "path string, body string")
+    assert rows(flw.table_links(s, MENTIONS, DEFINES)) == [("b", "a", "t1"), ("c", "a", "t1")]

@@ -202,3 +202,21 @@ def _(spark, d):
 @query("fun_21_descriptions", "SELECT p_partkey, CASE " + " ".join(f"WHEN regexp_matches(lower(m), '^({w})') THEN '{a}' || coalesce(nullif(trim(replace(substr(lower(m), {cut + 1}), '_', ' ')), ''), '{e}') || '{b}'" for w, cut, a, b, e in rules.METHOD_WORDS) + f" ELSE upper(substr(m, 1, 1)) || lower(substr(replace(m, '_', ' '), 2)) || '.' END AS says FROM (SELECT p_partkey, {_list(METHODS)}[p_partkey % {len(METHODS)} + 1] AS m FROM part)")
 def _(spark, d):
     return table(spark, d, "part").select("p_partkey", rules.described(_pick(METHODS, F.col("p_partkey"))).alias("says"))
+
+
+MENTIONS, DEFINES = r"(?i)\b(?:FROM|JOIN|INTO|UPDATE|TABLE(?:\s+IF\s+NOT\s+EXISTS)?)\s+(\w+)", r"(?i)\bCREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(\w+)"
+
+
+@on_symbols("rel_19_table_links", f", d AS (SELECT t, min(path) AS target FROM (SELECT path, unnest(regexp_extract_all(lower(body), '{DEFINES}', 1)) AS t FROM sym) GROUP BY t) SELECT DISTINCT path, target, t AS table_name FROM (SELECT path, unnest(regexp_extract_all(lower(body), '{MENTIONS}', 1)) AS t FROM sym) JOIN d USING (t) WHERE path <> target")
+def _(s):
+    return flw.table_links(s, MENTIONS, DEFINES)
+
+
+FIRST_CHAINS = ROOT_CHAINS.replace("('CUSTOMER', 'SUPPLIER')", "('CUSTOMER')").replace("LIMIT 10", "LIMIT 5").replace("IN ('PLACES', 'SUPPLIES')", "IN ('PLACES')")
+
+
+@on_graph("grf_18_sequence_steps", "SELECT seed, step - 1 AS number, source, CASE WHEN depth = 1 THEN 'places' ELSE 'holds' END AS verb, id AS target FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, id) AS step FROM r), LATERAL (SELECT min(e.from_id) AS source FROM e JOIN r u ON u.id = e.from_id WHERE e.to_id = k.id AND u.seed = k.seed AND u.depth = k.depth - 1) WHERE step BETWEEN 2 AND 13".replace("FROM r), LATERAL", "FROM r) k, LATERAL"), recursive=FIRST_CHAINS)
+def _(g):
+    places = rel.by_relation(g, "PLACES").select(F.col("from_id").alias("id"))
+    first = flw.roots(g, ["CUSTOMER"]).join(places, "id", "left_semi").orderBy("id").limit(5)  # five entries, as in the reference
+    return flw.sequence_steps(g, flw.seeds(first), {"PLACES": "places", "CONTAINS": "holds"})

@@ -178,3 +178,25 @@ def message_edges(sym: DataFrame, text) -> DataFrame:
     on = F.col("bus").isNotNull()
     edges = [F.when(on & F.col("low").rlike(rules.PUBLISHES), edge(F.col("own"), bus, "PUBLISHES_TO")), F.when(on & F.col("low").rlike(rules.SUBSCRIBES), edge(bus, F.col("own"), "SUBSCRIBES_FROM")), F.when(F.col("pipeline").isNotNull(), edge(F.col("own"), flow, "CALLS"))]
     return found.select(F.explode(F.array_compact(F.array(*edges))).alias("e")).select("e.*").distinct()
+
+
+def sequence_steps(g: Graph, start: DataFrame, verbs: dict[str, str], depth: int = 4, most: int = 12) -> DataFrame:
+    """seed, number, source, verb, target: the first ``most`` nodes after each start by (depth, id), each told from its least parent of the level before."""
+    found = cut(trace(g, start, list(verbs), depth, most=most + 1))
+    up = found.select("seed", F.col("id").alias("from_id"), (F.col("depth") + 1).alias("depth"))
+    e = g.edges.where(F.col("relation").isin(*verbs)).select("from_id", F.col("to_id").alias("id"), "relation")
+    told = found.where("depth > 0").join(up.join(e, "from_id"), ["seed", "id", "depth"]).groupBy("seed", "id", "step").agg(F.min(F.struct("from_id", "relation")).alias("p"))
+    verb = rules.first_of([(F.col("p.relation") == r, F.lit(v)) for r, v in verbs.items()], F.lit(None))
+    return told.select("seed", (F.col("step") - 1).alias("number"), F.col("p.from_id").alias("source"), verb.alias("verb"), F.col("id").alias("target"))
+
+
+def table_links(sym: DataFrame, mentions: str, defines: str) -> DataFrame:
+    """path, target, table_name: files whose symbols name a table that another file defines first (of equals the least path).
+
+    The index holds one row a table, so a common table joins each file once.
+    """
+    def named(pattern: str) -> DataFrame:
+        return sym.select("path", F.explode(F.regexp_extract_all("body", F.lit(pattern), 1)).alias("t")).select("path", F.lower("t").alias("table_name")).distinct()
+
+    index = named(defines).groupBy("table_name").agg(F.min("path").alias("target"))
+    return named(mentions).join(index, "table_name").where("path <> target").select("path", "target", "table_name")
