@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, fill_in_middle, language_id, minhash_dedup, packing, pii, quality_classifier, quality_rules, sentencepiece_ops, substring_dedup, suffix_dedup
+from . import embedding_dedup, fill_in_middle, language_id, minhash_dedup, packing, pii, quality_classifier, quality_rules, sentencepiece_ops, sessions, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_language_id": language_id.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_minhash_dedup": minhash_dedup.op8,
     "op9_suffix_dedup": suffix_dedup.op9,
     "op10_sentencepiece": sentencepiece_ops.op10,
+    "op12_gap_sessions": sessions.op12,
     "op13_fill_in_middle": fill_in_middle.op13,
 }
 ORACLES = {
@@ -22,5 +23,6 @@ ORACLES = {
     "op3_substring_dedup": substring_dedup.OP3_SQL,
     "op7_embedding_dedup": embedding_dedup.OP7_SQL,
     "op8_minhash_dedup": minhash_dedup.OP8_SQL,
+    "op12_gap_sessions": sessions.OP12_SQL,
     "op13_fill_in_middle": fill_in_middle.OP13_SQL,
 }
