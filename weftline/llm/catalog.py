@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, fill_in_middle, language_id, minhash_dedup, packing, pii, quality_classifier, quality_rules, sentencepiece_ops, sessions, substring_dedup, suffix_dedup
+from . import embedding_dedup, fill_in_middle, language_id, minhash_dedup, packing, pii, quality_classifier, quality_rules, sentencepiece_ops, sessions, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_minhash_dedup": minhash_dedup.op8,
     "op9_suffix_dedup": suffix_dedup.op9,
     "op10_sentencepiece": sentencepiece_ops.op10,
+    "op11_toxicity": toxicity.op11,
     "op12_gap_sessions": sessions.op12,
     "op13_fill_in_middle": fill_in_middle.op13,
 }

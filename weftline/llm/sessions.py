@@ -8,7 +8,7 @@ entry differs from the one it was scanned with is scanned again over its head, a
 entry changes. Only a part without a sure cut can change its exit, and only if its cuts by ``length`` don't fall in step.
 
 At the end, heads are cut with their true entries, and the fragments of a session that several parts share are put
-together. Nothing is collected: states, heads and fragments are tables; the driver sees the number of rows and whether a
+together. Nothing is collected or broadcast: states, heads and fragments are tables that meet by sort-merge joins; the driver sees the number of rows and whether a
 round had work. A part holds about ``rows_per_part`` clicks whatever their client, since click ids tell equal times apart.
 The path of one session is hashed in order as a stream, in one task if parts share it, in pieces of bounded size.
 
@@ -263,7 +263,7 @@ def _resumed(heads: DataFrame, entries: DataFrame, tasks: int, rules: Rules) ->
                 rows.state(part, None, False, state)
                 yield from rows.batches(schema)
 
-    met = heads.join(entries, "part").select("kind", "part", "client_id", "session_id", "start_us", "n_late", "value_cents", "final", "closed_by", "entry")
+    met = heads.join(entries.hint("merge"), "part").select("kind", "part", "client_id", "session_id", "start_us", "n_late", "value_cents", "final", "closed_by", "entry")
     return met.repartition(tasks, "part").sortWithinPartitions("part", "start_us", "n_late", "session_id").mapInArrow(run, SCAN)
 
 
@@ -329,7 +329,7 @@ def sessions(clicks: DataFrame, rules: Rules = Rules(), rows_per_part: int = 200
         """states and what each part is entered with: the exit before it, if that is of its first client or the part is empty."""
         before = states.select((F.col("part") + 1).alias("part"), F.col("exit").alias("_e"))
         fits = F.col("first_client").isNull() | (F.col("first_client") == F.col("_e.client"))
-        return states.join(before, "part", "left").withColumn("entry", F.when(fits, F.col("_e"))).drop("_e")
+        return states.join(before.hint("merge"), "part", "left").withColumn("entry", F.when(fits, F.col("_e"))).drop("_e")
 
     while True:
         todo = S.materialize(entered().where(~F.col("certain") & ~F.col("entry").eqNullSafe(F.col("used"))).select("part", "first_client", "entry"), "todo")
@@ -338,8 +338,8 @@ def sessions(clicks: DataFrame, rules: Rules = Rules(), rows_per_part: int = 200
             break
         again = _resumed(heads, todo.select("part", "entry"), tasks, rules).where("kind = 'state'").select("part", state.alias("_x"))
         empty = todo.where("first_client is null").select("part", F.col("entry").alias("_x"))
-        new = todo.select("part", "entry", F.lit(True).alias("_hit")).join(again.unionByName(empty), "part", "left")
-        both = states.join(new, "part", "left")
+        new = todo.select("part", "entry", F.lit(True).alias("_hit")).join(again.unionByName(empty).hint("merge"), "part", "left")
+        both = states.join(new.hint("merge"), "part", "left")
         moved = both.select("part", "first_client", "certain", F.when(F.col("_hit"), F.col("_x")).otherwise(F.col("exit")).alias("exit"), F.when(F.col("_hit"), F.col("entry")).otherwise(F.col("used")).alias("used"))
         moved = S.materialize(moved, "states")
         S.drop_table(states)
