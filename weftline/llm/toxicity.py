@@ -1,7 +1,7 @@
 """Toxicity: gradient-boosted trees over a few dense features, calibrated by isotonic regression.
 
 The lexicon is learned from labelled rows: words whose share of toxic documents is higher than chance lets expect among
-that many words, by the likelihood ratio; near copies (equal least hash of three words) count once. A text's features are
+that many words, by the likelihood ratio; near copies (an equal least hash of three words) count once. A text's features are
 the densities of lexicon words, plain and disguised, the most of them within 50 words, how many stand near a word of the
 second person, capitals, punctuation and the rate of disguises: letters replaced by signs, masked, spaced out or drawn out.
 
@@ -38,6 +38,8 @@ SECOND_PERSON = frozenset(
     ["you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dir", "dein", "deine", "deiner", "ihr", "euch", "tu", "te", "toi", "ton", "ta", "tes", "vous", "votre", "vos", "tú", "ti", "tus", "usted", "ustedes", "vosotros"]
 )
 NEAR, SPAN = 5, 50
+#: Least hashes that near copies are told by; one of similarity 0.8 shares none with a chance of 0.2 ** 4.
+COPY_HASHES = 4
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"})
 WORD = re.compile(r"[^\W\d_]+")
 DISGUISED = re.compile(r"(?<!\S)(?=\S{0,20}[0-9@$!|*._-][^\W\d_])\S{2,24}(?!\S)")
@@ -228,11 +230,15 @@ def learn_lexicon(sample: DataFrame, words: int = 256) -> Lexicon:
     """
     w = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}{3,})"), 1)
     d = sample.select("doc_id", "y", w.alias("w"))
-    least = F.array_min(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.xxhash64(F.slice("w", i, 3))))
-    d = d.withColumn("copy", F.when(F.size("w") > 3, least).otherwise(F.xxhash64("w", "doc_id")))
-    once = d.groupBy("copy", "y").agg(F.min_by("w", "doc_id").alias("w"))
+    once = d
+    for seed in range(COPY_HASHES):  # of rows that share a least hash, the first stays
+        least = F.array_min(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.xxhash64(F.slice("w", i, 3), F.lit(seed))))  # noqa: B023
+        copy = F.when(F.size("w") > 3, least).otherwise(F.xxhash64("w", "doc_id"))
+        once = once.groupBy(copy.alias("copy"), "y").agg(F.min_by(F.struct("doc_id", "w"), "doc_id").alias("d")).select("d.doc_id", "y", "d.w")
+    once = S.materialize(once, "once")
     all_, bad = once.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not bad or bad == all_:
+        S.drop_table(once)
         return Lexicon({})
     counts = once.select("y", F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.sum("y").alias("t"), F.count("*").alias("n")).where("t >= 2")
     part = lambda k, e: F.when(k > 0, k * F.ln(k / e)).otherwise(0.0)
@@ -242,7 +248,8 @@ def learn_lexicon(sample: DataFrame, words: int = 256) -> Lexicon:
     told = S.materialize(counts.where(t / n > bad / all_).withColumn("ratio", ratio), "told")
     bound = 2 * float(np.log(max(told.count(), 2))) + 3
     best = told.where(F.col("ratio") > bound).orderBy(F.desc("ratio"), "word").limit(words).collect()  # ``words`` rows at most
-    S.drop_table(told)
+    for table in (told, once):
+        S.drop_table(table)
     return Lexicon({r["word"]: r["t"] / r["n"] for r in best})
 
 
