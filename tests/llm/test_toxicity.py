@@ -10,7 +10,7 @@ from weftline.llm import toxicity as tox
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, score double, x long, y long, ratio long"
-LEX = tox.Lexicon({"idiot": 1.0, "scum": 0.5})
+LEX = tox.Lexicon({"idiot": 1.0, "scum": 0.5, "brutt*": 0.25})
 
 
 def test_features_of_small_texts():
@@ -24,6 +24,7 @@ def test_features_of_small_texts():
         assert b["hits"] > 0 and b["disguises"] > 0, text
     for text in ("idiotic", "ID 10", "a.b.c.d", "scumble", "e-mail"):
         assert of(text)["hits"] == 0, text
+    assert of("bruttel and brutt")["weight"] == 0.25 / 3 and of("a br.utt.en b")["disguised_hits"] > 0
     far = of("you " + "word " * 30 + "idiot")
     assert far["near_share"] == 0.0 and far["hits"] == 1 / 32
     assert set(of("").values()) == {0.0}
@@ -89,7 +90,7 @@ def test_odd_rows(spark):
 def test_copies_make_no_lexicon(spark, copies):
     r = np.random.default_rng(1)
     words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrs"]
-    rows = [(i, " ".join(r.choice(words, 40)), 0) for i in range(200)] + [(1000 + i, " ".join([*r.choice(words, 30), *r.permutation(["worstword", "badword", *words[:8]])]), 1) for i in range(20)]
+    rows = [(i, " ".join(r.choice(words, 40)), 0) for i in range(200)] + [(1000 + i, " ".join([*r.choice(words, 30), *r.permutation(["worstword", "badword", *words[:8], f"sluff{words[i]}"])]), 1) for i in range(20)]
     rows += [(5000 + i, "only these words stand here alone " * 3, 1) for i in range(copies)]
     lexicon = tox.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, y int"))
-    assert {"worstword", "badword"} <= set(lexicon.weight) and "stand" not in lexicon.weight
+    assert {"worstword", "badword", "sluffb*"} <= set(lexicon.weight) and "stand" not in lexicon.weight

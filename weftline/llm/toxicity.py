@@ -1,7 +1,7 @@
 """Toxicity: gradient-boosted trees over a few dense features, calibrated by isotonic regression.
 
-The lexicon is learned from labelled rows: words whose share of toxic documents is higher than chance lets expect among
-that many words, by the likelihood ratio; near copies (an equal least hash of three words) count once. A text's features are
+The lexicon is learned from labelled rows: words and beginnings of words whose share of toxic documents is higher than
+chance lets expect among that many, by the likelihood ratio; near copies (an equal least hash of three words) count once. A text's features are
 the densities of lexicon words, plain and disguised, the most of them within 50 words, how many stand near a word of the
 second person, capitals, punctuation and the rate of disguises: letters replaced by signs, masked, spaced out or drawn out.
 
@@ -38,6 +38,8 @@ SECOND_PERSON = frozenset(
     ["you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dir", "dein", "deine", "deiner", "ihr", "euch", "tu", "te", "toi", "ton", "ta", "tes", "vous", "votre", "vos", "tú", "ti", "tus", "usted", "ustedes", "vosotros"]
 )
 NEAR, SPAN = 5, 50
+#: Letters of the beginnings that the lexicon may have, and words whose weight a worker keeps at hand.
+STEMS, KNOWN = range(4, 9), 1 << 17
 #: Least hashes that near copies are told by; one of similarity 0.8 shares none with a chance of 0.2 ** 4.
 COPY_HASHES = 4
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"})
@@ -56,11 +58,24 @@ def held_out(doc_id) -> F.Column:
 
 @dataclass
 class Lexicon:
+    """Weights (0 to 1) of words, and of beginnings of longer words: those end with a star."""
+
     weight: dict[str, float]
     masked: dict[str, str] = field(init=False)
+    known: dict[str, float] = field(init=False, default_factory=dict)
 
     def __post_init__(self):
-        self.masked = {w[:i] + "*" + w[i + 1 :]: w for w in sorted(self.weight, reverse=True) if len(w) > 3 for i in range(1, len(w))}
+        self.masked = {w[:i] + "*" + w[i + 1 :]: w for w in sorted(self.weight, reverse=True) if len(w) > 3 and w[-1] != "*" for i in range(1, len(w))}
+
+    def find(self, word: str) -> float:
+        """The greatest weight that a word's own entry or one of its beginnings has; 0 without any."""
+        found = self.known.get(word)
+        if found is None:
+            found = max(self.weight.get(word, 0.0), *(self.weight.get(word[:k] + "*", 0.0) if len(word) > k else 0.0 for k in STEMS))
+            if len(self.known) > KNOWN:
+                self.known.clear()
+            self.known[word] = found
+        return found
 
     def plain(self, token: str) -> str | None:
         """The word of the lexicon that a disguised token stands for."""
@@ -68,7 +83,7 @@ class Lexicon:
         if "*" in token:
             return self.masked.get(token)
         word = "".join(WORD.findall(token.translate(LEET)))
-        return word if word in self.weight else None
+        return word if self.find(word) else None
 
 
 def slices(text: str):
@@ -84,7 +99,7 @@ def slices(text: str):
 
 def profile(text: str, lexicon: Lexicon) -> list[float]:
     """The features of a whole text, in the order of FEATURES."""
-    weight = lexicon.weight
+    find = lexicon.find
     words = disguised = disguises = shouted = 0
     weighed = 0.0
     hits, persons = array("q"), array("q")
@@ -101,8 +116,9 @@ def profile(text: str, lexicon: Lexicon) -> list[float]:
         nonlocal disguised, disguises
         word = re.sub(r"[ .*_-]", "", m[0])
         disguises += 1
-        disguised += word in weight
-        return word if word in weight else m[0]
+        hit = find(word) > 0
+        disguised += hit
+        return word if hit else m[0]
 
     def short(m):
         nonlocal disguises
@@ -116,9 +132,10 @@ def profile(text: str, lexicon: Lexicon) -> list[float]:
         low = SPACED.sub(closed, DISGUISED.sub(plain, low))
         found = WORD.findall(low)
         for i, w in enumerate(found, words):
-            if w in weight:
+            weight = find(w)
+            if weight:
                 hits.append(i)
-                weighed += weight[w]
+                weighed += weight
             elif w in SECOND_PERSON:
                 persons.append(i)
         words += len(found)
@@ -223,10 +240,10 @@ class Model:
 
 
 def learn_lexicon(sample: DataFrame, words: int = 256) -> Lexicon:
-    """Words of three letters or more that tell toxic rows of sample (doc_id, text, y) beyond chance, with a weight of 0 to 1.
+    """Words of three letters or more, and their beginnings, that tell toxic rows of sample (doc_id, text, y) beyond chance, with a weight of 0 to 1.
 
-    A word counts once a document. With V words that two toxic documents hold, one passes if its likelihood ratio
-    exceeds what the best of V words without any bearing would reach.
+    Each counts once a document. With V of them that two toxic documents hold, one passes if its likelihood ratio
+    exceeds what the best of V without any bearing would reach.
     """
     w = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}{3,})"), 1)
     d = sample.select("doc_id", "y", w.alias("w"))
@@ -235,22 +252,27 @@ def learn_lexicon(sample: DataFrame, words: int = 256) -> Lexicon:
         least = F.array_min(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.xxhash64(F.slice("w", i, 3), F.lit(seed))))  # noqa: B023
         copy = F.when(F.size("w") > 3, least).otherwise(F.xxhash64("w", "doc_id"))
         once = once.groupBy(copy.alias("copy"), "y").agg(F.min_by(F.struct("doc_id", "w"), "doc_id").alias("d")).select("d.doc_id", "y", "d.w")
-    once = S.materialize(once, "once")
+    once = S.materialize(once.withColumn("w", F.array_distinct("w")), "once")
     all_, bad = once.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not bad or bad == all_:
         S.drop_table(once)
         return Lexicon({})
-    counts = once.select("y", F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.sum("y").alias("t"), F.count("*").alias("n")).where("t >= 2")
+    stems = F.flatten(F.transform("w", lambda x: F.array_compact(F.array(x, *(F.when(F.length(x) > k, F.concat(F.substring(x, 1, k), F.lit("*"))) for k in STEMS)))))
+    counts = once.select("y", F.explode(F.array_distinct(stems)).alias("word")).groupBy("word").agg(F.sum("y").alias("t"), F.count("*").alias("n")).where("t >= 2")
     part = lambda k, e: F.when(k > 0, k * F.ln(k / e)).otherwise(0.0)
     t, n = F.col("t").cast("double"), F.col("n").cast("double")
     tests = [(t, n * bad / all_), (n - t, n * (all_ - bad) / all_), (bad - t, (all_ - n) * bad / all_), (all_ - bad - n + t, (all_ - n) * (all_ - bad) / all_)]
     ratio = 2 * sum((part(k, e) for k, e in tests), F.lit(0.0))
     told = S.materialize(counts.where(t / n > bad / all_).withColumn("ratio", ratio), "told")
     bound = 2 * float(np.log(max(told.count(), 2))) + 3
-    best = told.where(F.col("ratio") > bound).orderBy(F.desc("ratio"), "word").limit(words).collect()  # ``words`` rows at most
+    best = told.where(F.col("ratio") > bound).orderBy(F.desc("ratio"), "word").limit(8 * words).collect()  # a bounded list
     for table in (told, once):
         S.drop_table(table)
-    return Lexicon({r["word"]: r["t"] / r["n"] for r in best})
+    # a beginning that stands in the documents of one longer entry alone says no more than that one
+    known = sorted((r["word"].rstrip("*"), r["t"], r["n"]) for r in best)
+    longer = {(w[:k], t, n) for w, t, n in known for k in STEMS if k < len(w)}
+    kept = [r for r in best if not (r["word"].endswith("*") and (r["word"][:-1], r["t"], r["n"]) in longer)]
+    return Lexicon({r["word"]: r["t"] / r["n"] for r in kept[:words]})
 
 
 def _profiles(docs: DataFrame, lexicon: Lexicon, carry: list[str]) -> DataFrame:
