@@ -668,4 +668,4 @@ def _(spark, d):
     return stream.run_to_table(stream.latest_state(stream.read_events(spark, d)), "weftline_latest").select("user_id", "state")
 
 
-from . import catalog_code, catalog_flows, catalog_rules  # noqa: E402,F401  they register their queries
+from . import catalog_code, catalog_flows, catalog_rules, catalog_source  # noqa: E402,F401  they register their queries

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import dropped, written
 
 
 @dataclass(frozen=True)
@@ -26,18 +26,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_WRITTEN: dict[tuple[str, str], Graph] = {}
+def file_state(spark: SparkSession, sf_dir: str, names: list[str]) -> tuple:
+    """Names, sizes and times of the tables' files: changes whenever one is written anew."""
+    jvm, conf, out = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for name in names:
+        at = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = at.getFileSystem(conf)
+        todo = [fs.getFileStatus(at)]
+        while todo:
+            s = todo.pop()
+            if s.isDirectory():
+                todo.extend(fs.listStatus(s.getPath()))
+            else:
+                out.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    return tuple(sorted(out))
+
+
+_WRITTEN: dict[tuple, Graph] = {}
+ORDER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 
 
 def order_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph of the order tables, written once per application, so that its joins and counts are not planned anew for each use."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The graph of the order tables, written once per application and state of their files, so that its joins and counts are not planned anew for each use."""
+    key = (spark.sparkContext.applicationId, sf_dir, file_state(spark, sf_dir, ORDER_TABLES))
     if key not in _WRITTEN:
+        forget(spark, sf_dir)
         g = planned_graph(spark, sf_dir)
         _WRITTEN[key] = Graph(written(g.nodes, "nodes"), written(g.edges, "edges"))
     return _WRITTEN[key]
 
 
+def forget(spark: SparkSession, sf_dir: str) -> None:
+    """Drop the graphs written for a folder, with their files."""
+    for key in [k for k in _WRITTEN if k[:2] == (spark.sparkContext.applicationId, sf_dir)]:
+        g = _WRITTEN.pop(key)
+        dropped(g.nodes)
+        dropped(g.edges)
+
+
 def planned_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Regions, nations, customers, suppliers, parts and orders, with the links that their keys tell."""
     t = lambda name: table(spark, sf_dir, name)

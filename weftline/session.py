@@ -56,4 +56,15 @@ def written(df: DataFrame, what: str = "loop") -> DataFrame:
         base = f"file://{tempfile.gettempdir()}/weftline-shared"
     path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weftline_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete a table of :func:`written` that nothing reads any more."""
+    path = getattr(df, "_weftline_path", None)
+    if path:
+        sc = df.sparkSession.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
