@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .catalog import query
-from .plans.codegraph import CODE_SQL, code_graph
+from .operators import lineage as lin
+from .plans.codegraph import CODE_SQL, _sql_list, code_graph
 
 
 def on_code(name: str, sql: str | None = None, recursive: str | None = None):
@@ -40,3 +43,54 @@ def _(g):
 @on_code("rel_07_code_edges", "SELECT * FROM ce")
 def _(g):
     return g.edges
+
+
+# --- lineage ---------------------------------------------------------------------------
+WALKS = f"""pe AS (SELECT to_id AS id, from_id, bool_or(relation = 'CALLS') AS calls FROM ce WHERE relation IN {_sql_list(lin.FOLLOWED)} GROUP BY ALL),
+pr AS (SELECT id, list(from_id ORDER BY from_id DESC) FILTER (WHERE calls) AS callers, list(from_id ORDER BY from_id) FILTER (WHERE NOT calls) AS others FROM pe GROUP BY id),
+ac AS (SELECT from_id, to_id, relation, min(confidence) AS confidence FROM ce WHERE relation IN {_sql_list(lin.ACCESSES)} GROUP BY ALL),
+wk AS (SELECT DISTINCT from_id AS id, from_id AS at, [from_id] AS path FROM ac
+  UNION ALL SELECT id, new, list_prepend(new, path) FROM (SELECT wk.id, path, list_filter(list_concat(coalesce(callers, []), coalesce(others, [])), lambda x: NOT list_contains(path, x))[1] AS new FROM wk JOIN pr ON pr.id = wk.at) WHERE new IS NOT NULL AND len(path) <= 15),
+ch AS (SELECT ac.to_id AS table_id, ac.from_id AS accessor, relation, confidence, list_append(path, to_id) AS path FROM ac JOIN (SELECT id, arg_max(path, len(path)) AS path FROM wk GROUP BY id) w ON w.id = ac.from_id)"""
+
+
+@on_code("grf_09_sql_lineage", "SELECT table_id, accessor, relation, confidence, array_to_string(path, ' > ') AS path, len(path) AS length FROM ch", recursive=WALKS)
+def _(g):
+    return lin.sql_lineage(g).select("table_id", "accessor", "relation", "confidence", F.array_join("path", " > ").alias("path"), F.size("path").cast("long").alias("length"))
+
+
+@on_code("grf_11_lineage_edges", "SELECT path[1] AS from_id, path[-1] AS to_id, arg_min(confidence, (table_id, accessor, relation)) AS confidence, 'FEEDS_DATA_TO' AS relation FROM ch WHERE path[1] <> path[-1] GROUP BY ALL", recursive=WALKS)
+def _(g):
+    return lin.lineage_edges(lin.sql_lineage(g))
+
+
+def _searched(depth: int) -> str:
+    """One CTE a level: candidates with the place of the first node before, placed, and cut at the first data node."""
+    steps = [
+        f"""ge AS (SELECT from_id, to_id, min(relation) AS relation, any_value(n.node_type IN {_sql_list(lin.DATA_TYPES)}) AS data FROM ce JOIN cn n ON n.id = to_id WHERE relation IN {_sql_list(lin.FLOWS + lin.DATA_ACCESS)} GROUP BY ALL),
+st AS (SELECT id, name AS label, 1 AS strategy FROM cn WHERE node_type = 'API_ENDPOINT' UNION ALL SELECT m.id, c.name || '.' || m.name, 2 FROM ce JOIN cn c ON c.id = from_id AND c.node_type = 'CONTROLLER' JOIN cn m ON m.id = to_id AND m.node_type IN ('FUNCTION', 'ASYNC_FUNCTION', 'METHOD') WHERE relation IN ('DEFINES', 'CONTAINS')),
+b0 AS MATERIALIZED (SELECT DISTINCT id AS seed, id, 1 AS step, false AS over FROM st), r0 AS MATERIALIZED (SELECT seed, id, step FROM b0)"""
+    ]
+    for i in range(1, depth + 1):
+        steps.append(
+            f"""c{i} AS (SELECT seed, to_id AS id, data, min((step, to_id, relation)) AS first FROM b{i - 1} b JOIN ge ON from_id = b.id WHERE NOT over AND NOT EXISTS (SELECT 1 FROM r{i - 1} r WHERE r.seed = b.seed AND r.id = to_id) GROUP BY ALL),
+p{i} AS (SELECT seed, id, data, (SELECT max(step) FROM r{i - 1} r WHERE r.seed = c{i}.seed) + row_number() OVER (PARTITION BY seed ORDER BY first) AS step FROM c{i}),
+q{i} AS (SELECT *, min(step) FILTER (WHERE data) OVER (PARTITION BY seed) AS stop FROM p{i}),
+b{i} AS MATERIALIZED (SELECT seed, id, step, stop IS NOT NULL AS over FROM q{i} WHERE stop IS NULL OR step <= stop), r{i} AS MATERIALIZED (SELECT * FROM r{i - 1} UNION ALL SELECT seed, id, step FROM b{i})"""
+        )
+    return ",\n".join(steps)
+
+
+TIER = "CASE node_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lin.TIERS.items()) + " ELSE 'Other' END"
+REQUESTS = f"""{WALKS},
+{_searched(8)},
+fl AS (SELECT seed AS id, list(name ORDER BY step) AS steps, list({TIER} ORDER BY step) AS step_types FROM r8 JOIN cn USING (id) GROUP BY seed HAVING count(*) >= 2),
+ls AS (SELECT table_id || '|' || accessor || '|' || relation AS id, 'SQL lineage to table ''' || t.name || ''' via ' || a.name AS label, confidence, ch.path FROM ch JOIN cn t ON t.id = table_id JOIN cn a ON a.id = accessor WHERE len(ch.path) >= 3),
+lf AS (SELECT ls.id, label, confidence, list(name ORDER BY step) AS steps, list({TIER} ORDER BY step) AS step_types FROM (SELECT id, label, confidence, unnest(path) AS node, unnest(range(len(path))) AS step FROM ls) ls JOIN cn ON cn.id = node GROUP BY ALL),
+al AS (SELECT fl.id, label, strategy, steps, step_types, CASE WHEN len(steps) >= 3 THEN 'high' ELSE 'medium' END AS confidence FROM fl JOIN st USING (id) UNION ALL SELECT id, label, 3, steps, step_types, confidence FROM lf)"""
+
+
+@on_code("grf_16_request_flows", "SELECT name, strategy, array_to_string(steps, ' > ') AS steps, array_to_string(step_types, ' > ') AS step_types, steps[1] AS entry_point, steps[-1] AS exit_point, len(steps) AS hop_count, confidence FROM (SELECT label AS name, strategy, steps, step_types, confidence, row_number() OVER (PARTITION BY label ORDER BY strategy, id) AS k FROM al) WHERE k = 1", recursive=REQUESTS)
+def _(g):
+    f = lin.request_flows(g, lin.sql_lineage(g))
+    return f.select("name", "strategy", F.array_join("steps", " > ").alias("steps"), F.array_join("step_types", " > ").alias("step_types"), "entry_point", "exit_point", "hop_count", "confidence")
