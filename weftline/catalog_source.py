@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import query
+from .functions import scalars as fn
 from .operators import lineage as lin
-from .plans.codegraph import CODE_SQL, _sql_list, code_graph
+from .operators import links as lnk
+from .operators import scopes
+from .plans.codegraph import ACCESS, CODE_SQL, ELEMENT, FETCH, HOOK, ROUTE, _sql_list, code_graph
+from .plans.graph import Graph, table
 
 
 def on_code(name: str, sql: str | None = None, recursive: str | None = None):
@@ -94,3 +101,77 @@ al AS (SELECT fl.id, label, strategy, steps, step_types, CASE WHEN len(steps) >=
 def _(g):
     f = lin.request_flows(g, lin.sql_lineage(g))
     return f.select("name", "strategy", F.array_join("steps", " > ").alias("steps"), F.array_join("step_types", " > ").alias("step_types"), "entry_point", "exit_point", "hop_count", "confidence")
+
+
+# --- links -----------------------------------------------------------------------------
+ROUTE_LINKS = r"""ix AS (SELECT pattern, max(path) AS target, regexp_replace(pattern, '/+$', '') AS r FROM ro GROUP BY pattern)
+SELECT DISTINCT path, url, arg_min(target, pattern) AS target, min(pattern) AS pattern FROM ca2 JOIN ix ON target <> path AND (starts_with(u, r) OR starts_with(r, u)) GROUP BY path, url"""
+
+
+@on_code("rel_18_api_links", f"SELECT * FROM (WITH ro AS (SELECT cs.path, route AS pattern FROM rt JOIN cs USING (id)), ca2 AS (SELECT path, url, regexp_replace(url, '/+$', '') AS u FROM (SELECT path, unnest(regexp_extract_all(line, '{FETCH}', 1)) AS url FROM ow)), {ROUTE_LINKS})")
+def _(g):
+    routes = g.symbols.select("path", F.regexp_extract("decorator", ROUTE, 1).alias("pattern")).where("pattern <> ''")
+    return lnk.first_prefix_match(scopes.matches(g.owned, FETCH, "url"), routes)
+
+
+HREF = r'href="(/[^"]*)"'
+
+
+@query("rel_18_page_links", f"SELECT * FROM (WITH ro AS (SELECT CAST(page_id AS VARCHAR) AS path, unnest(regexp_extract_all(html, '{HREF}', 1)) AS pattern FROM pages), ca2 AS (SELECT CAST(page_id AS VARCHAR) AS path, regexp_replace(url, '^[a-z]+://[^/]*', '') AS url, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '/+$', '') AS u FROM pages WHERE url IS NOT NULL), {ROUTE_LINKS})")
+def _(spark, d):
+    p = table(spark, d, "pages").withColumn("path", F.col("page_id").cast("string"))
+    return lnk.first_prefix_match(p.where("url is not null").select("path", fn.url_path(F.col("url")).alias("url")), p.select("path", F.explode(F.regexp_extract_all("html", F.lit(HREF), 1)).alias("pattern")))
+
+
+REACT = f"""rm AS (SELECT DISTINCT path, owner, kind, name FROM (SELECT path, owner, 'hook' AS kind, unnest(regexp_extract_all(line, '{HOOK}', 1)) AS name FROM ow WHERE language = 'typescript'
+  UNION ALL SELECT path, owner, 'element', unnest(regexp_extract_all(line, '{ELEMENT}', 1)) FROM ow WHERE language = 'typescript' UNION ALL SELECT path, owner, 'call', unnest(regexp_extract_all(line, '{FETCH}', 1)) FROM ow WHERE language = 'typescript')),
+rf AS (SELECT rm.kind, rm.name, coalesce((SELECT arg_min(id, node_type = 'CLASS') FROM cn WHERE cn.path = rm.path AND cn.name = rm.owner AND node_type IN ('REACT_COMPONENT', 'CLASS')), rm.path) AS from_id FROM rm),
+ra AS (SELECT from_id, rf.name AS url, (SELECT arg_min(id, cn.name) FROM cn WHERE node_type = 'API_ENDPOINT' AND (starts_with(regexp_replace(rf.name, '/+$', ''), regexp_replace(cn.name, '/+$', '')) OR starts_with(regexp_replace(cn.name, '/+$', ''), regexp_replace(rf.name, '/+$', '')))) AS hit FROM rf WHERE kind = 'call')"""
+
+
+def _react(g):
+    front = g.owned.where("language = 'typescript'")
+    found = [scopes.matches(front, p, "name").select("path", "owner", F.lit(k).alias("kind"), "name") for k, p in (("hook", HOOK), ("element", ELEMENT), ("call", FETCH))]
+    return lnk.react_links(g.symbols, g.nodes, reduce(DataFrame.unionByName, found))
+
+
+@on_code("rel_11_react_edges", "SELECT from_id, to_id, 'USES_HOOK' AS relation FROM rf JOIN (SELECT name, max(id) AS to_id FROM cn WHERE node_type = 'REACT_HOOK' GROUP BY name) USING (name) WHERE kind = 'hook' UNION SELECT from_id, to_id, 'RENDERS' FROM rf JOIN (SELECT name, max(id) AS to_id FROM cn WHERE node_type = 'REACT_COMPONENT' GROUP BY name) USING (name) WHERE kind = 'element' AND from_id <> to_id UNION SELECT from_id, coalesce(hit, 'api::' || url), 'CALLS_API' FROM ra", recursive=REACT)
+def _(g):
+    return _react(g)[0]
+
+
+@on_code("rel_11_new_endpoints", "SELECT DISTINCT 'api::' || url AS id, url AS name, 'API_ENDPOINT' AS node_type, 'http' AS language FROM ra WHERE hit IS NULL", recursive=REACT)
+def _(g):
+    return _react(g)[1]
+
+
+SHORT = "CASE WHEN line_no % 2 = 0 THEN path ELSE regexp_replace(path, '^[^/]*/', '') END"
+NOTED = f"kn AS (SELECT id, name, {SHORT} AS path, 'Kept in ' || language AS docstring, CAST(NULL AS VARCHAR) AS business_domain, CASE WHEN is_exported THEN kind ELSE '' END AS service, CASE WHEN is_async THEN 'async, ' || kind END AS tags FROM cs), aq AS (SELECT DISTINCT '/srv/' || path AS source, name FROM cs), hi AS (SELECT source, aq.name, min(id) AS id FROM aq JOIN kn ON kn.name = aq.name AND ends_with(source, kn.path) GROUP BY ALL)"
+
+
+@on_code("rel_43_comment_context", "SELECT source, name, array_to_string(list_concat(list_filter(['Documentation: ' || docstring, CASE WHEN business_domain <> '' THEN 'Business Domain: ' || business_domain END, CASE WHEN service <> '' THEN 'Service: ' || service END, CASE WHEN tags <> '' THEN 'Tags: ' || tags END], lambda x: x IS NOT NULL), coalesce((SELECT list('→ ' || relation || ': ' || t.name ORDER BY relation, to_id) FROM ce JOIN kn t ON t.id = to_id WHERE ce.from_id = hi.id), []))[1:10], chr(10)) AS context FROM hi JOIN (SELECT * EXCLUDE (name) FROM kn) USING (id)", recursive=NOTED)
+def _(g):
+    code = g.symbols.where("node_type <> 'SQL_TABLE'")
+    known = code.select(
+        "id", "name", F.expr(SHORT).alias("path"), F.concat(F.lit("Kept in "), "language").alias("docstring"), F.lit(None).cast("string").alias("business_domain"),
+        F.when(F.col("is_exported"), F.col("kind")).otherwise("").alias("service"), F.when(F.col("is_async"), F.concat(F.lit("async, "), "kind")).alias("tags"),
+    )
+    return lnk.comment_context(Graph(known, g.edges), code.select(F.concat(F.lit("/srv/"), "path").alias("source"), "name"))
+
+
+@on_code("rel_42_store_context", "SELECT id, bool_or(up.at IN (SELECT path FROM f WHERE regexp_matches(text, 'db\\.\\w+\\.'))) OR contains(lower(any_value(name)), 'mongodb') AS inside FROM up GROUP BY id", recursive="pa AS (SELECT cn.id, name, (SELECT min(from_id) FROM ce WHERE relation = 'CONTAINS' AND to_id = cn.id) AS parent_id FROM cn), up AS (SELECT id, name, id AS at, 0 AS depth FROM pa UNION ALL SELECT up.id, up.name, pa.parent_id, depth + 1 FROM up JOIN pa ON pa.id = up.at WHERE pa.parent_id IS NOT NULL AND depth < 4)")
+def _(g):
+    parent = g.edges.where("relation = 'CONTAINS'").groupBy(F.col("to_id").alias("id")).agg(F.min("from_id").alias("parent_id"))
+    marked = g.files.where(F.col("text").rlike(r"db\.\w+\.")).select(F.col("path").alias("id"))
+    return lnk.in_context(g.nodes.join(parent, "id", "left"), marked)
+
+
+FED = """ar AS (SELECT us.path, us.t AS artifact, relation FROM us), mk AS (SELECT artifact, min(path) AS component FROM ar WHERE relation = 'WRITES_TABLE' GROUP BY artifact), cp AS (SELECT path AS component, 'Keeper of ' || regexp_extract(path, '^(\\w+/\\w+)', 1) AS name FROM f WHERE language = 'python')"""
+
+
+@on_code("rel_34_artifact_flows", "SELECT DISTINCT a.artifact AS source, b.artifact AS sink, coalesce(pc.name, a.component || ' Service') AS producer_service, coalesce(cc2.name, b.component || ' Service') AS consumer_service FROM mk a JOIN ar c ON c.artifact = a.artifact AND c.relation = 'QUERIES_TABLE' JOIN mk b ON b.component = c.path AND b.artifact <> a.artifact LEFT JOIN cp pc ON pc.component = a.component LEFT JOIN cp cc2 ON cc2.component = b.component", recursive=FED)
+def _(g):
+    used = reduce(DataFrame.unionByName, [scopes.matches(g.owned, p, "artifact").select("path", F.lower("artifact").alias("artifact"), F.lit(r).alias("relation")) for r, p in ACCESS.items()]).where("artifact <> 'if'")
+    side = lambda r: used.where(F.col("relation") == r).select("artifact", F.col("path").alias("component"))
+    kept = g.files.where("language = 'python'").select(F.col("path").alias("component"), F.concat(F.lit("Keeper of "), F.regexp_extract("path", r"^(\w+/\w+)", 1)).alias("name"))
+    return lnk.artifact_flows(side("WRITES_TABLE"), side("QUERIES_TABLE"), kept)

@@ -39,11 +39,11 @@ if DEBUG:
     def trace_[[k]](text):
         logging.info(text)
 
-?2?@app.get("/api/[[kind]]/[[k]]")
+?2?@app.get("/api/parts[[s]]/[[k]]")
 ?2?# reads one [[kind]]
 ?2?async def read_[[k]](request, key: int = 0):
 ?2?    return load_[[k]](request.key)
-!2?@router.post("/api/[[kind]]/{id}/part[[k]]/")
+!2?@router.post("/api/parts/{id}/part[[k]]/")
 !2?def write_[[k]](request):
 !2?    db.[[kind]]_events.insert_one(request)
 !2?    return save_[[k]](request)
@@ -61,15 +61,21 @@ def save_[[k]](rows):
 TSX = """import { useState } from "react";
 import { View[[a]] } from "../c[[a_dir]]/View[[a]]";
 
+?3?export function useRows[[k]](size) {
+?3?  return useState(size);
+?3?}
+
 export function View[[k]](props) {
   const [rows, setRows] = useState([]);
+  const more = useRows[[b]]([[s]]);
 ?2?  useEffect(() => {
-?2?    fetch("/api/[[kind]]/[[b]]");
+?2?    fetch("/api/parts[[bs]]/[[b]]/rows?page=1");
 ?2?  });
   function draw[[k]](row) {
     return <View[[a]] row={row} />;
   }
-!3?  axios.get("/api/[[kind]]/7/part[[b]]");
+!3?  axios.get("/api/parts/{id}/part[[b]]");
+!5?  axios.get("/api/parts[[s]]");
   return <List[[s]] items={rows} draw={draw[[k]]} />;
 }
 
@@ -141,7 +147,7 @@ def _file(source: str, key: str, size: str, kind: str, label: str, path: str, la
     near = f"CASE WHEN {key} < {size} THEN {key} + {size} ELSE {key} - {size} END"  # a step back, or forward for the first rows: loops and long paths
     columns = {
         "k": key, "size": size, "kind": f"lower({kind})", "label": label, "a": f"({near})", "b": f"{key} % {hub}", "a_dir": f"({near}) % {dirs}", "b_dir": f"{key} % {hub} % {dirs}",
-        "t": f"{key} % 31", "s": f"{key} % 7", "dir": f"{key} % {dirs}",
+        "t": f"{key} % 31", "s": f"{key} % 7", "bs": f"{key} % {hub} % 7", "dir": f"{key} % {dirs}",
     }
     return source, _expression(path, columns), language, _text(template, columns)
 

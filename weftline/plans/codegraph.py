@@ -19,6 +19,8 @@ ACCESS = {"QUERIES_TABLE": r"(?i)\b(?:from|join)\s+([a-z_]\w*)", "WRITES_TABLE":
 #: Node types of annotated classes.
 STEREOTYPES = {"@Service": "SERVICE", "@Repository": "REPOSITORY", "@RestController": "CONTROLLER"}
 ROUTE = r'^@\w+\.(?:get|post|put|delete|patch)\("([^"]*)"'
+#: Hooks that are called, elements that are drawn, urls that are asked for.
+HOOK, ELEMENT = r"\b(use[A-Z]\w*)\(", r"<([A-Z]\w*)"
 FETCH = r'\b(?:fetch|axios\.\w+)\("([^"]*)"'
 
 
@@ -53,6 +55,7 @@ def build(files: DataFrame) -> CodeGraph:
     sym = scopes.symbols(files).withColumn("id", symbol_id("path", "qualified"))
     component = (F.col("language") == "typescript") & F.col("kind").isin("CLASS", "FUNCTION") & F.col("name").rlike("^[A-Z]")
     node_type = F.when(F.col("kind").startswith("SQL_"), F.lit("SQL_TABLE")).when(component, "REACT_COMPONENT")
+    node_type = node_type.when((F.col("language") == "typescript") & (F.col("kind") == "FUNCTION") & F.col("name").rlike("^use[A-Z]"), "REACT_HOOK")
     for mark, type_ in STEREOTYPES.items():
         node_type = node_type.when((F.col("kind") == "CLASS") & (F.col("decorator") == mark), type_)
     sym = written(sym.withColumn("node_type", node_type.otherwise(F.col("kind"))), "symbols")
@@ -113,7 +116,7 @@ deco AS (SELECT d.path, d.line_no, arg_max(trim(m.line), m.line_no) AS decorator
 sy0 AS (SELECT d.path, d.language, d.line_no, d.end_line, CASE WHEN d.word IN ('table', 'view') THEN 'SQL_' || upper(d.word) WHEN d.word = 'class' THEN 'CLASS' WHEN sc.owner_word = 'class' THEN 'METHOD' ELSE 'FUNCTION' END AS kind, d.name,
   coalesce(sc.outer_names || '.', '') || d.name AS qualified, sc.owner AS parent, trim(d.params) AS params, d.is_async, d.is_exported, deco.decorator FROM d LEFT JOIN sc USING (path, line_no) LEFT JOIN deco USING (path, line_no)),
 sy AS (SELECT *, path || '::' || qualified AS id, CASE WHEN kind LIKE 'SQL_%' THEN 'SQL_TABLE' WHEN language = 'typescript' AND kind IN ('CLASS', 'FUNCTION') AND regexp_matches(name, '^[A-Z]') THEN 'REACT_COMPONENT'
-  {" ".join(f"WHEN kind = 'CLASS' AND decorator = '{m}' THEN '{t}'" for m, t in STEREOTYPES.items())} ELSE kind END AS node_type FROM sy0),
+  WHEN language = 'typescript' AND kind = 'FUNCTION' AND regexp_matches(name, '^use[A-Z]') THEN 'REACT_HOOK' {" ".join(f"WHEN kind = 'CLASS' AND decorator = '{m}' THEN '{t}'" for m, t in STEREOTYPES.items())} ELSE kind END AS node_type FROM sy0),
 ow AS (SELECT l.path, l.language, l.line_no, l.line, sc.owner, sc.owner_line, sc.owner_word FROM l LEFT JOIN sc USING (path, line_no) WHERE level IS NOT NULL),
 cs AS (SELECT * FROM sy WHERE node_type <> 'SQL_TABLE'),
 rt AS (SELECT id, regexp_extract(decorator, '{ROUTE}', 1) AS route FROM cs WHERE regexp_matches(decorator, '{ROUTE}')),
