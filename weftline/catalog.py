@@ -630,29 +630,7 @@ def _(g):
     return ctx.delta_operations(g, agg.delta(old, new))
 
 
-# --- code, Markdown, streaming: rows only ---------------------------------------------------
-CODE = [
-    ("app.py", "import os\nfrom utils import helpers\n\nclass UserService:\n    def get_user(self, i):\n        return load(i)\n\n    def create_user(self, d):\n        self.get_user(d)\n        return save(d)\n\n@app.get('/users/{id}')\ndef load(i):\n    return i\n\n@app.post('/users')\ndef save(d):\n    return load(d)\n"),
-    ("broken.py", "def f(:\n"),
-    ("empty.py", ""),
-]
-
-
-@query("src_02_symbols")
-def _(spark, d):
-    return src.symbols(spark.createDataFrame(CODE, "path string, text string")).select("path", "name", "kind", "parent", "start_line")
-
-
-@query("rel_08_calls")
-def _(spark, d):
-    return src.call_graph(src.symbols(spark.createDataFrame(CODE, "path string, text string")))
-
-
-@query("ext_04_endpoints")
-def _(spark, d):
-    return src.endpoints(spark.createDataFrame(CODE, "path string, text string"))
-
-
+# --- Markdown, streaming ---------------------------------------------------
 @query("src_20_markdown", r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents), k AS (SELECT *, CASE WHEN regexp_matches(x, '^\s*$') THEN 'blank' WHEN regexp_matches(x, '^#{1,6} ') THEN 'heading' WHEN regexp_matches(x, '^\s*([-*]|\d+\.) ') THEN 'list' WHEN regexp_matches(x, '^\|') THEN 'table' ELSE 'paragraph' END AS kind FROM l), p AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY i) AS q FROM k) SELECT doc_id, CAST(isl AS BIGINT) AS island, kind, count(*) AS n_lines FROM (SELECT *, sum(CASE WHEN q = kind THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS isl FROM p) WHERE kind <> 'blank' GROUP BY ALL")
 def _(spark, d):
     return src.markdown_blocks(table(spark, d, "documents"), "doc_id")

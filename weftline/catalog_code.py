@@ -8,28 +8,19 @@ from pyspark.sql import functions as F
 from .catalog import CROSS, TRADE, on_graph, query, trade
 from .operators import relational as rel
 from .operators import renderers as out
+from .plans.codebase import FILES_SQL, source_files
 from .plans.graph import table
 from .sources import code
 
-FILES = [
-    ("app/orders.py", "from app.models import Order\nimport helpers\n\nclass OrderService(BaseService):\n    def place(self, o):\n        if not o:\n            raise ValueError('x')\n        return db.orders.insert_one(o)\n\n@app.post('/orders')\n# creates\ndef create(o):\n    return db.orders.find(o)\n"),
-    ("app/models.py", "class Order(Base):\n    pass\n\nclass BaseService:\n    pass\n"),
-    ("lib/helpers.py", "def slug(x):\n    return x\n"),
-    ("web/api.ts", "import { OrderService } from '../app/orders';\nclass OrderController extends BaseController implements Handler, Logger {\n  list() {\n    throw new NotFound('x');\n  }\n}\nfetch('/api/orders');\n"),
-    ("sql/schema.sql", "CREATE TABLE orders (id INT, customer_id INT, total DOUBLE);\nINSERT INTO orders SELECT * FROM staging;\nSELECT o.id FROM orders o JOIN customers c ON o.id = c.id;\n"),
-    ("java/OrderRepo.java", "package x;\n@Repository\npublic class OrderRepo extends Repo {\n  private OrderStore store;\n  public void save(Order o) {\n    store.put(o);\n  }\n}\n"),
-    ("empty.py", ""),
-]
-VALUES = ", ".join("('{}', '{}')".format(p, t.replace("'", "''")) for p, t in FILES)
-FILES_SQL = f"WITH f(path, text) AS (VALUES {VALUES})"
-LINES_SQL = f"{FILES_SQL}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM f)"
+SOURCES_SQL = f"WITH {FILES_SQL}"
+LINES_SQL = f"{SOURCES_SQL}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM f)"
 
 
 def on_files(name: str, sql: str | None = None, lines: bool = False):
-    """A query whose function takes the source files."""
+    """A query whose function takes the source files of the code base."""
 
     def put(f):
-        query(name, sql and f"{LINES_SQL if lines else FILES_SQL} {sql}")(lambda spark, d: f(spark.createDataFrame(FILES, "path string, text string")))
+        query(name, sql and f"{LINES_SQL if lines else SOURCES_SQL} {sql}")(lambda spark, d: f(source_files(spark, d).select("path", "text")))
         return f
 
     return put
@@ -64,12 +55,18 @@ def _(f):
     return code.usages(f)
 
 
-@on_files("rel_16_imports", " SELECT * FROM (VALUES ('app/orders.py', 'app.models', 'app/models.py', 1), ('app/orders.py', 'helpers', 'lib/helpers.py', 2), ('web/api.ts', '../app/orders', 'app/orders.py', 1)) AS t(path, spec, target, rank)")
+IMPORTS_SQL = r""", sp AS (SELECT DISTINCT path, unnest(list_concat(regexp_extract_all(text, '(?m)^(?:from|import)\s+([\w.]+)', 1), regexp_extract_all(text, 'from\s+[''"]([^''"]+)[''"]', 1))) AS spec FROM f),
+w AS (SELECT *, replace(regexp_replace(spec, '^(\.\.?/)+', ''), '.', '/') AS wanted FROM sp), k AS (SELECT path AS target, regexp_replace(path, '\.\w+$', '') AS whole, regexp_extract(path, '([^/]+?)(?:\.\w+)?$', 1) AS base FROM f),
+m AS (SELECT path, spec, target, 1 AS rank FROM w JOIN k ON wanted = whole UNION ALL SELECT path, spec, target, 2 FROM w JOIN k ON regexp_extract(wanted, '([^/]+?)(?:\.\w+)?$', 1) = base)
+SELECT path, spec, arg_min(target, (rank, target)) AS target, min(rank) AS rank FROM m WHERE path <> target GROUP BY path, spec"""
+
+
+@on_files("rel_16_imports", IMPORTS_SQL)
 def _(f):
     return code.resolved_imports(f)
 
 
-@on_files("rel_39_handlers", " SELECT 'app/orders.py' AS path, 10 AS line_no, '/orders' AS route, 'create' AS handler")
+@on_files("rel_39_handlers", r", r AS (SELECT path, line_no, regexp_extract(line, '@(?:\w+\.)?(?i:get|post|put|delete|patch)\(\s*[''\"]([^''\"]*)[''\"]', 1) AS route FROM l WHERE regexp_matches(line, '@(?:\w+\.)?(?i:get|post|put|delete|patch)\(\s*[''\"]([^''\"]+)[''\"]')), n AS (SELECT path, line_no, regexp_extract(line, '^\s*(?:async\s+)?(?:def|function)?\s*([a-z_]\w*)\s*\(', 1) AS name FROM l) SELECT r.path, r.line_no, route, arg_min(name, n.line_no) AS handler FROM r LEFT JOIN n ON n.path = r.path AND n.line_no BETWEEN r.line_no + 1 AND r.line_no + 4 AND name <> '' GROUP BY ALL", lines=True)
 def _(f):
     return code.handlers(f)
 
@@ -79,12 +76,19 @@ def _(f):
     return code.brace_depth(f)
 
 
-@on_files("ext_05_columns", "SELECT * FROM (VALUES ('orders', 'id', 'int', 'PK'), ('orders', 'customer_id', 'int', 'FK'), ('orders', 'total', 'double', '')) AS t(table_name, column_name, column_type, role)")
+DDL_SQL = r""", t AS (SELECT unnest(regexp_extract_all(lower(text), '(create\s+table\s+(?:if\s+not\s+exists\s+)?\w+\s*\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))', 1)) AS t FROM f),
+b AS (SELECT regexp_extract(t, 'table\s+(?:if\s+not\s+exists\s+)?(\w+)', 1) AS table_name, regexp_replace(regexp_replace(regexp_extract(t, '(?s)\((.*)\)$', 1), '\([^()]*\)', '', 'g'), '\([^()]*\)', '', 'g') AS body FROM t),
+c AS (SELECT table_name, trim(regexp_replace(unnest(string_split(body, ',')), '\s+', ' ', 'g')) AS c FROM b)
+SELECT table_name, regexp_extract(c, '^(\w+)', 1) AS column_name, regexp_extract(c, '^\w+\s+(\w+)', 1) AS column_type, CASE WHEN regexp_extract(c, '^(\w+)', 1) = 'id' THEN 'PK' WHEN regexp_extract(c, '^(\w+)', 1) LIKE '%\_id' ESCAPE '\' THEN 'FK' ELSE '' END AS role
+FROM c WHERE c <> '' AND NOT regexp_matches(c, '^(?:primary|foreign|unique|constraint|check|index|key)\b')"""
+
+
+@on_files("ext_05_columns", DDL_SQL)
 def _(f):
     return code.ddl_columns(f)
 
 
-@on_files("ext_07_stereotypes", "SELECT 'java/OrderRepo.java' AS path, 'OrderRepo' AS name, 'Repository' AS stereotype")
+@on_files("ext_07_stereotypes", r", m AS (SELECT path, unnest(regexp_extract_all(text, '(@\w+\s+(?:public\s+)?class\s+\w+)', 1)) AS m FROM f) SELECT path, regexp_extract(m, 'class\s+(\w+)', 1) AS name, regexp_extract(m, '@(\w+)', 1) AS stereotype FROM m")
 def _(f):
     return code.stereotypes(f)
 
@@ -99,14 +103,14 @@ def _(f):
     return code.matches(f, r"\b([A-Z][a-zA-Z0-9_]+)", "type").join(code.matches(f, r"class\s+(\w+)", "type").select("type"), "type", "left_semi").select("path", "type")
 
 
-@on_files("tag_03_collections", "SELECT * FROM (VALUES ('app/orders.py', 'orders', 'WRITES'), ('app/orders.py', 'orders', 'READS')) AS t(path, collection, use)")
+@on_files("tag_03_collections", r", m AS (SELECT DISTINCT path, unnest(regexp_extract_all(text, 'db\.(\w+\.\w+)\(', 1)) AS m FROM f) SELECT path, split_part(m, '.', 1) AS collection, CASE WHEN regexp_matches(split_part(m, '.', 2), '^(insert|update|delete|replace)') THEN 'WRITES' WHEN split_part(m, '.', 2) = 'aggregate' THEN 'AGGREGATES' ELSE 'READS' END AS use FROM m")
 def _(f):
     return code.collection_uses(f)
 
 
-@on_files("fil_26_quoted_urls", r"SELECT DISTINCT path, unnest(regexp_extract_all(text, '''(/[\w/{}-]+)''', 1)) AS url FROM f")
+@on_files("fil_26_quoted_urls", r"SELECT DISTINCT path, unnest(regexp_extract_all(text, '[''\"](/[\w/{}-]+)[''\"]', 1)) AS url FROM f")
 def _(f):
-    return code.matches(f, r"'(/[\w/{}-]+)'", "url")
+    return code.matches(f, "['\"](/[\\w/{}-]+)['\"]", "url")
 
 
 @on_files("src_17_sniffed_sql", "SELECT path, regexp_matches(substr(text, 1, 4096), '(?i)\\b(?:CREATE\\s+(?:DEFINER|OR\\s+REPLACE|PROCEDURE|FUNCTION)|BEGIN|DELIMITER|INSERT\\s+INTO)\\b') AS is_sql FROM f")

@@ -12,8 +12,10 @@ from .functions import scalars as fn
 from .operators import lineage as lin
 from .operators import links as lnk
 from .operators import scopes
-from .plans.codegraph import ACCESS, CODE_SQL, ELEMENT, FETCH, HOOK, ROUTE, _sql_list, code_graph
+from .plans.codebase import FILES_SQL, source_files
+from .plans.codegraph import ACCESS, CODE_SQL, ELEMENT, FETCH, HOOK, ROUTE, _sql_list, code_graph, file_calls
 from .plans.graph import Graph, table
+from .sources import files as src
 
 
 def on_code(name: str, sql: str | None = None, recursive: str | None = None):
@@ -42,6 +44,21 @@ def _(g):
     return g.owned.select("path", "line_no", "owner", "owner_line")
 
 
+@on_code("src_02_symbols", "SELECT path, name, kind, parent, line_no AS start_line FROM sy")
+def _(g):
+    return g.symbols.select("path", "name", "kind", "parent", F.col("line_no").alias("start_line"))
+
+
+@on_code("rel_08_calls", "SELECT DISTINCT ca.path, cs.name AS caller, ca.name AS callee FROM ca JOIN cs ON cs.path = ca.path AND cs.line_no = ca.owner_line JOIN fn ON fn.path = ca.path AND fn.name = ca.name WHERE cs.name <> ca.name")
+def _(g):
+    return file_calls(g)
+
+
+@query("ext_04_endpoints", f"WITH {FILES_SQL}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_1 FROM f) SELECT * FROM (SELECT path, upper(regexp_extract(line, '@\\w+\\.(get|post|put|delete|patch)\\(', 1)) AS method, regexp_extract(line, '\\(\\s*[''\"]([^''\"]+)[''\"]', 1) AS route, line_1 AS line FROM l WHERE regexp_matches(line, '@\\w+\\.(get|post|put|delete|patch)\\(\\s*[''\"]([^''\"]+)[''\"]'))")
+def _(spark, d):
+    return src.endpoints(source_files(spark, d))
+
+
 @on_code("src_02_code_nodes", "SELECT * FROM cn")
 def _(g):
     return g.nodes

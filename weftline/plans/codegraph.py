@@ -93,6 +93,15 @@ def build(files: DataFrame) -> CodeGraph:
     return CodeGraph(files, sym, owned, written(reduce(DataFrame.unionByName, nodes).distinct(), "nodes"), written(reduce(DataFrame.unionByName, edges).distinct(), "edges"))
 
 
+def file_calls(g: CodeGraph) -> DataFrame:
+    """path, caller, callee: declarations that call a function or method of their own file by its name."""
+    heads, code = g.symbols.select("path", "line_no"), g.symbols.where("node_type <> 'SQL_TABLE'")
+    caller = code.select("path", F.col("line_no").alias("owner_line"), F.col("name").alias("caller"))
+    named = code.where("kind in ('FUNCTION', 'METHOD')").select("path", F.col("name").alias("callee")).distinct()
+    calls = scopes.matches(g.owned, CALL, "callee").where("owner is not null").join(heads, ["path", "line_no"], "left_anti").join(caller, ["path", "owner_line"])
+    return calls.join(named, ["path", "callee"], "left_semi").where("caller <> callee").select("path", "caller", "callee").distinct()
+
+
 def _sql_list(names) -> str:
     return "(" + ", ".join(f"'{n}'" for n in names) + ")"
 

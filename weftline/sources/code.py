@@ -58,11 +58,14 @@ def hierarchy(files: DataFrame) -> DataFrame:
     return heads.select(child, F.explode(F.concat(*found)).alias("u")).select("child", "u.parent", "u.relation").where("parent <> ''")
 
 
-def usages(files: DataFrame) -> DataFrame:
-    """Names that one file defines and another one mentions: an equi-join on words, not a search of each name in each text."""
+def usages(files: DataFrame, salts: int = 16) -> DataFrame:
+    """Names that one file defines and another one mentions: an equi-join on words, not a search of each name in each text.
+
+    What mentions a word is dealt over ``salts`` parts, what defines it is repeated, so a common word has no single task.
+    """
     defined = matches(files, DEFINED, "name").withColumnRenamed("path", "source")
-    words = matches(files, r"([A-Za-z_]\w*)", "name").withColumnRenamed("path", "target")
-    return defined.join(words, "name").where("source <> target").select("source", "target", "name")
+    words = matches(files, r"([A-Za-z_]\w*)", "name").withColumnRenamed("path", "target").withColumn("salt", F.pmod(F.xxhash64("target"), F.lit(salts)).cast("int"))
+    return defined.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).join(words, ["name", "salt"]).where("source <> target").select("source", "target", "name")
 
 
 def stem(path: Column) -> Column:
@@ -71,7 +74,7 @@ def stem(path: Column) -> Column:
 
 def resolved_imports(files: DataFrame) -> DataFrame:
     """path and the file that each import names: its whole dotted path if there is one, else the least file of its last part's name."""
-    spec = F.array_distinct(F.concat(F.regexp_extract_all("text", F.lit(r"(?m)^(?:from|import)\s+([\w.]+)"), 1), F.regexp_extract_all("text", F.lit(r"from\s+'([^']+)'"), 1)))
+    spec = F.array_distinct(F.concat(F.regexp_extract_all("text", F.lit(r"(?m)^(?:from|import)\s+([\w.]+)"), 1), F.regexp_extract_all("text", F.lit("from\\s+['\"]([^'\"]+)['\"]"), 1)))
     specs = files.select("path", F.explode(spec).alias("spec")).withColumn("wanted", F.regexp_replace(F.regexp_replace("spec", r"^(\.\.?/)+", ""), r"\.", "/"))
     known = files.select(F.col("path").alias("target"), F.regexp_replace("path", r"\.\w+$", "").alias("whole"), stem(F.col("path")).alias("base"))
     exact = specs.join(known, F.col("wanted") == F.col("whole")).select("path", "spec", "target", F.lit(1).alias("rank"))
@@ -83,7 +86,7 @@ def resolved_imports(files: DataFrame) -> DataFrame:
 def handlers(files: DataFrame, within: int = 4) -> DataFrame:
     """Routes and the first function that begins in the next lines of the same file: a bounded forward as-of by a window frame."""
     name = F.regexp_extract("line", r"^\s*(?:async\s+)?(?:def|function)?\s*([a-z_]\w*)\s*\(", 1)
-    marked = lines(files).select("path", "line_no", F.nullif(F.regexp_extract("line", r"@(?:\w+\.)?(?i:get|post|put|delete|patch)\(\s*'([^']*)'", 1), F.lit("")).alias("route"), F.nullif(name, F.lit("")).alias("name"))
+    marked = lines(files).select("path", "line_no", F.nullif(F.regexp_extract("line", "@(?:\\w+\\.)?(?i:get|post|put|delete|patch)\\(\\s*['\"]([^'\"]*)['\"]", 1), F.lit("")).alias("route"), F.nullif(name, F.lit("")).alias("name"))
     ahead = Window.partitionBy("path").orderBy("line_no").rangeBetween(1, within)
     return marked.withColumn("handler", F.first("name", ignorenulls=True).over(ahead)).where("route is not null").select("path", "line_no", "route", "handler")
 
@@ -94,12 +97,21 @@ def brace_depth(files: DataFrame) -> DataFrame:
     return lines(files).select("path", "line_no", F.sum(delta).over(Window.partitionBy("path").orderBy("line_no")).alias("depth"))
 
 
+#: A CREATE TABLE up to its closing bracket, with brackets nested twice; and what begins a line that is no column.
+DDL = r"(create\s+table\s+(?:if\s+not\s+exists\s+)?\w+\s*\([^()]*+(?:\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)[^()]*+)*+\))"
+NO_COLUMN = r"^(?:primary|foreign|unique|constraint|check|index|key)\b"
+
+
 def ddl_columns(files: DataFrame) -> DataFrame:
-    """table_name, column_name, column_type and role (by its name) of CREATE TABLE statements without nested brackets."""
-    t = files.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(create\s+table\s+\w+\s*\([^()]*\))"), 1)).alias("t"))
-    c = t.select(F.regexp_extract("t", r"table\s+(\w+)", 1).alias("table_name"), F.explode(F.split(F.regexp_extract("t", r"\(([^()]*)\)", 1), ",")).alias("c")).withColumn("c", F.trim("c"))
+    """table_name, column_name, column_type and role (by its name) of CREATE TABLE statements; constraints are no columns."""
+    t = files.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(DDL), 1)).alias("t"))
+    body = F.regexp_extract("t", r"(?s)\((.*)\)$", 1)
+    for _ in range(2):  # types lose their brackets, so that every comma left ends a column
+        body = F.regexp_replace(body, r"\([^()]*\)", "")
+    c = t.select(F.regexp_extract("t", r"table\s+(?:if\s+not\s+exists\s+)?(\w+)", 1).alias("table_name"), F.explode(F.split(body, ",")).alias("c")).withColumn("c", F.trim(F.regexp_replace("c", r"\s+", " ")))
     n = F.regexp_extract("c", r"^(\w+)", 1)
-    return c.select("table_name", n.alias("column_name"), F.regexp_extract("c", r"^\w+\s+(\w+)", 1).alias("column_type"), F.when(n == "id", "PK").when(n.endswith("_id"), "FK").otherwise("").alias("role"))
+    real = c.where((F.col("c") != "") & ~F.col("c").rlike(NO_COLUMN))
+    return real.select("table_name", n.alias("column_name"), F.regexp_extract("c", r"^\w+\s+(\w+)", 1).alias("column_type"), F.when(n == "id", "PK").when(n.endswith("_id"), "FK").otherwise("").alias("role"))
 
 
 def stereotypes(files: DataFrame) -> DataFrame:

@@ -1,8 +1,7 @@
-"""Sources and sinks: source trees, XML, JSON and CSV graphs, Markdown blocks, code symbols."""
+"""Sources and sinks: source trees, XML, JSON and CSV graphs, Markdown blocks, endpoints."""
 
 from __future__ import annotations
 
-import ast
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,49 +53,6 @@ def read_graph(spark: SparkSession, path: str, kind: str = "parquet") -> Graph:
     return Graph(*out)
 
 
-def symbols(files: DataFrame) -> DataFrame:
-    """path, name, kind, parent, start_line, end_line, calls of Python sources; a text that doesn't parse gives its error.
-
-    Parsing can't be expressed with columns; it goes through Arrow in batches.
-    """
-
-    def run(frames):
-        import pandas as pd
-
-        for f in frames:
-            rows = []
-            for path, text in zip(f["path"], f["text"]):
-                try:
-                    tree = ast.parse(text or "")
-                except (SyntaxError, ValueError) as e:
-                    rows.append((path, str(e)[:200], "ERROR", None, 0, 0, []))
-                    continue
-                todo = [(n, None) for n in tree.body]
-                while todo:
-                    n, parent = todo.pop(0)
-                    if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                        kind = "CLASS" if isinstance(n, ast.ClassDef) else "METHOD" if parent else "FUNCTION"
-                        calls = sorted({c.func.id if isinstance(c.func, ast.Name) else c.func.attr for c in ast.walk(n) if isinstance(c, ast.Call) and isinstance(c.func, (ast.Name, ast.Attribute))}) if kind != "CLASS" else []
-                        rows.append((path, n.name, kind, parent, n.lineno, n.end_lineno, calls))
-                        todo = [(m, n.name if kind == "CLASS" else parent) for m in n.body] + todo
-                    elif isinstance(n, (ast.Import, ast.ImportFrom)):
-                        for a in n.names:
-                            rows.append((path, a.name if isinstance(n, ast.Import) else f"{n.module or ''}.{a.name}", "IMPORT", None, n.lineno, n.end_lineno, []))
-            yield pd.DataFrame(rows, columns=["path", "name", "kind", "parent", "start_line", "end_line", "calls"])
-
-    from ..session import ship
-
-    ship(files.sparkSession)
-    return files.select("path", "text").mapInPandas(run, "path string, name string, kind string, parent string, start_line long, end_line long, calls array<string>")
-
-
-def call_graph(s: DataFrame) -> DataFrame:
-    """caller, callee of functions of the same file: calls are exploded and met by name."""
-    f = s.where(F.col("kind").isin("FUNCTION", "METHOD"))
-    c = f.select("path", F.col("name").alias("caller"), F.explode("calls").alias("callee"))
-    return c.join(f.select("path", F.col("name").alias("callee")).distinct(), ["path", "callee"], "left_semi").where("caller <> callee").select("path", "caller", "callee").distinct()
-
-
 ROUTE = re.compile(r"@\w+\.(get|post|put|delete|patch)\(\s*['\"]([^'\"]+)['\"]")
 
 
