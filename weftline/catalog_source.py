@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .catalog import query
 from .functions import scalars as fn
+from .operators import compression as cmp
 from .operators import lineage as lin
 from .operators import links as lnk
 from .operators import scopes
@@ -192,3 +193,76 @@ def _(g):
     side = lambda r: used.where(F.col("relation") == r).select("artifact", F.col("path").alias("component"))
     kept = g.files.where("language = 'python'").select(F.col("path").alias("component"), F.concat(F.lit("Keeper of "), F.regexp_extract("path", r"^(\w+/\w+)", 1)).alias("name"))
     return lnk.artifact_flows(side("WRITES_TABLE"), side("QUERIES_TABLE"), kept)
+
+
+# --- contexts cut to a budget ------------------------------------------------------------
+def _weight(lists: str) -> str:
+    text = f"array_to_string({lists}, ' ')"
+    return f"(floor(len(regexp_extract_all({text}, '\\S+')) * 1.3) + floor(len(regexp_extract_all({text}, '{fn.SPECIAL}')) * 0.3))"
+
+
+def _halvings(n: str, first: str, least: int) -> str:
+    """The sizes that halving goes through: all of n, then first, first // 2 and so on while more than ``least``."""
+    return f"list_concat([{n}], list_filter(list_transform(range(0, 30), lambda i: CAST({first} AS BIGINT) // CAST(2 ** i AS BIGINT)), lambda k: k > {least}))"
+
+
+CONTEXTS = """ed AS (SELECT from_id AS id, to_id AS other, 0 AS way, relation FROM ce UNION ALL SELECT to_id, from_id, 1, relation FROM ce),
+nb AS (SELECT id, other FROM (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY other) AS k FROM (SELECT DISTINCT id, other FROM ed WHERE id <> other)) WHERE k <= 80),
+cx AS (SELECT cs.id, [kind || ' ' || qualified] AS head, coalesce((SELECT list('[' || node_type || '] ' || name ORDER BY cn.id) FROM nb JOIN cn ON cn.id = nb.other WHERE nb.id = cs.id), []) AS neighbours,
+  coalesce((SELECT list(['-> ', '<- '][way + 1] || relation || ': ' || ed.other ORDER BY way, relation, ed.other) FROM ed JOIN nb USING (id, other) WHERE ed.id = cs.id), []) AS edges,
+  coalesce((SELECT list(name || '(' || params || ')' ORDER BY line_no) FROM (SELECT path, line_no, name, params, row_number() OVER (PARTITION BY path ORDER BY line_no) AS k FROM cs r WHERE kind IN ('FUNCTION', 'METHOD')) r WHERE r.path = cs.path AND k <= 8 AND r.line_no <> cs.line_no), []) AS related,
+  (SELECT list(line ORDER BY l0.line_no) FROM l0 WHERE l0.path = cs.path AND l0.line_no BETWEEN cs.line_no AND cs.end_line) AS source FROM cs)"""
+_N, _E = "list_concat(head, neighbours[1:k], edges, related, source)", "list_concat(head, neighbours, edges[1:k], related, source)"
+_ALL = "list_concat(head, neighbours, edges, related, source)"
+COMPRESSED = f"""{CONTEXTS},
+x1 AS (SELECT * REPLACE (neighbours[1:coalesce(list_filter(s, lambda k: {_weight(_N)} <= 150)[1], s[-1])] AS neighbours) FROM (SELECT *, {_halvings("len(neighbours)", "greatest(5, len(neighbours) // 2)", 3)} AS s FROM cx)),
+x2 AS (SELECT * EXCLUDE (s) REPLACE (edges[1:coalesce(list_filter(t, lambda k: {_weight(_E)} <= 150)[1], t[-1])] AS edges) FROM (SELECT *, {_halvings("len(edges)", "greatest(10, len(edges) // 2)", 5)} AS t FROM x1)),
+x3 AS (SELECT * REPLACE (CASE WHEN {_weight(_ALL)} > 150 THEN related[1:3] ELSE related END AS related) FROM x2),
+x4 AS (SELECT *, {_weight(_ALL)} > 150 AND len(source) > 0 AS truncated FROM x3),
+x5 AS (SELECT * REPLACE (CASE WHEN truncated THEN list_append(source[1:greatest(20, len(source) // 2)], '... [truncated]') ELSE source END AS source) FROM x4)"""
+
+
+def contexts(g) -> DataFrame:
+    """id and the sections of each declaration's context: head, neighbours (80 at most, by id), edges to them, related functions of the file (of the first eight), source."""
+    code = g.symbols.where("node_type <> 'SQL_TABLE'")
+    e = g.edges
+    ends = e.select(F.col("from_id").alias("id"), F.col("to_id").alias("other"), F.lit(0).alias("way"), "relation").unionByName(e.select(F.col("to_id").alias("id"), F.col("from_id").alias("other"), F.lit(1).alias("way"), "relation"))
+    near = ends.where("id <> other").select("id", "other").distinct().withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("other"))).where("k <= 80").drop("k")
+    listed = lambda df, key, *order: df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, "t"))), lambda s: s["t"]).alias("t"))
+    names = near.join(g.nodes.select(F.col("id").alias("other"), F.concat(F.lit("["), "node_type", F.lit("] "), "name").alias("t")), "other")
+    links = ends.join(near, ["id", "other"]).withColumn("t", F.concat(F.when(F.col("way") == 0, "-> ").otherwise("<- "), "relation", F.lit(": "), "other"))
+    first = code.where("kind in ('FUNCTION', 'METHOD')").withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("line_no"))).where("k <= 8")
+    first = first.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", F.concat("name", F.lit("("), "params", F.lit(")")).alias("t")))).alias("r"))
+    x = code.select("id", "path", "line_no", "end_line", F.array(F.concat("kind", F.lit(" "), "qualified")).alias("head"))
+    x = x.join(listed(names, "id", "other").withColumnRenamed("t", "neighbours"), "id", "left").join(listed(links, "id", "way", "relation", "other").withColumnRenamed("t", "edges"), "id", "left").join(first, "path", "left").join(g.files.select("path", "text"), "path")
+    other = F.transform(F.filter("r", lambda r: r["line_no"] != F.col("line_no")), lambda r: r["t"])
+    x = x.withColumn("related", other).withColumn("source", F.slice(F.split("text", "\n"), F.col("line_no"), F.col("end_line") - F.col("line_no") + 1))
+    return x.select("id", *(cmp.items(F.col(c)).alias(c) for c in ("head", "neighbours", "edges", "related", "source")))
+
+
+def _texts(c: str) -> F.Column:
+    return F.array_join(F.transform(c, lambda i: i["text"]), "\n").alias(c)
+
+
+@on_code("ctx_11_compressed", f"SELECT id, array_to_string(neighbours, chr(10)) AS neighbours, array_to_string(edges, chr(10)) AS edges, array_to_string(related, chr(10)) AS related, array_to_string(source, chr(10)) AS source, truncated, CAST({_weight(_ALL)} AS BIGINT) AS tokens FROM x5", recursive=COMPRESSED)
+def _(g):
+    return cmp.compressed(contexts(g), 150).select("id", *(_texts(c) for c in ("neighbours", "edges", "related", "source")), "truncated", "tokens")
+
+
+def _trims(budget: int) -> str:
+    """One CTE a section: the first of all, half, a quarter and so on that fits, else none."""
+    names = {"semantic_neighbors": "neighbours", "relationships": "edges", "related_functions": "related", "target": "head", "source_code": "source"}
+    out, before, all_ = [], "cx", [f"coalesce({c}, [])" for c in ("head", "neighbours", "edges", "related", "source")]
+    for i, c in enumerate(names.values()):
+        whole = f"list_concat({', '.join(all_)})"
+        tried = f"list_concat({', '.join(x.replace(c, c + '[1:k]') for x in all_)})"
+        sizes = f"CASE WHEN len({c}) > 2 THEN list_filter(list_transform(range(0, 30), lambda i: len({c}) // CAST(2 ** i AS BIGINT)), lambda k: k > 0) ELSE [len({c})] END"
+        out.append(f"t{i} AS (SELECT * REPLACE (CASE WHEN {_weight(whole)} <= {budget} THEN {c} WHEN len(list_filter({sizes}, lambda k: {_weight(tried)} <= {budget})) > 0 THEN {c}[1:list_filter({sizes}, lambda k: {_weight(tried)} <= {budget})[1]] END AS {c}) FROM {before})")
+        before = f"t{i}"
+    return f"{CONTEXTS}, {', '.join(out)}"
+
+
+@on_code("ctx_12_trimmed", "SELECT id, array_to_string(neighbours, chr(10)) AS semantic_neighbors, array_to_string(edges, chr(10)) AS relationships, array_to_string(related, chr(10)) AS related_functions, array_to_string(head, chr(10)) AS target, array_to_string(source, chr(10)) AS source_code, CAST(" + _weight("list_concat(" + ", ".join(f"coalesce({c}, [])" for c in ("head", "neighbours", "edges", "related", "source")) + ")") + " AS BIGINT) AS tokens FROM t4", recursive=_trims(60))
+def _(g):
+    names = {"neighbours": "semantic_neighbors", "edges": "relationships", "related": "related_functions", "head": "target", "source": "source_code"}
+    return cmp.trimmed(contexts(g).withColumnsRenamed(names), 60).select("id", *(_texts(c) for c in names.values()), "tokens")
