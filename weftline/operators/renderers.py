@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_id
 from ..plans.graph import Graph
+from .windows import numbered_within
 
 
 def quoted(c: Column) -> Column:
@@ -23,6 +24,27 @@ def edge_statements(edges: DataFrame) -> DataFrame:
     return edges.select("from_id", "to_id", F.concat(F.lit("MATCH (a {id: "), quoted(F.col("from_id")), F.lit("}), (b {id: "), quoted(F.col("to_id")), F.lit("}) MERGE (a)-[:"), "relation", F.lit("]->(b);")).alias("line"))
 
 
+def _unwound(rows: DataFrame, groups: list[str], order: list[str], props: Column, tail: Column, size: int) -> DataFrame:
+    """groups, number, line: ``size`` rows of a group to a statement, in order."""
+    p = numbered_within(rows.withColumn("_props", props), groups, order).withColumn("number", F.floor(F.col("place") / size))
+    one = p.groupBy(*groups, "number").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "_props"))), lambda x: x["_props"]).alias("_l"))  # size rows at most
+    return one.select(*groups, "number", F.concat(F.lit("UNWIND ["), F.array_join("_l", ", "), F.lit("] AS row "), tail).alias("line"))
+
+
+def unwind_nodes(nodes: DataFrame, groups: list[str] | None = None, size: int = 500) -> DataFrame:
+    """Nodes by type, ``size`` to an UNWIND; properties that are null are left out."""
+    props = F.concat(F.lit("{"), F.concat_ws(", ", *(F.concat(F.lit(f"{c}: "), quoted(F.col(c))) for c in ("id", "name", "service", "domain"))), F.lit("}"))
+    tail = F.concat(F.lit("MERGE (n:"), "node_type", F.lit(" {id: row.id}) SET n += row;"))
+    return _unwound(nodes, [*(groups or []), "node_type"], ["id"], props, tail, size)
+
+
+def unwind_edges(edges: DataFrame, groups: list[str] | None = None, size: int = 500) -> DataFrame:
+    """Edges by relation, ``size`` to an UNWIND, so that the store plans and matches once for each batch and not for each edge."""
+    props = F.concat(F.lit("{from: "), quoted(F.col("from_id")), F.lit(", to: "), quoted(F.col("to_id")), F.lit("}"))
+    tail = F.concat(F.lit("MATCH (a {id: row.from}) MATCH (b {id: row.to}) MERGE (a)-[:"), "relation", F.lit("]->(b);"))
+    return _unwound(edges, [*(groups or []), "relation"], ["from_id", "to_id"], props, tail, size)
+
+
 def memory_estimate(g: Graph) -> DataFrame:
     """MB that a graph store would need: 500 bytes a node, 200 an edge, 30 % for indexes."""
     sizes = g.nodes.agg(F.count("*").alias("n")).crossJoin(g.edges.agg(F.count("*").alias("e")))  # one row each
