@@ -638,12 +638,12 @@ def _(spark, d):
 
 @query("str_01_windowed", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def _(spark, d):
-    return stream.run_to_table(stream.windowed(stream.read_events(spark, d)), "weftline_windowed")
+    return stream.drained(stream.windowed(stream.read_events(spark, d)))
 
 
 @query("str_02_latest", "SELECT user_id, event_type AS state FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
 def _(spark, d):
-    return stream.run_to_table(stream.latest_state(stream.read_events(spark, d)), "weftline_latest").select("user_id", "state")
+    return stream.drained(stream.latest_state(stream.read_events(spark, d))).select("user_id", "state")
 
 
-from . import catalog_code, catalog_flows, catalog_rules, catalog_source  # noqa: E402,F401  they register their queries
+from . import catalog_code, catalog_flows, catalog_rules, catalog_source, catalog_store  # noqa: E402,F401  they register their queries

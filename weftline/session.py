@@ -45,18 +45,22 @@ def ship(spark: SparkSession) -> None:
     sc._weftline_shipped = True
 
 
-def written(df: DataFrame, what: str = "loop") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that a loop's plan doesn't grow and lost executors cost nothing."""
-    spark = df.sparkSession
+def shared(spark: SparkSession, what: str) -> str:
+    """A new folder's name where driver and executors can all write."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/weftline-shared"
-    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, what: str = "loop") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, so that a loop's plan doesn't grow and lost executors cost nothing."""
+    path = shared(df.sparkSession, what)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._weftline_path = path
     return out
 
