@@ -17,7 +17,7 @@ def test_cycles_cover_all_nations(spark):
     ids = sorted({x for e in edges for x in e})
     want = {f"{a}>{b}" for a, b in edges if a < b and (b, a) in edges}
     want |= {f"{a}>{b}>{c}" for a, b in edges for c in ids if a < b and a < c and (b, c) in edges and (c, a) in edges}
-    got = [r.path for r in catalog.QUERIES["grf_21_all_cycles"](spark, SF).collect()]
+    got = [r.path for r in catalog.QUERIES["grf_21_cycles"](spark, SF).collect()]
     assert sorted(got) == sorted(want) and max(int(x) for p in got for x in p.split(">")) > 5
 
 
@@ -37,7 +37,7 @@ def test_fix_points_cover_the_whole_graph(spark):
     for a, b in edges:
         x, y = sorted((find(a), find(b)))
         top[y] = x
-    got = {r.component: r.n for r in catalog.QUERIES["grf_06_all_components"](spark, SF).collect()}
+    got = {r.component: r.n for r in catalog.QUERIES["grf_06_components"](spark, SF).collect()}
     assert got == Counter(map(find, ids))
     out = Counter(a for a, _ in edges)
     rank = dict.fromkeys(ids, 1 / len(ids))
@@ -72,7 +72,7 @@ def test_labels_go_on_until_stable(spark):
 
 def test_line_cursor_reads_every_document(spark):
     want = {(r.doc_id, i, len("".join(x + "\n" for x in r.text.split("\n")[:i]))) for r in table(spark, SF, "documents").collect() if r.text is not None for i in range(r.text.count("\n") + 1)}
-    got = [tuple(r) for r in catalog.QUERIES["win_13_all_line_cursor"](spark, SF).select("doc_id", "line", "cursor").collect()]
+    got = [tuple(r) for r in catalog.QUERIES["win_13_line_cursor"](spark, SF).select("doc_id", "line", "cursor").collect()]
     assert len(got) == len(want) and set(got) == want
 
 
@@ -84,6 +84,6 @@ def test_oversize_partitions_are_split(spark):
 
 
 def test_enrichment_reads_every_edge(spark):
-    got = Counter(r.relation for r in catalog.QUERIES["rel_02_all_enriched"](spark, SF).select("relation").collect())
+    got = Counter(r.relation for r in catalog.QUERIES["rel_02_enriched"](spark, SF).select("relation").collect())
     want = Counter(r.relation for r in order_graph(spark, SF).edges.select("relation").collect())
     assert got == want and set(got) == {"BELONGS_TO", "PLACES", "CONTAINS", "SUPPLIES"}

@@ -127,12 +127,7 @@ def _(g):
     return rel.with_integrity(g.nodes, dirty).groupBy("relation").agg(F.count("*").alias("n"))
 
 
-@on_graph("rel_02_enriched", "SELECT from_id, to_id, a.name AS from_name, b.name AS to_name, b.node_type AS to_node_type FROM g_edges JOIN g_nodes a ON from_id = a.id JOIN g_nodes b ON to_id = b.id WHERE relation = 'BELONGS_TO'")
-def _(g):
-    return rel.enriched(Graph(g.nodes, rel.by_relation(g, "BELONGS_TO"))).select("from_id", "to_id", "from_name", "to_name", "to_node_type")
-
-
-@on_graph("rel_02_all_enriched", "SELECT from_id, to_id, relation, a.name AS from_name, b.name AS to_name, b.node_type AS to_node_type FROM g_edges JOIN g_nodes a ON from_id = a.id JOIN g_nodes b ON to_id = b.id")
+@on_graph("rel_02_enriched", "SELECT from_id, to_id, relation, a.name AS from_name, b.name AS to_name, b.node_type AS to_node_type FROM g_edges JOIN g_nodes a ON from_id = a.id JOIN g_nodes b ON to_id = b.id")
 def _(g):
     return rel.enriched(g).select("from_id", "to_id", "relation", "from_name", "to_name", "to_node_type")
 
@@ -272,9 +267,9 @@ def _(g):
     return agg.partitions(g)
 
 
-@on_graph("agg_09_batches", "SELECT CAST(floor((row_number() OVER (ORDER BY id) - 1) / 100) AS BIGINT) AS batch, id FROM g_nodes WHERE node_type = 'CUSTOMER'")
+@on_graph("agg_09_batches", "SELECT CAST(floor((row_number() OVER (ORDER BY id) - 1) / 100) AS BIGINT) AS batch, id FROM g_nodes")
 def _(g):
-    return agg.chunks(rel.by_type(g, "CUSTOMER").select("id"), ["id"], 100).select("batch", "id")
+    return agg.chunks(g.nodes.select("id"), ["id"], 100).select("batch", "id")
 
 
 @on_graph("agg_09_split", "SELECT p AS partition, CASE WHEN n > 500 THEN CAST(floor((k - 1) / 500) AS BIGINT) END AS sub, id FROM (SELECT coalesce(service, '__default__') AS p, id, row_number() OVER (PARTITION BY coalesce(service, '__default__') ORDER BY id) AS k, count(*) OVER (PARTITION BY coalesce(service, '__default__')) AS n FROM g_nodes)")
@@ -397,12 +392,7 @@ def line_cursor(docs: DataFrame) -> DataFrame:
     return x.select("doc_id", F.col("line").cast("long").alias("line"), F.coalesce(F.sum(F.length("l") + 1).over(w), F.lit(0)).alias("cursor"))
 
 
-@query("win_13_line_cursor", "SELECT doc_id, i AS line, CAST(coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cursor FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE lang = 'es')")
-def _(spark, d):
-    return line_cursor(table(spark, d, "documents").where("lang = 'es'"))
-
-
-@query("win_13_all_line_cursor", "SELECT doc_id, i AS line, CAST(coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cursor FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)")
+@query("win_13_line_cursor", "SELECT doc_id, i AS line, CAST(coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cursor FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)")
 def _(spark, d):
     return line_cursor(table(spark, d, "documents"))
 
@@ -537,35 +527,43 @@ def _(g):
     return grf.k_hop(g, rel.by_type(g, "REGION"), 2, "in").groupBy("seed", "hop").agg(F.count("*").alias("n"))
 
 
-@on_graph("grf_04_communities")
-def _(g):
-    return grf.label_propagation(g).groupBy("community").agg(F.count("*").alias("n"))
+def _spread(rounds: int) -> str:
+    """Label propagation: everyone at once takes the most frequent label around, the least of equals."""
+    out = ["nb AS MATERIALIZED (SELECT from_id AS id, to_id AS o FROM g_edges WHERE from_id <> to_id UNION ALL SELECT to_id, from_id FROM g_edges WHERE from_id <> to_id), c0 AS MATERIALIZED (SELECT id, id AS c FROM g_nodes)"]
+    for i in range(1, rounds + 1):
+        out.append(f"v{i} AS (SELECT nb.id, c, count(*) AS n FROM nb JOIN c{i - 1} x ON x.id = nb.o GROUP BY ALL), c{i} AS MATERIALIZED (SELECT x.id, coalesce(b.c, x.c) AS c FROM c{i - 1} x LEFT JOIN (SELECT id, arg_min(c, (-n, c)) AS c FROM v{i} GROUP BY id) b USING (id))")
+    return ", ".join(out)
 
 
-PARTIES = "p_nodes AS (SELECT * FROM g_nodes WHERE node_type IN ('REGION', 'NATION', 'CUSTOMER', 'SUPPLIER')), p_edges AS (SELECT * FROM g_edges WHERE from_id IN (SELECT id FROM p_nodes) AND to_id IN (SELECT id FROM p_nodes))"
+@on_graph("grf_04_communities", "SELECT c AS community, count(*) AS n FROM c20 GROUP BY c", recursive=_spread(20))
+def _(g):
+    return grf.label_propagation(g).groupBy("community").agg(F.count("*").alias("n"))
 
 
-@on_graph("grf_05_pagerank")
-def _(g):
-    return grf.pagerank(g)
+#: Least label over rounds: enough for the diameter of the order graph, held against plain union-find in tests.
+CONNECTED = "two_ways AS (SELECT from_id AS a, to_id AS b FROM g_edges UNION SELECT to_id, from_id FROM g_edges), " + ", ".join(
+    ["w0 AS MATERIALIZED (SELECT id, id AS c FROM g_nodes)"] + [f"w{i} AS MATERIALIZED (SELECT w.id, least(w.c, coalesce(m.c, w.c)) AS c FROM w{i - 1} w LEFT JOIN (SELECT a AS id, min(c) AS c FROM two_ways JOIN w{i - 1} o ON o.id = b GROUP BY a) m USING (id))" for i in range(1, 13)]
+) + ", reach AS (SELECT id, c AS b FROM w12)"
 
 
-@on_graph("grf_06_components", "SELECT c AS component, count(*) AS n FROM (SELECT id, min(b) AS c FROM reach GROUP BY id) GROUP BY c", recursive=PARTIES + ", two_ways AS (SELECT from_id AS a, to_id AS b FROM p_edges UNION SELECT to_id, from_id FROM p_edges), reach(id, b) AS (SELECT id, id FROM p_nodes UNION SELECT reach.id, two_ways.b FROM reach JOIN two_ways ON two_ways.a = reach.b)")
-def _(g):
-    return grf.components(parties(g)).groupBy("component").agg(F.count("*").alias("n"))
+def _ranked(rounds: int) -> str:
+    out = ["od AS MATERIALIZED (SELECT id, count(from_id) AS d, (SELECT count(*) FROM g_nodes) AS n FROM g_nodes LEFT JOIN g_edges ON from_id = id GROUP BY id), r0 AS MATERIALIZED (SELECT id, d, n, 1.0::DOUBLE / n AS r FROM od)"]
+    for i in range(1, rounds + 1):
+        out.append(f"r{i} AS MATERIALIZED (SELECT o.id, d, n, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(x, 0) + (SELECT coalesce(sum(r), 0) FROM r{i - 1} WHERE d = 0) / n) AS r FROM od o LEFT JOIN (SELECT to_id AS id, sum(r / d) AS x FROM g_edges JOIN r{i - 1} ON id = from_id GROUP BY to_id) USING (id))")
+    return ", ".join(out)
 
 
-@on_graph("grf_07_closure", "SELECT a, b FROM reach", recursive=PARTIES + ", reach(a, b) AS (SELECT from_id, to_id FROM p_edges UNION SELECT a, to_id FROM reach JOIN p_edges ON from_id = b)")
+@on_graph("grf_05_pagerank", "SELECT id, round(r / (SELECT max(r) FROM r20), 6) AS rank FROM r20", recursive=_ranked(20))
 def _(g):
-    return grf.closure(parties(g).edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")))
+    return grf.pagerank(g)
 
 
-@on_graph("grf_06_all_components")
+@on_graph("grf_06_components", "SELECT c AS component, count(*) AS n FROM (SELECT id, min(b) AS c FROM reach GROUP BY id) GROUP BY c", recursive=CONNECTED)
 def _(g):
     return grf.components(g).groupBy("component").agg(F.count("*").alias("n"))
 
 
-@on_graph("grf_07_all_closure", "SELECT a, b FROM reach", recursive="reach(a, b) AS (SELECT from_id, to_id FROM g_edges UNION SELECT a, to_id FROM reach JOIN g_edges ON from_id = b)")
+@on_graph("grf_07_closure", "SELECT a, b FROM reach", recursive="reach(a, b) AS (SELECT from_id, to_id FROM g_edges UNION SELECT a, to_id FROM reach JOIN g_edges ON from_id = b)")
 def _(g):
     return grf.closure(g.edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")))
 
@@ -587,12 +585,7 @@ def trade(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("a", "b").distinct()
 
 
-@query("grf_21_cycles", f"WITH t AS (SELECT a, b FROM ({TRADE}) WHERE a < 6 AND b < 6 AND a <> b) SELECT CAST(x.a AS VARCHAR) || '>' || x.b || '>' || y.b AS path FROM t x JOIN t y ON x.b = y.a JOIN t z ON y.b = z.a AND z.b = x.a WHERE x.a < x.b AND x.a < y.b UNION ALL SELECT CAST(x.a AS VARCHAR) || '>' || x.b FROM t x JOIN t y ON x.b = y.a AND y.b = x.a WHERE x.a < x.b")
-def _(spark, d):
-    return grf.cycles(trade(spark, d).where("a < 6 and b < 6"), 3).select("path")
-
-
-@query("grf_21_all_cycles", f"WITH t AS (SELECT a, b FROM ({TRADE}) WHERE a <> b) SELECT CAST(x.a AS VARCHAR) || '>' || x.b || '>' || y.b AS path FROM t x JOIN t y ON x.b = y.a JOIN t z ON y.b = z.a AND z.b = x.a WHERE x.a < x.b AND x.a < y.b UNION ALL SELECT CAST(x.a AS VARCHAR) || '>' || x.b FROM t x JOIN t y ON x.b = y.a AND y.b = x.a WHERE x.a < x.b")
+@query("grf_21_cycles", f"WITH t AS (SELECT a, b FROM ({TRADE}) WHERE a <> b) SELECT CAST(x.a AS VARCHAR) || '>' || x.b || '>' || y.b AS path FROM t x JOIN t y ON x.b = y.a JOIN t z ON y.b = z.a AND z.b = x.a WHERE x.a < x.b AND x.a < y.b UNION ALL SELECT CAST(x.a AS VARCHAR) || '>' || x.b FROM t x JOIN t y ON x.b = y.a AND y.b = x.a WHERE x.a < x.b")
 def _(spark, d):
     return grf.cycles(trade(spark, d), 3).select("path")
 

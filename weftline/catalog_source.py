@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from .catalog import query
 from .functions import scalars as fn
+from .operators import aggregates as agg
 from .operators import compression as cmp
 from .operators import lineage as lin
 from .operators import links as lnk
+from .operators import retrieval as ctx
 from .operators import scopes
+from .operators.graphs import k_hop
 from .plans.codebase import FILES_SQL, source_files
 from .plans.codegraph import ACCESS, CODE_SQL, ELEMENT, FETCH, HOOK, ROUTE, _sql_list, code_graph, file_calls
 from .plans.graph import Graph, table
@@ -266,3 +269,54 @@ def _trims(budget: int) -> str:
 def _(g):
     names = {"neighbours": "semantic_neighbors", "edges": "relationships", "related": "related_functions", "head": "target", "source": "source_code"}
     return cmp.trimmed(contexts(g).withColumnsRenamed(names), 60).select("id", *(_texts(c) for c in names.values()), "tokens")
+
+
+# --- complexity and relevance --------------------------------------------------------------
+MEASURED = """ms AS (SELECT cn.id, cn.node_type, coalesce(regexp_extract(cn.path, '^(\\w+/\\w+)', 1), '') AS service, coalesce(split_part(cn.path, '/', 1), '') AS domain, least(coalesce(length(s.text), 0), 500) AS body_chars, coalesce(s.n, 0) AS n_params FROM cn
+  LEFT JOIN (SELECT sy.id, min(CASE WHEN params = '' THEN 0 ELSE len(string_split(params, ',')) END) AS n, min(t.text) AS text FROM sy JOIN (SELECT sy.id, string_agg(line, chr(10) ORDER BY l0.line_no) AS text FROM sy JOIN l0 ON l0.path = sy.path AND l0.line_no BETWEEN sy.line_no AND sy.end_line GROUP BY sy.id, sy.line_no) t ON t.id = sy.id GROUP BY sy.id) s USING (id)),
+dg AS (SELECT id, count(*) AS degree FROM (SELECT from_id AS id FROM ce UNION ALL SELECT to_id FROM ce) GROUP BY id)"""
+
+
+def measured(g) -> DataFrame:
+    """id, node_type, service and domain (from the path), body_chars (500 at most, as previews are cut) and n_params of the graph's nodes."""
+    s = g.symbols.join(g.files.select("path", "text"), "path")
+    body = F.array_join(F.slice(F.split("text", "\n"), F.col("line_no"), F.col("end_line") - F.col("line_no") + 1), "\n")
+    n = F.when(F.col("params") == "", 0).otherwise(F.size(F.split("params", ",")))
+    s = s.groupBy("id").agg(F.min(body).alias("text"), F.min(n).alias("n_params"))
+    x = g.nodes.join(s, "id", "left")
+    return x.select("id", "node_type", F.coalesce(F.regexp_extract("path", r"^(\w+/\w+)", 1), F.lit("")).alias("service"), F.coalesce(F.split_part("path", F.lit("/"), F.lit(1)), F.lit("")).alias("domain"), F.least(F.coalesce(F.length("text"), F.lit(0)), F.lit(500)).alias("body_chars"), F.coalesce("n_params", F.lit(0)).alias("n_params"))
+
+
+@on_code("agg_20_code_complexity", "SELECT ms.id, round(least(0.35::DOUBLE * coalesce(degree, 0) / (SELECT max(degree) FROM dg) + 0.25::DOUBLE * body_chars / (SELECT greatest(max(body_chars), 1) FROM ms) + 0.15::DOUBLE * n_params / (SELECT greatest(max(n_params), 1) FROM ms) + CASE WHEN EXISTS (SELECT 1 FROM ce JOIN ms t ON t.id = to_id WHERE from_id = ms.id AND t.service <> '' AND ms.service <> '' AND t.service <> ms.service) THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END, 1), 8) AS complexity FROM ms LEFT JOIN dg USING (id)", recursive=MEASURED)
+def _(g):
+    return agg.code_complexity(measured(g), g.edges, digits=8)  # fewer digits would meet exact halves, which engines round either way
+
+
+NEAR_API = f"""{WALKS}, {MEASURED}, fw AS (SELECT DISTINCT unnest(path) AS id FROM ch),
+st2 AS (SELECT from_id AS a, to_id AS b FROM ce WHERE relation IN ('INVOKES', 'CALLS', 'QUERIES_TABLE', 'WRITES_TABLE')), h1 AS (SELECT DISTINCT a AS seed, b AS id FROM st2 WHERE a LIKE 'api::%'),
+h2 AS (SELECT DISTINCT h1.seed, st2.b AS id FROM h1 JOIN st2 ON st2.a = h1.id WHERE NOT EXISTS (SELECT 1 FROM h1 x WHERE x.seed = h1.seed AND x.id = st2.b) AND st2.b <> h1.seed),
+nr AS (SELECT seed, id, 1 AS hop FROM h1 UNION ALL SELECT seed, id, 2 FROM h2),
+rk AS (SELECT seed, nr.id, hop, round(0.30 * least(coalesce(degree, 0) / (SELECT max(degree) FROM dg), 1.0) + 0.25 / hop + 0.20 * CASE WHEN nr.id IN (SELECT id FROM fw) THEN 1.0 WHEN m.domain <> '' THEN 0.5 ELSE 0 END
+  + 0.15 * CASE m.node_type {" ".join(f"WHEN '{k}' THEN {v}" for k, v in ctx.CODE_WEIGHT.items())} ELSE 0.4 END + 0.10 * CASE WHEN o.service <> '' AND m.service = o.service THEN 1.0 WHEN o.domain <> '' AND m.domain = o.domain THEN 0.5 ELSE 0 END, 6) AS relevance
+  FROM nr JOIN ms m ON m.id = nr.id JOIN ms o ON o.id = nr.seed LEFT JOIN dg ON dg.id = nr.id)"""
+
+
+def near_endpoints(g) -> DataFrame:
+    """seed, id, hop, relevance of what each endpoint reaches in two hops."""
+    follow = g.edges.where("relation in ('INVOKES', 'CALLS', 'QUERIES_TABLE', 'WRITES_TABLE')")
+    near = k_hop(Graph(g.nodes, follow), g.nodes.where("node_type = 'API_ENDPOINT'"), 2, "out")
+    d = agg.degrees(Graph(g.nodes, g.edges)).select("id", (F.col("in_degree") + F.col("out_degree")).alias("degree"))
+    top = d.agg(F.max("degree").alias("m"))
+    nodes = measured(g).join(d, "id").crossJoin(top).withColumn("centrality", F.col("degree") / F.col("m"))  # one row
+    flows = lin.sql_lineage(g).select(F.explode("path").alias("id"))
+    return ctx.relevance(near.select("seed", "id", "hop"), nodes, flows)
+
+
+@on_code("ctx_08_code_rank", "SELECT * FROM rk", recursive=NEAR_API)
+def _(g):
+    return near_endpoints(g)
+
+
+@on_code("ctx_09_code_top", "SELECT seed, id, relevance, place FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY relevance DESC, id) AS place FROM rk) WHERE place <= 3", recursive=NEAR_API)
+def _(g):
+    return ctx.top_of_each(near_endpoints(g), 3)

@@ -115,6 +115,18 @@ def complexity(g: Graph) -> DataFrame:
     return x.select("id", F.round(F.least(score, F.lit(1.0)), 4).alias("complexity"))
 
 
+def code_complexity(nodes: DataFrame, edges: DataFrame, digits: int = 4) -> DataFrame:
+    """id, complexity of nodes (id, service, body_chars, n_params): degree, body and parameters against their maxima, and a share for leaving the service."""
+    d = degrees(Graph(nodes, edges)).select("id", (F.col("in_degree") + F.col("out_degree")).alias("degree"))
+    x = nodes.join(d, "id")
+    most = x.agg(*(F.greatest(F.max(c), F.lit(1)).alias(f"m_{c}") for c in ("degree", "body_chars", "n_params")))
+    part = lambda side: nodes.where("service <> ''").select(F.col("id").alias(f"{side}_id"), F.col("service").alias(f"{side}_service"))
+    out = edges.join(part("from"), "from_id").join(part("to"), "to_id").where("from_service <> to_service").select(F.col("from_id").alias("id")).distinct().withColumn("_crosses", F.lit(0.2))
+    x = x.join(out, "id", "left").crossJoin(most)  # one row
+    score = 0.35 * F.col("degree") / F.col("m_degree") + 0.25 * F.col("body_chars") / F.col("m_body_chars") + 0.15 * F.col("n_params") / F.col("m_n_params") + 0.25 * F.coalesce("_crosses", F.lit(0.0))
+    return x.select("id", F.round(F.least(score, F.lit(1.0)), digits).alias("complexity"))
+
+
 def confidence(n) -> F.Column:
     return F.when(n >= 3, "high").when(n >= 1, "medium").otherwise("low")
 

@@ -26,6 +26,35 @@ def ranked(g: Graph, target: str, hops: int = 2) -> DataFrame:
     return x.select("id", "name", "node_type", "hop", F.round(score, 6).alias("relevance"))
 
 
+# How much a code node's type weighs.
+CODE_WEIGHT = {
+    "API_ENDPOINT": 1.0, "API_CALL": 0.9, "CONTROLLER": 0.9, "SERVICE": 0.85, "MICROSERVICE": 0.85, "ASYNC_FUNCTION": 0.8, "FUNCTION": 0.75, "METHOD": 0.75, "CLASS": 0.7, "REACT_COMPONENT": 0.7, "SQL_TABLE": 0.7,
+    "MONGO_COLLECTION": 0.7, "SPARK_JOB": 0.65, "CONSTRUCTOR": 0.6, "INTERFACE": 0.6, "ENUM": 0.55, "MODULE": 0.5, "FILE": 0.45, "IMPORT": 0.3, "VARIABLE": 0.3, "CONSTANT": 0.3, "PROPERTY": 0.3, "DECORATOR": 0.25, "LAMBDA": 0.25,
+}
+
+
+def relevance(near: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
+    """seed, id, hop, relevance of rows near (seed, id, hop): centrality, nearness, flow or domain, type, and the seed's service or domain.
+
+    ``nodes``: id, node_type, service, domain, centrality; ``flows``: ids of nodes in business flows.
+    """
+    own = nodes.select(F.col("id").alias("seed"), F.col("service").alias("own_service"), F.col("domain").alias("own_domain"))
+    x = near.join(nodes, "id").join(own, "seed").join(flows.select("id", F.lit(True).alias("_flow")).distinct(), "id", "left")
+    weight = F.coalesce(*(F.when(F.col("node_type") == k, v) for k, v in CODE_WEIGHT.items()), F.lit(0.4))
+    close = F.when(F.col("hop") > 0, 1.0 / F.col("hop")).otherwise(1.0)
+    business = F.when(F.col("_flow"), 1.0).when(F.col("domain") != "", 0.5).otherwise(0.0)
+    shared = F.when((F.col("own_service") != "") & (F.col("service") == F.col("own_service")), 1.0).when((F.col("own_domain") != "") & (F.col("domain") == F.col("own_domain")), 0.5).otherwise(0.0)
+    score = 0.30 * F.least("centrality", F.lit(1.0)) + 0.25 * close + 0.20 * business + 0.15 * weight + 0.10 * shared
+    return x.select("seed", "id", "hop", F.round(score, 6).alias("relevance"))
+
+
+def top_of_each(ranked_: DataFrame, k: int) -> DataFrame:
+    """The ``k`` most relevant rows of each seed, each id once, with their place."""
+    w = Window.partitionBy("seed").orderBy(F.desc("relevance"), "id")
+    once = ranked_.groupBy("seed", "id").agg(F.max("relevance").alias("relevance"))
+    return once.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
 def top_context(r: DataFrame, k: int) -> DataFrame:
     return r.orderBy(F.desc("relevance"), "id").limit(k)
 
