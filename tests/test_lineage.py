@@ -95,3 +95,39 @@ def test_strategies_in_order_one_flow_a_name(spark):
     }
     empty = graph(spark, [], {"x": "FUNCTION"})
     assert lin.request_flows(empty, lin.sql_lineage(empty)).count() == 0
+
+
+def plain_library(edges, types, names, most=4, enough=6):
+    from collections import deque
+
+    e = sorted(edges, key=lambda x: (x[0], x[1], x[2]))
+    found = [(a, b) for a, b, r in e if r == "CONTAINS" and types.get(a) == "CLASS" and types.get(b) in ("METHOD", "FUNCTION") and not names[b].startswith("_")]
+    score = lambda b: 1 + sum(3 for w in lin.INTERESTING if w in names[b].lower())
+    out = {}
+    for a, b in sorted(found, key=lambda x: (-score(x[1]), *x))[:most]:
+        steps, seen, queue = [f"Caller → {names[a]}: {names[b]}(input)"], set(), deque([(b, names[a])])
+        while queue and len(steps) < enough:
+            at, actor = queue.popleft()
+            if at in seen:
+                continue
+            seen.add(at)
+            for x, y, r in e:
+                if x == at and r in ("CALLS", "CALLS_API") and y in types:
+                    other = next((names[p] for p, q, k in e if q == y and k == "CONTAINS" and types.get(p) == "CLASS"), "System")
+                    steps += [f"{actor} → {other}: {names[y]}()", f"{other} → {actor}: return result"]
+                    queue.append((y, other))
+        if not any("→ Caller" in s for s in steps):
+            steps.append(f"{names[a]} → Caller: return result")
+        out[f"{names[a]}.{names[b]}()"] = steps
+    return out
+
+
+def test_library_flows_ask_until_there_are_enough_steps(spark):
+    edges = [("K1", "m1", "CONTAINS"), ("K1", "m2", "CONTAINS"), ("K2", "run_it", "CONTAINS"), ("K2", "_own", "CONTAINS"), ("K3", "validate_check", "CONTAINS"), ("F", "f", "CONTAINS")]
+    edges += [("validate_check", "f", "CALLS"), ("f", "validate_check", "CALLS"), ("f", "f", "CALLS"), ("run_it", "m1", "CALLS"), ("run_it", "m2", "CALLS_API"), ("m1", "run_it", "CALLS"), ("m1", "gone", "CALLS"), ("m2", "f", "CALLS"), ("m2", "f", "CALLS_API"), ("m2", "m1", "CALLS"), ("m2", "run_it", "CALLS")]
+    types = {"K1": "CLASS", "K2": "CLASS", "K3": "CLASS", "F": "FILE", "f": "FUNCTION"} | dict.fromkeys(["m1", "m2", "run_it", "_own", "validate_check"], "METHOD")
+    names = {i: i if i.startswith("_") else i.capitalize() for i in types}
+    n = spark.createDataFrame([(i, names[i], t) for i, t in types.items()], "id string, name string, node_type string")
+    g = Graph(n, graph(spark, edges, types).edges)
+    for most, enough in ((4, 6), (2, 6), (9, 2), (9, 40)):
+        assert {r.name: r.steps for r in lin.library_flows(g, most, enough).collect()} == plain_library(edges, types, names, most, enough)

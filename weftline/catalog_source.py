@@ -320,3 +320,25 @@ def _(g):
 @on_code("ctx_09_code_top", "SELECT seed, id, relevance, place FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY relevance DESC, id) AS place FROM rk) WHERE place <= 3", recursive=NEAR_API)
 def _(g):
     return ctx.top_of_each(near_endpoints(g), 3)
+
+
+def _asked(rounds: int) -> str:
+    say = "['{a} → {b}: ' || c.name || '()', '{b} → {a}: return result']".replace("{a}", "' || pend[1].actor || '").replace("{b}", "' || c.actor || '").replace("['' || ", "[").replace(", '' || ", ", ")
+    out = []
+    for i in range(1, rounds + 1):
+        out.append(f"""h{i} AS (SELECT *, len(steps) < 6 AND len(pend) > 0 AS going FROM (SELECT *, list_filter(queue, lambda x: NOT list_contains(seen, x.id)) AS pend FROM q{i - 1})),
+q{i} AS (SELECT name, class, CASE WHEN going THEN list_concat(pend[2:], coalesce(list_transform(cl, lambda c: {{'id': c.to_id, 'actor': c.actor}}), [])) ELSE pend END AS queue, CASE WHEN going THEN list_append(seen, pend[1].id) ELSE seen END AS seen,
+  CASE WHEN going THEN list_concat(steps, coalesce(flatten(list_transform(cl, lambda c: {say})), [])) ELSE steps END AS steps FROM h{i} LEFT JOIN cq ON cq.from_id = pend[1].id)""")
+    return ", ".join(out)
+
+
+LIBRARY = f"""ic AS (SELECT e.from_id, e.to_id, k.name AS class FROM ce e JOIN cn k ON k.id = e.from_id AND k.node_type = 'CLASS' WHERE relation = 'CONTAINS'),
+q0 AS (SELECT class || '.' || m.name || '()' AS name, class, [{{'id': m.id, 'actor': class}}] AS queue, CAST([] AS VARCHAR[]) AS seen, ['Caller → ' || class || ': ' || m.name || '(input)'] AS steps FROM ic JOIN cn m ON m.id = to_id AND m.node_type IN ('METHOD', 'FUNCTION') AND NOT starts_with(m.name, '_')
+  ORDER BY {" + ".join(f"CASE WHEN contains(lower(m.name), '{w}') THEN 3 ELSE 0 END" for w in lin.INTERESTING)} DESC, from_id, to_id LIMIT 4),
+cq AS (SELECT e.from_id, list({{'to_id': e.to_id, 'name': n.name, 'actor': coalesce(a.class, 'System')}} ORDER BY e.to_id, e.relation) AS cl FROM (SELECT DISTINCT from_id, to_id, relation FROM ce WHERE relation IN ('CALLS', 'CALLS_API')) e JOIN cn n ON n.id = e.to_id LEFT JOIN (SELECT to_id, arg_min(class, from_id) AS class FROM ic GROUP BY to_id) a ON a.to_id = e.to_id GROUP BY e.from_id),
+{_asked(5)}"""
+
+
+@on_code("grf_19_library_flows", "SELECT name, array_to_string(CASE WHEN len(list_filter(steps, lambda x: contains(x, '→ Caller'))) > 0 THEN steps ELSE list_append(steps, class || ' → Caller: return result') END, chr(10)) AS steps FROM q5", recursive=LIBRARY)
+def _(g):
+    return lin.library_flows(g).select("name", F.array_join("steps", "\n").alias("steps"))

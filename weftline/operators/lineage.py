@@ -132,3 +132,48 @@ def request_flows(g: Graph, chains: DataFrame | None = None, flows: DataFrame |
     fields = ["steps", "step_types", "entry_point", "exit_point", "hop_count", "confidence", "strategy"]
     best = reduce(DataFrame.unionByName, found).groupBy(F.col("label").alias("name")).agg(F.min_by(F.struct(*fields), F.struct("strategy", "id")).alias("f"))
     return best.select("name", *(f"f.{c}" for c in fields))
+
+
+# --- libraries ---------------------------------------------------------------------------
+# Parts of names that make a method worth showing.
+INTERESTING = ["validate", "process", "execute", "build", "create", "run", "parse", "check", "verify", "transform", "generate"]
+
+
+def library_flows(g: Graph, most: int = 4, enough: int = 6) -> DataFrame:
+    """name, steps: for the ``most`` most interesting public methods of classes (equals by class and method id) who calls whom.
+
+    Starting with the method, the next node met is asked for its calls until there are ``enough`` steps; a call adds a step and its
+    return. What a node calls goes by (to_id, relation). Each round asks one node a flow, so a round joins ``most`` rows, and a flow goes on
+    only while it has fewer than three calls.
+    """
+    score = sum((F.when(F.contains(F.lower("method"), F.lit(w)), 3).otherwise(0) for w in INTERESTING), F.lit(1))
+    classes = g.nodes.where("node_type = 'CLASS'").select(F.col("id").alias("from_id"), F.col("name").alias("class"))
+    inside = g.edges.where("relation = 'CONTAINS'").join(classes, "from_id")
+    methods = g.nodes.where("node_type in ('METHOD', 'FUNCTION') and not startswith(name, '_')").select(F.col("id").alias("to_id"), F.col("name").alias("method"))
+    first = inside.join(methods, "to_id").select("from_id", "to_id", "class", "method", score.alias("score")).distinct().orderBy(F.desc("score"), "from_id", "to_id").limit(most)
+    actor = inside.groupBy("to_id").agg(F.min_by("class", "from_id").alias("actor"))
+    calls = g.edges.where("relation in ('CALLS', 'CALLS_API')").select("from_id", "to_id", "relation").distinct().join(g.nodes.select(F.col("id").alias("to_id"), "name"), "to_id").join(actor, "to_id", "left")
+    calls = calls.groupBy(F.col("from_id").alias("at")).agg(F.array_sort(F.collect_list(F.struct("to_id", "relation", "name", F.coalesce("actor", F.lit("System")).alias("actor")))).alias("calls"))
+    say = lambda a, b, what: F.concat(a, F.lit(" → "), b, F.lit(": "), what)
+    flow = cut(first.select(
+        F.concat("class", F.lit("."), "method", F.lit("()")).alias("name"), "class",
+        F.array(F.struct(F.col("to_id").alias("id"), F.col("class").alias("actor"))).alias("queue"), F.array().cast("array<string>").alias("seen"),
+        F.array(say(F.lit("Caller"), F.col("class"), F.concat("method", F.lit("(input)")))).alias("steps"),
+    ))
+    while True:
+        todo = flow.withColumn("queue", F.filter("queue", lambda x: ~F.array_contains("seen", x["id"])))
+        todo = todo.withColumn("head", F.when(F.size("steps") < enough, F.get("queue", F.lit(0))))
+        if todo.where("head is not null").isEmpty():
+            break
+        met = todo.withColumn("at", F.col("head.id")).join(calls, "at", "left")
+        new = F.coalesce("calls", F.array().cast(calls.schema["calls"].dataType))
+        said = F.flatten(F.transform(new, lambda c: F.array(say(F.col("head.actor"), c["actor"], F.concat(c["name"], F.lit("()"))), say(c["actor"], F.col("head.actor"), F.lit("return result")))))
+        going = F.col("head").isNotNull()
+        flow = cut(met.select(
+            "name", "class",
+            F.when(going, F.concat(F.slice("queue", 2, 1 << 20), F.transform(new, lambda c: F.struct(c["to_id"].alias("id"), c["actor"].alias("actor"))))).otherwise(F.col("queue")).alias("queue"),
+            F.when(going, F.concat("seen", F.array("at"))).otherwise(F.col("seen")).alias("seen"),
+            F.when(going, F.concat("steps", said)).otherwise(F.col("steps")).alias("steps"),
+        ))
+    back = F.when(F.exists("steps", lambda x: F.contains(x, F.lit("→ Caller"))), F.col("steps")).otherwise(F.concat("steps", F.array(F.concat("class", F.lit(" → Caller: return result")))))
+    return flow.select("name", back.alias("steps"))
