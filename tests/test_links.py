@@ -104,10 +104,12 @@ class B: pass'''
 def test_scopes_of_indents_and_braces(spark):
     ts = "export async function a(x) {\n  if (x) {\n    class B {\n      m(y) {\n      }\n    }\n    b(1);\n  }\n  function c() {}\n}\nfunction d() { }\n"
     f = spark.createDataFrame([("p", "python", FILE), ("t", "typescript", ts), ("e", "python", ""), ("n", "python", None)], "path string, language string, text string")
-    got = {(r.path, r.qualified): (r.kind, r.line_no, r.end_line, r.decorator) for r in scopes.symbols(f).collect()}
+    ln = scopes.lines(f)
+    decl = scopes.with_ends(ln, scopes.declarations(ln))
+    got = {(r.path, r.qualified): (r.kind, r.line_no, r.end_line, r.decorator) for r in scopes.symbols(ln, decl).collect()}
     assert got == {
         ("p", "A"): ("CLASS", 5, 12, "@other"), ("p", "A.f"): ("METHOD", 7, 12, None), ("p", "A.f.g"): ("FUNCTION", 8, 8, None), ("p", "h"): ("FUNCTION", 15, 17, None), ("p", "B"): ("CLASS", 18, 18, None),
         ("t", "a"): ("FUNCTION", 1, 10, None), ("t", "a.B"): ("CLASS", 3, 6, None), ("t", "a.B.m"): ("METHOD", 4, 5, None), ("t", "a.c"): ("FUNCTION", 9, 9, None), ("t", "d"): ("FUNCTION", 11, 12, None),
     }
-    own = {(r.path, r.line_no): r.owner for r in scopes.owners(f).collect()}
+    own = {(r.path, r.line_no): r.owner for r in scopes.owners(ln, decl).collect()}
     assert own["p", 12] == "f" and own["p", 13] is None and own["p", 16] == "h" and own["t", 7] == "a" and own["p", 5] is None and ("p", 11) not in own

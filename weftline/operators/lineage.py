@@ -49,7 +49,7 @@ def walks_back(edges: DataFrame, starts: DataFrame, relations: list[str] = FOLLO
         if going.isEmpty():
             break
     done.append(going.select("id", "path"))
-    return reduce(DataFrame.unionByName, done)
+    return cut(reduce(DataFrame.unionByName, done))
 
 
 def sql_lineage(g: Graph, depth: int = 15) -> DataFrame:
@@ -95,7 +95,7 @@ def until_data(g: Graph, starts: DataFrame, depth: int = 8) -> DataFrame:
         going = placed.where("not over")
         if going.isEmpty():
             break
-    return reached.select("seed", "id", "step")
+    return cut(reached.select("seed", "id", "step"))
 
 
 def told(g: Graph, chain: DataFrame) -> DataFrame:

@@ -60,10 +60,11 @@ def enclosing(asked: DataFrame, decl: DataFrame) -> DataFrame:
     return inside.groupBy("path", "line_no").agg(F.array_sort(F.collect_list("open")).alias("scopes"))
 
 
-def symbols(files: DataFrame) -> DataFrame:
-    """path, language, line_no, end_line, kind, name, qualified, parent, params, is_async, is_exported, decorator of every declaration."""
-    ln = lines(files)
-    decl = with_ends(ln, declarations(ln))
+def symbols(ln: DataFrame, decl: DataFrame) -> DataFrame:
+    """path, language, line_no, end_line, kind, name, qualified, parent, params, is_async, is_exported, decorator of every declaration.
+
+    ``ln`` and ``decl`` are those of :func:`lines` and :func:`with_ends`; both are read several times and best written before.
+    """
     around = enclosing(decl, decl)
     x = decl.join(around, ["path", "line_no"], "left")
     outer = F.try_element_at("scopes", F.lit(-1))
@@ -78,13 +79,11 @@ def symbols(files: DataFrame) -> DataFrame:
     return x.select("path", "language", "line_no", "end_line", kind.alias("kind"), "name", F.array_join(names, ".").alias("qualified"), outer["name"].alias("parent"), F.trim("params").alias("params"), "is_async", "is_exported", "decorator")
 
 
-def owners(files: DataFrame) -> DataFrame:
+def owners(ln: DataFrame, decl: DataFrame) -> DataFrame:
     """path, language, line_no, line of every line with a level, and the innermost declaration around it: owner, owner_line, owner_word (null outside any).
 
     A head belongs to what encloses the head.
     """
-    ln = lines(files)
-    decl = with_ends(ln, declarations(ln))
     real = ln.where("level is not null")
     o = F.try_element_at("scopes", F.lit(-1))
     return real.join(enclosing(real, decl), ["path", "line_no"], "left").select("path", "language", "line_no", "line", o["name"].alias("owner"), o["line_no"].alias("owner_line"), o["word"].alias("owner_word"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import scopes
-from ..session import written
+from ..session import dropped, written
 from .codebase import FILES_SQL, source_files
 from .graph import file_state
 
@@ -51,20 +51,24 @@ def code_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
 
 
 def build(files: DataFrame) -> CodeGraph:
-    """Symbols and lines are written once, since nodes and edges read them several times."""
-    sym = scopes.symbols(files).withColumn("id", symbol_id("path", "qualified"))
+    """Lines, declarations, symbols and owners are written one after the other, since what follows reads each several times and the plans stay small."""
+    ln = written(scopes.lines(files), "lines")
+    decl = written(scopes.with_ends(ln, scopes.declarations(ln)), "declarations")
+    sym = scopes.symbols(ln, decl).withColumn("id", symbol_id("path", "qualified"))
     component = (F.col("language") == "typescript") & F.col("kind").isin("CLASS", "FUNCTION") & F.col("name").rlike("^[A-Z]")
     node_type = F.when(F.col("kind").startswith("SQL_"), F.lit("SQL_TABLE")).when(component, "REACT_COMPONENT")
     node_type = node_type.when((F.col("language") == "typescript") & (F.col("kind") == "FUNCTION") & F.col("name").rlike("^use[A-Z]"), "REACT_HOOK")
     for mark, type_ in STEREOTYPES.items():
         node_type = node_type.when((F.col("kind") == "CLASS") & (F.col("decorator") == mark), type_)
     sym = written(sym.withColumn("node_type", node_type.otherwise(F.col("kind"))), "symbols")
-    owned = written(scopes.owners(files), "owned")
+    owned = written(scopes.owners(ln, decl), "owned")
+    for table_ in (ln, decl):
+        dropped(table_)
 
     code = sym.where("node_type <> 'SQL_TABLE'")
     routes = code.withColumn("route", F.regexp_extract("decorator", ROUTE, 1)).where("route <> ''").select("id", "route")
     used = reduce(DataFrame.unionByName, [scopes.matches(owned, p, "t").withColumn("relation", F.lit(r)) for r, p in ACCESS.items()])
-    used = used.withColumn("t", F.lower("t")).where("t <> 'if'")
+    used = written(used.withColumn("t", F.lower("t")).where("t <> 'if'"), "used")
     api = lambda c: F.concat(F.lit("api::"), c)
     tab = lambda c: F.concat(F.lit("table::"), c)
     nodes = [
