@@ -172,11 +172,6 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", out.restated(F.col("p_name"), F.col("p_type")).alias("restated"))
 
 
-@query("doc_24_contents", "SELECT 7 AS id, * FROM (VALUES (0, 'First part', 'first-part'), (1, 'Q & A', 'q--a')) AS t(number, title, anchor)")
-def _(spark, d):
-    return out.contents(spark.createDataFrame([(7, "# Top\n## First part\ntext\n### No\n## Q & A\n"), (8, "")], "id int, text string"), "id")
-
-
 # --- joins and aggregates --------------------------------------------------------------
 @on_graph("rel_24_cross_edges", "SELECT from_id, to_id, relation FROM g_edges JOIN g_nodes a ON from_id = a.id JOIN g_nodes b ON to_id = b.id WHERE coalesce(a.service, '__default__') <> coalesce(b.service, '__default__')")
 def _(g):

@@ -13,6 +13,7 @@ from .operators import aggregates as agg
 from .operators import compression as cmp
 from .operators import lineage as lin
 from .operators import links as lnk
+from .operators import renderers as out
 from .operators import retrieval as ctx
 from .operators import scopes
 from .operators.graphs import k_hop
@@ -342,3 +343,10 @@ cq AS (SELECT e.from_id, list({{'to_id': e.to_id, 'name': n.name, 'actor': coale
 @on_code("grf_19_library_flows", "SELECT name, array_to_string(CASE WHEN len(list_filter(steps, lambda x: contains(x, '→ Caller'))) > 0 THEN steps ELSE list_append(steps, class || ' → Caller: return result') END, chr(10)) AS steps FROM q5", recursive=LIBRARY)
 def _(g):
     return lin.library_flows(g).select("name", F.array_join("steps", "\n").alias("steps"))
+
+
+@on_code("doc_24_contents", "SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY line_no) - 1 AS INTEGER) AS number, kind || ' ' || name AS title, replace(regexp_replace(lower(kind || ' ' || name), '[^a-z0-9 -]', '', 'g'), ' ', '-') AS anchor FROM sy")
+def _(g):
+    said = F.array_sort(F.collect_list(F.struct("line_no", F.concat(F.lit("\n## "), "kind", F.lit(" "), "name").alias("h"))))
+    pages = g.symbols.groupBy("path").agg(F.concat(F.lit("# "), F.first("path"), F.array_join(F.transform(said, lambda x: x["h"]), "")).alias("text"))
+    return out.contents(pages, "path")
