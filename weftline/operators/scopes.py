@@ -1,13 +1,18 @@
 """Declarations of source files, the scopes that they open, and the innermost scope around any line.
 
 Python blocks are told by indents, the others by the depth of braces. A declaration at a level encloses the lines up to the
-next one at its level or a lower one. Both questions - where a scope ends, what encloses a line - are windows by file and
-level over the lines in order, so a file's lines never meet each other in pairs; the levels of a file are few.
+next one at its level or a lower one. Where a text is one row, :func:`scanned` reads each file once with a stack of the open
+scopes and shuffles nothing. Where lines lie in rows of their own, both questions - where a scope ends, what encloses a line -
+are windows by file and level over the lines in order, so a file's lines never meet each other in pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A head with a word that tells its kind: async, kind, name, parameters.
@@ -17,6 +22,73 @@ METHOD = r"^\s+(?:public\s+|private\s+|protected\s+)?(async\s+)?(?:[A-Za-z_][\w<
 #: A table or view: kind, name.
 STORED = r"(?i)^\s*create\s+(table|view)\s+(?:if\s+not\s+exists\s+)?([a-z_]\w*)"
 
+BRACES = ("typescript", "javascript", "java")
+DECLARED = "array<struct<line_no:int,end_line:int,word:string,kind:string,name:string,qualified:string,parent:string,params:string,is_async:boolean,is_exported:boolean,decorator:string>>"
+_HEAD, _METHOD, _STORED, _SKIPPED, _MARK, _EXPORTED = (re.compile(p, re.ASCII) for p in (HEAD, METHOD, STORED, r"\s*(#|//|$)", r"\s*@\w", r"\s*(?:export|public)\s"))
+
+
+def _declares(line: str, language: str) -> tuple[str, str, str, bool] | None:
+    """word, name, params, is_async of a line that declares something."""
+    if m := _HEAD.match(line):
+        return m[2], m[3], m[4] or "", bool(m[1])
+    if language in BRACES and (m := _METHOD.match(line)):
+        return "def", m[2], m[3], bool(m[1])
+    if language == "sql" and (m := _STORED.match(line)):
+        return m[1].lower(), m[2], "", False
+    return None
+
+
+def _scan(text: str, language: str) -> tuple[list[dict], list[int | None], list[bool]]:
+    """A file's declarations, and for each line the place of the innermost one around it (-1: none, None: no level) and whether it declares something, by a stack of open scopes."""
+    found, owner_at, head, open_, depth, mark = [], [], [], [], 0, None
+    rows = text.split("\n")
+    for no, line in enumerate(rows, 1):
+        skipped = _SKIPPED.match(line)
+        level = len(line) - len(line.lstrip(" \t\r\f\v")) if language == "python" else depth
+        depth += line.count("{") - line.count("}")
+        head.append(False)
+        if skipped:
+            owner_at.append(None)
+            mark = mark if skipped[1] else None
+            continue
+        while open_ and open_[-1][0] >= level:
+            found[open_.pop()[1]]["end_line"] = no - 1
+        around = found[open_[-1][1]] if open_ else None
+        owner_at.append(open_[-1][1] if open_ else -1)
+        if d := _declares(line, language):
+            word, name, params, is_async = d
+            kind = f"SQL_{word.upper()}" if word in ("table", "view") else "CLASS" if word == "class" else "METHOD" if around and around["word"] == "class" else "FUNCTION"
+            head[-1] = True
+            open_.append((level, len(found)))
+            found.append({
+                "line_no": no, "end_line": len(rows), "word": word, "kind": kind, "name": name, "qualified": f"{around['qualified']}.{name}" if around else name, "parent": around and around["name"],
+                "params": params.strip(" "), "is_async": is_async, "is_exported": bool(_EXPORTED.match(line)), "decorator": mark,
+            })
+        mark = line.strip(" ") if _MARK.match(line) else None
+    return found, owner_at, head
+
+
+def scanned(files: DataFrame) -> DataFrame:
+    """path, language, text of files with declared (their declarations in order), and for each line owner_at (the place in declared of the innermost one around it; -1: none, null: a line without a level) and head (whether it declares something)."""
+    f = files.select("path", "language", "text").where("text is not null")
+    schema = f"path string, language string, text string, declared {DECLARED}, owner_at array<int>, head array<boolean>"
+    fields = [x.split(":") for x in DECLARED[len("array<struct<") : -2].split(",")]
+    type_ = pa.list_(pa.struct([(n, {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[t]) for n, t in fields]))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [_scan(t, la) for t, la in zip(b["text"].to_pylist(), b["language"].to_pylist(), strict=True)]
+            new = [pa.array([g[i] for g in got], t) for i, t in enumerate((type_, pa.list_(pa.int32()), pa.list_(pa.bool_())))]
+            yield pa.RecordBatch.from_arrays([b["path"], b["language"], b["text"], *new], ["path", "language", "text", "declared", "owner_at", "head"])
+
+    return f.mapInArrow(scan, schema)
+
+
+def owned_lines() -> Column:
+    """The lines with a level of a row of :func:`scanned`: line_no, line, at (the owner's place in declared) and head (whether it declares something)."""
+    all_ = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"), F.get("owner_at", i).alias("at"), F.get("head", i).alias("head")))
+    return F.filter(all_, lambda x: x["at"].isNotNull())
+
 
 def lines(files: DataFrame) -> DataFrame:
     """path, language, line_no, line and level; blank lines and whole-line comments have no level."""

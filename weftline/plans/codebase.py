@@ -143,13 +143,13 @@ def _text(template: str, columns: dict[str, str]) -> str:
     return "concat(" + ", ".join(whole) + ")"
 
 
-def _file(source: str, key: str, size: str, kind: str, label: str, path: str, language: str, template: str, dirs: int, hub: int) -> tuple[str, str, str, str]:
+def _file(source: str, key: str, size: str, kind: str, label: str, path: str, language: str, template: str, dirs: int, hub: int) -> tuple[str, str, str, str, str]:
     near = f"CASE WHEN {key} < {size} THEN {key} + {size} ELSE {key} - {size} END"  # a step back, or forward for the first rows: loops and long paths
     columns = {
         "k": key, "size": size, "kind": f"lower({kind})", "label": label, "a": f"({near})", "b": f"{key} % {hub}", "a_dir": f"({near}) % {dirs}", "b_dir": f"{key} % {hub} % {dirs}",
         "t": f"{key} % 31", "s": f"{key} % 7", "bs": f"{key} % {hub} % 7", "dir": f"{key} % {dirs}",
     }
-    return source, _expression(path, columns), language, _text(template, columns)
+    return source, key, _expression(path, columns), language, _text(template, columns)
 
 
 FILES = [
@@ -160,11 +160,23 @@ FILES = [
 ]
 
 
+#: Rows of a table, and so source files, for one task.
+FILES_A_TASK = 4000
+
+
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows over as many tasks as their number asks for; the count reads the files' footers."""
+    return rows.repartition(-(-rows.count() // FILES_A_TASK) or 1, key)
+
+
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, language, text."""
-    parts = [table(spark, sf_dir, t).select(F.expr(path).alias("path"), F.lit(language).alias("language"), F.expr(text).alias("text")) for t, path, language, text in FILES]
+    """path, language, text.
+
+    The tables are small for the texts that come from them, so their rows are dealt out before they become texts: one task would write all of a table.
+    """
+    parts = [_dealt(table(spark, sf_dir, t), key).select(F.expr(path).alias("path"), F.lit(language).alias("language"), F.expr(text).alias("text")) for t, key, path, language, text in FILES]
     return reduce(DataFrame.unionByName, parts)
 
 
 #: The same in DuckDB, as the beginning of a WITH clause.
-FILES_SQL = "f AS (" + " UNION ALL ".join(f"SELECT {path} AS path, '{language}' AS language, {text} AS text FROM {t}" for t, path, language, text in FILES) + ")"
+FILES_SQL = "f AS (" + " UNION ALL ".join(f"SELECT {path} AS path, '{language}' AS language, {text} AS text FROM {t}" for t, _, path, language, text in FILES) + ")"
