@@ -25,10 +25,6 @@ def _beginnings(c: Column) -> Column:
     return F.explode(F.transform(F.sequence(F.lit(0), F.length(c)), lambda k: F.substring(c, 1, k)))
 
 
-def _endings(c: Column) -> Column:
-    return F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda k: F.substring(c, k, 1 << 20)))
-
-
 def first_prefix_match(calls: DataFrame, routes: DataFrame, other_file: bool = True) -> DataFrame:
     """path, url, target, pattern: for each call (path, url) the first route (pattern, path) by pattern that equals it, begins it or that it begins, slashes at the end apart.
 
@@ -81,23 +77,27 @@ def react_links(symbols: DataFrame, nodes: DataFrame, matches: DataFrame) -> tup
 def by_path_suffix(asked: DataFrame, nodes: DataFrame) -> DataFrame:
     """source, name, id: for each (source, name) the least node of that name whose path the source ends with.
 
-    A source meets nodes on (name, ending), so the join holds only pairs that fit; a node without a path fits none.
+    A source meets nodes on (name, ending), so the join holds only pairs that fit; a node without a path fits none. A source has only
+    endings as long as a path of a node of its name. Both joins are by sort-merge: endings are many more than the files tell, too many to broadcast.
     """
     keys = nodes.where("path is not null and path <> ''").groupBy("name", F.col("path").alias("ending")).agg(F.min("id").alias("id"))
-    ends = asked.select("source", "name").distinct().withColumn("ending", _endings(F.col("source")))
-    return ends.join(keys, ["name", "ending"]).groupBy("source", "name").agg(F.min("id").alias("id"))
+    lengths = keys.groupBy("name").agg(F.collect_set(F.length("ending")).alias("lengths"))
+    fits = F.filter("lengths", lambda n: n <= F.length("source"))
+    ends = asked.select("source", "name").distinct().join(lengths.hint("merge"), "name").select("source", "name", F.explode(fits).alias("n"))
+    ends = ends.select("source", "name", F.expr("right(source, n)").alias("ending"))
+    return ends.join(keys.hint("merge"), ["name", "ending"]).groupBy("source", "name").agg(F.min("id").alias("id"))
 
 
 def comment_context(g: Graph, asked: DataFrame, most: int = 10) -> DataFrame:
     """source, name, context: what the graph tells of a declaration, ``most`` lines at most: docs, domain, service, tags, then its edges by (relation, to_id)."""
     hit = by_path_suffix(asked, g.nodes)
-    out = g.edges.join(g.nodes.select(F.col("id").alias("to_id"), F.col("name").alias("target")), "to_id")
+    out = g.edges.join(g.nodes.select(F.col("id").alias("to_id"), F.col("name").alias("target")).hint("merge"), "to_id")
     w = Window.partitionBy("from_id").orderBy("relation", "to_id")
     out = out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
     told = out.groupBy(F.col("from_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "relation", "target"))), lambda x: F.concat(F.lit("→ "), x["relation"], F.lit(": "), x["target"])).alias("links"))
     text = lambda label, c: F.when(F.col(c) != "", F.concat(F.lit(label), c))
     own = F.array_compact(F.array(text("Documentation: ", "docstring"), text("Business Domain: ", "business_domain"), text("Service: ", "service"), text("Tags: ", "tags")))
-    x = hit.join(g.nodes.drop("name"), "id").join(told, "id", "left")
+    x = hit.hint("merge").join(g.nodes.drop("name"), "id").join(told.hint("merge"), "id", "left")
     lines = F.slice(F.concat(own, F.coalesce("links", F.array().cast("array<string>"))), 1, most)
     return x.select("source", "name", F.array_join(lines, "\n").alias("context"))
 
