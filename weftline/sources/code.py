@@ -58,14 +58,19 @@ def hierarchy(files: DataFrame) -> DataFrame:
     return heads.select(child, F.explode(F.concat(*found)).alias("u")).select("child", "u.parent", "u.relation").where("parent <> ''")
 
 
-def usages(files: DataFrame, salts: int = 16) -> DataFrame:
+def usages(files: DataFrame, share: int = 50_000) -> DataFrame:
     """Names that one file defines and another one mentions: an equi-join on words, not a search of each name in each text.
 
-    What mentions a word is dealt over ``salts`` parts, what defines it is repeated, so a common word has no single task.
+    What mentions a word is dealt over parts of some ``share`` rows and what defines it is repeated for each, so a common word has no
+    single task; other words, nearly all, have one part. The join is by sort-merge: the files' sizes don't tell how many words they hold.
     """
     defined = matches(files, DEFINED, "name").withColumnRenamed("path", "source")
-    words = matches(files, r"([A-Za-z_]\w*)", "name").withColumnRenamed("path", "target").withColumn("salt", F.pmod(F.xxhash64("target"), F.lit(salts)).cast("int"))
-    return defined.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).join(words, ["name", "salt"]).where("source <> target").select("source", "target", "name")
+    words = matches(files, r"([A-Za-z_]\w*)", "name").withColumnRenamed("path", "target")
+    common = words.groupBy("name").count().where(F.col("count") > share).select("name", F.ceil(F.col("count") / share).cast("int").alias("parts"))  # one of share rows at most
+    parts = F.coalesce("parts", F.lit(1))
+    words = words.join(F.broadcast(common), "name", "left").select("name", "target", F.pmod(F.xxhash64("target"), parts).cast("int").alias("salt"))
+    defined = defined.join(F.broadcast(common), "name", "left").select("name", "source", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+    return defined.hint("merge").join(words, ["name", "salt"]).where("source <> target").select("source", "target", "name")
 
 
 def stem(path: Column) -> Column:
