@@ -40,3 +40,30 @@ def test_few_rows_make_many_tasks(spark, monkeypatch):
 def test_code_graph_equals_sql(spark):
     for name in ("ext_01_symbols", "ext_01_owned_lines", "src_02_code_nodes", "rel_07_code_edges", "rel_08_calls"):
         assert not differences(spark, catalog.QUERIES[name], catalog.ORACLES[name], SF), name
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_suffixes_broadcast_nothing(spark):
+    f = catalog.QUERIES["rel_43_comment_context"]
+    assert "BroadcastHashJoin" not in plan(f(spark, SF)) and not differences(spark, f, catalog.ORACLES["rel_43_comment_context"], SF)
+
+
+def test_usages_repeat_only_common_words(spark):
+    from weftline.sources import code
+
+    f = spark.createDataFrame([(f"p{i:02}", f"class C{i} def hot {'x' if i % 2 else ''}") for i in range(40)] + [("q", "class x hot C3")], "path string, text string")
+    want = sorted({(f"p{i:02}", f"p{j:02}", "hot") for i in range(40) for j in range(40) if i != j} | {(f"p{i:02}", "q", "hot") for i in range(40)} | {("q", f"p{j:02}", "x") for j in range(1, 40, 2)} | {("p03", "q", "C3")})
+    for share in (3, 1000):
+        assert rows(code.usages(f, share)) == want
+    whole = catalog.QUERIES["rel_17_usages"](spark, SF)
+    assert "SortMergeJoin [name" in plan(whole)
+    assert not differences(spark, catalog.QUERIES["rel_17_usages"], catalog.ORACLES["rel_17_usages"], SF)
+
+
+def test_contents_and_measures_stay_in_their_rows(spark):
+    assert "Exchange" not in plan(catalog.QUERIES["doc_24_contents"](spark, SF))
+    for name in ("doc_24_contents", "agg_20_code_complexity"):
+        assert not differences(spark, catalog.QUERIES[name], catalog.ORACLES[name], SF), name

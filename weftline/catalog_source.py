@@ -280,12 +280,14 @@ dg AS (SELECT id, count(*) AS degree FROM (SELECT from_id AS id FROM ce UNION AL
 
 def measured(g) -> DataFrame:
     """id, node_type, service and domain (from the path), body_chars (500 at most, as previews are cut) and n_params of the graph's nodes."""
-    s = g.symbols.join(g.files.select("path", "text"), "path")
-    body = F.array_join(F.slice(F.split("text", "\n"), F.col("line_no"), F.col("end_line") - F.col("line_no") + 1), "\n")
-    n = F.when(F.col("params") == "", 0).otherwise(F.size(F.split("params", ",")))
-    s = s.groupBy("id").agg(F.min(body).alias("text"), F.min(n).alias("n_params"))
+    body = lambda d: F.array_join(F.slice(F.split("text", "\n"), d["line_no"], d["end_line"] - d["line_no"] + 1), "\n")
+    n = lambda d: F.when(d["params"] == "", 0).otherwise(F.size(F.split(d["params"], ",")))
+    # an id begins with its path, so equal ids are in one row; only those carry a body on, to take the least
+    many = lambda d: F.size(F.filter("declared", lambda o: o["id"] == d["id"])) > 1
+    told = lambda d: F.struct(d["id"].alias("id"), F.when(many(d), body(d)).alias("text"), F.length(body(d)).alias("chars"), n(d).alias("n_params"))
+    s = g.scanned.select(F.inline(F.transform("declared", told))).groupBy("id").agg(F.min_by("chars", F.coalesce("text", F.lit(""))).alias("chars"), F.min("n_params").alias("n_params"))
     x = g.nodes.join(s, "id", "left")
-    return x.select("id", "node_type", F.coalesce(F.regexp_extract("path", r"^(\w+/\w+)", 1), F.lit("")).alias("service"), F.coalesce(F.split_part("path", F.lit("/"), F.lit(1)), F.lit("")).alias("domain"), F.least(F.coalesce(F.length("text"), F.lit(0)), F.lit(500)).alias("body_chars"), F.coalesce("n_params", F.lit(0)).alias("n_params"))
+    return x.select("id", "node_type", F.coalesce(F.regexp_extract("path", r"^(\w+/\w+)", 1), F.lit("")).alias("service"), F.coalesce(F.split_part("path", F.lit("/"), F.lit(1)), F.lit("")).alias("domain"), F.least(F.coalesce("chars", F.lit(0)), F.lit(500)).alias("body_chars"), F.coalesce("n_params", F.lit(0)).alias("n_params"))
 
 
 @on_code("agg_20_code_complexity", "SELECT ms.id, round(least(0.35::DOUBLE * coalesce(degree, 0) / (SELECT max(degree) FROM dg) + 0.25::DOUBLE * body_chars / (SELECT greatest(max(body_chars), 1) FROM ms) + 0.15::DOUBLE * n_params / (SELECT greatest(max(n_params), 1) FROM ms) + CASE WHEN EXISTS (SELECT 1 FROM ce JOIN ms t ON t.id = to_id WHERE from_id = ms.id AND t.service <> '' AND ms.service <> '' AND t.service <> ms.service) THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END, 1), 8) AS complexity FROM ms LEFT JOIN dg USING (id)", recursive=MEASURED)
@@ -347,6 +349,6 @@ def _(g):
 
 @on_code("doc_24_contents", "SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY line_no) - 1 AS INTEGER) AS number, kind || ' ' || name AS title, replace(regexp_replace(lower(kind || ' ' || name), '[^a-z0-9 -]', '', 'g'), ' ', '-') AS anchor FROM sy")
 def _(g):
-    said = F.array_sort(F.collect_list(F.struct("line_no", F.concat(F.lit("\n## "), "kind", F.lit(" "), "name").alias("h"))))
-    pages = g.symbols.groupBy("path").agg(F.concat(F.lit("# "), F.first("path"), F.array_join(F.transform(said, lambda x: x["h"]), "")).alias("text"))
+    said = F.transform("declared", lambda d: F.concat(F.lit("\n## "), d["kind"], F.lit(" "), d["name"]))  # in the order of lines
+    pages = g.scanned.where(F.size("declared") > 0).select("path", F.concat(F.lit("# "), "path", F.array_join(said, "")).alias("text"))
     return out.contents(pages, "path")
