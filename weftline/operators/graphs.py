@@ -60,36 +60,56 @@ def components(g: Graph) -> DataFrame:
     return label
 
 
+#: Targets in one row of an adjacency; a hub has as many rows as it needs.
+ADJACENT = 1000
+
+
+def numbered(g: Graph) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, key), keys in the order of ids, and edges as keys (a, b; b null where the target doesn't exist), written once so that rounds join numbers and no texts."""
+    keys = cut(g.nodes.select("id").orderBy("id").withColumn("key", F.monotonically_increasing_id()))
+    e = g.edges.select("from_id", "to_id").join(keys.select(F.col("id").alias("from_id"), F.col("key").alias("a")), "from_id")
+    return keys, cut(e.join(keys.select(F.col("id").alias("to_id"), F.col("key").alias("b")), "to_id", "left").select("a", "b"))
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """key, d (edges from it), targets of edges (a, b), in rows of some ``ADJACENT`` targets."""
+    e = edges.join(edges.groupBy("a").agg(F.count("*").alias("d")), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("d") / ADJACENT)))
+    return cut(e.groupBy("a", "d", "part").agg(F.collect_list("b").alias("targets")).select(F.col("a").alias("key"), "d", "targets"))
+
+
 def label_propagation(g: Graph, rounds: int = 20) -> DataFrame:
     """id, community: all nodes at once take the label most frequent among their neighbours (least label of equals).
 
     Rounds go on until no label changes, or for ``rounds``, as in the reference.
     """
-    step = cut(neighbours(g).where("id <> neighbour"))
-    label = g.nodes.select("id", F.col("id").alias("community"))
+    keys, edges = numbered(g)
+    both = edges.where("a <> b")
+    step = adjacency(both.unionAll(both.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    label = keys.select("key", F.col("key").alias("community"))
     for _ in range(rounds):
-        votes = step.join(label.select(F.col("id").alias("neighbour"), "community"), "neighbour").groupBy("id", "community").agg(F.count("*").alias("n"))
-        best = votes.groupBy("id").agg(F.min_by("community", F.struct(-F.col("n"), "community")).alias("new"))
-        moved = cut(label.join(best, "id", "left").select("id", F.coalesce("new", "community").alias("community"), (F.col("new") != F.col("community")).alias("moved")))
-        label = moved.select("id", "community")
+        votes = step.join(label, "key").select(F.explode("targets").alias("key"), "community").groupBy("key", "community").agg(F.count("*").alias("n"))
+        best = votes.groupBy("key").agg(F.min_by("community", F.struct(-F.col("n"), "community")).alias("new"))
+        moved = cut(label.join(best, "key", "left").select("key", F.coalesce("new", "community").alias("community"), (F.col("new") != F.col("community")).alias("moved")))
+        label = moved.select("key", "community")
         if moved.where("moved").isEmpty():
             break
-    return label
+    named = keys.select(F.col("key").alias("community"), F.col("id").alias("name"))
+    return label.join(named, "community").join(keys, "key").select("id", F.col("name").alias("community"))
 
 
 def pagerank(g: Graph, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """id, rank divided by the largest, rounded to 6; what nodes without out-edges hold is shared by all."""
-    e = cut(g.edges.select("from_id", "to_id"))
-    out = e.groupBy("from_id").agg(F.count("*").alias("d")).withColumnRenamed("from_id", "id")
-    base = cut(g.nodes.select("id").join(out, "id", "left"))
+    keys, edges = numbered(g)
+    e = adjacency(edges)
+    base = cut(keys.select("key").join(e.select("key", "d").distinct(), "key", "left"))
     n = base.count()
     rank = base.withColumn("r", F.lit(1.0 / max(n, 1)))
     for _ in range(rounds):
         lost = rank.where("d is null").agg(F.coalesce(F.sum("r"), F.lit(0.0))).first()[0]
-        got = e.join(rank.select(F.col("id").alias("from_id"), (F.col("r") / F.col("d")).alias("x")), "from_id").groupBy(F.col("to_id").alias("id")).agg(F.sum("x").alias("x"))
-        rank = cut(base.join(got, "id", "left").select("id", "d", ((1 - damping) / n + damping * (F.coalesce("x", F.lit(0.0)) + lost / n)).alias("r")))
+        got = e.join(rank.select("key", F.col("r")), "key").select(F.explode("targets").alias("key"), (F.col("r") / F.col("d")).alias("x")).groupBy("key").agg(F.sum("x").alias("x"))
+        rank = cut(base.join(got, "key", "left").select("key", "d", ((1 - damping) / n + damping * (F.coalesce("x", F.lit(0.0)) + lost / n)).alias("r")))
     top = rank.agg(F.max("r").alias("m"))
-    return rank.join(F.broadcast(top)).select("id", F.round(F.col("r") / F.col("m"), 6).alias("rank"))  # one row
+    return rank.join(keys, "key").crossJoin(F.broadcast(top)).select("id", F.round(F.col("r") / F.col("m"), 6).alias("rank"))  # one row
 
 
 def lineage(g: Graph, sources: DataFrame, sinks: DataFrame, depth: int, relations: list[str], cap: int = 50) -> DataFrame:
