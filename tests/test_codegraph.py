@@ -67,3 +67,21 @@ def test_contents_and_measures_stay_in_their_rows(spark):
     assert "Exchange" not in plan(catalog.QUERIES["doc_24_contents"](spark, SF))
     for name in ("doc_24_contents", "agg_20_code_complexity"):
         assert not differences(spark, catalog.QUERIES[name], catalog.ORACLES[name], SF), name
+
+
+def test_the_scan_tells_calls_and_accesses_once(spark):
+    text = "def a(x):\n  b(1); b(2); a(3)\n  run('select x from T join t')\ndef b(y):\n  far(y)\nupdate u\n"
+    r = scopes.scanned(spark.createDataFrame([("p", "python", text)], "path string, language string, text string")).first()
+    assert [tuple(c) for c in r.calls] == [("a", "b", "b"), ("a", "a", "a"), ("a", "run", None), ("b", "far", None)]
+    assert [tuple(u) for u in r.uses] == [("a", "t", "QUERIES_TABLE"), (None, "u", "WRITES_TABLE")]
+    shuffled = sum(x in plan(code_graph(spark, SF).scanned.select("calls", "uses")) for x in ("Exchange", "text#"))
+    assert not shuffled
+
+
+def test_sources_are_shuffled_once_a_file(spark):
+    from weftline.catalog_source import contexts
+
+    p = plan(contexts(code_graph(spark, SF)))
+    assert p.count("Exchange hashpartitioning") <= 5
+    for name in ("ctx_11_compressed", "ctx_12_trimmed"):
+        assert not differences(spark, catalog.QUERIES[name], catalog.ORACLES[name], SF), name

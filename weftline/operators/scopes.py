@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -24,23 +25,31 @@ STORED = r"(?i)^\s*create\s+(table|view)\s+(?:if\s+not\s+exists\s+)?([a-z_]\w*)"
 
 BRACES = ("typescript", "javascript", "java")
 DECLARED = "array<struct<line_no:int,end_line:int,word:string,kind:string,name:string,qualified:string,parent:string,params:string,is_async:boolean,is_exported:boolean,decorator:string>>"
-_HEAD, _METHOD, _STORED, _SKIPPED, _MARK, _EXPORTED = (re.compile(p, re.ASCII) for p in (HEAD, METHOD, STORED, r"\s*(#|//|$)", r"\s*@\w", r"\s*(?:export|public)\s"))
+#: What a line calls, and the relations of a table's name in a statement by the word before it; without one of the words a line accesses nothing.
+CALL = r"\b([A-Za-z_]\w*)\("
+ACCESS = {"QUERIES_TABLE": r"(?i)\b(?:from|join)\s+([a-z_]\w*)", "WRITES_TABLE": r"(?i)\b(?:into|update)\s+([a-z_]\w*)", "CREATES_TABLE": r"(?i)\bcreate\s+(?:table|view)\s+(?:if\s+not\s+exists\s+)?([a-z_]\w*)"}
+ACCESS_WORDS = ["from", "join", "into", "update", "create"]
+CALLED = "array<struct<caller:string,name:string,here:string>>"
+USED = "array<struct<user:string,t:string,relation:string>>"
+_HEAD, _METHOD, _STORED, _SKIPPED, _MARK, _EXPORTED, _CALL = (re.compile(p, re.ASCII) for p in (HEAD, METHOD, STORED, r"\s*(#|//|$)", r"\s*@\w", r"\s*(?:export|public)\s", CALL))
+_ACCESS = {r: re.compile(p, re.ASCII) for r, p in ACCESS.items()}
 
 
 def _declares(line: str, language: str) -> tuple[str, str, str, bool] | None:
-    """word, name, params, is_async of a line that declares something."""
-    if m := _HEAD.match(line):
+    """word, name, params, is_async of a line that declares something; most lines are told by a word or sign that they lack."""
+    if ("def" in line or "class" in line or "function" in line) and (m := _HEAD.match(line)):
         return m[2], m[3], m[4] or "", bool(m[1])
-    if language in BRACES and (m := _METHOD.match(line)):
+    if language in BRACES and "{" in line and "(" in line and (m := _METHOD.match(line)):
         return "def", m[2], m[3], bool(m[1])
     if language == "sql" and (m := _STORED.match(line)):
         return m[1].lower(), m[2], "", False
     return None
 
 
-def _scan(text: str, language: str) -> tuple[list[dict], list[int | None], list[bool]]:
-    """A file's declarations, and for each line the place of the innermost one around it (-1: none, None: no level) and whether it declares something, by a stack of open scopes."""
+def _scan(text: str, language: str) -> tuple[list[dict], list[int | None], list[bool], list[tuple], list[tuple]]:
+    """A file's declarations, and for each line the place of the innermost one around it (-1: none, None: no level) and whether it declares something, by a stack of open scopes; then what its lines call and access."""
     found, owner_at, head, open_, depth, mark = [], [], [], [], 0, None
+    calls, uses = {}, {}
     rows = text.split("\n")
     for no, line in enumerate(rows, 1):
         skipped = _SKIPPED.match(line)
@@ -55,6 +64,7 @@ def _scan(text: str, language: str) -> tuple[list[dict], list[int | None], list[
             found[open_.pop()[1]]["end_line"] = no - 1
         around = found[open_[-1][1]] if open_ else None
         owner_at.append(open_[-1][1] if open_ else -1)
+        owner = around["qualified"] if around and around["word"] not in ("table", "view") else None
         if d := _declares(line, language):
             word, name, params, is_async = d
             kind = f"SQL_{word.upper()}" if word in ("table", "view") else "CLASS" if word == "class" else "METHOD" if around and around["word"] == "class" else "FUNCTION"
@@ -64,22 +74,42 @@ def _scan(text: str, language: str) -> tuple[list[dict], list[int | None], list[
                 "line_no": no, "end_line": len(rows), "word": word, "kind": kind, "name": name, "qualified": f"{around['qualified']}.{name}" if around else name, "parent": around and around["name"],
                 "params": params.strip(" "), "is_async": is_async, "is_exported": bool(_EXPORTED.match(line)), "decorator": mark,
             })
-        mark = line.strip(" ") if _MARK.match(line) else None
-    return found, owner_at, head
+        elif owner and "(" in line:
+            calls.update(((owner, n), None) for n in _CALL.findall(line))
+        low = line.lower()
+        if any(w in low for w in ACCESS_WORDS):
+            uses.update(((owner, n.lower(), r), None) for r, p in _ACCESS.items() for n in p.findall(line))
+        mark = line.strip(" ") if "@" in line and _MARK.match(line) else None
+    here = {}
+    for d in found:
+        if d["kind"] in ("FUNCTION", "METHOD"):
+            here[d["name"]] = min(d["qualified"], here.get(d["name"], d["qualified"]))
+    return found, owner_at, head, [{"caller": c, "name": n, "here": here.get(n)} for c, n in calls], [{"user": u, "t": t, "relation": r} for u, t, r in uses]
 
 
 def scanned(files: DataFrame) -> DataFrame:
-    """path, language, text of files with declared (their declarations in order), and for each line owner_at (the place in declared of the innermost one around it; -1: none, null: a line without a level) and head (whether it declares something)."""
+    """path, language, text of files with declared (their declarations in order), and for each line owner_at (the place in declared of the innermost one around it; -1: none, null: a line without a level) and head (whether it declares something).
+
+    calls holds what lines inside a declaration (caller, qualified; no table or view) that declare nothing call: a name, and here, the least qualified
+    function or method of that name in the file; uses the tables (t) that lines access and how, user as caller, null elsewhere. Both hold equal
+    ones once, so that later steps don't read texts again.
+    """
     f = files.select("path", "language", "text").where("text is not null")
-    schema = f"path string, language string, text string, declared {DECLARED}, owner_at array<int>, head array<boolean>"
-    fields = [x.split(":") for x in DECLARED[len("array<struct<") : -2].split(",")]
-    type_ = pa.list_(pa.struct([(n, {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[t]) for n, t in fields]))
+    schema = f"path string, language string, text string, declared {DECLARED}, owner_at array<int>, head array<boolean>, calls {CALLED}, uses {USED}"
+    simple = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    fields = {i: [(n, simple[t]) for n, t in (x.split(":") for x in ddl[len("array<struct<") : -2].split(","))] for i, ddl in ((0, DECLARED), (3, CALLED), (4, USED))}
+
+    def lists(rows: list[list], own) -> pa.Array:
+        """Lists of values (own: their type) or of dicts (own: their fields), put together by columns."""
+        flat = [x for r in rows for x in r]
+        values = pa.StructArray.from_arrays([pa.array([x[n] for x in flat], t) for n, t in own], [n for n, _ in own]) if isinstance(own, list) else pa.array(flat, own)
+        return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, rows))], pa.int32()), values)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [_scan(t, la) for t, la in zip(b["text"].to_pylist(), b["language"].to_pylist(), strict=True)]
-            new = [pa.array([g[i] for g in got], t) for i, t in enumerate((type_, pa.list_(pa.int32()), pa.list_(pa.bool_())))]
-            yield pa.RecordBatch.from_arrays([b["path"], b["language"], b["text"], *new], ["path", "language", "text", "declared", "owner_at", "head"])
+            new = [lists([g[i] for g in got], t) for i, t in ((0, fields[0]), (1, pa.int32()), (2, pa.bool_()), (3, fields[3]), (4, fields[4]))]
+            yield pa.RecordBatch.from_arrays([b["path"], b["language"], b["text"], *new], ["path", "language", "text", "declared", "owner_at", "head", "calls", "uses"])
 
     return f.mapInArrow(scan, schema)
 
