@@ -227,21 +227,35 @@ x5 AS (SELECT * REPLACE (CASE WHEN truncated THEN list_append(source[1:greatest(
 
 
 def contexts(g) -> DataFrame:
-    """id and the sections of each declaration's context: head, neighbours (80 at most, by id), edges to them, related functions of the file (of the first eight), source."""
-    code = g.symbols.where("node_type <> 'SQL_TABLE'")
+    """id and the sections of each declaration's context: head, neighbours (80 at most, by id), edges to them, related functions of the file (of the first eight), source.
+
+    All but neighbours and edges lies in the file's row, so these come to it by path, once a file, and no source is shuffled for each declaration.
+    A declaration's id is its path, two colons and a name without colons: what is before the last two colons is the path.
+    """
     e = g.edges
     ends = e.select(F.col("from_id").alias("id"), F.col("to_id").alias("other"), F.lit(0).alias("way"), "relation").unionByName(e.select(F.col("to_id").alias("id"), F.col("from_id").alias("other"), F.lit(1).alias("way"), "relation"))
-    near = ends.where("id <> other").select("id", "other").distinct().withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("other"))).where("k <= 80").drop("k")
-    listed = lambda df, key, *order: df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, "t"))), lambda s: s["t"]).alias("t"))
-    names = near.join(g.nodes.select(F.col("id").alias("other"), F.concat(F.lit("["), "node_type", F.lit("] "), "name").alias("t")), "other")
-    links = ends.join(near, ["id", "other"]).withColumn("t", F.concat(F.when(F.col("way") == 0, "-> ").otherwise("<- "), "relation", F.lit(": "), "other"))
-    first = code.where("kind in ('FUNCTION', 'METHOD')").withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("line_no"))).where("k <= 8")
-    first = first.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", F.concat("name", F.lit("("), "params", F.lit(")")).alias("t")))).alias("r"))
-    x = code.select("id", "path", "line_no", "end_line", F.array(F.concat("kind", F.lit(" "), "qualified")).alias("head"))
-    x = x.join(listed(names, "id", "other").withColumnRenamed("t", "neighbours"), "id", "left").join(listed(links, "id", "way", "relation", "other").withColumnRenamed("t", "edges"), "id", "left").join(first, "path", "left").join(g.files.select("path", "text"), "path")
-    other = F.transform(F.filter("r", lambda r: r["line_no"] != F.col("line_no")), lambda r: r["t"])
-    x = x.withColumn("related", other).withColumn("source", F.slice(F.split("text", "\n"), F.col("line_no"), F.col("end_line") - F.col("line_no") + 1))
-    return x.select("id", *(cmp.items(F.col(c)).alias(c) for c in ("head", "neighbours", "edges", "related", "source")))
+    ends = ends.where("id <> other and contains(id, '::')")
+    for made in ("api", "table"):  # endpoints and tables are nobody's declarations, unless a file is named so
+        if g.scanned.where((F.col("path") == made) | F.startswith("path", F.lit(f"{made}::"))).select("path").isEmpty():
+            ends = ends.where(~F.startswith("id", F.lit(f"{made}::")))
+    near = ends.withColumn("k", F.dense_rank().over(Window.partitionBy("id").orderBy("other"))).where("k <= 80").drop("k")
+    labels = g.nodes.groupBy(F.col("id").alias("other")).agg(F.array_sort(F.collect_list(F.concat(F.lit("["), "node_type", F.lit("] "), "name"))).alias("labels"))
+    path = F.expr("left(id, length(id) - length(substring_index(id, '::', -1)) - 2)")
+    near = near.join(labels, "other", "left").withColumn("path", path).repartition("path")
+    links = F.transform(F.array_sort(F.collect_list(F.struct("way", "relation", "other"))), lambda s: F.concat(F.when(s["way"] == 0, "-> ").otherwise("<- "), s["relation"], F.lit(": "), s["other"]))
+    names = F.flatten(F.transform(F.array_sort(F.collect_set(F.struct("other", F.coalesce("labels", F.array().cast("array<string>")).alias("labels")))), lambda s: s["labels"]))
+    of_file = near.groupBy("path", "id").agg(names.alias("neighbours"), links.alias("edges")).groupBy("path").agg(F.collect_list(F.struct("id", "neighbours", "edges")).alias("near"))
+    code = F.filter("declared", lambda d: d["node_type"] != "SQL_TABLE")
+    first = F.slice(F.filter("code", lambda d: d["kind"].isin("FUNCTION", "METHOD")), 1, 8)  # in the order of lines
+    x = g.scanned.select("path", "text", code.alias("code")).where(F.size("code") > 0).join(of_file, "path", "left")
+    x = x.select("near", F.split("text", "\n").alias("lines"), "code", F.transform(first, lambda d: F.struct(d["line_no"].alias("line_no"), F.concat(d["name"], F.lit("("), d["params"], F.lit(")")).alias("t"))).alias("first"))
+    x = x.withColumn("lines", cmp.items(F.col("lines"))).select("near", "lines", "first", F.explode("code").alias("d"))
+    x = x.withColumn("n", F.get(F.filter("near", lambda n: n["id"] == F.col("d.id")), F.lit(0)))
+    related = F.transform(F.filter("first", lambda r: r["line_no"] != F.col("d.line_no")), lambda r: r["t"])
+    head = F.array(F.concat("d.kind", F.lit(" "), "d.qualified"))
+    told = {"head": head, "neighbours": F.col("n.neighbours"), "edges": F.col("n.edges"), "related": related}
+    source = F.slice("lines", F.col("d.line_no"), F.col("d.end_line") - F.col("d.line_no") + 1)
+    return x.select(F.col("d.id").alias("id"), *(cmp.items(c).alias(k) for k, c in told.items()), source.alias("source"))
 
 
 def _texts(c: str) -> F.Column:
