@@ -85,3 +85,24 @@ def test_sources_are_shuffled_once_a_file(spark):
     assert p.count("Exchange hashpartitioning") <= 5
     for name in ("ctx_11_compressed", "ctx_12_trimmed"):
         assert not differences(spark, catalog.QUERIES[name], catalog.ORACLES[name], SF), name
+
+
+def test_artifacts_come_from_the_scan(spark):
+    f = catalog.QUERIES["rel_34_artifact_flows"]
+    assert not any("regexp_extract_all" in x for x in plan(f(spark, SF)).splitlines())
+    written = []
+    from weftline.operators import links
+
+    keep, links.cut = links.cut, lambda df, *a: written.append(plan(df)) or keep(df, *a)
+    try:
+        f(spark, SF)
+    finally:
+        links.cut = keep
+    assert written and not any("regexp_extract_all" in p for p in written)
+    assert not differences(spark, f, catalog.ORACLES["rel_34_artifact_flows"], SF)
+
+
+def test_order_edges_shuffle_keys(spark):
+    from weftline.plans.graph import planned_graph
+
+    assert "_groupingexpression" not in plan(planned_graph(spark, SF).edges)

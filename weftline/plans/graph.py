@@ -88,7 +88,8 @@ def planned_graph(spark: SparkSession, sf_dir: str) -> Graph:
     )
 
     def edges(df, a, b, relation):
-        return df.groupBy(_id(*a).alias("from_id"), _id(*b).alias("to_id")).agg(F.count("*").alias("weight")).withColumn("relation", F.lit(relation))
+        n = df.groupBy(F.col(a[1]).alias("a"), F.col(b[1]).alias("b")).agg(F.count("*").alias("weight"))  # keys, not texts, are shuffled
+        return n.select(_id(a[0], "a").alias("from_id"), _id(b[0], "b").alias("to_id"), "weight", F.lit(relation).alias("relation"))
 
     item = t("lineitem")
     all_edges = (
