@@ -18,7 +18,7 @@ from .operators import retrieval as ctx
 from .operators import scopes
 from .operators.graphs import k_hop
 from .plans.codebase import FILES_SQL, source_files
-from .plans.codegraph import ACCESS, CODE_SQL, ELEMENT, FETCH, HOOK, ROUTE, _sql_list, code_graph, file_calls
+from .plans.codegraph import CODE_SQL, ELEMENT, FETCH, HOOK, ROUTE, _sql_list, code_graph, file_calls
 from .plans.graph import Graph, table
 from .sources import files as src
 
@@ -193,7 +193,7 @@ FED = """ar AS (SELECT us.path, us.t AS artifact, relation FROM us), mk AS (SELE
 
 @on_code("rel_34_artifact_flows", "SELECT DISTINCT a.artifact AS source, b.artifact AS sink, coalesce(pc.name, a.component || ' Service') AS producer_service, coalesce(cc2.name, b.component || ' Service') AS consumer_service FROM mk a JOIN ar c ON c.artifact = a.artifact AND c.relation = 'QUERIES_TABLE' JOIN mk b ON b.component = c.path AND b.artifact <> a.artifact LEFT JOIN cp pc ON pc.component = a.component LEFT JOIN cp cc2 ON cc2.component = b.component", recursive=FED)
 def _(g):
-    used = reduce(DataFrame.unionByName, [scopes.matches(g.owned, p, "artifact").select("path", F.lower("artifact").alias("artifact"), F.lit(r).alias("relation")) for r, p in ACCESS.items()]).where("artifact <> 'if'")
+    used = g.scanned.select("path", F.inline("uses")).where("t <> 'if'").withColumnRenamed("t", "artifact")
     side = lambda r: used.where(F.col("relation") == r).select("artifact", F.col("path").alias("component"))
     kept = g.files.where("language = 'python'").select(F.col("path").alias("component"), F.concat(F.lit("Keeper of "), F.regexp_extract("path", r"^(\w+/\w+)", 1)).alias("name"))
     return lnk.artifact_flows(side("WRITES_TABLE"), side("QUERIES_TABLE"), kept)
