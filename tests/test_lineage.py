@@ -97,6 +97,18 @@ def test_strategies_in_order_one_flow_a_name(spark):
     assert lin.request_flows(empty, lin.sql_lineage(empty)).count() == 0
 
 
+def test_steps_move_one_side(spark):
+    g = graph(spark, LOOP, TYPES)
+    # the best nodes before each node take one shuffle, and a table laid out for a loop none when it is joined
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(lin.predecessors(g.edges, lin.FOLLOWED, 4, g.nodes.selectExpr("id", "name", "node_type as tier"))).count("Exchange hashpartitioning") == 1
+    laid = lin.placed(g.edges.select("from_id", "to_id"), "from_id")
+    assert laid.count() == len(LOOP)
+    joined = g.nodes.selectExpr("id as from_id").hint("merge").join(laid, "from_id")
+    assert plan(joined).split("InMemoryRelation")[0].count("Exchange hashpartitioning") == 1
+    laid.unpersist()
+
+
 def plain_library(edges, types, names, most=4, enough=6):
     from collections import deque
 

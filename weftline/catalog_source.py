@@ -85,12 +85,12 @@ ch AS (SELECT ac.to_id AS table_id, ac.from_id AS accessor, relation, confidence
 
 @on_code("grf_09_sql_lineage", "SELECT table_id, accessor, relation, confidence, array_to_string(path, ' > ') AS path, len(path) AS length FROM ch", recursive=WALKS)
 def _(g):
-    return lin.sql_lineage(g).select("table_id", "accessor", "relation", "confidence", F.array_join("path", " > ").alias("path"), F.size("path").cast("long").alias("length"))
+    return lin.sql_lineage(g, tell=False).select("table_id", "accessor", "relation", "confidence", F.array_join("path", " > ").alias("path"), F.size("path").cast("long").alias("length"))
 
 
 @on_code("grf_11_lineage_edges", "SELECT path[1] AS from_id, path[-1] AS to_id, arg_min(confidence, (table_id, accessor, relation)) AS confidence, 'FEEDS_DATA_TO' AS relation FROM ch WHERE path[1] <> path[-1] GROUP BY ALL", recursive=WALKS)
 def _(g):
-    return lin.lineage_edges(lin.sql_lineage(g))
+    return lin.lineage_edges(lin.sql_lineage(g, tell=False))
 
 
 def _searched(depth: int) -> str:

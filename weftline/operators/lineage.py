@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,50 +20,79 @@ DATA_TYPES = ["SQL_TABLE", "MONGO_COLLECTION", "DATAFRAME"]
 TIERS = {"API_ENDPOINT": "Controller", "CONTROLLER": "Controller", "SERVICE": "Service", "REPOSITORY": "Repository", "SQL_TABLE": "Database", "MONGO_COLLECTION": "Database", "DATAFRAME": "Database", "FUNCTION": "Function", "ASYNC_FUNCTION": "Function", "METHOD": "Function", "CLASS": "Component"}
 
 
-def predecessors(edges: DataFrame, relations: list[str], most: int) -> DataFrame:
-    """id, before: the ``most`` best nodes before each node, best first: the last of those that call it, then the first of the others.
+def placed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` laid out by ``key`` in the order of it, kept on the executors' disks: a loop that joins it each round moves only the other side.
 
-    The stored order of a node's edges is that of (from_id, relation).
+    A lost executor's part is made again from what ``df`` reads. The caller lets go of it by ``unpersist``.
     """
-    calls = F.col("relation") == "CALLS"
-    e = edges.where(F.col("relation").isin(*relations)).select(F.col("to_id").alias("id"), "from_id", calls.alias("calls")).groupBy("id", "from_id").agg(F.bool_or("calls").alias("calls"))
-    w = Window.partitionBy("id").orderBy(F.desc("calls"), F.when(F.col("calls"), F.col("from_id")).desc(), "from_id")
-    top = e.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)  # a hub's rows are cut down before the shuffle
-    return top.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "from_id"))), lambda x: x["from_id"]).alias("before"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key).sortWithinPartitions(key).persist(StorageLevel.DISK_ONLY)
 
 
-def walks_back(edges: DataFrame, starts: DataFrame, relations: list[str] = FOLLOWED, depth: int = 15) -> DataFrame:
-    """id, path: from each of ``starts`` (id) the greedy walk against the edges, the start last.
+def tier() -> F.Column:
+    """The tier of a node by its type."""
+    return F.coalesce(*(F.when(F.col("node_type") == k, F.lit(v)) for k, v in TIERS.items()), F.lit("Other"))
+
+
+TOLD = "array<struct<name:string,tier:string>>"
+
+
+def predecessors(edges: DataFrame, relations: list[str], most: int, nodes: DataFrame | None = None) -> DataFrame:
+    """id, before, told: the ``most`` best nodes before each node, best first: the last of those that call it, then the first of the others.
+
+    told holds name and tier of the node itself where ``nodes`` (id, name, tier) has it. The stored order of a node's edges is that
+    of (from_id, relation). One shuffle: a node that both calls and holds another counts twice until the list is made, so twice
+    ``most`` places are kept; tasks drop a hub's later rows before the shuffle.
+    """
+    told = F.lit(None).cast("struct<name:string,tier:string>").alias("told")
+    rows = edges.where(F.col("relation").isin(*relations)).select(F.col("to_id").alias("id"), "from_id", (F.col("relation") == "CALLS").alias("calls"), told)
+    if nodes is not None:
+        rows = rows.unionByName(nodes.select("id", F.lit(None).cast("string").alias("from_id"), F.lit(None).cast("boolean").alias("calls"), F.struct("name", "tier").alias("told")))
+    w = Window.partitionBy("id").orderBy(F.desc_nulls_first("calls"), F.when(F.col("calls"), F.col("from_id")).desc(), "from_id")
+    top = rows.withColumn("n", F.dense_rank().over(w)).where(F.col("n") <= 2 * most + 1)  # a node's own row is the first
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lists = top.select("id", F.collect_list("from_id").over(whole).alias("before"), F.collect_list("told").over(whole).alias("told"), F.row_number().over(w).alias("k"))
+    return lists.where("k = 1").select("id", F.slice(F.array_distinct("before"), 1, most).alias("before"), F.array_distinct("told").alias("told"))
+
+
+def walks_back(edges: DataFrame, starts: DataFrame, relations: list[str] = FOLLOWED, depth: int = 15, nodes: DataFrame | None = None) -> DataFrame:
+    """id, path, told: from each of ``starts`` (id) the greedy walk against the edges, the start last.
 
     A step takes the best node before that the walk hasn't met. A walk has met ``depth`` others at most, so the ``depth`` + 1
-    best ones of each node are all that it can need: a step joins one row a node, whatever its edges.
+    best ones of each node are all that it can need: a step joins one row a node, whatever its edges. The row that tells the next
+    step also tells the node's name and tier (``nodes``), so told has those of the path's nodes without another join.
     """
-    before = cut(predecessors(edges, relations, depth + 1))
-    going = cut(starts.select("id").distinct().select("id", F.col("id").alias("at"), F.array("id").alias("path")))
+    before = placed(predecessors(edges, relations, depth + 1, nodes).withColumnRenamed("id", "at").withColumnRenamed("told", "own"), "at")
+    going = starts.select("id").distinct().select("id", F.col("id").alias("at"), F.array("id").alias("path"), F.array().cast(TOLD).alias("told"))
     done = []
-    for _ in range(depth):
-        met = going.join(before.withColumnRenamed("id", "at"), "at", "left")
-        new = F.get(F.filter("before", lambda x: ~F.array_contains("path", x)), F.lit(0))
-        step = cut(met.select("id", new.alias("at"), F.when(new.isNull(), F.col("path")).otherwise(F.concat(F.array(new), "path")).alias("path")))
-        done.append(step.where("at is null").select("id", "path"))
+    for i in range(depth + 1):
+        met = going.join(before, "at", "left")
+        # after the last step a walk only hears the name of the node that it has come to
+        new = F.get(F.filter("before", lambda x: ~F.array_contains("path", x)), F.lit(0)) if i < depth else F.lit(None).cast("string")
+        told = F.concat(F.coalesce("own", F.array().cast(TOLD)), "told")
+        step = cut(met.select("id", new.alias("at"), F.when(new.isNull(), F.col("path")).otherwise(F.concat(F.array(new), "path")).alias("path"), told.alias("told")))
+        done.append(step.where("at is null").select("id", "path", "told"))
         going = step.where("at is not null")
         if going.isEmpty():
             break
-    done.append(going.select("id", "path"))
-    return cut(reduce(DataFrame.unionByName, done))
+    before.unpersist()
+    return reduce(DataFrame.unionByName, done)
 
 
-def sql_lineage(g: Graph, depth: int = 15) -> DataFrame:
+def sql_lineage(g: Graph, depth: int = 15, tell: bool = True) -> DataFrame:
     """table_id, accessor, relation, confidence, path: for every access to a table the chain of callers, the accessor and the table.
 
-    A walk hangs on the accessor alone, so one walk serves all its accesses.
+    A walk hangs on the accessor alone, so one walk serves all its accesses. With ``tell`` also told (name and tier of the path's
+    nodes that exist), and the names of table and accessor.
     """
-    tables = g.nodes.where("node_type = 'SQL_TABLE'").select(F.col("id").alias("to_id"))
-    access = g.edges.where(F.col("relation").isin(*ACCESSES)).join(tables, "to_id", "left_semi").join(g.nodes.select(F.col("id").alias("from_id")), "from_id", "left_semi")
-    access = access.groupBy("from_id", "to_id", "relation").agg(F.min("confidence").alias("confidence"))
-    walks = walks_back(g.edges, access.select(F.col("from_id").alias("id")), depth=depth)
+    tables = g.nodes.where("node_type = 'SQL_TABLE'").select(F.col("id").alias("to_id"), F.col("name").alias("table_name"), F.struct("name", tier().alias("tier")).alias("end")).distinct()
+    access = g.edges.where(F.col("relation").isin(*ACCESSES)).join(tables, "to_id")
+    access = access.join(g.nodes.select(F.col("id").alias("from_id")), "from_id", "left_semi")
+    access = cut(access.groupBy("from_id", "to_id", "relation", "table_name", "end").agg(F.min("confidence").alias("confidence")))
+    walks = walks_back(g.edges, access.select(F.col("from_id").alias("id")), depth=depth, nodes=g.nodes.select("id", "name", tier().alias("tier")) if tell else None)
     chains = access.join(walks.withColumnRenamed("id", "from_id"), "from_id")
-    return chains.select(F.col("to_id").alias("table_id"), F.col("from_id").alias("accessor"), "relation", "confidence", F.concat("path", F.array("to_id")).alias("path"))
+    more = [F.concat("told", F.array("end")).alias("told"), "table_name", F.try_element_at("told", F.lit(-1))["name"].alias("accessor_name")] if tell else []
+    return chains.select(F.col("to_id").alias("table_id"), F.col("from_id").alias("accessor"), "relation", "confidence", F.concat("path", F.array("to_id")).alias("path"), *more)
 
 
 def lineage_edges(chains: DataFrame) -> DataFrame:
