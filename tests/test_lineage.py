@@ -109,6 +109,15 @@ def test_steps_move_one_side(spark):
     laid.unpersist()
 
 
+def test_repeated_rows_count_once(spark):
+    edges = [("api", "f", "INVOKES"), ("f", "k", "CALLS"), ("k", "t", "QUERIES_TABLE"), ("Ctl", "m", "CONTAINS"), ("m", "f", "CALLS"), ("f", "k", "CONTAINS")]
+    types = {"api": "API_ENDPOINT", "f": "FUNCTION", "k": "FUNCTION", "t": "SQL_TABLE", "Ctl": "CONTROLLER", "m": "METHOD"}
+    once = graph(spark, edges, types)
+    thrice = Graph(once.nodes.unionAll(once.nodes).unionAll(once.nodes), once.edges.unionAll(once.edges).unionAll(once.edges))
+    told = {"API": ["API", "F", "K", "T"], "CTL.M": ["M", "F", "K", "T"], "SQL lineage to table 'T' via K": ["CTL", "M", "F", "K", "T"]}
+    assert {r.name: r.steps for r in lin.request_flows(thrice, lin.sql_lineage(thrice)).collect()} == told
+
+
 def plain_library(edges, types, names, most=4, enough=6):
     from collections import deque
 

@@ -103,65 +103,72 @@ def lineage_edges(chains: DataFrame) -> DataFrame:
 
 # --- requests --------------------------------------------------------------------------
 def until_data(g: Graph, starts: DataFrame, depth: int = 8) -> DataFrame:
-    """seed, id, step: the nodes that a breadth-first search from each start (id) meets, up to and with the first data node.
+    """seed, id, step, name, tier: the nodes that a breadth-first search from each start (id) meets, up to and with the first data node.
 
-    A level goes in the order in which its nodes were first met: by the place of the node before, then (to_id, relation). A
-    search that has met a data node goes no further, nor does one whose level is empty. Nodes that don't exist aren't met.
+    A level goes in the order in which its nodes were first met: by the place of the node before, then to_id. A search that has met
+    a data node goes no further, nor does one whose level is empty. Nodes that don't exist aren't met. A round moves only the
+    searches that still go on: what they have met and what they meet now come together once, by search. Repeated nodes and edges count once.
     """
-    kinds = g.nodes.select("id", F.col("node_type").isin(*DATA_TYPES).alias("data"))
-    e = cut(g.edges.where(F.col("relation").isin(*FLOWS, *DATA_ACCESS)).groupBy("from_id", "to_id").agg(F.min("relation").alias("relation")).join(kinds.withColumnRenamed("id", "to_id"), "to_id"))
-    level = cut(starts.select("id").distinct().join(kinds, "id").select(F.col("id").alias("seed"), "id", "data", F.lit(1).cast("long").alias("step")))
-    reached = level
-    going = level.where("not data")
+    kinds = g.nodes.select("id", "name", tier().alias("tier"), F.col("node_type").isin(*DATA_TYPES).alias("data")).repartition("id").distinct()
+    e = g.edges.where(F.col("relation").isin(*FLOWS, *DATA_ACCESS)).select("from_id", "to_id").join(kinds.withColumnRenamed("id", "to_id"), "to_id")
+    e = placed(e, "from_id")
+    node = ["id", "name", "tier", "data"]
+    first = F.lit(1).cast("long")
+    level = cut(starts.select("id").distinct().join(kinds, "id").select(F.col("id").alias("seed"), *node, first.alias("step"), F.lit(True).alias("fresh"), F.col("data").alias("over")))
+    over = [level.where("over")]
+    going = level.where("not over")
+    by = Window.partitionBy("seed")
     for _ in range(depth):
-        new = going.select("seed", F.col("id").alias("from_id"), "step").join(e, "from_id")
-        new = new.groupBy("seed", F.col("to_id").alias("id"), "data").agg(F.min(F.struct("step", "to_id", "relation")).alias("first"))
-        new = new.join(reached.select("seed", "id"), ["seed", "id"], "left_anti")
-        last = going.groupBy("seed").agg(F.max("step").alias("last"))
-        placed = new.join(last, "seed").withColumn("step", F.col("last") + F.row_number().over(Window.partitionBy("seed").orderBy("first")))
-        stop = placed.where("data").groupBy("seed").agg(F.min("step").alias("stop"))
-        placed = cut(placed.join(stop, "seed", "left").where("stop is null or step <= stop").select("seed", "id", "data", "step", F.col("stop").isNotNull().alias("over")))
-        reached = reached.unionByName(placed.drop("over"))
-        going = placed.where("not over")
         if going.isEmpty():
             break
-    return cut(reached.select("seed", "id", "step"))
+        new = going.where("fresh").select("seed", F.col("id").alias("from_id"), "step").join(e, "from_id")
+        new = new.select("seed", F.col("to_id").alias("id"), *node[1:], F.lit(None).cast("long").alias("old"), F.col("step").alias("from_step"))
+        met = going.select("seed", *node, F.col("step").alias("old"), F.lit(None).cast("long").alias("from_step")).unionByName(new).repartition("seed")
+        met = met.groupBy("seed", *node).agg(F.min("old").alias("old"), F.min("from_step").alias("from_step"))
+        met = met.withColumn("step", F.row_number().over(by.orderBy(F.asc_nulls_last("old"), "from_step", "id")).cast("long")).withColumn("fresh", F.col("old").isNull())
+        met = met.withColumn("stop", F.min(F.when(F.col("fresh") & F.col("data"), F.col("step"))).over(by)).withColumn("moved", F.max("fresh").over(by))
+        level = cut(met.where("stop is null or step <= stop").select("seed", *node, "step", "fresh", (F.col("stop").isNotNull() | ~F.col("moved")).alias("over")))
+        over.append(level.where("over"))
+        going = level.where("not over")
+    e.unpersist()
+    return reduce(DataFrame.unionByName, [*over, going]).select("seed", "id", "step", "name", "tier")
 
 
-def told(g: Graph, chain: DataFrame) -> DataFrame:
-    """seed, steps, step_types, entry_point, exit_point, hop_count of chains (seed, id, step)."""
-    tier = F.coalesce(*(F.when(F.col("node_type") == k, F.lit(v)) for k, v in TIERS.items()), F.lit("Other"))
-    l = chain.join(g.nodes.select("id", "name", tier.alias("tier")), "id").groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("step", "name", "tier"))).alias("l"))  # noqa: E741
-    names = F.transform("l", lambda x: x["name"])
-    return l.select("seed", names.alias("steps"), F.transform("l", lambda x: x["tier"]).alias("step_types"), F.get(names, F.lit(0)).alias("entry_point"), F.try_element_at(names, F.lit(-1)).alias("exit_point"), F.size("l").cast("long").alias("hop_count"))
+def _flow(l: str) -> list[F.Column]:  # noqa: E741
+    """steps, step_types, entry_point, exit_point, hop_count of a list of names and tiers in order."""
+    names = F.transform(l, lambda x: x["name"])
+    return [names.alias("steps"), F.transform(l, lambda x: x["tier"]).alias("step_types"), F.get(names, F.lit(0)).alias("entry_point"), F.try_element_at(names, F.lit(-1)).alias("exit_point"), F.size(l).cast("long").alias("hop_count")]
+
+
+def told(chain: DataFrame) -> DataFrame:
+    """seed, steps, step_types, entry_point, exit_point, hop_count of chains (seed, step, name, tier)."""
+    return chain.groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("step", "name", "tier"))).alias("l")).select("seed", *_flow("l"))
 
 
 def request_flows(g: Graph, chains: DataFrame | None = None, flows: DataFrame | None = None) -> DataFrame:
     """name, strategy, steps, step_types, entry_point, exit_point, hop_count, confidence of request flows, one a name.
 
-    Strategies in order: from endpoints; from the methods of controllers; SQL lineage of three nodes or more (``chains``); flows of
-    three nodes or more (``flows``: flow_name, id, step). Of flows with one name the first strategy's stays, then the least id's.
+    Strategies in order: from endpoints; from the methods of controllers; SQL lineage of three nodes or more (``chains``, with what
+    they tell); flows of three nodes or more (``flows``: flow_name, id, step). Of flows with one name the first strategy's stays, then the least id's.
     """
     ends = g.nodes.where("node_type = 'API_ENDPOINT'").select("id", F.col("name").alias("label"), F.lit(1).alias("strategy"))
-    inside = g.edges.where("relation in ('DEFINES', 'CONTAINS')").join(g.nodes.where("node_type = 'CONTROLLER'").select(F.col("id").alias("from_id"), F.col("name").alias("owner")), "from_id")
+    inside = g.edges.where("relation in ('DEFINES', 'CONTAINS')").join(g.nodes.where("node_type = 'CONTROLLER'").select(F.col("id").alias("from_id"), F.col("name").alias("owner")), "from_id").select("to_id", "owner").distinct()
     methods = g.nodes.where("node_type in ('FUNCTION', 'ASYNC_FUNCTION', 'METHOD')").select("id", "name")
     methods = inside.join(methods, F.col("to_id") == F.col("id")).select("id", F.concat("owner", F.lit("."), "name").alias("label"), F.lit(2).alias("strategy"))
-    starts = cut(ends.unionByName(methods))
-    traced = told(g, until_data(g, starts)).where("hop_count >= 2").withColumnRenamed("seed", "id").join(starts, "id")
+    starts = cut(ends.unionByName(methods).distinct())
+    traced = told(until_data(g, starts)).where("hop_count >= 2").withColumnRenamed("seed", "id").join(starts, "id")
     found = [traced.withColumn("confidence", F.when(F.col("hop_count") >= 3, "high").otherwise("medium"))]
     if chains is not None:
-        c = chains.where(F.size("path") >= 3).withColumn("id", F.concat_ws("|", "table_id", "accessor", "relation"))
-        steps = told(g, c.select(F.col("id").alias("seed"), F.posexplode("path").alias("step", "id"))).withColumnRenamed("seed", "id")
-        name = lambda k: g.nodes.select(F.col("id").alias(k), F.col("name").alias(f"{k}_name"))
-        label = F.concat(F.lit("SQL lineage to table '"), "table_id_name", F.lit("' via "), "accessor_name")
-        labels = c.join(name("table_id"), "table_id").join(name("accessor"), "accessor").select("id", label.alias("label"), "confidence", F.lit(3).alias("strategy"))
-        found.append(steps.join(labels, "id"))
+        label = F.concat(F.lit("SQL lineage to table '"), "table_name", F.lit("' via "), "accessor_name")
+        id_ = F.concat_ws("|", "table_id", "accessor", "relation")
+        found.append(chains.where(F.size("path") >= 3).select(id_.alias("id"), *_flow("told"), label.alias("label"), F.lit(3).alias("strategy"), "confidence"))
     if flows is not None:
-        f = told(g, flows.select(F.col("flow_name").alias("seed"), "id", "step")).where("hop_count >= 3").withColumnRenamed("seed", "id")
+        f = flows.select(F.col("flow_name").alias("seed"), "id", "step").join(g.nodes.select("id", "name", tier().alias("tier")), "id")
+        f = told(f).where("hop_count >= 3").withColumnRenamed("seed", "id")
         found.append(f.withColumn("label", F.col("id")).withColumn("strategy", F.lit(4)).withColumn("confidence", F.lit("medium")))
     fields = ["steps", "step_types", "entry_point", "exit_point", "hop_count", "confidence", "strategy"]
-    best = reduce(DataFrame.unionByName, found).groupBy(F.col("label").alias("name")).agg(F.min_by(F.struct(*fields), F.struct("strategy", "id")).alias("f"))
-    return best.select("name", *(f"f.{c}" for c in fields))
+    best = reduce(DataFrame.unionByName, found).withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("strategy", "id"))).where("k = 1")
+    return best.select(F.col("label").alias("name"), *fields)
 
 
 # --- libraries ---------------------------------------------------------------------------
