@@ -1,8 +1,10 @@
 """Training-data operators on what a bound would leave out."""
 
+from pathlib import Path
+
 import numpy as np
 
-from weftline.llm import packing, pii
+from weftline.llm import packing, pii, shared, suffix_dedup
 
 SAME = np.where(np.eye(pii.LABELS) > 0, 3.0, -3.0)
 
@@ -51,3 +53,18 @@ def test_packing_cuts_only_what_fits_nowhere():
             cost[k] += n + n * n / 64
             done[i] += n
         assert [done[i] for i in range(len(lengths))] == lengths.tolist() and not any(room.values())
+
+
+def test_suffixes_by_ranges(spark, monkeypatch):
+    """Ranges that are shuffled one after the other give what one gives; blocks are not shuffled to be cut, and nothing but what the result reads is left on the disk."""
+    d = spark.createDataFrame([(i, f"{i} " + " ".join(f"w{(i % 7) * 100 + k}" for k in range(60)) + f" end {i}") for i in range(60)] + [(None, "x" * 99), (61, None)], "doc_id long, text string")
+    answer = lambda df: sorted(map(str, df.collect()))
+    once = answer(suffix_dedup.suffix_dedup(d))
+    before = {p.name for p in Path(shared.shared_dir(spark).removeprefix("file://")).iterdir()}
+    monkeypatch.setattr(suffix_dedup, "PASS_BYTES", 4000, raising=False)
+    monkeypatch.setattr(suffix_dedup, "DEALT_ROWS", 100, raising=False)
+    got = suffix_dedup.suffix_dedup(d)
+    left = {p.name.split("-")[0] for p in Path(shared.shared_dir(spark).removeprefix("file://")).iterdir() if p.name not in before}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert answer(got) == once and left == {"blocks", "buckets", "settled"}
+    assert plan.count("Exchange hashpartitioning(block") == 1  # what is removed goes to the blocks

@@ -42,25 +42,48 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+@contextlib.contextmanager
+def no_shuffle_left(spark: SparkSession):
+    """Shuffle files of what runs inside go as soon as it has run."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def materialize(df: DataFrame, what: str, *by: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, in folders ``by`` some columns, and read it back.
 
     This cuts the lineage with files that outlive executors; the shuffle
     files behind the table go once it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
+    with no_shuffle_left(spark):
+        df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weftline_path = path
     return out
 
 
+def bucketed(df: DataFrame, key: str, n: int, what: str) -> DataFrame:
+    """:func:`materialize` dealt into ``n`` buckets of ``key``: grouping by it shuffles nothing.
+
+    The table is only named while it is written and opened; its files are dropped like those of :func:`materialize`.
+    """
+    spark, name = df.sparkSession, f"{what}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    with no_shuffle_left(spark):
+        df.repartition(n, key).write.format("parquet").bucketBy(n, key).options(path=path, compression="zstd").saveAsTable(name)
+    out = spark.table(name).select(*df.columns)
+    out.schema  # noqa: B018
+    spark.sql(f"DROP TABLE {name}")
+    out._weftline_path = path
+    return out
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table of :func:`materialize` that nothing reads any more."""
     path = getattr(df, "_weftline_path", None)

@@ -10,7 +10,7 @@ lie inside long repeats, so two rounds leave few to sort:
   ``window - 1`` bytes after it that also stands in a smaller document settles all suffixes that start in it, and
   where its source has suffixes that nobody holds without the chunk, they are dropped.
 
-The texts are written once in blocks of about ``BLOCK_BYTES``.  A block asks for each of its hashes once, with its least
+The texts are written in blocks of about ``BLOCK_BYTES``, dealt by their number once, so that no round shuffles them again.  A block asks for each of its hashes once, with its least
 document and its count, so a hash that all documents have costs one entry a block.  The questions of a block to one part of
 the hashes, and the answers, are packed in one binary value; numpy sorts them.
 
@@ -19,6 +19,10 @@ doc_id, so that no bucket holds more than its share of a frequent string) at sam
 sorts its suffixes by multikey quicksort and compares neighbours; a run of equal suffixes that goes on from the bucket
 before takes its least document from there.  The driver sees ``SAMPLES`` suffixes a bucket, to choose the splitters.
 
+What the second round asks and what is left to sort are written in up to ``PASSES`` ranges, and one range after the other is
+shuffled, so the disk holds the shuffle of one range only.  A block packs its suffixes by range; a task of a range's shuffle packs
+those of many blocks by bucket, so that packed values stay large however many buckets there are.
+
 Anchors are compared by a 64-bit hash (a filter), chunks by two, suffixes by their bytes.
 
 Defined cases: null text is empty; a text shorter than the window stays; a null doc_id stays whole and is nobody's
@@ -28,6 +32,8 @@ other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,12 +48,15 @@ BLOCK_BYTES, PART_BYTES = 1 << 22, 1 << 24
 #: Bytes that numpy works on at once: the arrays of a piece fit in a core's cache.
 PIECE_BYTES = 1 << 17
 BUCKET_ROWS, SAMPLES, SAMPLED = 250_000, 64, 1 / 256
+#: Ranges that are shuffled one after the other, one for so many bytes of text; suffixes that a task packs at once.
+PASSES, PASS_BYTES, DEALT_ROWS = 8, 1 << 28, 1 << 19
 
 # columns of packed values
 ASKED = ("<u8", "<u8", "<i8", "<u4", "u1")  # both hashes, least document, how often, whether in several documents
 FOUND = ("<u8", "<u8", "<i8", "<i8")  # both hashes, least document and how often, over all blocks
 SETTLED = ("<i8", "<i8", "<i8")  # row of the block, begin, end
 PLACES = ("<u4", "<u4")  # row of the block, place
+LEFT_AT, DEALT_AT = ("<i8", "<u4", "<u4"), ("<i8", "<i8", "<u4", "<u4")  # of a suffix: document, row, place; document, block, row, place
 NONE = np.zeros(0, np.int64)
 
 
@@ -327,21 +336,20 @@ def _tokens(strings: np.ndarray) -> list[np.ndarray]:
     return list(raw.view(">u8").astype(np.uint64).T)
 
 
-def _pack_suffixes(strings, doc, row, pos) -> bytes:
-    return _pack(np.array([len(doc)])) + pa.compress(_pack(strings, doc, row, pos), "zstd", asbytes=True)
+def _pack_suffixes(strings, *columns) -> bytes:
+    return _pack(np.array([len(strings)])) + pa.compress(_pack(strings, *columns), "zstd", asbytes=True)
 
 
-def _unpack_suffixes(values, window: int):
-    """Tokens, documents, rows and places of all packed suffixes, and how many each value has."""
-    size, parts = [], []
+def _unpack_suffixes(values, window: int, kinds):
+    """Strings, the columns beside them and how many each value has, of all packed suffixes."""
+    width, size, strings, packed = window + sum(np.dtype(k).itemsize for k in kinds), [], [], []
     for v in values:
         n = int(np.frombuffer(v, np.int64, 1)[0])
-        raw = pa.decompress(memoryview(v)[8:], decompressed_size=n * (window + 16), codec="zstd")
-        at = n * window
-        parts.append((np.frombuffer(raw, np.uint8, at).reshape(n, window), np.frombuffer(raw, np.int64, n, at), np.frombuffer(raw, np.uint32, n, at + 8 * n), np.frombuffer(raw, np.uint32, n, at + 12 * n)))
+        raw = pa.decompress(memoryview(v)[8:], decompressed_size=n * width, codec="zstd")
+        strings.append(np.frombuffer(raw, np.uint8, n * window).reshape(n, window))
+        packed.append(memoryview(raw)[n * window :])
         size.append(n)
-    strings, doc, row, pos = (np.concatenate(x) for x in zip(*parts))
-    return _tokens(strings), doc, row, pos, size
+    return np.concatenate(strings), _unpack(packed, kinds), size
 
 
 def _thinned(words: int, share: float):
@@ -416,12 +424,19 @@ def _absolute(b: _Bytes, lo: int, begin, end, row):
     return row + lo, begin - b.first[row], end - b.first[row]
 
 
-LEFT_NAMES, LEFT_KINDS = ["bucket", *SENT_NAMES[1:]], SENT_KINDS
-LEFT = "bucket long, block long, blob binary, settled binary"
+LEFT_NAMES, LEFT_KINDS = ["pass", *SENT_NAMES[1:]], SENT_KINDS
+LEFT = "pass long, block long, blob binary, settled binary"
+
 
+def _by_number(columns: list[np.ndarray], number: np.ndarray):
+    """Each number with its rows of all columns."""
+    order = np.argsort(number, kind="stable")
+    for o in np.split(order, np.flatnonzero(np.diff(number[order])) + 1) if len(order) else ():
+        yield int(number[o[0]]), [c[o] for c in columns]
 
-def _round_three(window: int, split: list[np.ndarray]):
-    """The suffixes to sort, by bucket, and in bucket -1 all that is settled."""
+
+def _round_three(window: int, split: list[np.ndarray], each: int):
+    """The suffixes to sort, by pass (``each`` buckets make one), and in pass -1 all that is settled."""
 
     def work(rows: pa.Table, more: pa.Table) -> pa.Table:
         state = more.filter(pc.equal(more["part"], -1))
@@ -447,16 +462,38 @@ def _round_three(window: int, split: list[np.ndarray]):
         if left:
             columns = [np.concatenate(x) for x in zip(*left)]
             bucket = bucket_of([*_tokens(columns[0]), columns[1]], split)
-            order = np.argsort(bucket, kind="stable")
-            edge = np.searchsorted(bucket[order], np.arange(len(split[0]) + 2))
-            for i in np.flatnonzero(edge[1:] > edge[:-1]):
-                o = order[edge[i] : edge[i + 1]]
-                out.append((int(i), block, _pack_suffixes(*(c[o] for c in columns)), None))
+            out += [(i, block, _pack_suffixes(*own), None) for i, own in _by_number(columns, bucket // each)]
         return _table(out, LEFT_NAMES, LEFT_KINDS)
 
     return work
 
 
+def _dealt(window: int, split: list[np.ndarray]):
+    """The suffixes of some blocks of one pass by bucket, each with its block."""
+
+    def packed(values, blocks):
+        strings, (doc, row, pos), size = _unpack_suffixes(values, window, LEFT_AT)
+        columns = [strings, doc, np.repeat(np.array(blocks, np.int64), size), row, pos]
+        rows = [(i, _pack_suffixes(*own)) for i, own in _by_number(columns, bucket_of([*_tokens(strings), doc], split))]
+        return _table(rows, ["bucket", "blob"], [pa.int64(), pa.binary()]).to_batches()
+
+    def run(batches):
+        values, blocks, n = [], [], 0
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            for block, value in zip(t["block"].to_pylist(), _values(t, "blob")):
+                values.append(value)
+                blocks.append(block)
+                n += int(np.frombuffer(value, np.int64, 1)[0])
+                if n >= DEALT_ROWS:
+                    yield from packed(values, blocks)
+                    values, blocks, n = [], [], 0
+        if values:
+            yield from packed(values, blocks)
+
+    return run
+
+
 def multikey_quicksort(columns: list[np.ndarray], cutoff: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """Order of rows by all columns, and which differ from the row before.
 
@@ -523,9 +560,10 @@ def _sort_bucket(window: int):
     def run(batches):
         for t, cut in S.whole_groups(batches, ["bucket"]):
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                values, block, bucket = _values(t[lo:hi], "blob"), t["block"][lo:hi].to_pylist(), t["bucket"][lo].as_py()
-                tokens, doc, row, pos, size = _unpack_suffixes(values, window)
-                by = np.repeat(np.arange(hi - lo), size)
+                bucket = t["bucket"][lo].as_py()
+                strings, (doc, block, row, pos), _ = _unpack_suffixes(_values(t[lo:hi], "blob"), window, DEALT_AT)
+                tokens = _tokens(strings)
+                block, by = np.unique(block, return_inverse=True)
                 order, new = multikey_quicksort(tokens)
                 run_of = np.cumsum(new) - 1
                 least = np.minimum.reduceat(doc[order], np.flatnonzero(new))
@@ -534,10 +572,10 @@ def _sort_bucket(window: int):
                 for which, number in ((gone, None), (~gone & (run_of == 0), bucket)):
                     o = order[which]
                     o = o[np.argsort(by[o], kind="stable")]
-                    edge = np.searchsorted(by[o], np.arange(hi - lo + 1))
+                    edge = np.searchsorted(by[o], np.arange(len(block) + 1))
                     for i in np.flatnonzero(edge[1:] > edge[:-1]):
                         p = o[edge[i] : edge[i + 1]]
-                        rows.append((block[i], number, _pack(row[p], pos[p]), int(least[0]), None, None, None))
+                        rows.append((int(block[i]), number, _pack(row[p], pos[p]), int(least[0]), None, None, None))
                 first, last = (_pack(*(c[order[i]] for c in tokens)) for i in (0, -1))
                 rows.append((None, bucket, None, int(least[0]), first, last, int(least[-1])))
                 yield from _table(rows, BUCKET_NAMES, BUCKET_KINDS).to_batches()
@@ -554,9 +592,16 @@ def _parts(spark, least: int) -> int:
 
 
 def text_blocks(docs: DataFrame) -> DataFrame:
-    """block, size (bytes of text) and texts (compressed, with the documents) of all rows, written once."""
+    """block, size (bytes of text) and texts (compressed, with the documents) of all rows, dealt by block."""
     S.ship(docs.sparkSession)
-    return S.materialize(S.texts(docs).mapInArrow(_in_blocks, "block long, size long, texts binary"), "blocks")
+    rows = S.materialize(S.texts(docs).mapInArrow(_in_blocks, "block long, size long, texts binary"), "texts")
+    out = S.bucketed(rows, "block", _parts(docs.sparkSession, -(-_size(rows) // PART_BYTES)), "blocks")
+    S.drop_table(rows)
+    return out
+
+
+def _size(blocks: DataFrame) -> int:
+    return blocks.agg(F.sum("size")).first()[0] or 0
 
 
 def repeated_suffixes(blocks: DataFrame, window: int = 50) -> DataFrame:
@@ -564,30 +609,39 @@ def repeated_suffixes(blocks: DataFrame, window: int = 50) -> DataFrame:
     words = -(-window // 8)
     if window < max(k for k, _ in ROUNDS) + 2:
         raise ValueError("window is too short for the anchors")
-    spark = blocks.sparkSession
-    parts = _parts(spark, -(-(blocks.agg(F.sum("size")).first()[0] or 0) // PART_BYTES))
+    spark, size = blocks.sparkSession, _size(blocks)
+    parts, passes = _parts(spark, -(-size // PART_BYTES)), max(1, min(PASSES, -(-size // PASS_BYTES)))
     texts = blocks.select("block", "texts")
     hits = _repeated(texts.mapInArrow(_round_one(window, parts), SENT).select("part", "block", "blob"), parts)
-    two = S.materialize(texts.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(_round_two(window, parts), SENT), "asked")
+    two = texts.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(_round_two(window, parts), SENT)
+    step = -(-parts // passes)
+    two = S.materialize(two.withColumn("pass", F.when(F.col("part") < 0, F.col("part")).otherwise(F.floor(F.col("part") / step))), "asked", "pass")
     S.drop_table(hits)
     kinds = ("<u8",) * words + ("<i8",)
-    sample = two.where("part = -2").select("blob")
-    size = sum(np.dtype(k).itemsize for k in kinds)
-    n = (sample.agg(F.sum(F.octet_length("blob"))).first()[0] or 0) // size
-    hits = _repeated(two.where("part >= 0").select("part", "block", "blob"), parts)
+    sample = S.materialize(two.where("pass = -2").select("blob"), "sample")
+    n = (sample.agg(F.sum(F.octet_length("blob"))).first()[0] or 0) // sum(np.dtype(k).itemsize for k in kinds)
+    state = S.materialize(two.where("pass = -1").select(*SENT_NAMES), "state")
+    found = [_repeated(two.where(F.col("pass") == i).select("part", "block", "blob"), step) for i in range(passes)]
+    S.drop_table(two)
+    hits = reduce(DataFrame.unionAll, found)
     # an anchor that repeats leaves about so many suffixes; the splitters are of all that the first round left
     each = (window - ROUNDS[1][0] + 2) // 2
     buckets = _parts(spark, -(-(hits.agg(F.sum("anchors")).first()[0] or 0) * each // BUCKET_ROWS))
     thin = sample.mapInArrow(_thinned(words, min(1.0, SAMPLES * buckets / max(1, n))), "blob binary")
     split = splitters(_unpack([bytes(r.blob) for r in thin.collect()], kinds), buckets)
-    state = S.materialize(two.where("part = -1"), "state")
-    S.drop_table(two)
+    S.drop_table(sample)
     more = state.unionAll(hits.select(F.lit(0).cast("long"), "block", "blob", F.lit(None).cast("binary")))
-    three = S.materialize(texts.groupBy("block").cogroup(more.groupBy("block")).applyInArrow(_round_three(window, split), LEFT), "suffixes")
-    S.drop_table(hits)
-    S.drop_table(state)
-    ordered = three.where("bucket >= 0").select("bucket", "block", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    sorted_ = S.materialize(ordered.mapInArrow(_sort_bucket(window), BUCKET), "buckets")
+    step = -(-buckets // passes)
+    three = S.materialize(texts.groupBy("block").cogroup(more.groupBy("block")).applyInArrow(_round_three(window, split, step), LEFT), "suffixes", "pass")
+    for t in (*found, state):
+        S.drop_table(t)
+    settled = S.materialize(three.where("pass = -1").select("block", "settled"), "settled")
+    sorted_ = []
+    for i in range(passes):
+        ordered = three.where(F.col("pass") == i).select("block", "blob").mapInArrow(_dealt(window, split), "bucket long, blob binary").repartition(step, "bucket").sortWithinPartitions("bucket")
+        sorted_.append(S.materialize(ordered.mapInArrow(_sort_bucket(window), BUCKET), "buckets"))
+    S.drop_table(three)
+    sorted_ = reduce(DataFrame.unionAll, sorted_)
     # across boundaries: a bucket's first run goes on from those whose last run is of the same string
     edges = sorted_.where("block is null")
     ends = edges.groupBy(F.col("last").alias("first")).agg(F.min("last_least").alias("before"))
@@ -596,7 +650,7 @@ def repeated_suffixes(blocks: DataFrame, window: int = 50) -> DataFrame:
     first = rows.where("bucket is not null").join(ends, "bucket").where("before < least")
     found = rows.where("bucket is null").select("block", "places").unionAll(first.select("block", "places"))
     nothing = F.lit(None).cast("binary")
-    return found.select("block", nothing.alias("settled"), "places").unionAll(three.where("bucket = -1").select("block", "settled", nothing))
+    return found.select("block", nothing.alias("settled"), "places").unionAll(settled.select("block", "settled", nothing))
 
 
 def _cut(window: int):
