@@ -1,5 +1,7 @@
 """Communities and PageRank on numbered nodes against plain loops: hubs in several rows, loops, missing targets, repeated edges."""
 
+import random
+import sys
 from collections import Counter
 
 from weftline.operators import graphs as grf
@@ -37,3 +39,34 @@ def test_communities(spark, monkeypatch):
                 votes[b][label[a]] += 1
         label = {i: min(v, key=lambda c: (-v[c], c)) if v else label[i] for i, v in votes.items()}
     assert {x.id: x.community for x in grf.label_propagation(graph(spark), 2).collect()} == label
+
+
+def plain_labels(ids, edges, rounds):
+    label = {i: i for i in ids}
+    for _ in range(rounds):
+        votes = {i: Counter() for i in ids}
+        for a, b in edges:
+            if a != b:
+                votes[a][label[b]] += 1
+                votes[b][label[a]] += 1
+        label = {i: min(v, key=lambda c: (-v[c], c)) if v else label[i] for i, v in votes.items()}
+    return label
+
+
+def test_labels_that_return(spark, monkeypatch):
+    """Labels that swap for ever end the rounds, at the right one of the two; hubs in several chunks, told by counted rows."""
+    r = random.Random(5)
+    ids = [f"n{i}" for i in range(40)] + ["p", "q"]
+    edges = [("p", "q")] + [(r.choice(ids[:40]), r.choice(ids[:40])) for _ in range(45)] + [("n0", i) for i in ids[1:30]] + [("n3", i) for i in ids[10:30]]
+    g = Graph(spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(edges, "from_id string, to_id string"))
+    tables = []
+    write = grf.cut
+    for module in (m for m in (grf, sys.modules.get("weftline.operators.votes")) if m):
+        for name in ("cut", "written"):
+            monkeypatch.setattr(module, name, lambda df, what="loop": (tables.append(what), write(df, what))[1], raising=False)
+    monkeypatch.setattr(sys.modules.get("weftline.operators.votes", grf), "LINKS", 4, raising=False)
+    for rounds in (3, 60, 61):
+        tables.clear()
+        assert {x.id: x.community for x in grf.label_propagation(g, rounds).collect()} == plain_labels(ids, edges, rounds)
+        assert len(tables) < 25
+    assert plain_labels(ids, edges, 60) != plain_labels(ids, edges, 61) == plain_labels(ids, edges, 63)

@@ -18,9 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import no_shuffle_left, ship
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of text that numpy works on at once; longer texts go alone.
 PIECE_BYTES = 1 << 19
 U64 = np.uint64
@@ -42,17 +41,6 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-@contextlib.contextmanager
-def no_shuffle_left(spark: SparkSession):
-    """Shuffle files of what runs inside go as soon as it has run."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(CLEANUP, before)
-
-
 def materialize(df: DataFrame, what: str, *by: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder, in folders ``by`` some columns, and read it back.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..plans.graph import Graph
 from ..session import written as cut
 from .relational import neighbours
+from .votes import most_frequent
 
 
 def k_hop(g: Graph, seeds: DataFrame, hops: int, direction: str = "both") -> DataFrame:
@@ -65,8 +66,13 @@ ADJACENT = 1000
 
 
 def numbered(g: Graph) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, key), keys in the order of ids, and edges as keys (a, b; b null where the target doesn't exist), written once so that rounds join numbers and no texts."""
-    keys = cut(g.nodes.select("id").orderBy("id").withColumn("key", F.monotonically_increasing_id()))
+    """Nodes (id, key), keys from 0 on in the order of ids, and edges as keys (a, b; b null where the target doesn't exist), written once so that rounds join numbers and no texts."""
+    placed = cut(g.nodes.select("id").orderBy("id").withColumn("at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    size = sorted((r.part, r.n) for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    first = [(p, sum(n for _, n in size[:i])) for i, (p, _) in enumerate(size)]
+    first = g.nodes.sparkSession.createDataFrame(first, "part long, first long")  # one row for each task of the sort
+    keys = placed.select("id", part.alias("part"), place.alias("place")).join(F.broadcast(first), "part").select("id", (F.col("first") + F.col("place")).alias("key"))
     e = g.edges.select("from_id", "to_id").join(keys.select(F.col("id").alias("from_id"), F.col("key").alias("a")), "from_id")
     return keys, cut(e.join(keys.select(F.col("id").alias("to_id"), F.col("key").alias("b")), "to_id", "left").select("a", "b"))
 
@@ -80,19 +86,11 @@ def adjacency(edges: DataFrame) -> DataFrame:
 def label_propagation(g: Graph, rounds: int = 20) -> DataFrame:
     """id, community: all nodes at once take the label most frequent among their neighbours (least label of equals).
 
-    Rounds go on until no label changes, or for ``rounds``, as in the reference.
+    Rounds go on for ``rounds``, as in the reference, or until labels return: see :func:`votes.most_frequent`.
     """
     keys, edges = numbered(g)
     both = edges.where("a <> b")
-    step = adjacency(both.unionAll(both.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = keys.select("key", F.col("key").alias("community"))
-    for _ in range(rounds):
-        votes = step.join(label, "key").select(F.explode("targets").alias("key"), "community").groupBy("key", "community").agg(F.count("*").alias("n"))
-        best = votes.groupBy("key").agg(F.min_by("community", F.struct(-F.col("n"), "community")).alias("new"))
-        moved = cut(label.join(best, "key", "left").select("key", F.coalesce("new", "community").alias("community"), (F.col("new") != F.col("community")).alias("moved")))
-        label = moved.select("key", "community")
-        if moved.where("moved").isEmpty():
-            break
+    label = most_frequent(both.unionAll(both.select(F.col("b").alias("a"), F.col("a").alias("b"))), keys.count(), rounds)
     named = keys.select(F.col("key").alias("community"), F.col("id").alias("name"))
     return label.join(named, "community").join(keys, "key").select("id", F.col("name").alias("community"))
 

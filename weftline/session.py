@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -11,6 +12,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def get_spark(app: str = "weftline", **conf: str) -> SparkSession:
     """A local session with the settings that tests and the benchmark use."""
     b = SparkSession.builder.appName(app).master(conf.pop("master", "local[8]"))
@@ -56,10 +60,22 @@ def shared(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def no_shuffle_left(spark: SparkSession):
+    """Shuffle files of what runs inside go as soon as it has run."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, what: str = "loop") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that a loop's plan doesn't grow and lost executors cost nothing."""
     path = shared(df.sparkSession, what)
-    df.write.parquet(path)
+    with no_shuffle_left(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._weftline_path = path
     return out
