@@ -70,3 +70,21 @@ def test_labels_that_return(spark, monkeypatch):
         assert {x.id: x.community for x in grf.label_propagation(g, rounds).collect()} == plain_labels(ids, edges, rounds)
         assert len(tables) < 25
     assert plain_labels(ids, edges, 60) != plain_labels(ids, edges, 61) == plain_labels(ids, edges, 63)
+
+
+def test_ranks_without_cycles(spark, monkeypatch):
+    """What is moved ends where no edge goes on, so the rounds end early; with a cycle all of them are run."""
+    tables, write = [], grf.cut
+    monkeypatch.setattr(grf, "cut", lambda df, what="loop": (tables.append(what), write(df, what))[1])
+    tree = [("hub", x) for x in "abcz"] + [("a", "b"), ("a", "b"), ("b", "c"), ("z", "gone")]
+    for edges, most in ((tree, 9), ([*tree, ("c", "hub")], 99)):
+        tables.clear()
+        d, n = Counter(a for a, _ in edges), len(IDS)
+        r = dict.fromkeys(IDS, 1 / n)
+        for _ in range(12):
+            lost = sum(r[i] for i in IDS if not d[i])
+            r = {i: 0.15 / n + 0.85 * (sum(r[a] / d[a] for a, b in edges if b == i and a in r) + lost / n) for i in IDS}
+        g = Graph(spark.createDataFrame([(i,) for i in IDS], "id string"), spark.createDataFrame(edges, "from_id string, to_id string"))
+        got = {x.id: x["rank"] for x in grf.pagerank(g, 12).collect()}
+        assert set(got) == set(r) and all(abs(got[i] - r[i] / max(r.values())) < 2e-6 for i in r)
+        assert len(tables) < most

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.graph import Graph
+from ..session import dropped
 from ..session import written as cut
 from .relational import neighbours
 from .votes import most_frequent
@@ -96,18 +97,41 @@ def label_propagation(g: Graph, rounds: int = 20) -> DataFrame:
 
 
 def pagerank(g: Graph, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """id, rank divided by the largest, rounded to 6; what nodes without out-edges hold is shared by all."""
+    """id, rank divided by the largest, rounded to 6; what nodes without out-edges hold is shared by all.
+
+    A round gives all nodes the same and moves what they have along the edges, so a rank is a weighted sum of what one unit a node has
+    become after 0, 1, 2, ... moves. Only nodes that hold something move it, and the moves end early when nothing is left, as in a graph without cycles.
+    """
     keys, edges = numbered(g)
     e = adjacency(edges)
-    base = cut(keys.select("key").join(e.select("key", "d").distinct(), "key", "left"))
-    n = base.count()
-    rank = base.withColumn("r", F.lit(1.0 / max(n, 1)))
-    for _ in range(rounds):
-        lost = rank.where("d is null").agg(F.coalesce(F.sum("r"), F.lit(0.0))).first()[0]
-        got = e.join(rank.select("key", F.col("r")), "key").select(F.explode("targets").alias("key"), (F.col("r") / F.col("d")).alias("x")).groupBy("key").agg(F.sum("x").alias("x"))
-        rank = cut(base.join(got, "key", "left").select("key", "d", ((1 - damping) / n + damping * (F.coalesce("x", F.lit(0.0)) + lost / n)).alias("r")))
+    out = e.select("key").distinct()
+    n = keys.count()
+    moved, lost = [], [float(n - out.count())]  # of each number of moves: who holds how much, and what nodes without out-edges hold
+    held = keys.select("key", F.lit(1.0).alias("x"))
+    for k in range(1, rounds + 1):
+        got = e.join(held, "key").select(F.explode("targets").alias("key"), (F.col("x") / F.col("d")).alias("x")).where("key is not null")
+        held = cut(got.groupBy("key").agg(F.sum("x").alias("x")))
+        moved.append(held)
+        lost.append(held.join(out, "key", "left_anti").agg(F.sum("x")).first()[0] or 0.0)
+        if held.isEmpty():
+            break
+    lost += [0.0] * (rounds + 1 - len(lost))
+    share = []  # what a round gives to all
+    for t in range(rounds):
+        last = sum(share[t - 1 - k] * damping**k * lost[k] for k in range(t)) + damping**t * lost[t] / max(n, 1)
+        share.append(((1 - damping) + damping * last) / max(n, 1))
+    weight = [share[rounds - 1 - k] * damping**k for k in range(rounds)] + [damping**rounds / max(n, 1)]
+    parts = [h.select("key", (F.lit(w) * F.col("x")).alias("x")) for h, w in zip(moved, weight[1:])]
+    rank = keys.select("id", "key", F.lit(weight[0]).alias("r"))
+    if parts:
+        more = reduce(DataFrame.unionAll, parts).groupBy("key").agg(F.sum("x").alias("x"))
+        rank = rank.join(more, "key", "left").select("id", (F.col("r") + F.coalesce("x", F.lit(0.0))).alias("r"))
+    rank = cut(rank.select("id", "r"))
+    dropped(e)
+    for h in moved:
+        dropped(h)
     top = rank.agg(F.max("r").alias("m"))
-    return rank.join(keys, "key").crossJoin(F.broadcast(top)).select("id", F.round(F.col("r") / F.col("m"), 6).alias("rank"))  # one row
+    return rank.crossJoin(F.broadcast(top)).select("id", F.round(F.col("r") / F.col("m"), 6).alias("rank"))  # one row
 
 
 def lineage(g: Graph, sources: DataFrame, sinks: DataFrame, depth: int, relations: list[str], cap: int = 50) -> DataFrame:
