@@ -147,3 +147,24 @@ def test_a_failing_rule_is_data(spark):
     assert rows(edges) == [("a", "b", "R", "one"), ("b", "c", "S", "two"), ("ctx", "x", "R", "one")]
     assert [(q.rule, q.edges, q.error is None) for q in report.orderBy("position").collect()] == [("one", 2, True), ("no column", 0, False), ("in a task", 0, False), ("python", 0, False), ("two", 2, True)]
     assert Rules().run(spark, None)[0].count() == 0
+
+
+def test_an_export_leaves_no_shuffle(spark, tmp_path):
+    """The edges meet their partitions in one job whose shuffle files go with it, and what is exported is compressed."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f for f in files.getAllFiles().mkString("|").split("|") if "shuffle_" in f}
+    g = small(spark)
+    wide = spark.range(40000).select(F.concat(F.lit("n"), "id").alias("id"), F.lit("x").alias("name"), F.lit("A").alias("node_type"), F.col("id").cast("string").substr(1, 1).alias("service"), F.lit("d").alias("domain"))
+    nodes = wide.select(*g.nodes.columns)
+    edges = wide.select(F.col("id").alias("from_id"), F.lit("n7").alias("to_id"), F.lit("R").alias("relation"), F.lit(1).cast("long").alias("weight"))
+    joins = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = held()
+        gf.export_partitions(Graph(nodes, edges), f"file://{tmp_path}/out")
+        left = held() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joins)
+    x = gf.read_export(spark, f"file://{tmp_path}/out")
+    assert x["edges"].count() + x["cross_partition_edges"].count() == 40000 and not left
+    assert {p.suffix for p in (tmp_path / "out" / "edges").rglob("part-*")} == {".gz"}

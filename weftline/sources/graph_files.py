@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as agg
 from ..operators.relational import with_integrity
 from ..plans.graph import Graph
-from ..session import written
+from ..session import dropped, no_shuffle_left, written
 
 NODE_XML = "_id string, _type string, _name string, _service string, _domain string, _start_line string, DocString string, Parameters struct<Param:array<string>>"
 EDGE_XML = "_from string, _to string, _relation string, _weight string, _confidence string"
@@ -131,15 +131,17 @@ def _placed(g: Graph, column: str, default: str) -> tuple[DataFrame, DataFrame]:
 
 
 def export_partitions(g: Graph, path: str, column: str = "service", default: str = "__default__") -> None:
-    """Quoted CSV of each partition's nodes and inner edges, cross edges, and a manifest of counts and hashes; all or nothing.
+    """Quoted CSV (gzip) of each partition's nodes and inner edges, cross edges, and a manifest of counts and hashes; all or nothing.
 
-    A partition is written by as many tasks as hold rows of it, so a large one is no single task's work.
+    A partition is written by as many tasks as hold rows of it, so a large one is no single task's work. The edges meet their partitions once
+    and are written for the three that read them, so that the disk holds the shuffle of one join and none after it.
     """
     nodes, ends = _placed(g, column, default)
+    ends = written(ends, "placed")
     same = F.col("from_partition") == F.col("to_partition")
 
     def write(at: str) -> None:
-        csv = lambda df, what, *by: df.write.partitionBy(*by).options(quoteAll=True, **CSV).csv(f"{at}/{what}")
+        csv = lambda df, what, *by: df.write.partitionBy(*by).options(quoteAll=True, compression="gzip", **CSV).csv(f"{at}/{what}")
         csv(nodes, "nodes", "partition")
         csv(ends.where(same).withColumn("partition", F.col("from_partition")).drop("from_partition", "to_partition"), "edges", "partition")
         csv(ends.where(~same), "cross_partition_edges")
@@ -147,7 +149,11 @@ def export_partitions(g: Graph, path: str, column: str = "service", default: str
         stats = agg.manifest(Graph(nodes, g.edges), "partition").join(inside, "partition", "left")
         stats.select("partition", "node_count", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("edge_count", "cross_partition_edge_count")), "content_hash").write.json(f"{at}/manifest")
 
-    _whole(g.nodes.sparkSession, path, write)
+    try:
+        with no_shuffle_left(g.nodes.sparkSession):
+            _whole(g.nodes.sparkSession, path, write)
+    finally:
+        dropped(ends)
 
 
 #: White space is part of a value, on both ways.
