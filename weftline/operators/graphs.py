@@ -92,6 +92,7 @@ def label_propagation(g: Graph, rounds: int = 20) -> DataFrame:
     keys, edges = numbered(g)
     both = edges.where("a <> b")
     label = most_frequent(both.unionAll(both.select(F.col("b").alias("a"), F.col("a").alias("b"))), keys.count(), rounds)
+    dropped(edges)
     named = keys.select(F.col("key").alias("community"), F.col("id").alias("name"))
     return label.join(named, "community").join(keys, "key").select("id", F.col("name").alias("community"))
 
@@ -104,6 +105,7 @@ def pagerank(g: Graph, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """
     keys, edges = numbered(g)
     e = adjacency(edges)
+    dropped(edges)
     out = e.select("key").distinct()
     n = keys.count()
     moved, lost = [], [float(n - out.count())]  # of each number of moves: who holds how much, and what nodes without out-edges hold
